@@ -150,20 +150,18 @@ def plan(distinct: DataFrame, parts: int = PARTS, link: int = LINK) -> list[int]
 
 
 def forest(f: np.ndarray, link: int) -> tuple[list[int], list[int]]:
-    """Spanning forest of the links among at most BUCKET fingerprints (positions)."""
-    near = np.bitwise_count(f[:, None] ^ f[None, :]) <= link
-    left, a, b = np.ones(len(f), bool), [], []
-    for top in range(len(f)):
-        if not left[top]:
-            continue
-        left[top], todo = False, [top]
-        while todo:
-            x = todo.pop()
-            for y in np.flatnonzero(near[x] & left).tolist():
-                left[y] = False
-                a.append(x)
-                b.append(y)
-                todo.append(y)
+    """Minimum spanning forest of the links among at most BUCKET fingerprints (positions), by Prim's method."""
+    away = np.bitwise_count(f[:, None] ^ f[None, :]).astype(np.int64)
+    far, n = BITS + 1, len(f)
+    nearest, parent, left, a, b = np.full(n, far), np.zeros(n, np.int64), np.ones(n, bool), [], []
+    for _ in range(n):
+        x = int(np.where(left, nearest, far + 1).argmin())
+        if nearest[x] <= link:
+            a.append(int(parent[x]))
+            b.append(x)
+        left[x] = False
+        closer = left & (away[x] < nearest)
+        nearest[closer], parent[closer] = away[x][closer], x
     return a, b
 
 
@@ -203,7 +201,7 @@ def finer(mask: int, parts: int, link: int) -> list[int]:
 
 
 def links(distinct: DataFrame, probes: list[int], parts: int = PARTS, link: int = LINK, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) among distinct fingerprints whose components are those of all links."""
+    """Edges (a, b) among distinct fingerprints; for a ``link`` that the probes cover, their components are those of all links."""
     found = None
     level, below = distinct.select("f"), [(None, probes)]
     rows = None
@@ -227,6 +225,16 @@ def links(distinct: DataFrame, probes: list[int], parts: int = PARTS, link: int
     return found
 
 
+def classes(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """f, component_id: the smallest doc_id that can be reached from a fingerprint over ``edges``."""
+    distinct = materialise(rows.groupBy("f").agg(F.min("doc_id").alias("first")), "simhash-first")
+    linked = components(edges)
+    named = linked.join(distinct, linked["node"] == distinct["f"]).select("node", "component", "first")
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = named.join(least, "component").select("node", "component_id")
+    return distinct.join(named, distinct["f"] == named["node"], "left").select("f", F.coalesce("component_id", "first").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, link: int = LINK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -235,11 +243,52 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, link: int = LINK, d
     own fingerprint. Empty table: no rows. Other columns are ignored.
     """
     rows = fingerprints(columns(docs, doc_id=doc_id, text=text), shingle)
-    distinct = materialise(rows.groupBy("f").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    linked = components(links(distinct, plan(distinct, link=link), link=link))
-    # from components of fingerprints to the smallest doc_id in each
-    named = linked.join(distinct, linked["node"] == distinct["f"]).select("node", "component", "first")
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "component").select("node", "component_id")
-    ids = distinct.join(named, distinct["f"] == named["node"], "left").select("f", F.coalesce("component_id", "first").alias("component_id"))
+    distinct = materialise(rows.select("f").distinct(), "simhash-distinct")
+    ids = classes(rows, links(distinct, plan(distinct, link=link), link=link))
     return rows.join(ids, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def shingles(raw: bytes, k: int) -> set[int]:
+    words = raw.lower().split()
+    return {xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), SEED) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def similar(docs: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b, a_id, b_id) whose documents' sets of k-word shingles have a Jaccard similarity of ``least``."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        for part in slices(batches, "a_text"):
+            out: dict[str, list] = {"a": [], "b": []}
+            for a, b, x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), as_bytes(part.column("a_text")), as_bytes(part.column("b_text")), strict=True):
+                x, y = shingles(x, k), shingles(y, k)
+                if len(x & y) >= least * len(x | y):
+                    out["a"].append(a)
+                    out["b"].append(b)
+            yield out
+
+    wanted = pairs.select(F.col("a_id").alias("i")).union(pairs.select("b_id")).distinct()
+    texts = materialise(docs.join(wanted, docs["doc_id"] == wanted["i"]).select("i", "text").dropDuplicates(["i"]), "simhash-texts")
+    one = pairs.join(texts.select(F.col("i").alias("a_id"), F.col("text").alias("a_text")), "a_id")
+    two = one.join(texts.select(F.col("i").alias("b_id"), F.col("text").alias("b_text")), "b_id")
+    return map_rows(two.select("a", "b", "a_text", "b_text"), "a long, b long", task)
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, covered: int = 6, radius: int = 14) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each group of near duplicates.
+
+    Candidates are fingerprints of five-word shingles within ``radius`` bits. The probes cover ``covered`` differing
+    bits in full and find most of those beyond; every candidate link of a bucket's minimum spanning forest is then
+    verified on the texts. Of a group the row with the smallest doc_id stays (of rows tied in doc_id and text, or of
+    rows without a doc_id, any one); texts without words are no near duplicates and all stay.
+    """
+    parts = covered + 1
+    named = columns(docs, doc_id="doc_id", text="text")
+    rows = fingerprints(named.where(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x09-\x0D]", " ")) != ""), shingle)
+    distinct = materialise(rows.select("f").distinct(), "simhash-distinct")
+    first = materialise(rows.groupBy("f").agg(F.min("doc_id").alias("i")).where("i is not null"), "simhash-first")
+    edges = links(distinct, plan(distinct, parts, covered), parts, radius)
+    pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.join(first.select(F.col("f").alias("a"), F.col("i").alias("a_id")), "a").join(first.select(F.col("f").alias("b"), F.col("i").alias("b_id")), "b")
+    ids = classes(rows, materialise(similar(named, materialise(pairs, "simhash-pairs"), shingle, least), "simhash-verified"))
+    gone = rows.join(ids, "f").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
