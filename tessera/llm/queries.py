@@ -59,6 +59,12 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.substrings import remove_repeats
 
@@ -71,7 +77,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_packing, op3_exact_dedup, op4_secrets, op5_mixing, op6_simhash, op7_topk, op9_substrings, op10_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_packing, op3_exact_dedup, op4_secrets, op5_mixing, op6_simhash, op7_topk, op8_lm, op9_substrings, op10_language)}
 
 SQL = {
     "op3_exact_dedup": """
