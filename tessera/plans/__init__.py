@@ -1,3 +1,3 @@
 """Registered queries, one module for each group of operators."""
 
-from tessera.plans import relational, search, vectors  # noqa: F401
+from tessera.plans import memory, relational, search, structure, vectors  # noqa: F401
