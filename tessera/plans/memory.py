@@ -131,7 +131,7 @@ def mem_recall_recent(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ret_hash_chain", f"WITH {_M} SELECT session_id, message_index, sha256(string_agg(content, chr(10)) OVER (PARTITION BY session_id ORDER BY message_index)) AS prefix_hash FROM m")
 def ret_hash_chain(spark: SparkSession, sf: str) -> DataFrame:
-    upto = memory.BY_TURN.rowsBetween(Window.unboundedPreceding, 0)
+    upto = memory.by_turn().rowsBetween(Window.unboundedPreceding, 0)
     return messages(spark, sf).select("session_id", "message_index", F.sha2(F.concat_ws("\n", F.collect_list("content").over(upto)), 256).alias("prefix_hash"))
 
 
