@@ -48,15 +48,25 @@ def columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[df[f"`{source}`"].alias(name) for name, source in wanted.items()])
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a slice has about SLICE_BYTES of text; one row is never cut."""
+def carried(docs: DataFrame, **more: Column) -> DataFrame:
+    """Whole rows as one struct ``row`` beside what a stage needs of them, so that no name of theirs can clash."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in more.items()])
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of ``carried`` with the columns of ``docs``."""
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a slice has about ``limit`` bytes of text; one row is never cut."""
     for batch in batches:
         if not batch.num_rows:
             continue
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(lengths):
-            if held and held + n > SLICE_BYTES:
+            if held and held + n > limit:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += int(n)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, ascii_lower, columns, map_rows, slices
+from tessera.llm.common import as_bytes, ascii_lower, carried, columns, map_rows, slices, unpacked
 
 #: Key bytes that one task's trie may hold before subtrees leave it.
 TRIE_BYTES = 64 << 20
@@ -169,12 +169,8 @@ def exact_duplicates(docs: DataFrame, largest: bool = True, doc_id: str = "doc_i
 
 
 def keep_one(docs: DataFrame, largest: bool = True) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows tied in doc_id and text any one.
-
-    A text without copies keeps its row unseen; of a text with copies, the rows of the owner are found by doc_id
-    and length, so the join is as narrow as the classes with copies.
-    """
-    verdict = exact_duplicates(docs, largest).where("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__h"))
-    body = docs.withColumn("__h", F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256))
-    kept = body.join(verdict, body["doc_id"].eqNullSafe(verdict["__keep"]) & (body["__h"] == verdict["__h"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__h"]).select(*[kept[f"`{c}`"] for c in docs.columns])
+    """The rows of ``docs`` that stay, with all their columns; of rows tied in doc_id and text any one."""
+    verdict = exact_duplicates(docs, largest).where("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("h"))
+    body = carried(docs, id=docs["doc_id"], digest=F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256))
+    kept = body.join(verdict, F.col("id").eqNullSafe(F.col("keep")) & (F.col("digest") == F.col("h")), "left_semi")
+    return unpacked(kept.dropDuplicates(["id", "digest"]), docs)

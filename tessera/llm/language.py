@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_text, columns, map_rows, slices
+from tessera.llm.common import as_text, carried, columns, map_rows, slices, unpacked
 
 BUCKETS = 1 << 15
 #: Cost in nats of one change of language inside a text.
@@ -203,9 +203,8 @@ def identified(docs: DataFrame) -> DataFrame:
 
     Rows that share a doc_id and a text are judged alike, so they stay or go together.
     """
-    tag = lambda t: F.xxhash64(t["doc_id"], t["text"])
     named = columns(docs, doc_id="doc_id", text="text", lang="lang")
     model = train(named.where((fold(F.col("doc_id")) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang"))
-    rejected = label(named.select(tag(named).alias("doc_id"), "text"), *model).where("lang_pred = 'und'").select(F.col("doc_id").alias("__tag")).distinct()
-    tagged = docs.withColumn("__tag", tag(docs))
-    return tagged.join(rejected, "__tag", "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
+    rejected = label(named.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), *model).where("lang_pred = 'und'").select(F.col("doc_id").alias("gone")).distinct()
+    body = carried(docs, key=F.xxhash64(docs["doc_id"], docs["text"]))
+    return unpacked(body.join(rejected, F.col("key") == F.col("gone"), "left_anti"), docs)

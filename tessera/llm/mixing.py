@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import columns, materialise
+from tessera.llm.common import carried, columns, materialise, unpacked
 
 #: Copies of one document at most.
 EPOCHS = 3
@@ -120,12 +120,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = EPO
 def sample_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = EPOCHS) -> DataFrame:
     """The rows that the mix takes, with all their columns, as often as it takes them.
 
-    Rows tied in doc_id, source and text share one place in the shuffle; each of them gets the copies of one of them,
-    dealt out in order, so none is taken more than ``epochs`` times. Documents without words are left out.
+    Rows tied in doc_id and text share one place in the shuffle and the copies taken of them, rounded up, so none is
+    taken more than ``epochs`` times. Documents without words are left out.
     """
-    taken = mixed(docs, weights, epochs).where("copies > 0").groupBy("h", "size").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    taken = taken.select(F.col("h").alias("__h"), "__copies", "__rows")
-    tagged = docs.withColumn("__h", F.xxhash64(F.lit("mix"), docs["doc_id"], docs["text"]))
-    out = tagged.join(taken, "__h")
-    times = F.ceil(F.col("__copies") / F.col("__rows")).cast("int")
-    return out.withColumn("__e", F.explode(F.sequence(F.lit(1), times))).select(*[out[f"`{c}`"] for c in docs.columns])
+    taken = mixed(docs, weights, epochs).where("copies > 0").groupBy("h").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    body = carried(docs, key=F.xxhash64(F.lit("mix"), docs["doc_id"], docs["text"])).join(taken, F.col("key") == F.col("h"))
+    times = F.sequence(F.lit(1), F.ceil(F.col("copies") / F.col("rows")).cast("int"))
+    return unpacked(body.withColumn("time", F.explode(times)), docs)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, columns, map_rows, materialise, slices
+from tessera.llm.common import as_bytes, carried, columns, map_rows, materialise, slices, unpacked
 from tessera.llm.components import components
 
 BITS = 64
@@ -290,5 +290,5 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, covered: int
     pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(first.select(F.col("f").alias("a"), F.col("i").alias("a_id")), "a").join(first.select(F.col("f").alias("b"), F.col("i").alias("b_id")), "b")
     ids = classes(rows, materialise(similar(named, materialise(pairs, "simhash-pairs"), shingle, least), "simhash-verified"))
-    gone = rows.join(ids, "f").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
+    gone = rows.join(ids, "f").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
+    return unpacked(carried(docs, id=docs["doc_id"]).join(gone, F.col("id") == F.col("gone"), "left_anti"), docs)
