@@ -42,8 +42,10 @@ _FIRST = np.array([x for x, _ in SCRIPTS])
 _NAMES = sorted({x for _, x in SCRIPTS})
 _SCRIPT = np.array([_NAMES.index(x) for _, x in SCRIPTS])
 
+#: Text bytes that a task turns into arrays at a time (about thirty times as many bytes of arrays).
+READ_BYTES = 3 << 20
 #: Letters and all bytes of other characters stand for themselves, anything else is a border.
-_CODE = np.zeros(256, np.uint32)
+_CODE = np.zeros(256, np.uint8)
 _CODE[[*range(97, 123), *range(128, 256)]] = [*range(97, 123), *range(128, 256)]
 _LATIN = re.compile("[A-Za-z]")
 
@@ -60,11 +62,16 @@ class Words:
         data = np.frombuffer(b"\n".join([b"", *raw, b""]), np.uint8)
         code = _CODE[data]
         inside = code > 0
-        edge = np.diff(inside.astype(np.int8))
+        edge = np.diff(inside.view(np.int8))
         self.start, self.end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
-        at = np.flatnonzero(inside)
-        gram = (code[at - 1] << np.uint32(16)) | (code[at] << np.uint32(8)) | code[at + 1]
-        self.gram = ((gram * np.uint32(2654435761)) >> np.uint32(32 - 15)).astype(np.int32)
+        gram = code[:-2].astype(np.uint32)
+        for later in (code[1:-1], code[2:]):
+            gram <<= np.uint32(8)
+            gram |= later
+        gram = gram[inside[1:-1]]
+        gram *= np.uint32(2654435761)
+        gram >>= np.uint32(32 - 15)
+        self.gram = gram.view(np.int32)
         self.length = self.end - self.start
         self.first_gram = np.cumsum(self.length) - self.length
         bounds = np.cumsum([1, *(len(x) + 1 for x in raw)])
@@ -72,8 +79,9 @@ class Words:
         self.data = data
 
     def scripts(self) -> np.ndarray:
-        d, s = np.append(self.data, [0, 0, 0]).astype(np.int64), self.start
-        a, b, c, e = d[s], d[s + 1] & 63, d[s + 2] & 63, d[s + 3] & 63
+        last = len(self.data) - 1
+        a, b, c, e = (self.data[np.minimum(self.start + i, last)].astype(np.int32) for i in range(4))
+        b, c, e = b & 63, c & 63, e & 63
         point = np.where(a < 128, a, np.where(a < 0xE0, ((a & 31) << 6) | b, np.where(a < 0xF0, ((a & 15) << 12) | (b << 6) | c, ((a & 7) << 18) | (b << 12) | (c << 6) | e)))
         return _SCRIPT[np.searchsorted(_FIRST, point, side="right") - 1]
 
@@ -129,7 +137,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         counts: dict[str, np.ndarray] = {}
-        for part in slices(batches):
+        for part in slices(batches, limit=READ_BYTES):
             by: dict[str, list[str]] = {}
             for text, lang in zip(as_text(part.column("text")), part.column("lang").to_pylist(), strict=True):
                 by.setdefault(lang, []).append(text)
@@ -157,7 +165,7 @@ def label(docs: DataFrame, langs: list[str], weights: np.ndarray, candidates: np
     """From (doc_id, text): doc_id, lang_pred, score, and the spans as arrays of word numbers and labels."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        for part in slices(batches):
+        for part in slices(batches, limit=READ_BYTES):
             texts = as_text(part.column("text"))
             out: dict[str, list] = {"doc_id": part.column("doc_id"), "lang_pred": [], "score": [], "span_start": [], "span_end": [], "span_lang": []}
             words = Words(texts)
