@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, columns, map_rows, materialise, new_path, slices
+from tessera.llm.common import as_bytes, columns, map_rows, materialise, slices
 
 WINDOW = 35
 #: Words of an anchor.
@@ -118,12 +118,16 @@ def starts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and a key of 96 bits that is never null; only rows equal in both share one."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"), "doc_id", "text")
+    """doc_id, text, and a 64-bit key that is never null.
+
+    Rows that are equal, or by chance share a key, are told each other's repeated hashes as well. That is harmless:
+    whether a hash repeats holds for the whole table, and each row only looks for its own hashes.
+    """
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", "text")
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """From keyed rows: k1, k2, fp and ext (arrays), written."""
+    """From keyed rows: k, fp and ext (arrays), written."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         for part in slices(batches):
@@ -132,22 +136,21 @@ def anchors(docs: DataFrame) -> DataFrame:
                 fp, ext, _, _ = Text(raw).anchors()
                 out["fp"].append(fp)
                 out["ext"].append(ext)
-            yield out | {k: part.column(k) for k in ("k1", "k2")}
+            yield out | {"k": part.column("k")}
 
-    return materialise(map_rows(docs.select("k1", "k2", "text"), "k1 long, k2 int, fp array<long>, ext array<long>", task), "substring-anchors")
+    return materialise(map_rows(docs.select("k", "text"), "k long, fp array<long>, ext array<long>", task), "substring-anchors")
 
 
 class FingerprintIndex:
     """Sorted immutable runs of (fp, n, ext, mixed): an anchor's hash, its occurrences, an extent, and whether there are others."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark, self.runs, self.paths = spark, [], {}
+        self.spark, self.runs = spark, []
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, rows: DataFrame) -> str:
         name = f"tessera_run_{uuid.uuid4().hex}"
-        self.paths[name] = new_path(self.spark, "substring-run")
-        rows.write.bucketBy(self.buckets, "fp").sortBy("fp").option("compression", "zstd").option("path", self.paths[name]).saveAsTable(name)
+        rows.write.bucketBy(self.buckets, "fp").sortBy("fp").option("compression", "zstd").saveAsTable(name)
         return name
 
     def add(self, batch: DataFrame) -> None:
@@ -159,7 +162,7 @@ class FingerprintIndex:
             self.compact()
 
     def compact(self) -> None:
-        """Merge-join of the two oldest runs; both are bucketed and sorted by hash."""
+        """Merge-join of the two oldest runs, both bucketed and sorted by hash; once the merged run is written they go."""
         old, new = (self.spark.table(x) for x in self.runs[:2])
         new = new.select("fp", *[F.col(x).alias(f"new_{x}") for x in ("n", "ext", "mixed")])
         merged = old.join(new.hint("merge"), "fp", "full").select(
@@ -168,14 +171,18 @@ class FingerprintIndex:
             F.coalesce("ext", "new_ext").alias("ext"),
             (F.coalesce("mixed", F.lit(False)) | F.coalesce("new_mixed", F.lit(False)) | F.coalesce(F.col("ext") != F.col("new_ext"), F.lit(False))).alias("mixed"),
         )
-        self.runs[:2] = [self._write(merged)]
+        done, self.runs[:2] = self.runs[:2], [self._write(merged)]
+        for name in done:
+            self.spark.sql(f"DROP TABLE {name}")
 
     def repeated(self) -> DataFrame:
         """fp and mixed of the anchors that occur more than once in all that was added."""
         while len(self.runs) > 1:
             self.compact()
         # read as plain files: with exchanges on both sides the later join can split a hot anchor
-        return self.spark.read.schema(self.spark.table(self.runs[0]).schema).parquet(self.paths[self.runs[0]]).where("n > 1").select("fp", "mixed")
+        run = self.spark.table(self.runs[0])
+        files = run.inputFiles()
+        return (self.spark.read.schema(run.schema).parquet(*files) if files else run).where("n > 1").select("fp", "mixed")
 
 
 def _isin(values: np.ndarray, of: list[int] | None) -> np.ndarray:
@@ -205,10 +212,10 @@ def first_verdict(docs: DataFrame, known: DataFrame) -> DataFrame:
                     row = (*text.without(at), None, None, None, None)
                 for k, v in zip(("n_removed", "sha", "text", "one", "some", "window"), row, strict=True):
                     out[k].append(v)
-            yield out | {k: part.column(k) for k in ("k1", "k2", "doc_id")}
+            yield out | {k: part.column(k) for k in ("k", "doc_id")}
 
-    joined = docs.join(known, ["k1", "k2"], "left").select("k1", "k2", "doc_id", "text", "one", "some")
-    return materialise(map_rows(joined, "k1 long, k2 int, doc_id long, n_words long, n_removed long, sha string, text string, one array<long>, some array<long>, window array<long>", task), "substring-verdict")
+    joined = docs.join(known, "k", "left").select("k", "doc_id", "text", "one", "some")
+    return materialise(map_rows(joined, "k long, doc_id long, n_words long, n_removed long, sha string, text string, one array<long>, some array<long>, window array<long>", task), "substring-verdict")
 
 
 def last_verdict(rest: DataFrame) -> DataFrame:
@@ -241,19 +248,19 @@ def remove_repeats(docs: DataFrame, batches: int = 2, doc_id: str = "doc_id", te
     docs = keyed(columns(docs, doc_id=doc_id, text=text))
     index, parts = FingerprintIndex(spark), []
     for i in range(batches):
-        parts.append(anchors(docs.where(F.pmod("k1", F.lit(batches)) == i)))
+        parts.append(anchors(docs.where(F.pmod("k", F.lit(batches)) == i)))
         index.add(parts[-1])
     seen = parts[0]
     for x in parts[1:]:
         seen = seen.unionByName(x)
-    each = seen.select("k1", "k2", F.explode(F.array_distinct("fp")).alias("fp"))
-    known = each.join(index.repeated(), "fp").groupBy("k1", "k2").agg(F.collect_set(F.when(~F.col("mixed"), F.col("fp"))).alias("one"), F.collect_set(F.when(F.col("mixed"), F.col("fp"))).alias("some"))
+    each = seen.select("k", F.explode(F.array_distinct("fp")).alias("fp"))
+    known = each.join(index.repeated(), "fp").groupBy("k").agg(F.collect_set(F.when(~F.col("mixed"), F.col("fp"))).alias("one"), F.collect_set(F.when(F.col("mixed"), F.col("fp"))).alias("some"))
     verdict = first_verdict(docs, known)
     rest = verdict.where("sha IS NULL")
     # the array has an entry for each place, so a window that repeats inside one text counts twice
-    window = rest.select("k1", "k2", F.explode(F.array_distinct("window")).alias("w"))
-    again = window.join(repeated_windows(rest), "w").groupBy("k1", "k2").agg(F.collect_set("w").alias("again"))
-    open_ = rest.join(again, ["k1", "k2"], "left").select("doc_id", "n_words", "text", "one", "some", "again")
+    window = rest.select("k", F.explode(F.array_distinct("window")).alias("w"))
+    again = window.join(repeated_windows(rest), "w").groupBy("k").agg(F.collect_set("w").alias("again"))
+    open_ = rest.join(again, "k", "left").select("doc_id", "n_words", "text", "one", "some", "again")
     done = verdict.where("sha IS NOT NULL").select("doc_id", "n_words", "n_removed", "sha")
     return done.unionByName(last_verdict(open_)).select("doc_id", "n_words", "n_removed", F.col("sha").alias("kept_sha256"))
 
