@@ -28,7 +28,7 @@ from tessera.llm.common import as_bytes, columns, map_rows, materialise, slices
 from tessera.llm.language import fold
 
 #: Words whose counts travel to the tasks, at most.
-HEAD = 1 << 19
+HEAD = 1 << 18
 #: Tokens that the model predicts one by one.
 MODEL = 1024
 DIMENSIONS = 16
@@ -36,9 +36,11 @@ CONTEXT = 2
 BATCH = 8192
 NOISE = 32
 RATE = 0.1
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Distinct words that a counting task holds before it hands partial counts on.
-HELD = 300_000
+HELD = 200_000
+#: Text bytes that are read into arrays at a time.
+READ_BYTES = 3 << 20
 END = xxhash.xxh64_intdigest(b"\n", 11) - (1 << 63)
 
 
@@ -237,7 +239,7 @@ def train(texts: DataFrame, shared, rest: int) -> LogBilinear:
         reader, model, seen = Reader(v), LogBilinear(v.model_counts, rest), 0
         rng = np.random.default_rng([7, TaskContext.get().partitionId()])
         ladder = np.cumsum(model.share)
-        for part in slices(batches):
+        for part in slices(batches, limit=READ_BYTES):
             _, _, number, first = reader.read(as_bytes(part.column("text")))
             contexts = reader.contexts(number, first)
             for i in range(0, len(number), BATCH):
@@ -282,7 +284,7 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, doc_id: str = "doc_id"
         voc, lbl = shared.value, trained.value
         reader, number_of_task, row = Reader(voc), TaskContext.get().partitionId(), 0
         log_count = np.append(np.log10(voc.c + 0.5), 0.0)
-        for part in slices(batches):
+        for part in slices(batches, limit=READ_BYTES):
             h, at, number, first = reader.read(as_bytes(part.column("text")))
             log_p = lbl.log_probabilities(number, reader.contexts(number, first)).astype(np.float64) / np.log(10)
             rest, known = number == voc.rest, at >= 0
