@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_text, carried, columns, map_rows, slices, unpacked
+from tessera.llm.common import as_text, columns, map_rows, slices
 
 BUCKETS = 1 << 15
 #: Cost in nats of one change of language inside a text.
@@ -132,8 +132,8 @@ def fold(doc_id: Column, folds: int = 3) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(folds))
 
 
-def train(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """From (text, lang): languages by code point, log probabilities (languages x BUCKETS), candidates by script."""
+def train(labelled: DataFrame) -> Model:
+    """From (text, lang), all rows of it."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         counts: dict[str, np.ndarray] = {}
@@ -158,40 +158,54 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     weights = np.log((grams + SMOOTHING) / (grams.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS)).astype(np.float32)
     candidates = scripts >= SHARE * np.maximum(1, scripts.sum(axis=1, keepdims=True))
     candidates[:, ~candidates.any(axis=0)] = True  # an unseen script excludes nobody
-    return langs, weights, candidates
-
-
-def label(docs: DataFrame, langs: list[str], weights: np.ndarray, candidates: np.ndarray, switch: float = SWITCH) -> DataFrame:
-    """From (doc_id, text): doc_id, lang_pred, score, and the spans as arrays of word numbers and labels."""
+    return Model(langs, weights, candidates)
+
+
+class Model:
+    """What training leaves: languages by code point, log probabilities (languages x BUCKETS), candidates by script."""
+
+    def __init__(self, langs: list[str], weights: np.ndarray, candidates: np.ndarray, switch: float = SWITCH):
+        self.langs, self.weights, self.candidates, self.switch = langs, weights, candidates, switch
+
+    def label(self, texts: list[str]) -> dict[str, list]:
+        """lang_pred, score, and the spans as arrays of word numbers and labels."""
+        out: dict[str, list] = {"lang_pred": [], "score": [], "span_start": [], "span_end": [], "span_lang": []}
+        words = Words(texts)
+        labels = np.zeros(len(words.start), np.int16)
+        if self.langs:
+            outside = ~self.candidates.T[words.scripts()]
+            labels = best_paths(words.sums(self.weights) - OUTSIDE * outside.astype(np.float32), words.first, self.switch)
+        for i, text in enumerate(texts):
+            a, b = words.first[i], words.first[i + 1]
+            own = labels[a:b]
+            if not self.langs or a == b or not has_letter(text):
+                found, share, edges = "und", 0.0, np.zeros(0, int)
+            else:
+                size = np.bincount(own, weights=words.length[a:b], minlength=len(self.langs))
+                found, share = self.langs[int(size.argmax())], float(size.max() / size.sum())
+                edges = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
+            out["lang_pred"].append(found)
+            out["score"].append(share)
+            out["span_start"].append(edges.tolist())
+            out["span_end"].append([*edges[1:].tolist(), b - a] if len(edges) else [])
+            out["span_lang"].append([self.langs[x] for x in own[edges]] if len(edges) else [])
+        return out
+
+
+def label(docs: DataFrame, model: Model) -> DataFrame:
+    """From (doc_id, text): doc_id and what ``Model.label`` gives."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         for part in slices(batches, limit=READ_BYTES):
-            texts = as_text(part.column("text"))
-            out: dict[str, list] = {"doc_id": part.column("doc_id"), "lang_pred": [], "score": [], "span_start": [], "span_end": [], "span_lang": []}
-            words = Words(texts)
-            labels = np.zeros(len(words.start), np.int16)
-            if langs:
-                outside = ~candidates.T[words.scripts()]
-                labels = best_paths(words.sums(weights) - OUTSIDE * outside.astype(np.float32), words.first, switch)
-            for i, text in enumerate(texts):
-                a, b = words.first[i], words.first[i + 1]
-                own = labels[a:b]
-                if not langs or a == b or not has_letter(text):
-                    found, share, edges = "und", 0.0, np.zeros(0, int)
-                else:
-                    size = np.bincount(own, weights=words.length[a:b], minlength=len(langs))
-                    found, share = langs[int(size.argmax())], float(size.max() / size.sum())
-                    edges = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
-                out["lang_pred"].append(found)
-                out["score"].append(share)
-                out["span_start"].append(edges.tolist())
-                out["span_end"].append([*edges[1:].tolist(), b - a] if len(edges) else [])
-                out["span_lang"].append([langs[x] for x in own[edges]] if len(edges) else [])
-            yield out
+            yield model.label(as_text(part.column("text"))) | {"doc_id": part.column("doc_id")}
 
     return map_rows(docs, "doc_id long, lang_pred string, score double, span_start array<long>, span_end array<long>, span_lang array<string>", task)
 
 
+def training_rows(named: DataFrame, folds: int, held: int) -> DataFrame:
+    return named.where((fold(F.col("doc_id"), folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+
+
 def identify(docs: DataFrame, folds: int = 3, held: int = 1, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score, span_start, span_end, span_lang.
 
@@ -201,18 +215,17 @@ def identify(docs: DataFrame, folds: int = 3, held: int = 1, doc_id: str = "doc_
     labelled alike, null doc_ids belong to a training fold, an empty table gives no rows, other columns are ignored.
     """
     named = columns(docs, doc_id=doc_id, text=text, lang=lang)
-    model = train(named.where((fold(F.col("doc_id"), folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang"))
-    out = label(named.select("doc_id", "text"), *model)
+    out = label(named.select("doc_id", "text"), train(training_rows(named, folds, held)))
     return out.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "lang_pred", "score", "span_start", "span_end", "span_lang")
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, but for those that ``identify`` rejects (``und``).
+def identified(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but for those that ``identify`` rejects (``und``): one pass, no shuffle."""
+    model = train(training_rows(columns(docs, doc_id="doc_id", text="text", lang="lang"), folds, held))
 
-    Rows that share a doc_id and a text are judged alike, so they stay or go together.
-    """
-    named = columns(docs, doc_id="doc_id", text="text", lang="lang")
-    model = train(named.where((fold(F.col("doc_id")) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang"))
-    rejected = label(named.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), *model).where("lang_pred = 'und'").select(F.col("doc_id").alias("gone")).distinct()
-    body = carried(docs, key=F.xxhash64(docs["doc_id"], docs["text"]))
-    return unpacked(body.join(rejected, F.col("key") == F.col("gone"), "left_anti"), docs)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, limit=READ_BYTES):
+            found = model.label(as_text(part.column("text")))["lang_pred"]
+            yield part.filter(pa.array([x != "und" for x in found]))
+
+    return docs.mapInArrow(task, docs.schema)
