@@ -24,8 +24,8 @@ RUN = re.compile(r"[\s\u180e] ")
 BREAK = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-/:-@\[-`{-~])")
 #: Letters that stay one unit through normalisation and pre-splitting.
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: Pieces remembered by one Python worker; the memory is emptied when full, which changes nothing but time.
-REMEMBERED = 800_000
+#: Pieces and parts of pieces remembered by one Python worker; a memory is emptied when full, which changes nothing but time.
+REMEMBERED, PARTS = 600_000, 200_000
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
@@ -50,28 +50,34 @@ class Encoder:
         self.later: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def _ids(self, units: list[str]) -> None:
-        """Remember the ids of units; words of plain letters go straight to the tokenizer's model."""
-        other = []
+    def _ids(self, units: list[str]) -> dict[str, bytes]:
+        """The ids of units; words of plain letters go straight to the tokenizer's model."""
+        found, other = {}, []
         for unit in units:
             word = unit[1:] if unit[:1] == " " else unit
             if LETTERS.fullmatch(word):
                 known = (unit if self.kind == "lead" else word.lower()).encode().decode("latin-1").translate(self.letters)
-                self.parts[unit] = np.array([t.id for t in self.model.tokenize(known)], self.dtype).tobytes()
+                found[unit] = np.array([t.id for t in self.model.tokenize(known)], self.dtype).tobytes()
             else:
                 other.append(unit)
         for i in range(0, len(other), 20_000):
             part = other[i : i + 20_000]
             for unit, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.parts[unit] = np.array(e.ids, self.dtype).tobytes()
+                found[unit] = np.array(e.ids, self.dtype).tobytes()
+        return found
 
     def _ask(self, memory: dict[str, bytes], pieces: set[str], lead: str) -> None:
+        """Remember new pieces; those that consist of several units also leave their units behind."""
         new = list(pieces.difference(memory))
-        split = [BREAK.split(lead + x) for x in new]
-        self._ids(list(set(chain.from_iterable(split)).difference(self.parts)))
-        parts = self.parts
-        for piece, units in zip(new, split, strict=True):
-            memory[piece] = parts[units[0]] if len(units) == 1 else b"".join([parts[x] for x in units])
+        for i in range(0, len(new), 50_000):
+            part = new[i : i + 50_000]
+            split = [BREAK.split(lead + x) for x in part]
+            parts = self.parts
+            several = {u for x in split if len(x) > 1 for u in x}
+            parts.update(self._ids(list(several.difference(parts))))
+            single = self._ids([x[0] for x in split if len(x) == 1 and x[0] not in parts])
+            for piece, units in zip(part, split, strict=True):
+                memory[piece] = b"".join([parts[u] for u in units]) if len(units) > 1 else single.get(units[0]) or parts.get(units[0], b"")
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """For each text its ids and the end id, as little-endian bytes of ``dtype``."""
@@ -80,8 +86,10 @@ class Encoder:
         direct = {i for i, x in enumerate(texts) if whole or (self.kind == "lead" and RUN.search(x))}
         split = [[] if i in direct else x.split(" ") for i, x in enumerate(texts)]
         out: list[bytes] = [tail] * len(texts)
-        if len(self.later) + len(self.first) > REMEMBERED or len(self.parts) > REMEMBERED:
-            self.first, self.later, self.parts = {}, {}, {}
+        if len(self.later) + len(self.first) > REMEMBERED:
+            self.first, self.later = {}, {}
+        if len(self.parts) > PARTS:
+            self.parts = {}
         if self.kind == "lead":
             self._ask(self.first, {x[0] for x in split if x}, "")
             self._ask(self.later, set(chain.from_iterable(x[1:] for x in split)), " ")
