@@ -210,8 +210,8 @@ def links(distinct: DataFrame, probes: list[int], parts: int = PARTS, link: int
             keys = F.array(*[F.lit(signed(m)) for m in probes])
             rows = level.select("f", F.explode(keys).alias("mask"))
         else:
-            choice = F.create_map(*[x for m, ms in below for x in (F.lit(signed(m)), F.array(*[F.lit(signed(y)) for y in ms]))])
-            rows = rows.select("f", F.explode(choice[F.col("mask")]).alias("mask"))
+            choice = distinct.sparkSession.createDataFrame([(signed(m), [signed(y) for y in ms]) for m, ms in below], "mask long, finer array<long>")
+            rows = rows.join(F.broadcast(choice), "mask").select("f", F.explode("finer").alias("mask"))  # at most parts ** level masks
         rows = rows.withColumn("v", F.col("f").bitwiseAND(F.col("mask")))
         sizes = rows.groupBy("mask", "v").count()
         alone = sizes.where("count > 1").withColumn("large", F.col("count") > bucket).select("mask", "v", "large")
@@ -219,7 +219,7 @@ def links(distinct: DataFrame, probes: list[int], parts: int = PARTS, link: int
         edges = materialise(compare(rows.where("not large"), link), "simhash-links")
         found = edges if found is None else found.unionByName(edges)
         large = rows.where("large")
-        seen = [r["mask"] & (2**64 - 1) for r in large.select("mask").distinct().collect()]  # at most 3 ** level masks
+        seen = [r["mask"] & (2**64 - 1) for r in large.select("mask").distinct().collect()]  # at most parts ** level masks
         below = [(m, finer(m, parts, link)) for m in seen]
         rows = large.select("f", "mask")
     return found
@@ -244,7 +244,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, link: int = LINK, d
     """
     rows = fingerprints(columns(docs, doc_id=doc_id, text=text), shingle)
     distinct = materialise(rows.select("f").distinct(), "simhash-distinct")
-    ids = classes(rows, links(distinct, plan(distinct, link=link), link=link))
+    # written, so that the last join has exchanges of its own on both sides and can split a fingerprint with very many rows
+    ids = materialise(classes(rows, links(distinct, plan(distinct, link=link), link=link)), "simhash-classes")
     return rows.join(ids, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -273,11 +274,12 @@ def similar(docs: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFram
     return map_rows(two.select("a", "b", "a_text", "b_text"), "a long, b long", task)
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, covered: int = 6, radius: int = 14) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, covered: int = 6, radius: int = 14, levels: int = 2) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group of near duplicates.
 
     Candidates are fingerprints of five-word shingles within ``radius`` bits. The probes cover ``covered`` differing
-    bits in full and find most of those beyond; every candidate link of a bucket's minimum spanning forest is then
+    bits in full and find most of those beyond; their keys are of ``levels`` levels whatever the size of the table, so
+    the work grows in proportion. Every candidate link of a bucket's minimum spanning forest is then
     verified on the texts. Of a group the row with the smallest doc_id stays (of rows tied in doc_id and text, or of
     rows without a doc_id, any one); texts without words are no near duplicates and all stay.
     """
@@ -286,9 +288,12 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, covered: int
     rows = fingerprints(named.where(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x09-\x0D]", " ")) != ""), shingle)
     distinct = materialise(rows.select("f").distinct(), "simhash-distinct")
     first = materialise(rows.groupBy("f").agg(F.min("doc_id").alias("i")).where("i is not null"), "simhash-first")
-    edges = links(distinct, plan(distinct, parts, covered), parts, radius)
+    probes = plan(distinct, parts, covered)
+    for _ in range(levels - 1):
+        probes = [y for m in probes for y in finer(m, parts, covered)]
+    edges = links(distinct, probes, parts, radius)
     pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(first.select(F.col("f").alias("a"), F.col("i").alias("a_id")), "a").join(first.select(F.col("f").alias("b"), F.col("i").alias("b_id")), "b")
-    ids = classes(rows, materialise(similar(named, materialise(pairs, "simhash-pairs"), shingle, least), "simhash-verified"))
+    ids = materialise(classes(rows, materialise(similar(named, materialise(pairs, "simhash-pairs"), shingle, least), "simhash-verified")), "simhash-classes")
     gone = rows.join(ids, "f").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
     return unpacked(carried(docs, id=docs["doc_id"]).join(gone, F.col("id") == F.col("gone"), "left_anti"), docs)
