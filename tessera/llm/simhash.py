@@ -34,21 +34,27 @@ SHINGLE = 3
 SEED = 42
 #: Members of a bucket that are compared in full.
 BUCKET = 128
+#: Frequent shingles are counted in each task over HELD shingles at a time, sent on if counted SOME times, and HEAD of them at most are used.
+HELD, SOME, HEAD = 1 << 21, 4, 1 << 16
 
 
-def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
-    """A bit is 1 if it is set in more than half of the hashes of the text's word shingles; no words: zero.
+def hashes(raw: bytes, shingle: int) -> np.ndarray:
+    """The hashes of a text's word shingles, in order and with repeats; a shorter text is one shingle, no words: none.
 
     ``bytes.lower`` and ``bytes.split`` do exactly what is wanted of UTF-8: A-Z, and the six ASCII white spaces.
     """
     words = raw.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     text = memoryview(b" ".join(words))
     k = min(shingle, len(words))
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[: len(words) - k] + 1).tolist()]
-    h = np.array([xxhash.xxh64_intdigest(text[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([xxhash.xxh64_intdigest(text[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """A bit is 1 if it is set in more than half of the hashes; none: zero."""
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 1 << 14):
         counts += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -56,6 +62,11 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
+    """A bit is 1 if it is set in more than half of the hashes of the text's word shingles; no words: zero."""
+    return majority(hashes(raw, shingle))
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -249,51 +260,181 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, link: int = LINK, d
     return rows.join(ids, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingles(raw: bytes, k: int) -> set[int]:
-    words = raw.lower().split()
-    return {xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), SEED) for i in range(max(1, len(words) - k + 1))} if words else set()
+def frequent(docs: DataFrame, k: int, most: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, ``most`` at most, and how often texts have them (a lower bound).
+
+    The list only orders shingles (``prefix``): whatever it misses costs candidates, never a result.
+    """
+
+    def counted(held: list[np.ndarray]) -> dict[str, list]:
+        s, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        return {"s": pa.array(s[n >= SOME].view(np.int64)), "n": pa.array(n[n >= SOME])}
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        held, size = [], 0
+        for part in slices(batches):
+            for raw in as_bytes(part.column("text")):
+                held.append(np.unique(hashes(raw, k)))
+                size += len(held[-1])
+                if size >= HELD:
+                    yield counted(held)
+                    held, size = [], 0
+        yield counted(held)
+
+    rows = map_rows(docs.select("text"), "s long, n long", task).groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(most).toPandas()
+    s, n = rows["s"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    order = np.argsort(s)
+    return s[order], n[order]
 
 
-def similar(docs: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b, a_id, b_id) whose documents' sets of k-word shingles have a Jaccard similarity of ``least``."""
+def prefix(s: np.ndarray, often: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first shingles of a set, so many that two sets with a Jaccard similarity of ``least`` have one in common.
+
+    The order is the same for all sets: frequent shingles last, the rarer first, otherwise by hash. A partner has
+    ``least`` of the set's shingles, so it cannot miss all of the first len - ceil(least * len) + 1.
+    """
+    at = np.minimum(np.searchsorted(often[0], s), max(0, len(often[0]) - 1))
+    count = np.where(often[0][at] == s, often[1][at], 0) if len(often[0]) else np.zeros(len(s), np.int64)
+    return s[np.lexsort((s, count))][: len(s) - shared(least * len(s)) + 1]
+
+
+def shared(x: float) -> int:
+    """The least whole number from ``x`` on; a little lower where ``x`` is whole but for rounding."""
+    return int(np.ceil(x - 1e-6))
+
+
+def shingle_sets(docs: DataFrame, k: int, least: float) -> DataFrame:
+    """doc_id, h (hash of the text), node (hash of the set of shingles), f (fingerprint), n (shingles of the set), prefix; only texts with words."""
+    often = frequent(docs, k)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        for part in slices(batches):
+            out: dict[str, list] = {"doc_id": [], "h": [], "node": [], "f": [], "n": [], "prefix": []}
+            for i, h, raw in zip(part.column("doc_id").to_pylist(), part.column("h").to_pylist(), as_bytes(part.column("text")), strict=True):
+                every = hashes(raw, k)
+                if len(every):
+                    s = np.unique(every)
+                    for name, value in zip(out, (i, h, signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)), signed(majority(every)), len(s), prefix(s, often, least).view(np.int64)), strict=True):
+                        out[name].append(value)
+            yield out
+
+    return materialise(map_rows(docs, "doc_id long, h long, node long, f long, n long, prefix array<long>", task), "simhash-sets")
+
+
+def similar(docs: DataFrame, first: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: nodes) whose sets of k-word shingles have a Jaccard similarity of ``least``; ``first`` has a text's doc_id and h for each node."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        last: dict[str, tuple[int, np.ndarray]] = {}
+
+        def set_of(side: str, node: int, raw: bytes) -> np.ndarray:
+            if side not in last or last[side][0] != node:  # rows come sorted by one of the sides
+                last[side] = node, np.unique(hashes(raw, k))
+            return last[side][1]
+
         for part in slices(batches, "a_text"):
             out: dict[str, list] = {"a": [], "b": []}
             for a, b, x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), as_bytes(part.column("a_text")), as_bytes(part.column("b_text")), strict=True):
-                x, y = shingles(x, k), shingles(y, k)
-                if len(x & y) >= least * len(x | y):
+                x, y = set_of("a", a, x), set_of("b", b, y)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= shared(least * (len(x) + len(y) - both)):
                     out["a"].append(a)
                     out["b"].append(b)
             yield out
 
-    wanted = pairs.select(F.col("a_id").alias("i")).union(pairs.select("b_id")).distinct()
-    texts = materialise(docs.join(wanted, docs["doc_id"] == wanted["i"]).select("i", "text").dropDuplicates(["i"]), "simhash-texts")
-    one = pairs.join(texts.select(F.col("i").alias("a_id"), F.col("text").alias("a_text")), "a_id")
-    two = one.join(texts.select(F.col("i").alias("b_id"), F.col("text").alias("b_text")), "b_id")
-    return map_rows(two.select("a", "b", "a_text", "b_text"), "a long, b long", task)
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = first.join(wanted, "node").select("node", F.col("doc_id").alias("i"), F.col("h").alias("t"))
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["i"]) & (docs["h"] == wanted["t"])).select("node", "text").dropDuplicates(["node"])
+    texts = materialise(texts, "simhash-texts")
+    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
+    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
+    return materialise(map_rows(two.select("a", "b", "a_text", "b_text"), "a long, b long", task), "simhash-verified")
+
+
+def by_fingerprint(rows: DataFrame, covered: int, radius: int, levels: int) -> DataFrame:
+    """Candidates (a, b) by SimHash: nodes of one fingerprint, and those of fingerprints that a bucket's forest links."""
+    distinct = materialise(rows.select("f").distinct(), "simhash-distinct")
+    probes = plan(distinct, covered + 1, covered)
+    for _ in range(levels - 1):
+        probes = [y for m in probes for y in finer(m, covered + 1, covered)]
+    edges = links(distinct, probes, covered + 1, radius)
+    hubs = materialise(rows.groupBy("f").agg(F.min("node").alias("hub")), "simhash-hubs")
+    equal = rows.join(hubs, "f").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    near = edges.join(hubs.select(F.col("f").alias("a"), F.col("hub").alias("x")), "a").join(hubs.select(F.col("f").alias("b"), F.col("hub").alias("y")), "b").select("x", "y")
+    return ordered(equal.union(near))
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+
+def placed(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` with c, the component of their node by ``edges``."""
+    linked = components(edges).select(F.col("node").alias("linked"), "component")
+    return rows.join(linked, F.col("node") == F.col("linked"), "left").withColumn("c", F.coalesce("component", "node")).drop("linked", "component")
+
+
+def groups(docs: DataFrame, rows: DataFrame, k: int, least: float, covered: int, radius: int, levels: int) -> DataFrame:
+    """``rows`` with c, the component of their node in the graph of all pairs with a Jaccard similarity of ``least``.
+
+    Three sources of candidates, each verified on the texts: SimHash; the sets that share a shingle of their prefixes with
+    the first or last of it in a class of like sizes; and then every pair that shares such a shingle and is still in two
+    components. The first two only keep the last one small: it leaves no link out.
+    """
+    first = materialise(rows.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("x")).select("node", "x.doc_id", "x.h"), "simhash-first")
+    tried = materialise(by_fingerprint(rows, covered, radius, levels), "simhash-pairs")
+    edges = similar(docs, first, tried, k, least)
+
+    sets = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    entries = materialise(sets.select("node", "n", F.posexplode("prefix").alias("at", "s")), "simhash-entries")
+    several = entries.groupBy("s").agg(F.count("*").alias("m")).where("m > 1").select("s")
+    entries = materialise(entries.join(several, "s").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / least)))), "simhash-shared")
+
+    def crossing(edges: DataFrame) -> DataFrame:
+        """Entries of shingles that stand in two components."""
+        now = materialise(placed(entries, edges), "simhash-placed")
+        split = now.groupBy("s").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("s")
+        return materialise(now.join(split, "s"), "simhash-crossing")
+
+    now = crossing(edges)
+    ends = now.groupBy("s", "size").agg(F.min(F.struct("node", "c")).alias("x"), F.max(F.struct("node", "c")).alias("y"))
+    ends = ends.select("s", "size", F.explode(F.array("x", "y")).alias("hub"))
+    stars = now.join(ends, ["s", "size"]).where("c <> hub.c").select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+    stars = materialise(ordered(stars).join(tried, ["a", "b"], "left_anti"), "simhash-pairs")
+    tried, edges = tried.unionByName(stars), edges.unionByName(similar(docs, first, stars, k, least))
+
+    now = crossing(edges)
+    x, y = (now.select("s", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "c", "n", "at")]) for side in "xy")
+    # what the sets can have in common from this shingle on, if it is the first one they share
+    most = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    enough = most >= F.ceil(least / (1 + least) * (F.col("x_n") + F.col("y_n")) - 1e-6)
+    rest = x.join(y, (x["s"] == y["s"]) & (F.col("x_node") < F.col("y_node")) & (F.col("x_c") != F.col("y_c")) & enough)
+    rest = rest.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = materialise(rest, "simhash-pairs")
+    return placed(rows, edges.unionByName(similar(docs, first, rest, k, least)))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, covered: int = 6, radius: int = 14, levels: int = 2) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group of near duplicates.
 
-    Candidates are fingerprints of five-word shingles within ``radius`` bits. The probes cover ``covered`` differing
-    bits in full and find most of those beyond; their keys are of ``levels`` levels whatever the size of the table, so
-    the work grows in proportion. Every candidate link of a bucket's minimum spanning forest is then
-    verified on the texts. Of a group the row with the smallest doc_id stays (of rows tied in doc_id and text, or of
-    rows without a doc_id, any one); texts without words are no near duplicates and all stay.
+    Near duplicates are texts whose sets of five-word shingles have a Jaccard similarity of ``least``, and groups are the
+    components of all such pairs. SimHash (probes that cover ``covered`` differing bits, in keys of ``levels`` levels,
+    candidates within ``radius`` bits) finds most of them, a prefix filter on the shingles all others; each link is
+    verified on the texts. Of a group the row with the smallest doc_id stays (of rows tied in doc_id, or of rows
+    without a doc_id, any one); texts without words are no near duplicates and all stay.
     """
-    parts = covered + 1
-    named = columns(docs, doc_id="doc_id", text="text")
-    rows = fingerprints(named.where(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x09-\x0D]", " ")) != ""), shingle)
-    distinct = materialise(rows.select("f").distinct(), "simhash-distinct")
-    first = materialise(rows.groupBy("f").agg(F.min("doc_id").alias("i")).where("i is not null"), "simhash-first")
-    probes = plan(distinct, parts, covered)
-    for _ in range(levels - 1):
-        probes = [y for m in probes for y in finer(m, parts, covered)]
-    edges = links(distinct, probes, parts, radius)
-    pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(first.select(F.col("f").alias("a"), F.col("i").alias("a_id")), "a").join(first.select(F.col("f").alias("b"), F.col("i").alias("b_id")), "b")
-    ids = materialise(classes(rows, materialise(similar(named, materialise(pairs, "simhash-pairs"), shingle, least), "simhash-verified")), "simhash-classes")
-    gone = rows.join(ids, "f").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    return unpacked(carried(docs, id=docs["doc_id"]).join(gone, F.col("id") == F.col("gone"), "left_anti"), docs)
+    named = columns(docs, doc_id="doc_id", text="text").withColumn("h", F.xxhash64("text"))
+    rows = shingle_sets(named, shingle, least)
+    ids = materialise(groups(named, rows, shingle, least, covered, radius, levels).select("doc_id", "h", "c"), "simhash-classes")
+    best = ids.groupBy("c").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h")).alias("best"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))
+    gone = ids.join(best, "c").where(~stays).select(F.col("doc_id").alias("i"), F.col("h").alias("t")).distinct()
+    tied = ids.groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("i"), F.col("h").alias("t"))
+    gone, tied = materialise(gone, "simhash-gone"), materialise(tied, "simhash-tied")
+    here = carried(docs, id=docs["doc_id"], h=F.xxhash64(docs["text"]))
+    of = lambda other: here["id"].eqNullSafe(other["i"]) & (here["h"] == other["t"])
+    kept = here.join(gone, of(gone), "left_anti")
+    if not tied.isEmpty():
+        again = kept.join(tied, of(tied), "left_semi").dropDuplicates(["id", "h"])
+        kept = kept.join(tied, of(tied), "left_anti").unionByName(again)
+    return unpacked(kept, docs)

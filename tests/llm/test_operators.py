@@ -327,6 +327,44 @@ def test_near_duplicate_stage(spark, docs, nothing):
     assert simhash.keep_one(nothing).count() == 0
 
 
+def brute_kept(table, least=0.8):
+    """The ids that stay of rows (doc_id, text): the smallest of each component of all pairs with ``least``; and the pairs."""
+    sets = []
+    for _, x in table:
+        w = x.translate(LOWER).split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+    top = list(range(len(table)))
+    for i, j in pairs:
+        a, b = top[i], top[j]
+        top = [min(a, b) if t in (a, b) else t for t in top]
+    found = defaultdict(list)
+    for (i, _), t in zip(table, top, strict=True):
+        found[t].append(i)
+    return sorted(min(g) for g in found.values()), pairs
+
+
+def edited_pairs(n=120, seed=8):
+    """Texts in pairs whose Jaccard similarity is about 0.8 to 0.9, by words changed in places apart."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        b = list(a)
+        for at in rng.sample(range(5, 195, 6), rng.choice([2, 3, 4])):
+            b[at] = f"x{rng.randrange(10**6)}"
+        out += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    return out
+
+
+def test_near_duplicates_all_pairs(spark):
+    table = edited_pairs()
+    want, pairs = brute_kept(table)
+    assert len(pairs) > 100
+    got = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(table, "doc_id long, text string")).collect())
+    assert got == want
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(200 + i, 201 + i) for i in range(40)] + [(500, 500 + i) for i in range(1, 80)] + [(7, 7), (None, 3)]
