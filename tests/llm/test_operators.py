@@ -365,6 +365,21 @@ def test_near_duplicates_all_pairs(spark):
     assert got == want
 
 
+def test_near_duplicates_of_a_family(spark):
+    """Versions of one text, of which some are alike and some only half: a rejected link must not hide another one."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    table = []
+    for i in range(160):
+        words = list(base)
+        for at in rng.sample(range(5, 195, 6), rng.randrange(1, 13)):
+            words[at] = f"x{rng.randrange(10**6)}"
+        table.append((i, " ".join(words)))
+    want, _ = brute_kept(table)
+    assert 10 < len(want) < 150
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(table, "doc_id long, text string")).collect()) == want
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(200 + i, 201 + i) for i in range(40)] + [(500, 500 + i) for i in range(1, 80)] + [(7, 7), (None, 3)]
