@@ -380,6 +380,17 @@ def test_near_duplicates_of_a_family(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(table, "doc_id long, text string")).collect()) == want
 
 
+def test_near_duplicates_of_one_fingerprint(spark):
+    """A line that is repeated decides the fingerprint, not the set of shingles; rows that repeat a doc_id are told apart by text."""
+    rng = random.Random(10)
+    line = " ".join(f"line{i}" for i in range(11))
+    table = [(i, " ".join([line] * 40 + [f"u{rng.randrange(10**9)}" for _ in range(150)])) for i in range(30)]
+    assert len({simhash.fingerprint(x.encode(), 5) for _, x in table}) < 10
+    table += [(50, "one two three four five six seven"), (51, "one two three four five six seven"), (51, "another text with the same id and more words"), (None, "one two three four five six seven")]
+    want = sorted([*table[:30], table[30], table[32]])
+    assert sorted(tuple(r) for r in simhash.keep_one(spark.createDataFrame(table, "doc_id long, text string")).collect()) == want
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(200 + i, 201 + i) for i in range(40)] + [(500, 500 + i) for i in range(1, 80)] + [(7, 7), (None, 3)]
