@@ -36,6 +36,30 @@ def quotes(answers: DataFrame, key: str, text: str, least: int = 4) -> DataFrame
     return q.select(key, "n", T.quoted_form(F.col("quote")).alias("quote")).where(F.size(F.split("quote", " ")) >= least)
 
 
+def verified_quotes(answers: DataFrame, key: str, text: str, shown: DataFrame, least: int = 4) -> DataFrame:
+    """key, n (place among the answer's quotations), quote, file, page_from, page_to, found.
+
+    A quotation belongs to the next citation after it; found is whether it stands, in the form in which quotations are
+    compared, in what ``shown`` (key, file, page_from, page_to, text) has of the cited file and pages for the answer.
+    Without a citation it may stand on any page that was shown.
+    """
+    marks = F.regexp_extract_all(F.col(text), F.lit('["“][^"”“]+["”]|' + CITED), F.lit(0))
+    m = answers.select(F.col(key).alias("key"), F.posexplode(marks).alias("at", "mark")).withColumn("cited", F.when(F.col("mark").startswith("["), F.col("mark")))
+    w = Window.partitionBy("key").orderBy("at")
+    m = m.withColumn("next", F.first("cited", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    m = m.where("cited IS NULL").withColumn("n", F.row_number().over(w) - 1).withColumn("quote", T.quoted_form(F.col("mark"))).where(F.size(F.split("quote", " ")) >= least)
+    m = m.withColumn("id", F.struct("key", "n"))
+    c = citations(m.where("next IS NOT NULL"), "id", "next").select("id", F.nullif("file", F.lit("")).alias("file"), "page_from", "page_to")
+    q = m.select("id", "key", "n", "quote").join(c, "id", "left")
+    s = shown.select(F.col(key).alias("s_key"), F.lower("file").alias("s_file"), F.col("page_from").alias("s_from"), F.col("page_to").alias("s_to"), F.col("text").alias("s_text"))
+    there = F.coalesce(F.col("file") == F.col("s_file"), F.col("file").isNull()) & F.coalesce((F.col("s_from") <= F.col("page_to")) & (F.col("s_to") >= F.col("page_from")), F.col("page_from").isNull())
+    # pages in order, so that a quotation may go on from one to the next
+    pages = q.select("id", "key", "file", "page_from", "page_to").join(s, (F.col("key") == F.col("s_key")) & there).groupBy("id", "s_file").agg(F.array_sort(F.collect_list(F.struct("s_from", "s_to", "s_text"))).alias("l"))
+    pages = pages.select(F.col("id").alias("p_id"), T.quoted_form(F.array_join(F.col("l.s_text"), " ")).alias("page"))
+    found = q.select("id", "quote").join(pages, (F.col("id") == F.col("p_id")) & F.contains(F.col("page"), F.col("quote")), "left_semi").select(F.col("id").alias("f_id"))
+    return q.join(found, F.col("id") == F.col("f_id"), "left").select(F.col("key").alias(key), "n", "quote", "file", "page_from", "page_to", F.col("f_id").isNotNull().alias("found"))
+
+
 _SCAFFOLD = re.compile(r"^\s*(\[\[?(?:context|sources?|passages?|documents?|instructions?)\b.*|={3,}.*|-{3,}|#+\s*(?:context|sources?|passages?|instructions?)\b.*)$", re.IGNORECASE)
 
 

@@ -63,6 +63,25 @@ def verify_quotes(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quotes(m, "key", "answer").select("key.conv_id", "key.turn", F.col("n").cast("long").alias("n"), "quote")
 
 
+_FORM = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+_TURNS = "t AS (SELECT conv_id, turn, CAST(turn AS INTEGER) AS page, translate(text, '\"“”', '   ') AS text FROM conversations WHERE trim(text) <> '')"
+_SHOWN_SQL = f"""WITH {_TURNS}, q AS (SELECT conv_id, turn, 0 AS n, {_FORM.format("text")} AS quote, CAST(page + page % 2 AS INTEGER) AS page FROM t UNION ALL SELECT conv_id, turn, 1, 'words that nobody ever wrote there', page FROM t)
+SELECT conv_id, turn, CAST(n AS INTEGER) AS n, quote, 'talk' || conv_id || '.txt' AS file, page AS page_from, page AS page_to, EXISTS (SELECT 1 FROM t WHERE t.conv_id = q.conv_id AND t.page = q.page AND contains({_FORM.format("t.text")}, quote)) AS found FROM q WHERE len(string_split(quote, ' ')) >= 4"""
+
+
+@query("verify_quotes_shown", _SHOWN_SQL)
+def verify_quotes_shown(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts as quotations with the page cited, one page off for odd turns, and a made-up one; a turn and the next one are shown to each as pages."""
+    t = table(spark, sf, "conversations").where("trim(text) <> ''").select("conv_id", "turn", F.translate("text", '"“”', "   ").alias("text"), F.col("turn").cast("int").alias("page"))
+    name = F.concat(F.lit("talk"), "conv_id", F.lit(".txt"))
+    cite = lambda page: F.concat(F.lit(" ["), name, F.lit(", p. "), page, F.lit("]"))
+    answers = t.select(F.struct("conv_id", "turn").alias("key"), F.concat(F.lit('He wrote "'), "text", F.lit('"'), cite(F.col("page") + F.col("page") % 2), F.lit(' and "words that nobody ever wrote there"'), cite(F.col("page")), F.lit(".")).alias("answer"))
+    pages = t.withColumn("file", name)
+    shown = pages.select("conv_id", "turn", "file", "page", "text").unionByName(pages.select("conv_id", (F.col("turn") - 1).alias("turn"), "file", "page", "text"))
+    shown = shown.select(F.struct("conv_id", "turn").alias("key"), "file", F.col("page").alias("page_from"), F.col("page").alias("page_to"), "text")
+    return quality.verified_quotes(answers, "key", "answer", shown).select("key.conv_id", "key.turn", "n", "quote", "file", "page_from", "page_to", "found")
+
+
 @query("verify_echo")
 def verify_echo(spark: SparkSession, sf: str) -> DataFrame:
     m = messages(spark, sf).where("role = 'assistant'").withColumn("answer", F.concat(F.lit("## Context\nreprinted lines\n\n"), "content"))

@@ -192,3 +192,11 @@ def test_incremental_index_is_idempotent(spark, tmp_path):
 def test_text_helpers(spark):
     row = spark.range(1).select(T.ordinal(F.lit(12)), T.ordinal(F.lit(23)), T.human_bytes(F.lit(1536)), T.token_estimate(F.lit("12345678")), T.file_stem(F.lit("a.b.pdf"))).first()
     assert row[:] == ("12th", "23rd", "1.5 KB", 10, "a.b")
+
+
+def test_quotes_are_checked_on_the_cited_pages(spark):
+    far = "filler " * 40
+    answer = f'{far}It says "The tenant may end, this lease" [Lease.pdf, p. 4], "The tenant may end this lease" [Lease.pdf, p. 7], "notice is six months long" [lease.pdf, pp. 4-5] and "never stood anywhere at all". Too short: "six months".'
+    shown = [(1, "Lease.pdf", 4, 4, "The TENANT may end this lease; notice is"), (1, "Lease.pdf", 5, 5, "six months long."), (1, "Lease.pdf", 7, 7, "Rent."), (2, "Lease.pdf", 7, 7, "the tenant may end this lease")]
+    out = quality.verified_quotes(spark.createDataFrame([(1, answer)], "k int, answer string"), "k", "answer", spark.createDataFrame(shown, "k int, file string, page_from int, page_to int, text string"))
+    assert [(r.n, r.page_from, r.found) for r in out.orderBy("n").collect()] == [(0, 4, True), (1, 7, False), (2, 4, True), (3, None, False)]
