@@ -69,7 +69,7 @@ def families(files: DataFrame, key: str, name: str, created: str) -> DataFrame:
 
 
 def descendants(edges: DataFrame, root: Column, most: int = 50) -> DataFrame:
-    """All nodes below the roots, with their depth, level by level; a node that was seen is not followed again."""
+    """All nodes below the roots, with their depth, level by level; a node that was seen is not followed again. A tree deeper than ``most`` levels is an error."""
     level = edges.where(root).select(F.col("id").alias("node"), F.lit(0).alias("depth"))
     found = level
     for depth in range(1, most + 1):
@@ -77,4 +77,4 @@ def descendants(edges: DataFrame, root: Column, most: int = 50) -> DataFrame:
         if level.isEmpty():
             return found
         found = found.unionByName(level)
-    return found
+    raise RuntimeError(f"the tree goes on below {most} levels")

@@ -200,3 +200,10 @@ def test_quotes_are_checked_on_the_cited_pages(spark):
     shown = [(1, "Lease.pdf", 4, 4, "The TENANT may end this lease; notice is"), (1, "Lease.pdf", 5, 5, "six months long."), (1, "Lease.pdf", 7, 7, "Rent."), (2, "Lease.pdf", 7, 7, "the tenant may end this lease")]
     out = quality.verified_quotes(spark.createDataFrame([(1, answer)], "k int, answer string"), "k", "answer", spark.createDataFrame(shown, "k int, file string, page_from int, page_to int, text string"))
     assert [(r.n, r.page_from, r.found) for r in out.orderBy("n").collect()] == [(0, 4, True), (1, 7, False), (2, 4, True), (3, None, False)]
+
+
+def test_tree_deeper_than_its_bound_is_an_error(spark):
+    edges = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "c")], "id string, parent_id string")
+    assert store.descendants(edges, F.col("id") == "a", 4).count() == 4
+    with pytest.raises(RuntimeError):
+        store.descendants(edges, F.col("id") == "a", 2)
