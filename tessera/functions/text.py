@@ -29,13 +29,38 @@ def content_tokens(text: Column, stop: tuple[str, ...] | list[str] = STOP_WORDS)
     return F.filter(tokens(text), lambda t: (F.length(t) >= 3) & ~F.array_contains(listed, t))
 
 
-def query_tokens(text: Column, most: int = 12) -> Column:
-    """Distinct content tokens in order of first place, at most ``most``."""
-    return F.slice(F.array_distinct(content_tokens(text)), 1, most)
+#: Words that a query holds at most.
+QUERY_WORDS = 12
 
 
-#: Endings that a prefix search takes off, longest first, with the least stem that must stay.
-ENDINGS = tuple("ications ization fulness ousness iveness ations ement ments ities ingly ation ments ness ment able ible ings ance ence tion sion edly ing ies ous ive ful est ers ion ed er es ly al s".split())
+def question_focus(text: Column) -> Column:
+    """The question inside a longer text: what follows the last "question:", else the last sentence that ends in "?"; else empty."""
+    labelled = F.trim(F.regexp_extract(text, r"(?is).*question:(.*)$", 1))
+    return F.when(labelled != "", labelled).otherwise(F.regexp_extract(text, r"([^.!?\n:]*)\?[^?]*$", 1))
+
+
+def _original(text: Column, stop: tuple[str, ...] | list[str]) -> Column:
+    """Content tokens in their original case."""
+    listed = F.array(*map(F.lit, stop))
+    return F.filter(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda t: (F.length(t) >= 3) & ~F.array_contains(listed, F.lower(t)))
+
+
+def query_tokens(text: Column, most: int = QUERY_WORDS) -> Column:
+    """Distinct content tokens, at most ``most``.
+
+    If there are more, those that tell the subject stay: first the words of the question inside the text, then names
+    and numbers (a capital first letter, a digit), then the others, each tier in order of place.
+    """
+    words = _original(text, STOP_WORDS)
+    focus = F.transform(_original(question_focus(text), STOP_WORDS), lambda t: F.lower(t))
+    tier = lambda t: F.when(F.array_contains(focus, F.lower(t)), 0).when(t.rlike(r"[0-9]|^\p{Lu}"), 1).otherwise(2)
+    order = F.array_sort(F.transform(words, lambda t, i: F.struct(tier(t).alias("tier"), i.alias("i"), F.lower(t).alias("t"))))
+    tiered = F.array_distinct(F.transform(order, lambda x: x["t"]))
+    return F.when(F.size(words) <= most, F.array_distinct(F.transform(words, lambda t: F.lower(t)))).otherwise(F.slice(tiered, 1, most))
+
+
+#: Endings that a prefix search takes off, with the least stem that must stay.
+ENDINGS = tuple(sorted("ications ization fulness ousness iveness ations ement ments ities ingly ation ness ment able ible ings ance ence tion sion edly ing ies ous ive ful est ers ion ed er es ly al s".split(), key=lambda e: (-len(e), e)))
 LEAST_STEM = 5
 
 

@@ -10,12 +10,17 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
+def given(value: Column, use) -> Column:
+    """``use`` of a value that is computed once for each row, not for each element of a function over arrays."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def prepared(v: Column, dimensions: int = 512) -> Column:
     """The first ``dimensions`` components, filled with zeros, scaled to length 1; zero stays zero."""
     cut = F.slice(v, 1, dimensions)
     filled = F.concat(F.transform(cut, lambda x: x.cast("double")), F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.lit(dimensions) - F.size(cut))))
-    length = norm(cut)
-    return F.when(length > 0, F.transform(filled, lambda x: x / length)).otherwise(filled)
+    both = F.struct(filled.alias("v"), norm(cut).alias("length"))
+    return given(both, lambda b: F.when(b["length"] > 0, F.transform(b["v"], lambda x: x / b["length"])).otherwise(b["v"]))
 
 
 def scale(v: Column) -> Column:
@@ -26,8 +31,8 @@ def scale(v: Column) -> Column:
 
 def quantised(v: Column) -> Column:
     """8-bit components, rounded half away from zero."""
-    step = scale(v)
-    return F.transform(v, lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.round(x.cast("double") / step))).cast("tinyint"))
+    both = F.struct(v.alias("v"), scale(v).alias("step"))
+    return given(both, lambda b: F.transform(b["v"], lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.round(x.cast("double") / b["step"]))).cast("tinyint")))
 
 
 def signature(v: Column, first: int = 0) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CANDIDATES, FLOOR, SPAN, SHORT_BYTES, MARK = 12, 0.4, 2, 700, " […]"
+#: With fewer bytes left no further passage is begun.
+LEAST_LEFT = 200
 
 
 def options(budget: Column) -> tuple[Column, Column]:
@@ -35,14 +37,16 @@ def _group(hits: pd.DataFrame) -> pd.DataFrame:
             groups.append({"doc_id": r["doc_id"], "section": r["section"], "score": r["score"], "parts": {r["ord"]: r["text"]}, "before": r["before"], "after": r["after"]})
     out, used = [], 0
     for g in groups:
-        if g["score"] < FLOOR * groups[0]["score"] or len(out) >= int(hits["most_passages"].iloc[0]):
+        left = budget - used
+        if left <= 0 or len(out) >= int(hits["most_passages"].iloc[0]) or (out and left < LEAST_LEFT):
             break
+        if out and g["score"] < FLOOR * groups[0]["score"]:
+            continue
         text = "\n".join(g["parts"][k] for k in sorted(g["parts"]))
         if len(g["parts"]) == 1 and len(text.encode()) <= SHORT_BYTES:
             text = "\n".join(x for x in (g["before"], text, g["after"]) if x)
-        text = cut_bytes(text, most)
-        if used + len(text.encode()) > budget:
-            break
+        # what is too long for the rest of the budget is cut, so a first hit always shows
+        text = cut_bytes(text, max(min(left, max(most, 2 * LEAST_LEFT)), LEAST_LEFT))
         used += len(text.encode())
         out.append((hits["query_id"].iloc[0], len(out) + 1, g["doc_id"], min(g["parts"]), max(g["parts"]), g["score"], text))
     return pd.DataFrame(out, columns=["query_id", "rank", "doc_id", "first_ord", "last_ord", "score", "text"])

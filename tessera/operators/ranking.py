@@ -34,6 +34,23 @@ def gated(candidates: DataFrame, similar: DataFrame, key: list[str]) -> DataFram
     return candidates.join(similar, key, "left_semi")
 
 
+def hybrid(keyword: DataFrame, group: str, key: str, near: DataFrame | None, gate: float | None, words: DataFrame | None) -> DataFrame:
+    """group, key, score: the keyword list (with rank) and the vector list (with score) fused.
+
+    ``gate`` is for material that nobody asked for: with vectors only what is as similar as that stays; without them
+    a question needs two content words (``words``: group, words), and no more than four of its documents stay.
+    """
+    if near is None:
+        out = fused([keyword], group, key)
+        if gate is None:
+            return out
+        enough = words.where(F.col("words") >= 2).select(group)
+        top = ranked(out, group, key, k=4).select(group, key)
+        return out.join(enough, group, "left_semi").join(top, [group, key], "left_semi")
+    out = fused([keyword, ranked(near, group, key)], group, key)
+    return out if gate is None else gated(out, near.where(F.col("score") >= gate), [group, key])
+
+
 def within_budget(rows: DataFrame, group: str, order: list, size: str, budget: int) -> DataFrame:
     """Rows in order as long as their sizes' running sum fits; stops at the first that does not."""
     w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

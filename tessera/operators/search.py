@@ -1,8 +1,8 @@
 """Full-text search over derived postings: BM25, prefix and phrase clauses, scopes.
 
 Statistics (documents, average length, document frequency) are always those of the whole corpus, also when a scope
-or a filter narrows the result. Only the postings of query terms are built, so the corpus is read once and what is
-shuffled is proportional to the matches.
+or a filter narrows the result. The corpus is read and cut into tokens once; what is written of it is one row for each
+match with a query term and one for each document without any.
 """
 
 from __future__ import annotations
@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources.shared import written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Distinct query terms up to which they travel to the tasks; more are joined by a shuffle.
+SENT_TERMS = 100_000
 
 
 def postings(docs: DataFrame, key: str, text: str, weight: float = 1.0) -> DataFrame:
@@ -42,14 +45,36 @@ def query_terms(questions: DataFrame, key: str, text: str) -> DataFrame:
     return questions.select(key, F.explode(T.query_tokens(F.col(text))).alias("term"))
 
 
-def bm25(docs: DataFrame, doc_key: str, doc_text: str, terms: DataFrame, query_key: str) -> DataFrame:
-    """query_key, doc_key, score of all documents that have a term of the query."""
-    wanted = terms.select("term").distinct()
-    hits = docs.select(doc_key, F.explode(T.tokens(F.col(doc_text))).alias("term")).join(wanted, "term", "left_semi").groupBy(doc_key, "term").agg(F.count("*").alias("tf"))
-    size = lengths(docs, doc_key, doc_text)
-    total = corpus_statistics(size)
+def matches(docs: DataFrame, key: str, columns: dict[str, float], terms: DataFrame) -> DataFrame:
+    """key, length, pos, term, weight, written: each place of a wanted term, and the first place of each document whatever its term.
+
+    ``columns`` are the searched columns with their weights. ``hit`` tells the two kinds of rows apart.
+    """
+
+    def weighted(column: str, weight: float) -> Column:
+        found = F.coalesce(T.tokens(F.col(column)), F.array().cast("array<string>"))
+        return F.transform(found, lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("weight")))
+
+    each = docs.select(key, F.concat(*[weighted(c, w) for c, w in columns.items()]).alias("t"))
+    each = each.select(key, F.size("t").cast("long").alias("length"), F.posexplode_outer("t").alias("pos", "t"))
+    wanted = terms.select("term").distinct().withColumn("hit", F.lit(True))
+    if wanted.limit(SENT_TERMS + 1).count() <= SENT_TERMS:
+        wanted = F.broadcast(wanted)
+    each = each.select(key, "length", "pos", F.col("t.term").alias("term"), F.col("t.weight").alias("weight")).join(wanted, "term", "left")
+    return written(each.where("hit OR pos = 0 OR pos IS NULL"), "matches")
+
+
+def bm25(docs: DataFrame, doc_key: str, doc_text: str | dict[str, float], terms: DataFrame, query_key: str) -> DataFrame:
+    """query_key, doc_key, score of all documents that have a term of the query.
+
+    ``doc_text`` is a column, or columns with weights: a term's frequency is then the weighted sum over the columns,
+    a document's length that of all of them.
+    """
+    found = matches(docs, doc_key, {doc_text: 1.0} if isinstance(doc_text, str) else doc_text, terms)
+    total = found.where("pos = 0 OR pos IS NULL").agg(F.count("*").alias("n_docs"), F.avg("length").alias("average_length"))
+    hits = found.where("hit").groupBy(doc_key, "term").agg(F.sum("weight").alias("tf"), F.first("length").alias("length"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = hits.join(df, "term").join(size, doc_key).crossJoin(F.broadcast(total))  # total is one row
+    weighted = hits.join(df, "term").crossJoin(F.broadcast(total))  # total is one row
     weighted = weighted.select(doc_key, "term", (idf(F.col("n_docs"), F.col("df")) * term_weight(F.col("tf"), F.col("length"), F.col("average_length"))).alias("w"))
     return terms.join(weighted, "term").groupBy(query_key, doc_key).agg(F.round(F.sum("w"), 6).alias("score"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import memory, search
-from tessera.plans.search import _CONTENT, _DISTINCT, _TOKENS
+from tessera.plans.search import _CONTENT, _TOKENS, _query_terms_sql
 from tessera.registry import query
 from tessera.sources.tables import messages, table
 
@@ -67,8 +67,7 @@ def mem_topic_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _bm25_messages() -> str:
-    terms = f"q AS (SELECT item_id, unnest(({_DISTINCT('c')})[1:12]) AS term FROM (SELECT item_id, {_CONTENT(_TOKENS('text'))} AS c FROM benchmark))"
-    return f"""{_M}, {terms}, d AS (SELECT session_id * 100000 + message_index AS id, session_id, {_TOKENS('content')} AS t FROM m WHERE role IN ('user', 'assistant')),
+    return f"""{_M}, {_query_terms_sql()}, d AS (SELECT session_id * 100000 + message_index AS id, session_id, {_TOKENS('content')} AS t FROM m WHERE role IN ('user', 'assistant')),
         size AS (SELECT id, len(t) AS length FROM d), total AS (SELECT count(*) AS n_docs, avg(length) AS average_length FROM size),
         tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
         s AS (SELECT item_id, id, round(sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average_length))), 6) AS score

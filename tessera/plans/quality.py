@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import stemming
 from tessera.functions import text as T
-from tessera.operators import quality, search
+from tessera.operators import quality, search, vectors
 from tessera.plans.search import _TOKENS, _bm25_sql, _scores
 from tessera.registry import query
 from tessera.sources import files
-from tessera.sources.shared import working_folder
+from tessera.sources.shared import working_folder, written
 from tessera.sources.tables import messages, table
 from tessera.streaming import indexer
 
@@ -125,8 +125,8 @@ def ret_eviction_lru(spark: SparkSession, sf: str) -> DataFrame:
 @query("ret_cleanup_age", "SELECT user_id, count(*) AS gone FROM events WHERE ts < (SELECT max(ts) - INTERVAL 7 DAY FROM events) GROUP BY user_id")
 def ret_cleanup_age(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
-    newest = e.agg(F.max("ts")).first()[0]  # one value
-    return e.where(F.col("ts") < F.lit(newest) - F.expr("INTERVAL 7 DAY")).groupBy("user_id").agg(F.count("*").alias("gone"))
+    newest = e.agg(F.max("ts").alias("newest"))
+    return e.crossJoin(F.broadcast(newest)).where(F.col("ts") < F.col("newest") - F.expr("INTERVAL 7 DAY")).groupBy("user_id").agg(F.count("*").alias("gone"))
 
 
 @query("ret_restore_pays", "SELECT event_id, CAST(floor(abs(value) * 10) AS BIGINT) >= 64 AND (floor(abs(value) * 10) * 56605) / 400000.0 < floor(abs(value) * 10) / 400.0 * 1000 AS pays FROM events")
@@ -184,7 +184,7 @@ def str_incremental_index(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     docs.repartition(4, "doc_id").write.parquet(f"{work}/in")
     indexer.run(spark, f"{work}/in", f"{work}/index", f"{work}/state", f"{work}/checkpoint", "doc_id long, text string", per_trigger=2)
-    p = spark.read.schema("doc_id long, term string, tf double").option("recursiveFileLookup", "true").parquet(f"{work}/index")
+    p = indexer.current(spark, f"{work}/index", f"{work}/state")
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
 
 
@@ -201,15 +201,18 @@ def str_sessions(spark: SparkSession, sf: str) -> DataFrame:
 @query("fts_stemmed_bm25")
 def fts_stemmed_bm25(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 on stems: distinct words are stemmed once, then joined back to the texts' words."""
-    docs = table(spark, sf, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("w"))
+    docs = table(spark, sf, "documents")
+    vocabulary = search.postings(docs, "doc_id", "text").select(F.col("term").alias("w")).distinct()
     asked = search.query_terms(table(spark, sf, "benchmark"), "item_id", "text").withColumnRenamed("term", "w")
-    words = docs.select("w").union(asked.select("w")).distinct().select("w", stemming.porter("w").alias("stem"))
-    stems = docs.join(words, "w").groupBy("doc_id", "stem").agg(F.count("*").alias("tf"))
-    size = stems.groupBy("doc_id").agg(F.sum("tf").alias("length"))
-    total = search.corpus_statistics(size)
+    words = written(vocabulary.union(asked.select("w")).distinct().select("w", stemming.porter("w").alias("stem")), "stems")
+    q = asked.join(words, "w").select("item_id", F.col("stem").alias("term")).distinct()
+    # only words with a stem of a question matter: they are the terms that the corpus is searched for
+    same = words.join(q.select(F.col("term").alias("stem")).distinct(), "stem", "left_semi")
+    found = search.matches(docs, "doc_id", {"text": 1.0}, same.select(F.col("w").alias("term")))
+    total = found.where("pos = 0 OR pos IS NULL").agg(F.count("*").alias("n_docs"), F.avg("length").alias("average_length"))
+    stems = found.where("hit").join(same, F.col("term") == F.col("w")).groupBy("doc_id", "stem").agg(F.sum("weight").alias("tf"), F.first("length").alias("length"))
     df = stems.groupBy("stem").agg(F.count("*").alias("df"))
-    q = asked.join(words, "w").select("item_id", "stem").distinct()
-    w = stems.join(q, "stem").join(df, "stem").join(size, "doc_id").crossJoin(F.broadcast(total))  # total is one row
+    w = stems.join(df, "stem").join(q.withColumnRenamed("term", "stem"), "stem").crossJoin(F.broadcast(total))  # total is one row
     s = w.groupBy("item_id", "doc_id").agg(F.round(F.sum(search.idf(F.col("n_docs"), F.col("df")) * search.term_weight(F.col("tf"), F.col("length"), F.col("average_length"))), 6).alias("score"))
     return search.best(s, "item_id", "doc_id", 10)
 
@@ -259,19 +262,4 @@ def fts_topics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("vec_trigram_embed")
 def vec_trigram_embed(spark: SparkSession, sf: str) -> DataFrame:
-    """A deterministic 512-component embedding of letter trigrams by FNV-1a, signed by one bit of the hash."""
-
-    def task(frames):
-        for f in frames:
-            out = []
-            for key, text in zip(f["doc_id"], f["text"], strict=True):
-                code = np.array([ord(c) for c in (text or "").lower() if c.isalnum() or c == " "], np.uint64)
-                h = np.full(max(0, len(code) - 2), 0xCBF29CE484222325, np.uint64)
-                for i in range(3):
-                    h = (h ^ code[i : i + len(h)]) * np.uint64(0x100000001B3)
-                v = np.bincount((h % np.uint64(512)).astype(int), np.where(h >> np.uint64(20) & np.uint64(1), 1.0, -1.0), 512)
-                n = np.linalg.norm(v)
-                out.append((key, (v / n if n else v).astype("float32").tolist()))
-            yield pd.DataFrame(out, columns=["doc_id", "embedding"])
-
-    return table(spark, sf, "documents").select("doc_id", "text").mapInPandas(task, "doc_id long, embedding array<float>")
+    return vectors.trigram_embedded(table(spark, sf, "documents"), "doc_id", "text")

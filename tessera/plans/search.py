@@ -17,10 +17,20 @@ _CONTENT = f"list_filter({{0}}, lambda t: length(t) >= 3 AND NOT list_contains([
 _DISTINCT = "list_filter({0}, lambda t, i: list_position({0}, t) = i)".format
 
 
+_ORIGINAL = f"list_filter(regexp_extract_all({{0}}, '[\\p{{{{L}}}}\\p{{{{N}}}}]+'), lambda t: length(t) >= 3 AND NOT list_contains([{_STOP}], lower(t)))".format
+_FOCUS = r"CASE WHEN trim(regexp_extract({0}, '(?is).*question:(.*)$', 1)) <> '' THEN trim(regexp_extract({0}, '(?is).*question:(.*)$', 1)) ELSE regexp_extract({0}, '([^.!?\n:]*)\?[^?]*$', 1) END".format
+
+
+def query_tokens_sql(table: str, key: str, text: str = "text") -> str:
+    """A subquery (key, terms): the words that a query holds, by tiers where there are more than it can hold."""
+    tier = r"CASE WHEN list_contains(focus, lower(t)) THEN 0 WHEN regexp_matches(t, '[0-9]|^\p{Lu}') THEN 1 ELSE 2 END"
+    return f"""(SELECT {key}, CASE WHEN len(w) <= {T.QUERY_WORDS} THEN {_DISTINCT('low')} ELSE ({_DISTINCT('tiered')})[1:{T.QUERY_WORDS}] END AS terms
+        FROM (SELECT {key}, w, list_transform(w, lambda t: lower(t)) AS low, list_transform(list_sort(list_transform(w, lambda t, i: {{'tier': {tier}, 'i': i, 't': lower(t)}})), lambda x: x.t) AS tiered
+              FROM (SELECT {key}, {_ORIGINAL(text)} AS w, list_transform({_ORIGINAL(_FOCUS(text))}, lambda t: lower(t)) AS focus FROM {table})))"""
+
+
 def _query_terms_sql() -> str:
-    return f"""
-        qt AS (SELECT item_id, {_CONTENT(_TOKENS('text'))} AS c FROM benchmark),
-        q AS (SELECT item_id, unnest(({_DISTINCT('c')})[1:12]) AS term FROM qt)"""
+    return f"q AS (SELECT item_id, unnest(terms) AS term FROM {query_tokens_sql('benchmark', 'item_id')})"
 
 
 def _bm25_sql() -> str:
@@ -40,7 +50,7 @@ def fts_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
-@query("fts_content_tokens", f"SELECT item_id, array_to_string(({_DISTINCT('c')})[1:12], ' ') AS terms FROM (SELECT item_id, {_CONTENT(_TOKENS('text'))} AS c FROM benchmark) WHERE len(c) > 0")
+@query("fts_content_tokens", f"SELECT item_id, array_to_string(terms, ' ') AS terms FROM {query_tokens_sql('benchmark', 'item_id')} WHERE len(terms) > 0")
 def fts_content_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", F.array_join(T.query_tokens(F.col("text")), " ").alias("terms")).where("terms <> ''")
 
@@ -80,6 +90,25 @@ def fts_bm25_doc_max(spark: SparkSession, sf: str) -> DataFrame:
     return _scores(spark, sf).groupBy("doc_id").agg(F.max("score").alias("score")).join(docs, "doc_id").groupBy("source").agg(F.max("score").alias("best"), F.count("*").alias("n_docs"))
 
 
+_WEIGHTED = f"""{_query_terms_sql()},
+        c AS (SELECT doc_id, split_part(text, chr(10), 1) AS heading, text AS body FROM documents),
+        d AS (SELECT doc_id, {_TOKENS('heading')} AS h, {_TOKENS('body')} AS t FROM c),
+        size AS (SELECT doc_id, len(h) + len(t) AS length FROM d),
+        total AS (SELECT count(*) AS n_docs, avg(length) AS average_length FROM size),
+        tf AS (SELECT doc_id, term, sum(weight) AS tf FROM (SELECT doc_id, unnest(h) AS term, 3.0 AS weight FROM d UNION ALL SELECT doc_id, unnest(t), 1.0 FROM d) GROUP BY doc_id, term),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        s AS (SELECT item_id, doc_id, round(sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average_length))), 6) AS score
+              FROM q JOIN tf USING (term) JOIN df USING (term) JOIN size USING (doc_id), total GROUP BY item_id, doc_id)"""
+
+
+@query("fts_bm25_weighted", f"WITH {_WEIGHTED} {_BEST('s', 10)}")
+def fts_bm25_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    """The heading (a document's first line) counts three times as much as the body."""
+    docs = table(spark, sf, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("heading"), F.col("text").alias("body"))
+    terms = search.query_terms(table(spark, sf, "benchmark"), "item_id", "text")
+    return search.best(search.bm25(docs, "doc_id", {"heading": 3.0, "body": 1.0}, terms, "item_id"), "item_id", "doc_id", 10)
+
+
 @query("fts_prefix_match", f"SELECT doc_id FROM documents WHERE len(list_filter({_TOKENS('text')}, lambda t: starts_with(t, 'inter'))) > 0")
 def fts_prefix_match(spark: SparkSession, sf: str) -> DataFrame:
     return search.matching_prefix(table(spark, sf, "documents"), "doc_id", "text", F.lit("inter"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import ranking, vectors
+from tessera.operators.search import best
 from tessera.plans.search import _BEST, _bm25_sql, _scores
 from tessera.registry import query
 from tessera.sources.tables import table
@@ -47,8 +49,12 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.queries(table(spark, sf, "embeddings").where("vec_id % 100 = 0"), "vec_id", "embedding")
 
 
-def _short(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.shortlist(vectors.indexed(table(spark, sf, "embeddings"), "vec_id", "embedding", 64, "label"), "vec_id", _asked(spark, sf))
+def _index(spark: SparkSession, sf: str, where: str = "true") -> DataFrame:
+    return vectors.indexed(table(spark, sf, "embeddings").where(where), "vec_id", "embedding", 64, "label")
+
+
+def _short(spark: SparkSession, sf: str, where: str = "true") -> DataFrame:
+    return vectors.shortlist(_index(spark, sf, where), "vec_id", _asked(spark, sf), label="label")
 
 
 @query("vec_hamming_shortlist", f"WITH {_SQL} SELECT query_id, vec_id, CAST(distance AS INTEGER) AS distance FROM short")
@@ -63,23 +69,18 @@ def vec_rescore_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("vec_best_similarity", f"WITH {_SQL} SELECT query_id, max(score) AS best FROM near GROUP BY query_id")
 def vec_best_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    index = vectors.indexed(table(spark, sf, "embeddings"), "vec_id", "embedding")
-    every = index.join(_asked(spark, sf), F.col("vec_id") != F.col("query_id"))
-    return every.groupBy("query_id").agg(F.max(F.round(V.dot(F.col("qp"), F.col("q")) * F.col("scale"), 6)).alias("best"))
+    return vectors.best_by_group(_index(spark, sf), "vec_id", _asked(spark, sf)).select("query_id", "best")
 
 
 @query("vec_scoped", f"WITH {_SQL} SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id DESC) AS p FROM near WHERE label IN (1, 2, 3)) WHERE p <= 300 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10")
 def vec_scoped(spark: SparkSession, sf: str) -> DataFrame:
     """The scope narrows before the shortlist is cut."""
-    index = vectors.indexed(table(spark, sf, "embeddings").where("label IN (1, 2, 3)"), "vec_id", "embedding")
-    return vectors.rescored(vectors.shortlist(index, "vec_id", _asked(spark, sf)), "vec_id", 10).select("query_id", "vec_id", "score")
+    return vectors.rescored(_short(spark, sf, "label IN (1, 2, 3)"), "vec_id", 10).select("query_id", "vec_id", "score")
 
 
 @query("vec_best_part_per_group", f"WITH {_SQL} SELECT query_id, label, max(score) AS best FROM near WHERE score >= 0.1 GROUP BY ALL")
 def vec_best_part_per_group(spark: SparkSession, sf: str) -> DataFrame:
-    index = vectors.indexed(table(spark, sf, "embeddings"), "vec_id", "embedding", 64, "label")
-    every = index.join(_asked(spark, sf), F.col("vec_id") != F.col("query_id")).withColumn("score", F.round(V.dot(F.col("qp"), F.col("q")) * F.col("scale"), 6))
-    return every.where("score >= 0.1").groupBy("query_id", "label").agg(F.max("score").alias("best"))
+    return vectors.best_by_group(_index(spark, sf), "vec_id", _asked(spark, sf), "label", 0.1).select("query_id", F.col("label").cast("int").alias("label"), "best")
 
 
 _LISTS = f"""WITH {_bm25_sql()},
@@ -101,11 +102,50 @@ def rank_rrf(spark: SparkSession, sf: str) -> DataFrame:
     return _fused(spark, sf)
 
 
-@query("rank_hybrid", f"{_LISTS} {_BEST('f', 12)}")
+#: The vector list of a question, and the similarity from which unasked material counts.
+NEAR, GATE = 50, 0.2
+
+
+def vector_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """item_id, doc_id, score: the documents nearest to each question by their letter-trigram embeddings."""
+    docs = vectors.trigram_embedded(table(spark, sf, "documents"), "doc_id", "text")
+    asked = vectors.trigram_embedded(table(spark, sf, "benchmark").select((-1 - F.col("item_id")).alias("item_id"), "text"), "item_id", "text")
+    near = vectors.nearest(vectors.indexed(docs, "doc_id", "embedding", 512), "doc_id", vectors.queries(asked, "item_id", "embedding", 512), NEAR)
+    return near.select((-1 - F.col("query_id")).alias("item_id"), "doc_id", "score")
+
+
+@query("vec_trigram_nearest")
+def vec_trigram_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_lists(spark, sf)
+
+
+@query("rank_hybrid")
 def rank_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    from tessera.operators.search import best
+    """BM25 and vectors fused, twelve of each question."""
+    keyword = ranking.ranked(_scores(spark, sf), "item_id", "doc_id", k=50)
+    near = ranking.ranked(vector_lists(spark, sf), "item_id", "doc_id", k=NEAR)
+    return best(ranking.fused([keyword, near], "item_id", "doc_id"), "item_id", "doc_id", 12).select("item_id", "doc_id", "score", "rank")
+
+
+@query("rank_hybrid_gated")
+def rank_hybrid_gated(spark: SparkSession, sf: str) -> DataFrame:
+    """The fused list of each question, of which only similar documents stay."""
+    keyword, near = ranking.ranked(_scores(spark, sf), "item_id", "doc_id", k=50), vector_lists(spark, sf)
+    out = ranking.hybrid(keyword, "item_id", "doc_id", near, GATE, None)
+    return best(out, "item_id", "doc_id", 12).select("item_id", "doc_id", "score", "rank")
+
 
-    return best(_fused(spark, sf), "item_id", "doc_id", 12).select("item_id", "doc_id", "score", "rank")
+@query(
+    "rank_keyword_gated",
+    f"""WITH {_bm25_sql()}, n AS (SELECT item_id, count(*) AS words FROM q GROUP BY item_id),
+    r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM s),
+    f AS (SELECT item_id, doc_id, round(1.0 / (60 + place), 9) AS score FROM r JOIN n USING (item_id) WHERE place <= 50 AND words >= 2) {_BEST('f', 4)}""",
+)
+def rank_keyword_gated(spark: SparkSession, sf: str) -> DataFrame:
+    """Without vectors a question needs two words or more, and its four best documents stay."""
+    words = table(spark, sf, "benchmark").select("item_id", F.size(T.query_tokens(F.col("text"))).alias("words"))
+    out = ranking.hybrid(ranking.ranked(_scores(spark, sf), "item_id", "doc_id", k=50), "item_id", "doc_id", None, GATE, words)
+    return best(out, "item_id", "doc_id", 4).select("item_id", "doc_id", "score", "rank")
 
 
 @query("rank_relative_floor", f"WITH {_bm25_sql()} SELECT item_id, doc_id, score FROM s QUALIFY score >= 0.4 * max(score) OVER (PARTITION BY item_id)")
@@ -116,7 +156,7 @@ def rank_relative_floor(spark: SparkSession, sf: str) -> DataFrame:
 @query("rank_similarity_gate", f"WITH {_SQL} SELECT query_id, vec_id, CAST(distance AS INTEGER) AS distance FROM short WHERE score >= 0.3")
 def rank_similarity_gate(spark: SparkSession, sf: str) -> DataFrame:
     short = _short(spark, sf)
-    similar = vectors.rescored(short, "vec_id", vectors.SHORTLIST).where("score >= 0.3")
+    similar = short.where("score >= 0.3")
     return ranking.gated(short, similar, ["query_id", "vec_id"]).select("query_id", "vec_id", "distance")
 
 

@@ -68,40 +68,44 @@ def decoded(raw: bytes) -> str:
 
 
 _RTF = re.compile(r"\\([a-zA-Z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\(.)|([{}])|[\r\n]+|([^\\{}\r\n]+)", re.DOTALL)
-_RTF_SKIPPED = {"fonttbl", "colortbl", "stylesheet", "info", "pict", "object", "header", "footer", "footnote", "generator", "listtable", "listoverridetable", "themedata", "datastore", "xmlnstbl"}
+# Groups that hold no text of the document, and control words that stand for characters.
+_RTF_SKIPPED = set("fonttbl colortbl stylesheet info pict object themedata colorschememapping datastore latentstyles listtable listoverridetable rsidtbl generator xmlnstbl".split())
+_RTF_SIGNS = {"par": "\n\n", "sect": "\n\n", "page": "\n\n", "line": "\n", "row": "\n", "tab": "\t", "cell": "\t", "emdash": "-", "endash": "-", "lquote": "'", "rquote": "'", "ldblquote": '"', "rdblquote": '"'}
 
 
 def rtf_text(raw: str) -> str:
-    """Control words, hex and Unicode escapes (with their fallback characters skipped), without the listed groups."""
+    """Control words, hex and Unicode escapes (with their fallback characters skipped), without the listed groups.
+
+    Headers, footers and footnotes stay. Paragraphs are a blank line apart, soft breaks are not.
+    """
     out: list[str] = []
-    stack: list[tuple[bool, int]] = []
+    stack: list[bool] = []
     hidden, fallback, skip = False, 1, 0
     for word, number, code, sign, brace, text in (m.groups() for m in _RTF.finditer(raw)):
         if brace == "{":
-            stack.append((hidden, fallback))
+            stack.append(hidden)
         elif brace == "}":
-            hidden, fallback = stack.pop() if stack else (False, 1)
-        elif word:
-            if word in _RTF_SKIPPED:
-                hidden = True
-            elif word == "uc":
-                fallback = int(number or 1)
-            elif word == "u" and not hidden:
-                out.append(chr(int(number or 0) % 65536))
-                skip = fallback
-            elif not hidden and word in ("par", "line", "row"):
-                out.append("\n")
-            elif not hidden and word in ("tab", "cell"):
-                out.append("\t")
-        elif sign == "*":
+            hidden = stack.pop() if stack else False
+        elif hidden:
+            continue
+        elif word in _RTF_SKIPPED or sign == "*":
             hidden = True
-        elif code or sign or text:
-            piece = bytes.fromhex(code).decode("cp1252", errors="replace") if code else sign or text
+        elif word == "uc":
+            fallback = int(number or 1)
+        elif word == "u":
+            if number:
+                out.append(chr(int(number) % 65536))
+                skip = fallback
+        elif word:
+            out.append(_RTF_SIGNS.get(word, ""))
+        elif sign:
+            out.append({"~": " ", "\\": sign, "{": sign, "}": sign}.get(sign, ""))
+        elif code or text:
+            piece = bytes.fromhex(code).decode("cp1252", errors="replace") if code else text
             used = min(skip, len(piece))
             skip -= used
-            if not hidden:
-                out.append(piece[used:])
-    return re.sub(r"\n{3,}", "\n\n", "".join(out)).strip()
+            out.append(piece[used:])
+    return "".join(out).strip() or "[The RTF file has no readable text]"
 
 
 def _local(tag: str) -> str:
@@ -122,6 +126,14 @@ def _numbered(names: list[str], pattern: str) -> list[tuple[int, str]]:
     return sorted((int(m.group(1)), n) for n in names if (m := re.match(pattern, n)))
 
 
+def _column(reference: str) -> int:
+    """The place of a cell such as BC7, from 0; -1 without one."""
+    n = 0
+    for x in re.match(r"[A-Z]*", reference)[0]:
+        n = n * 26 + ord(x) - 64
+    return n - 1
+
+
 def office_text(raw: bytes, extension: str) -> str:
     """docx, pptx, xlsx and odt by their XML parts."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
@@ -150,6 +162,8 @@ def office_text(raw: bytes, extension: str) -> str:
                 cells = []
                 for c in (x for x in r if _local(x.tag) == "c"):
                     value = "".join(v.text or "" for v in c.iter() if _local(v.tag) in ("v", "t"))
+                    place = _column(c.attrib.get("r", ""))
+                    cells += [""] * (place - len(cells))  # cells without a value are not written
                     cells.append(shared[int(value)] if c.attrib.get("t") == "s" and value else value)
                 if any(cells):
                     rows.append("\t".join(cells))

@@ -1,14 +1,27 @@
-"""Working folders that driver and executors share."""
+"""Working folders that driver and executors share, and tables written there."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def working_folder(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir; only where the session names none, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-work-")
+    """A new folder under spark.checkpoint.dir. A session on one machine that names none gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-work-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tessera/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to a working folder and read back, for what several parts of a plan read."""
+    path = working_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

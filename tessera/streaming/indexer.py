@@ -10,28 +10,39 @@ from tessera.operators.search import postings
 VERSION = 1
 
 
-def index_batch(batch: DataFrame, batch_id: int, target: str, state: str) -> None:
+STATE = "doc_id long, version int, batch_id long, status string"
+
+
+def index_batch(batch: DataFrame, batch_id: int, target: str, state: str, version: int = VERSION) -> None:
     """Index what is not in the state table (or there with an older version), then record it; both writes append.
 
-    A batch that fails between the writes is repeated; readers take each document's postings of one batch only.
+    A batch that fails between the writes is repeated under its own number. What an older version or another batch
+    left of a document stays in the files, and ``current`` leaves it out.
     """
     spark = batch.sparkSession
-    done = spark.read.schema("doc_id long, version int, batch_id long, status string").parquet(state).where(F.col("version") >= VERSION).where(F.col("batch_id") != batch_id)
+    done = spark.read.schema(STATE).parquet(state).where(F.col("version") >= version).where(F.col("batch_id") != batch_id)
     new = batch.dropDuplicates(["doc_id"]).join(done.select("doc_id"), "doc_id", "left_anti")
     good = new.where(F.col("text").isNotNull())
     postings(good, "doc_id", "text").withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
     status = F.when(F.col("text").isNull(), "failed").otherwise("indexed")
-    new.select("doc_id", F.lit(VERSION).alias("version"), F.lit(batch_id).cast("long").alias("batch_id"), status.alias("status")).write.mode("append").parquet(state)
+    new.select("doc_id", F.lit(version).alias("version"), F.lit(batch_id).cast("long").alias("batch_id"), status.alias("status")).write.mode("append").parquet(state)
+
+
+def current(spark: SparkSession, target: str, state: str) -> DataFrame:
+    """doc_id, term, tf of the index as it stands: of each document the postings of the batch that recorded it last."""
+    rows = spark.read.schema("doc_id long, term string, tf double, batch_id long").option("recursiveFileLookup", "true").parquet(target)
+    last = spark.read.schema(STATE).parquet(state).groupBy("doc_id").agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(last, ["doc_id", "batch_id"]).select("doc_id", "term", "tf")
 
 
-def run(spark: SparkSession, source: str, target: str, state: str, checkpoint: str, schema: str, per_trigger: int | None = None) -> None:
+def run(spark: SparkSession, source: str, target: str, state: str, checkpoint: str, schema: str, per_trigger: int | None = None, version: int = VERSION) -> None:
     """Everything that is in ``source`` now, in as many batches as it takes."""
-    spark.createDataFrame([], "doc_id long, version int, batch_id long, status string").write.mode("append").parquet(state)
+    spark.createDataFrame([], STATE).write.mode("append").parquet(state)
     reader = spark.readStream.schema(schema)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
     stream = reader.parquet(source)
-    q = stream.writeStream.foreachBatch(lambda df, i: index_batch(df, i, target, state)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(lambda df, i: index_batch(df, i, target, state, version)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
