@@ -129,6 +129,8 @@ def folded(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Pieces that end in . ! or ? before white space, or at a line's end; trimmed, none empty."""
-    cut = F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), "\n")
-    return F.filter(F.transform(cut, F.trim), lambda s: F.length(s) > 0)
+    """Pieces that end in . ! ? ; or an ideographic full stop before white space, or at a line's end; without Markdown marks, trimmed, none empty."""
+    plain = lambda line: F.replace(F.replace(F.regexp_replace(F.trim(line), r"^[#>\-*+ |]+", ""), F.lit("**"), F.lit("")), F.lit("`"), F.lit(""))
+    cut = lambda line: F.split(F.regexp_replace(plain(line), r"([.!?;。])\s+", "$1\n"), "\n")
+    pieces = F.flatten(F.transform(F.split(text, "\r?\n"), cut))
+    return F.filter(F.transform(pieces, F.trim), lambda s: F.length(s) > 0)

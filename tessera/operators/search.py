@@ -64,11 +64,12 @@ def matches(docs: DataFrame, key: str, columns: dict[str, float], terms: DataFra
     return written(each.where("hit OR pos = 0 OR pos IS NULL"), "matches")
 
 
-def bm25(docs: DataFrame, doc_key: str, doc_text: str | dict[str, float], terms: DataFrame, query_key: str) -> DataFrame:
+def bm25(docs: DataFrame, doc_key: str, doc_text: str | dict[str, float], terms: DataFrame, query_key: str, within: str | None = None) -> DataFrame:
     """query_key, doc_key, score of all documents that have a term of the query.
 
     ``doc_text`` is a column, or columns with weights: a term's frequency is then the weighted sum over the columns,
-    a document's length that of all of them.
+    a document's length that of all of them. With ``within`` (a column of both sides) a query only meets the documents
+    that share its value; statistics stay those of all documents.
     """
     found = matches(docs, doc_key, {doc_text: 1.0} if isinstance(doc_text, str) else doc_text, terms)
     total = found.where("pos = 0 OR pos IS NULL").agg(F.count("*").alias("n_docs"), F.avg("length").alias("average_length"))
@@ -76,7 +77,9 @@ def bm25(docs: DataFrame, doc_key: str, doc_text: str | dict[str, float], terms:
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weighted = hits.join(df, "term").crossJoin(F.broadcast(total))  # total is one row
     weighted = weighted.select(doc_key, "term", (idf(F.col("n_docs"), F.col("df")) * term_weight(F.col("tf"), F.col("length"), F.col("average_length"))).alias("w"))
-    return terms.join(weighted, "term").groupBy(query_key, doc_key).agg(F.round(F.sum("w"), 6).alias("score"))
+    if within:
+        weighted = weighted.join(docs.select(doc_key, within), doc_key)
+    return terms.join(weighted, ["term", within] if within else "term").groupBy(query_key, doc_key).agg(F.round(F.sum("w"), 6).alias("score"))
 
 
 def best(scored: DataFrame, query_key: str, doc_key: str, k: int, score: str = "score") -> DataFrame:

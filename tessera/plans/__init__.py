@@ -1,3 +1,3 @@
 """Registered queries, one module for each group of operators."""
 
-from tessera.plans import catalogue, memory, quality, relational, search, structure, vectors  # noqa: F401
+from tessera.plans import catalogue, memory, quality, recall, relational, routes, search, structure, vectors  # noqa: F401

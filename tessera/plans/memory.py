@@ -32,7 +32,8 @@ def mem_ordinal(spark: SparkSession, sf: str) -> DataFrame:
     return memory.resolved_ordinal(m, asked)
 
 
-_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: length(s) > 0)".format
+_PLAIN = r"replace(replace(regexp_replace(trim(line), '^[#>\-*+ |]+', ''), '**', ''), chr(96), '')"
+_SENTENCES = rf"list_filter(list_transform(flatten(list_transform(regexp_split_to_array({{0}}, '\r?\n'), lambda line: string_split(regexp_replace({_PLAIN}, '([.!?;。])\s+', '\1' || chr(10), 'g'), chr(10)))), lambda s: trim(s)), lambda s: length(s) > 0)".format
 
 
 @query("mem_sentences", f"WITH {_M} SELECT session_id, message_index, len({_SENTENCES('content')}) AS n FROM m")
@@ -43,8 +44,9 @@ def mem_sentences(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "mem_key_points",
     rf"""WITH {_M}, s AS (SELECT session_id, message_index, unnest(l) AS sentence, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT *, {_SENTENCES('content')} AS l FROM m)),
-    p AS (SELECT *, CAST(CASE WHEN regexp_matches(sentence, '\[[^\]]+\]') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(sentence, '[0-9]') THEN 2 ELSE 0 END + 2 * least(2, len(regexp_extract_all(lower(sentence), '\b(decided|agreed|must|should|because|therefore|deadline|important)\b')))
-        + CASE WHEN regexp_matches(sentence, '["“]') THEN 1 ELSE 0 END + CASE WHEN pos = 0 THEN 2 ELSE 0 END AS INTEGER) AS score FROM s WHERE length(sentence) BETWEEN 25 AND 400)
+    f AS (SELECT *, min(pos) OVER (PARTITION BY session_id, message_index) AS first FROM s WHERE length(sentence) BETWEEN 25 AND 400),
+    p AS (SELECT *, CAST(CASE WHEN regexp_matches(sentence, '\[[^\[\]\n]{{2,120}}\]') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(sentence, '[0-9]') THEN 2 ELSE 0 END + 2 * least(2, len(regexp_extract_all(lower(sentence), '{memory.DECISION}')))
+        + CASE WHEN regexp_matches(sentence, '["“]') THEN 1 ELSE 0 END + CASE WHEN pos = first THEN 2 ELSE 0 END AS INTEGER) AS score FROM f)
     SELECT session_id, message_index, pos, score FROM p QUALIFY row_number() OVER (PARTITION BY session_id, message_index ORDER BY score DESC, pos) <= 3""",
 )
 def mem_key_points(spark: SparkSession, sf: str) -> DataFrame:

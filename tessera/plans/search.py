@@ -126,9 +126,13 @@ def fts_and_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return docs.where(search.all_terms_last_prefix(F.col("t"), ["the", "that", "rea"])).select("doc_id")
 
 
+def _prefix_case(term: str) -> str:
+    whens = " ".join(f"WHEN {term} LIKE '%{e}' THEN CASE WHEN length({term}) - {len(e)} >= {T.LEAST_STEM} THEN left({term}, length({term}) - {len(e)}) END" for e in T.ENDINGS)
+    return f"CASE {whens} END"
+
+
 def _prefix_sql() -> str:
-    whens = " ".join(f"WHEN term LIKE '%{e}' THEN CASE WHEN length(term) - {len(e)} >= {T.LEAST_STEM} THEN left(term, length(term) - {len(e)}) END" for e in T.ENDINGS)
-    return f"SELECT term, CASE {whens} END AS prefix FROM (SELECT DISTINCT unnest({_TOKENS('text')}) AS term FROM benchmark)"
+    return f"SELECT term, {_prefix_case('term')} AS prefix FROM (SELECT DISTINCT unnest({_TOKENS('text')}) AS term FROM benchmark)"
 
 
 @query("fts_morph_prefix", _prefix_sql())
