@@ -30,8 +30,10 @@ def within_bytes(rows: DataFrame, group: str, order: list[Column], text: str, bu
     left = F.lit(budget) - F.coalesce(F.sum(F.octet_length(text)).over(w), F.lit(0))
     rows = rows.withColumn("left", left).where(F.col("left") >= LEAST_LEFT)
     fits = F.octet_length(text) <= F.col("left")
-    # a cut inside a character drops what is left of it
-    cut = F.concat(F.rtrim(F.regexp_replace(F.decode(F.substring(F.encode(text, "UTF-8"), F.lit(1), F.col("left").cast("int")), "UTF-8"), "�+$", "")), F.lit(MARK))
+    # a cut inside a character drops the beginning of it: a lead byte without all that follow it
+    head = F.hex(F.substring(F.encode(text, "UTF-8"), F.lit(1), F.col("left").cast("int")))
+    whole = F.regexp_replace(head, "^((?:..)*?)(?:F.(?:[89AB].){0,2}|E.(?:[89AB].)?|[CD].)$", "$1")
+    cut = F.concat(F.rtrim(F.decode(F.unhex(whole), "UTF-8")), F.lit(MARK))
     return rows.withColumn("truncated", ~fits).withColumn(text, F.when(fits, F.col(text)).otherwise(cut)).drop("left")
 
 
