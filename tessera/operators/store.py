@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources.shared import written
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, fill: list[str], bump: list[str]) -> DataFrame:
@@ -60,20 +61,33 @@ def family_key(name: Column) -> Column:
 
 
 def families(files: DataFrame, key: str, name: str, created: str) -> DataFrame:
-    """family, position (by creation, then key), total, is_latest; only families of two or more."""
+    """family, position (by creation, then key), total, is_latest; only families of two or more.
+
+    Rows are ordered once over all tasks; a family's place in each range of the order is counted, and positions start
+    from the counts of the ranges before, so a name that a third of all files have is no single task.
+    """
     f = files.withColumn("family", family_key(F.col(name)))
-    w = Window.partitionBy("family")
-    f = f.withColumn("total", F.count("*").over(w)).where("total > 1")
-    f = f.withColumn("position", F.row_number().over(w.orderBy(created, key)))
-    return f.withColumn("is_latest", F.col("position") == F.col("total"))
+    total = f.groupBy("family").agg(F.count("*").alias("total")).where("total > 1")
+    ranged = written(f.join(total, "family").repartitionByRange("family", created, key).withColumn("range", F.spark_partition_id()), "families")
+    counts = ranged.groupBy("family", "range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("family").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("family", "range", before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("family", "range").orderBy(created, key))
+    f = ranged.withColumn("place", place).join(counts, ["family", "range"]).withColumn("position", (F.col("before") + F.col("place")).cast("int"))
+    return f.drop("range", "place", "before").withColumn("is_latest", F.col("position") == F.col("total"))
 
 
-def descendants(edges: DataFrame, root: Column, most: int = 50) -> DataFrame:
-    """All nodes below the roots, with their depth, level by level; a node that was seen is not followed again. A tree deeper than ``most`` levels is an error."""
-    level = edges.where(root).select(F.col("id").alias("node"), F.lit(0).alias("depth"))
+def descendants(edges: DataFrame, root: Column, most: int = 1000) -> DataFrame:
+    """All nodes below the roots, with their depth, level by level; a node that was seen is not followed again.
+
+    Each level is written, so the plan of a deep tree stays as short as that of a flat one. A tree deeper than ``most``
+    levels is an error.
+    """
+    level = written(edges.where(root).select(F.col("id").alias("node"), F.lit(0).alias("depth")), "tree")
     found = level
     for depth in range(1, most + 1):
-        level = edges.join(level, edges["parent_id"] == level["node"]).select("id").distinct().join(found, F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("node"), F.lit(depth).alias("depth"))
+        below = edges.join(level, edges["parent_id"] == level["node"]).select("id").distinct().join(found, F.col("id") == F.col("node"), "left_anti")
+        level = written(below.select(F.col("id").alias("node"), F.lit(depth).alias("depth")), "tree")
         if level.isEmpty():
             return found
         found = found.unionByName(level)

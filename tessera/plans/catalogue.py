@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import passages, search, store, structure
+from tessera.operators import intervals, passages, search, store, structure
 from tessera.plans.search import _TOKENS
 from tessera.registry import query
 from tessera.sources.tables import messages, table
@@ -82,7 +82,7 @@ def jn_pair_completion(spark: SparkSession, sf: str) -> DataFrame:
 def jn_page_overlap(spark: SparkSession, sf: str) -> DataFrame:
     a = table(spark, sf, "documents").selectExpr("doc_id", "source", "n_chars % 90 AS f", "n_chars % 90 + 4 AS t")
     b = table(spark, sf, "supplier").selectExpr("concat('src', s_suppkey % 20) AS src", "s_suppkey % 70 AS bf", "s_suppkey % 70 + 2 AS bt")
-    return a.join(b, (F.col("source") == F.col("src")) & (F.col("f") <= F.col("bt")) & (F.col("t") >= F.col("bf"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return intervals.overlapping(a, b, [("source", "src")], ("f", "t"), ("bf", "bt"), 4).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("agg_tag_list", "SELECT source, string_agg(lang, ',' ORDER BY lang) AS tags FROM (SELECT DISTINCT source, lang FROM documents) GROUP BY source")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -130,13 +130,18 @@ def mem_recall_recent(spark: SparkSession, sf: str) -> DataFrame:
     return memory.first_questions(messages(spark, sf))
 
 
-@query("ret_hash_chain", f"WITH {_M} SELECT session_id, message_index, sha256(string_agg(content, chr(10)) OVER (PARTITION BY session_id ORDER BY message_index)) AS prefix_hash FROM m")
+def _chain_sql() -> str:
+    half = lambda start: f"CAST('0x' || substr(md5(message_index || ':' || content), {start}, 15) AS BIGINT)"
+    upto = "OVER (PARTITION BY session_id ORDER BY message_index)"
+    return f"SELECT session_id, message_index, sha256(sum({half(1)}) {upto} || '-' || sum({half(16)}) {upto}) AS prefix_hash FROM m"
+
+
+@query("ret_hash_chain", f"WITH {_M} {_chain_sql()}")
 def ret_hash_chain(spark: SparkSession, sf: str) -> DataFrame:
-    upto = memory.by_turn().rowsBetween(Window.unboundedPreceding, 0)
-    return messages(spark, sf).select("session_id", "message_index", F.sha2(F.concat_ws("\n", F.collect_list("content").over(upto)), 256).alias("prefix_hash"))
+    return memory.prefix_hashes(messages(spark, sf))
 
 
-@query("ret_prefix_lookup", f"WITH {_M}, h AS (SELECT session_id, message_index, sha256(string_agg(content, chr(10)) OVER (PARTITION BY session_id ORDER BY message_index)) AS h FROM m) SELECT a.session_id, max(a.message_index) AS depth FROM h a JOIN h b ON a.h = b.h AND b.session_id < a.session_id GROUP BY a.session_id")
+@query("ret_prefix_lookup", f"WITH {_M}, h AS (SELECT session_id, message_index, prefix_hash AS h FROM ({_chain_sql()})) SELECT a.session_id, max(a.message_index) AS depth FROM h a JOIN h b ON a.h = b.h AND b.session_id < a.session_id GROUP BY a.session_id")
 def ret_prefix_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """The longest prefix of a conversation that an earlier one begins with."""
     h = ret_hash_chain(spark, sf)

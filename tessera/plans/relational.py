@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import store
+from tessera.operators import intervals, store
 from tessera.registry import query
 from tessera.sources.tables import table
 
@@ -54,10 +54,11 @@ def rel_residual(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("rel_range_join", "SELECT l_orderkey, l_linenumber, min(o_orderkey) AS first_order FROM lineitem JOIN orders ON o_custkey = l_partkey AND l_quantity * 1000 BETWEEN o_totalprice - 20000 AND o_totalprice + 20000 GROUP BY ALL")
 def rel_range_join(spark: SparkSession, sf: str) -> DataFrame:
-    """An interval inside an equal key: the key deals the rows, the interval is a residual."""
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    inside = (F.col("l_quantity") * 1000).between(F.col("o_totalprice") - 20000, F.col("o_totalprice") + 20000)
-    return table(spark, sf, "lineitem").join(o, (F.col("o_custkey") == F.col("l_partkey")) & inside).groupBy("l_orderkey", "l_linenumber").agg(F.min("o_orderkey").alias("first_order"))
+    """A point in an interval, inside an equal key."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_totalprice") - 20000).alias("low"), (F.col("o_totalprice") + 20000).alias("high"))
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") * 1000).alias("at"))  # noqa: E741
+    met = intervals.overlapping(l.withColumn("upto", F.col("at")), o, [("l_partkey", "o_custkey")], ("at", "upto"), ("low", "high"), 40000)
+    return met.groupBy("l_orderkey", "l_linenumber").agg(F.min("o_orderkey").alias("first_order"))
 
 
 @query("rel_self_offset", "SELECT a.conv_id, a.turn, b.turn AS question_turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant' AND b.role = 'user'")
