@@ -17,18 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import as_text, columns, map_rows, materialise, prefix_offsets, slices
-from tessera.llm.encoding import encoder, id_width
+from tessera.llm.encoding import ENCODED_BYTES, encoder, id_width
 
 WINDOW = 2048
 
 
-def encoded(docs: DataFrame, tokenizer: str, kind: str, end_id: int) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, kind: str | None, end_id: int) -> DataFrame:
     """First pass, written: doc_id, task, place (ids before the document in its task), n, ids."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         enc = encoder(tokenizer, kind)
         number, place = TaskContext.get().partitionId(), 0
-        for part in slices(batches):
+        for part in slices(batches, limit=ENCODED_BYTES):
             ids = enc.encode(as_text(part.column("text")), end_id)
             n = np.array([len(x) // enc.dtype.itemsize for x in ids], np.int64)
             yield {"doc_id": part.column("doc_id"), "task": [number] * len(ids), "place": (place + np.cumsum(n) - n).tolist(), "n": n.tolist(), "ids": ids}
@@ -37,7 +37,7 @@ def encoded(docs: DataFrame, tokenizer: str, kind: str, end_id: int) -> DataFram
     return materialise(map_rows(docs, "doc_id long, task int, place long, n long, ids binary", task), "packing-ids")
 
 
-def pack(docs: DataFrame, tokenizer: str, kind: str = "lead", end_id: int = 1, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, kind: str | None = None, end_id: int = 1, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     A null text counts as empty and has the end id alone. Repeated rows are packed as often as they come, null

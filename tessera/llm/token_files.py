@@ -2,7 +2,8 @@
 
 A file is a Parquet folder whose rows are blocks. A block holds the concatenated ids of consecutive documents
 (two bytes an id where the vocabulary allows it), and two Elias-Fano sequences: where each document starts in the
-block, and the ascending document ids. ``EliasFano.select`` gives one offset without unpacking the others.
+block, and the ascending document ids. Samples of the set bits are stored with them: ``EliasFano.select`` gives one
+offset from the nearest sample, without unpacking the others, and all reading goes through it.
 
 Order: documents ascend by doc_id over all blocks (null first; rows that share a doc_id by text). Blocks are made
 inside range partitions, so no task sees more than its range; where a block starts among all ids follows from
@@ -11,6 +12,7 @@ one running sum over the partitions' totals, which is read from the written bloc
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,27 +22,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import as_text, columns, map_rows, new_path, prefix_offsets, slices
-from tessera.llm.encoding import encoder, id_width
+from tessera.llm.encoding import ENCODED_BYTES, encoder, id_width
 
 #: A block is closed at this many ids; a longer document has a block of its own.
 BLOCK_IDS = 1 << 18
-#: Every so many set bits of the upper part, a block keeps the bit's position.
+#: Every so many set bits of the upper part, a block stores the bit's position.
 SAMPLE = 64
 
 
 class EliasFano:
-    """Non-decreasing integers: low bits packed, high bits in unary, and samples of the set bits for select."""
+    """Non-decreasing integers: low bits packed, high bits in unary, and the places of every SAMPLE-th set bit for select."""
 
-    def __init__(self, n: int, base: int, low_bits: int, low: bytes, high: bytes):
-        self.n, self.base, self.low_bits, self.low, self.high = n, base, low_bits, low, high
-        self._samples: np.ndarray | None = None
+    def __init__(self, n: int, base: int, low_bits: int, low: bytes, high: bytes, samples: bytes):
+        self.n, self.base, self.low_bits, self.low, self.high, self.samples = n, base, low_bits, low, high, samples
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
         values = np.asarray(values, np.int64)
         n = len(values)
         if not n:
-            return cls(0, 0, 0, b"", b"")
+            return cls(0, 0, 0, b"", b"", b"")
         base = int(values[0])
         rest = (values.astype(np.uint64) - np.uint64(base & (2**64 - 1))).astype(np.uint64)
         low_bits = max(0, (int(rest[-1]) // n).bit_length() - 1)
@@ -48,61 +49,34 @@ class EliasFano:
         at = (rest >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(at[-1]) + 1, np.uint8)
         high[at] = 1
-        return cls(n, base, low_bits, np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes())
-
-    def _low(self, first: int, count: int) -> np.ndarray:
-        """Low parts of ``count`` values from the given one on."""
-        if not self.low_bits:
-            return np.zeros(count, np.uint64)
-        start = first * self.low_bits
-        raw = np.frombuffer(self.low, np.uint8, offset=start // 8, count=(start + count * self.low_bits + 7) // 8 - start // 8)
-        bits = np.unpackbits(raw, bitorder="little")[start % 8 :][: count * self.low_bits].reshape(count, self.low_bits)
-        return (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-
-    def _value(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-        return ((high.astype(np.uint64) << np.uint64(self.low_bits)) + low + np.uint64(self.base & (2**64 - 1))).astype(np.int64)
-
-    def values(self) -> np.ndarray:
-        if not self.n:
-            return np.zeros(0, np.int64)
-        at = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        return self._value(at - np.arange(self.n), self._low(0, self.n))
-
-    def samples(self) -> np.ndarray:
-        if self._samples is None:
-            self._samples = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[:: SAMPLE].astype(np.uint32)
-        return self._samples
+        return cls(n, base, low_bits, np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes(), at[::SAMPLE].astype("<u4").tobytes())
 
     def select(self, i: int) -> int:
-        """The i-th value: from the nearest sample, count set bits byte by byte."""
+        """The i-th value: from the nearest sample, words of 64 bits are passed over by their count of set bits."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        at = int(self.samples()[i // SAMPLE])
-        left = i % SAMPLE
-        raw = np.frombuffer(self.high, np.uint8, offset=at // 8)
-        first = np.unpackbits(raw[:1], bitorder="little")
-        first[: at % 8] = 0
-        ones = np.concatenate([[int(first.sum())], np.bitwise_count(raw[1 : 2 + SAMPLE * 8]).astype(np.int64)])
-        total = np.cumsum(ones)
-        byte = int(np.searchsorted(total, left + 1))
-        while byte >= len(total):  # a long gap: look further
-            ones = np.concatenate([ones, np.bitwise_count(raw[len(ones) : len(ones) + SAMPLE * 64]).astype(np.int64)])
-            total = np.cumsum(ones)
-            byte = int(np.searchsorted(total, left + 1))
-        bits = first if not byte else np.unpackbits(raw[byte : byte + 1], bitorder="little")
-        inside = int(np.flatnonzero(bits)[left - (int(total[byte - 1]) if byte else 0)])
-        position = (at // 8 + byte) * 8 + inside
-        return int(self._value(np.array([position - i]), self._low(i, 1))[0])
+        at = int.from_bytes(self.samples[i // SAMPLE * 4 : i // SAMPLE * 4 + 4], "little")
+        left, byte = i % SAMPLE, at // 8
+        word = int.from_bytes(self.high[byte : byte + 8], "little") >> at % 8 << at % 8
+        while (ones := word.bit_count()) <= left:
+            left, byte = left - ones, byte + 8
+            word = int.from_bytes(self.high[byte : byte + 8], "little")
+        for _ in range(left):
+            word &= word - 1
+        position = byte * 8 + (word & -word).bit_length() - 1
+        start = i * self.low_bits
+        low = int.from_bytes(self.low[start // 8 : (start + self.low_bits + 7) // 8], "little") >> start % 8 & (1 << self.low_bits) - 1
+        return (position - i << self.low_bits) + low + self.base
 
     def row(self) -> dict:
-        return {"n": self.n, "base": self.base, "low_bits": self.low_bits, "low": self.low, "high": self.high}
+        return {"n": self.n, "base": self.base, "low_bits": self.low_bits, "low": self.low, "high": self.high, "samples": self.samples}
 
 
-_PART = "n long, base long, low_bits int, low binary, high binary"
+_PART = "n long, base long, low_bits int, low binary, high binary, samples binary"
 _SCHEMA = "shard int, block int, first_in_shard long, n_ids long, nulls boolean, ids binary, " + ", ".join(f"{p}_{x}" for p in ("start", "doc") for x in _PART.split(", "))
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "drop", end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, kind: str | None = None, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encode every whole text (null: empty), add ``end_id`` to each, write the blocks under ``path``.
 
     Empty table: a folder without blocks. Repeated rows are written as often as they come. Other columns are ignored.
@@ -124,7 +98,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "drop", end_id
             block, before, held, size = block + 1, before + int(lengths.sum()), [], 0
             return out
 
-        for part in slices(batches):
+        for part in slices(batches, limit=ENCODED_BYTES):
             for i, ids in zip(part.column("doc_id").to_pylist(), enc.encode(as_text(part.column("text")), end_id), strict=True):
                 n = len(ids) // enc.dtype.itemsize
                 if held and (size + n > BLOCK_IDS or (held[0][0] is None) != (i is None)):
@@ -146,6 +120,11 @@ def blocks(spark: SparkSession, path: str) -> DataFrame:
     return table.join(F.broadcast(offsets), "shard").withColumn("first", F.col("shard_first") + F.col("first_in_shard")).drop("shard_first")
 
 
+def sequence(row: dict, name: str) -> EliasFano:
+    """A block's Elias-Fano sequence ``start`` or ``doc``."""
+    return EliasFano(*(row[f"{name}_{k}"] for k in ("n", "base", "low_bits", "low", "high", "samples")))
+
+
 def read(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
     """One row per document of the files: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit)."""
     width = id_width(tokenizer)
@@ -153,16 +132,44 @@ def read(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         for batch in batches:
             for row in batch.to_pylist():
-                start = EliasFano(*(row[f"start_{k}"] for k in ("n", "base", "low_bits", "low", "high"))).values()
-                docs = EliasFano(*(row[f"doc_{k}"] for k in ("n", "base", "low_bits", "low", "high"))).values()
-                ids = np.frombuffer(row["ids"], width)
-                ends = np.append(start[1:], len(ids))
-                yield {"doc_id": [None] * len(docs) if row["nulls"] else docs.tolist(), "start": (row["first"] + start).tolist(), "n_tokens": (ends - start).tolist(), "ids": [ids[a:b].astype("<u4").tobytes() for a, b in zip(start, ends, strict=True)]}
+                start, docs, ids = sequence(row, "start"), sequence(row, "doc"), np.frombuffer(row["ids"], width)
+                out: dict[str, list] = {"doc_id": [], "start": [], "n_tokens": [], "ids": []}
+                a = 0
+                for i in range(start.n):
+                    b = start.select(i + 1) if i + 1 < start.n else len(ids)
+                    for k, v in zip(out, (None if row["nulls"] else docs.select(i), row["first"] + a, b - a, ids[a:b].astype("<u4").tobytes()), strict=True):
+                        out[k].append(v)
+                    a = b
+                yield out
 
     return map_rows(blocks(spark, path), "doc_id long, start long, n_tokens long, ids binary", task)
 
 
-def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, kind: str = "drop", end_id: int = 1) -> DataFrame:
+def lookup(spark: SparkSession, path: str, tokenizer: str, doc_ids: list[int]) -> DataFrame:
+    """The documents of the files with the given ids, as ``read`` gives them, out of the blocks that can hold them.
+
+    A block is searched by bisection over ``select``; rows that repeat an id all come.
+    """
+    width, wanted = id_width(tokenizer), sorted(set(doc_ids))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                start, docs, ids = sequence(row, "start"), sequence(row, "doc"), np.frombuffer(row["ids"], width)
+                out: dict[str, list] = {"doc_id": [], "start": [], "n_tokens": [], "ids": []}
+                for x in wanted:
+                    i = bisect_left(range(docs.n), x, key=docs.select)
+                    while i < docs.n and docs.select(i) == x:
+                        a, b = start.select(i), start.select(i + 1) if i + 1 < start.n else len(ids)
+                        for k, v in zip(out, (x, row["first"] + a, b - a, ids[a:b].astype("<u4").tobytes()), strict=True):
+                            out[k].append(v)
+                        i += 1
+                yield out
+
+    return map_rows(blocks(spark, path).where("not nulls"), "doc_id long, start long, n_tokens long, ids binary", task)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, kind: str | None = None, end_id: int = 1) -> DataFrame:
     """Write the files to the shared folder, read them back, and digest each document's ids."""
     path = new_path(spark, "token-files")
     write(docs, path, tokenizer, kind, end_id)
