@@ -57,9 +57,9 @@ def verify_pages(spark: SparkSession, sf: str) -> DataFrame:
 _QUOTE = r"trim(regexp_replace(lower(q), '[^\p{L}\p{N}]+', ' ', 'g'))"
 
 
-@query("verify_quotes", f"SELECT conv_id, turn, n - 1 AS n, {_QUOTE} AS quote FROM (SELECT conv_id, turn, unnest(l) AS q, generate_subscripts(l, 1) AS n FROM (SELECT conv_id, turn, regexp_extract_all('He wrote \"' || left(text, 60) || '\" there.', '[\"“]([^\"”“]+)[\"”]', 1) AS l FROM conversations)) WHERE len(string_split({_QUOTE}, ' ')) >= 4")
+@query("verify_quotes", f"SELECT conv_id, turn, n - 1 AS n, {_QUOTE} AS quote FROM (SELECT conv_id, turn, unnest(l) AS q, generate_subscripts(l, 1) AS n FROM (SELECT conv_id, turn, regexp_extract_all('He wrote \"' || text || '\" there.', '[\"“]([^\"”“]+)[\"”]', 1) AS l FROM conversations)) WHERE len(string_split({_QUOTE}, ' ')) >= 4")
 def verify_quotes(spark: SparkSession, sf: str) -> DataFrame:
-    m = table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("key"), F.concat(F.lit('He wrote "'), F.substring("text", 1, 60), F.lit('" there.')).alias("answer"))
+    m = table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("key"), F.concat(F.lit('He wrote "'), "text", F.lit('" there.')).alias("answer"))
     return quality.quotes(m, "key", "answer").select("key.conv_id", "key.turn", F.col("n").cast("long").alias("n"), "quote")
 
 

