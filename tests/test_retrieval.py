@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
-from tessera.operators import memory, passages, ranking, recall, references, routes, search, structure, vectors
+from tessera.operators import memory, passages, ranking, recall, references, routes, search, structure, upkeep, vectors
 from tessera.sources import files
 from tessera.streaming import indexer
 
@@ -283,3 +283,29 @@ def test_given_value_is_the_same(spark):
     df = spark.createDataFrame([([3.0, -4.0],), ([0.0, 0.0],), ([],)], "v array<double>")
     got = [r.p for r in df.select(V.prepared(F.col("v"), 3).alias("p")).collect()]
     assert got == [[0.6, -0.8, 0.0], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]]
+
+
+def parts_of(text, most, parts):
+    out, rest = [], text.strip()
+    while rest and len(out) < parts:
+        cut = len(rest)
+        if len(rest) > most:
+            spaces = [i for i in range(most - most // 5, most) if rest[i].isspace()]
+            cut = spaces[-1] + 1 if spaces else most
+        out.append(rest[:cut].strip())
+        rest = rest[cut:].lstrip()
+    return out
+
+
+def test_message_parts(spark):
+    rng = random.Random(2)
+    texts = ["", "  ", "short", "x" * 95, "é" * 31 + " end"] + ["".join(rng.choice("ab é\n") for _ in range(rng.randrange(200))) for _ in range(40)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    for r in df.select("i", upkeep.message_parts(F.col("t"), 30, 4).alias("p")).collect():
+        assert r.p == parts_of(texts[r.i], 30, 4), texts[r.i]
+
+
+def test_retention_stops_when_enough_is_free(spark):
+    items = spark.createDataFrame([(1, 1, 5, 10), (2, 1, 1, 10), (3, 2, 9, 10), (4, 2, 2, 10), (5, 3, 1, 10)], "id int, tier int, at int, b int")
+    of = lambda needed: sorted(r.id for r in upkeep.enough(items, ["at", "id"], "b", needed, "tier").collect())
+    assert of(0) == [] and of(1) == [2] and of(20) == [1, 2] and of(25) == [1, 2, 4] and of(1000) == [1, 2, 3, 4, 5]
