@@ -8,7 +8,8 @@ leaves goes to the others by weight without a special case.
 
 Running sums are made in two steps, so that a source with a third of all rows is no single task: totals of equal
 hash ranges of a source, whose running sums are offsets, then a running sum inside each range. The cut, too, is
-found by ranges of finish time: their totals show the range in which the budget ends, and only that one is ordered.
+found by ranges of finish time: their totals show the range in which the budget ends, that one is divided again, and
+only the part in which the budget ends is ordered.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from tessera.llm.common import carried, columns, materialise, unpacked
 EPOCHS = 3
 #: Hash ranges of each source, and ranges of finish time.
 RANGES = 2048
+#: How often the range in which the budget ends is divided before its copies are ordered.
+LEVELS = 2
 #: A word is a run of characters other than these.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -77,22 +80,42 @@ def finish(e: int) -> Column:
 def cut(rows: DataFrame, per: DataFrame, epochs: int = EPOCHS) -> Callable[[Column], Column] | None:
     """The condition, for an epoch, under which a copy lies before the cut; None where the budget covers all copies.
 
-    Copies that tie in finish time go together. Only one row of scalars comes to the driver at a time.
+    The range of finish time in which the budget ends is found among RANGES, then its part among RANGES parts of it,
+    and only the copies of that part are ordered. Copies that tie in finish time go together. Only one row of scalars
+    comes to the driver at a time.
     """
     budget, last = per.agg(F.sum("source_size"), F.max(epochs * F.col("source_size") / F.col("weight"))).first()
     if not budget:
         return None
-    place = lambda time: F.least(F.lit(RANGES - 1), F.floor(time / F.lit(last) * RANGES).cast("int"))
-    copies = rows.where("size > 0").select("size", F.explode(F.array(*[finish(e) for e in range(epochs)])).alias("finish"))
-    copies = copies.withColumn("range", place(F.col("finish")))
-    totals = copies.groupBy("range").agg(F.sum("size").alias("total")).withColumn("upto", F.sum("total").over(Window.orderBy("range")))
-    at = totals.where(F.col("upto") > budget).orderBy("range").first()
-    if at is None:
-        return None
+    here = rows.where("size > 0").select("size", F.explode(F.array(*[finish(e) for e in range(epochs)])).alias("finish"))
+    low, high, spent, chosen = 0.0, float(last), 0, []
+
+    def places(low: float, high: float) -> Callable[[Column], Column]:
+        return lambda time: F.least(F.lit(RANGES - 1), F.greatest(F.lit(0), F.floor((time - F.lit(low)) / F.lit(high - low) * RANGES).cast("int")))
+
+    for _ in range(LEVELS):
+        place = places(low, high)
+        ranged = here.withColumn("range", place(F.col("finish")))
+        totals = ranged.groupBy("range").agg(F.sum("size").alias("total")).withColumn("upto", F.sum("total").over(Window.orderBy("range")))
+        at = totals.where(F.col("upto") > budget - spent).orderBy("range").first()
+        if at is None:
+            return None
+        spent += at["upto"] - at["total"]
+        chosen.append((place, at["range"]))
+        here = ranged.where(F.col("range") == at["range"])
+        low, high = low + (high - low) * at["range"] / RANGES, low + (high - low) * (at["range"] + 1) / RANGES
+        if not high > low:
+            break
     running = F.sum("size").over(Window.partitionBy("range").orderBy("finish").rangeBetween(Window.unboundedPreceding, 0))
-    edge = copies.where(F.col("range") == at["range"]).withColumn("running", running)
-    inside = edge.where(F.col("running") <= budget - (at["upto"] - at["total"])).agg(F.max("finish")).first()[0]
-    return lambda time: (place(time) < at["range"]) | ((time <= inside) if inside is not None else F.lit(False))
+    inside = here.withColumn("running", running).where(F.col("running") <= budget - spent).agg(F.max("finish")).first()[0]
+
+    def before(time: Column) -> Column:
+        out = (time <= inside) if inside is not None else F.lit(False)
+        for place, number in reversed(chosen):
+            out = (place(time) < number) | ((place(time) == number) & out)
+        return out
+
+    return before
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = EPOCHS, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
