@@ -5,8 +5,10 @@ carries its lowest as a threshold; divided by its own length and a bucket's grea
 the bucket must reach. Over 1, the whole bucket falls away; a high one prunes by coordinates (the ranges that the
 query's largest coordinates leave open), a low one by length alone. What is left is verified with exact products.
 
-Queries travel in blocks: a first round against the bucket of the longest vectors gives the thresholds, then each
-block meets every bucket once. Blocks and buckets have bounded sizes, so a task holds two of them at a time.
+Queries travel in blocks: a first round against the bucket of the longest vectors gives the thresholds. What each
+block still needs (the least length that one of its queries can use) and each bucket's greatest length are single
+numbers; they decide which blocks and buckets meet, before any vector is sent. Blocks and buckets have bounded sizes,
+so a task holds two of them at a time, and a block is dealt to as many places as its buckets need.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import columns, map_rows, materialise
 
-#: Vectors in a bucket and in a block of queries.
-BLOCK = 4096
+#: Vectors in a bucket, and in a block of queries.
+BLOCK, QUERIES = 1024, 4096
+#: Buckets that meet one copy of a query block.
+TOGETHER = 64
 #: From this local cosine threshold on, coordinates prune; below it, only length.
 COORDINATES_FROM = 0.75
 #: Coordinates of a query that are looked at.
@@ -37,12 +41,18 @@ def quantised(vectors: DataFrame) -> DataFrame:
     return vectors.where(x.isNotNull() & F.coalesce(finite, F.lit(False))).select("vec_id", v.alias("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))))
 
 
+#: Whole numbers by size: a block is written in the smallest that holds all its components.
+KINDS = ("<i2", "<i4", "<i8")
+
+
 def _pack(rows: list[tuple]) -> dict[str, list]:
     width = max(len(v) for _, v, _ in rows)
     matrix = np.zeros((len(rows), width), "<i8")
     for i, (_, v, _) in enumerate(rows):
         matrix[i, : len(v)] = v
-    return {"n": [len(rows)], "width": [width], "ids": [np.array([i for i, _, _ in rows], "<i8").tobytes()], "matrix": [matrix.tobytes()]}
+    top = int(np.abs(matrix).max(initial=0))
+    kind = next(k for k in KINDS if top <= np.iinfo(k).max)
+    return {"n": [len(rows)], "width": [width], "top": [max(x for _, _, x in rows)], "ids": [np.array([i for i, _, _ in rows], "<i8").tobytes()], "matrix": [matrix.astype(kind).tobytes()]}
 
 
 def blocks(vectors: DataFrame, order: list[Column], size: int) -> DataFrame:
@@ -61,7 +71,7 @@ def blocks(vectors: DataFrame, order: list[Column], size: int) -> DataFrame:
             yield _pack(held) | {"shard": [shard], "part": [part]}
 
     dealt = vectors.repartitionByRange(*order).sortWithinPartitions(*order)
-    return map_rows(dealt, "shard int, part int, n int, width int, ids binary, matrix binary", task)
+    return map_rows(dealt, "shard int, part int, n int, width int, top double, ids binary, matrix binary", task)
 
 
 def numbered(packed: DataFrame, name: str) -> DataFrame:
@@ -111,7 +121,8 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> list[int]:
 
 def _matrix(raw: bytes, n: int, width: int, wide: int) -> np.ndarray:
     out = np.zeros((n, wide), np.int64)
-    out[:, :width] = np.frombuffer(raw, "<i8").reshape(n, width)
+    if n * width:
+        out[:, :width] = np.frombuffer(raw, f"<i{len(raw) // (n * width)}").reshape(n, width)
     return out
 
 
@@ -154,7 +165,19 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
+def reachable(queries: DataFrame, buckets: DataFrame) -> DataFrame:
+    """q_block, bucket: the buckets after the first whose greatest length is at least what the block needs.
+
+    Buckets are numbered by length, so those are the first ones, and a count decides: one sort of a number for each
+    block and each bucket.
+    """
+    marks = queries.select(F.col("need").alias("length"), "q_block").unionByName(buckets.select(F.col("top").alias("length"), F.lit(None).cast("int").alias("q_block")))
+    w = Window.orderBy(F.desc("length"), F.col("q_block").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = marks.withColumn("many", F.count(F.when(F.col("q_block").isNull(), 1)).over(w)).where("q_block IS NOT NULL AND many > 1")
+    return upto.select("q_block", F.explode(F.sequence(F.lit(1), F.col("many").cast("int") - 1)).alias("bucket"))
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", embedding: str = "embedding", block: int = BLOCK, asked: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every`` its k best among all other rows.
 
     Vectors that are null or hold null or non-finite components take no part, nor do rows without an id; an empty
@@ -165,20 +188,22 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
     base = quantised(columns(vectors, vec_id=vec_id, embedding=embedding).where(F.col("vec_id").isNotNull()))
     buckets = numbered(blocks(base, [F.desc("norm"), F.asc("vec_id")], block), "bucket")
     queries = base.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    queries = blocks(queries, [F.desc("norm"), F.asc("vec_id")], block)
+    queries = blocks(queries, [F.desc("norm"), F.asc("vec_id")], asked)
     queries = numbered(queries, "q_block").select("q_block", *[F.col(x).alias(f"q_{x}") for x in ("n", "width", "ids", "matrix")])
-    n = buckets.count()
     # round 1: the longest vectors give each query a first threshold
     first = queries.withColumn("floor", F.lit(None).cast("binary")).withColumn("bucket", F.lit(0)).join(buckets, "bucket")
     seen = materialise(search(first, k), "topk-first")
     floors = seen.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("found")).where(F.col("found") == k).select("query_id", "low")
     queries = materialise(with_floors(queries, floors), "topk-queries")
-    rest = queries.withColumn("bucket", F.explode(F.sequence(F.lit(1), F.lit(max(1, n - 1))))).join(buckets, "bucket")
+    pairs = reachable(queries, buckets).withColumn("copy", (F.col("bucket") / TOGETHER).cast("int"))
+    wanted = pairs.groupBy("q_block", "copy").count().drop("count")
+    copies = queries.drop("need").join(wanted, "q_block")
+    rest = pairs.join(buckets.drop("top"), "bucket").join(copies, ["q_block", "copy"])
     return _ranked(seen.unionByName(search(rest, k)), k)
 
 
 def with_floors(queries: DataFrame, floors: DataFrame) -> DataFrame:
-    """Query blocks with ``floor``: a threshold for each of their queries, as little-endian doubles."""
+    """Query blocks with ``floor``, a threshold for each of their queries (little-endian doubles), and ``need``, the least length by which a vector can reach one of them."""
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         for batch in batches:
@@ -195,7 +220,10 @@ def with_floors(queries: DataFrame, floors: DataFrame) -> DataFrame:
                 floor = np.full(row["q_n"], -np.inf)
                 for x, low in zip(row["at"] or [], row["low"] or [], strict=True):
                     floor[x] = low
-                yield {k: [row[k]] for k in ("q_block", "q_n", "q_width", "q_ids", "q_matrix")} | {"floor": [floor.astype("<f8").tobytes()]}
+                own = np.sqrt((_matrix(row["q_matrix"], row["q_n"], row["q_width"], row["q_width"]).astype(np.float64) ** 2).sum(axis=1))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    need = np.where(floor <= 0, 0.0, floor / own * (1 - 1e-9))  # a query of length 0 reaches no floor above 0
+                yield {k: [row[k]] for k in ("q_block", "q_n", "q_width", "q_ids", "q_matrix")} | {"floor": [floor.astype("<f8").tobytes()], "need": [float(need.min())]}
 
     joined = queries.join(per, "q_block", "left").select(*queries.columns, F.col("lows.at").alias("at"), F.col("lows.low").alias("low"))
-    return map_rows(joined, "q_block int, q_n int, q_width int, q_ids binary, q_matrix binary, floor binary", task)
+    return map_rows(joined, "q_block int, q_n int, q_width int, q_ids binary, q_matrix binary, floor binary, need double", task)
