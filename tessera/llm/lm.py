@@ -3,13 +3,18 @@
 Counts: every training token is counted (words by a 64-bit hash; two words would have to share one to be confused).
 Words with high counts, at most HEAD of them, travel to the tasks; all rarer ones are looked up by a join on the hash.
 
-Model: the MODEL most frequent tokens, and one token that stands for all others, are predicted from the two tokens
-before: the prediction is C1 * r(first) + C2 * r(second) (element by element), a token's score its product with the
-token's output vector plus a bias. Each task passes over all of its training text once, in mini-batches with shared
-noise (Adagrad); the parameters of all tasks are averaged, weighted by tokens, in one aggregation whose rows are the
-parameter rows. Scores are normalised in full: batched matrix products over the distinct contexts of a slice give
-their log sums. A word under the stand-in token gets its smoothed share of that token's probability, so a text's
-score is a proper log probability over all words, with one place for unseen ones.
+Model: a token is predicted in two steps, its group and then itself in the group. Words are grouped by their endings,
+so a word of any rarity has a group; the MODEL most frequent words have parameters of their own, the others of a group
+share one place in it. The prediction from the two tokens before is C1 * r(first) + C2 * r(second) (element by
+element), and a score its product with an output vector plus a bias, for groups and for words alike. A word without
+parameters of its own gets its smoothed share of its group's common place, so a text's score is a proper log
+probability over all words, with one place for the unseen words of each group.
+
+Training: rows are dealt by a hash into shards of about SHARD tokens, and shards into ROUNDS. In a round each shard
+is one pass of mini-batches (Adagrad) from the parameters of the round before; then the parameters of its shards are
+averaged, weighted by tokens, in one aggregation whose rows are the parameter rows. Which rows meet in a shard, and in
+which order, follows from the table alone, so scores do not depend on its partitions.
+Scores are normalised in full, by batched matrix products over all groups and over all words of a token's group.
 """
 
 from __future__ import annotations
@@ -27,15 +32,19 @@ from pyspark.sql import functions as F
 from tessera.llm.common import as_bytes, columns, map_rows, materialise, slices
 from tessera.llm.language import fold
 
-#: Words whose counts travel to the tasks, at most.
+#: Words whose counts travel to the tasks, at most. The result does not depend on it: other counts are joined.
 HEAD = 1 << 18
-#: Tokens that the model predicts one by one.
-MODEL = 1024
+#: Words with parameters of their own, and groups of words.
+MODEL, GROUPS = 1 << 14, 256
+#: Bytes of a word's end that decide its group.
+ENDING = 3
 DIMENSIONS = 16
 CONTEXT = 2
-BATCH = 8192
-NOISE = 32
-RATE = 0.1
+BATCH = 4096
+#: Noise groups of a batch, and noise words of a token.
+NOISE, NOISE_WORDS = 32, 2
+RATE, LEAST_SQUARE = 0.05, 1.0
+ROUNDS, SHARD = 4, 4_000_000
 REMEMBERED = 300_000
 #: Distinct words that a counting task holds before it hands partial counts on.
 HELD = 200_000
@@ -49,13 +58,17 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 11) - (1 << 63)
 
 
+def group_of(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word[-ENDING:], 12) % GROUPS
+
+
 def count_tokens(texts: DataFrame) -> DataFrame:
-    """From (text) to h, c: how often each token occurs, ends included; written."""
+    """From (text) to h, c, g: how often each token occurs, ends included, and its group; written."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         counts: Counter[bytes] = Counter()
         ends = 0
-        out = lambda: {"h": [word_hash(w) for w in counts], "c": list(counts.values())}
+        out = lambda: {"h": [word_hash(w) for w in counts], "c": list(counts.values()), "g": [group_of(w) for w in counts]}
         for part in slices(batches):
             ends += part.num_rows
             for raw in as_bytes(part.column("text")):
@@ -65,13 +78,13 @@ def count_tokens(texts: DataFrame) -> DataFrame:
                 counts.clear()
         yield out()
         if ends:
-            yield {"h": [END], "c": [ends]}
+            yield {"h": [END], "c": [ends], "g": [group_of(b"\n")]}
 
-    return materialise(map_rows(texts, "h long, c long", task).groupBy("h").agg(F.sum("c").alias("c")), "lm-counts")
+    return materialise(map_rows(texts, "h long, c long, g int", task).groupBy("h").agg(F.sum("c").alias("c"), F.min("g").alias("g")), "lm-counts")
 
 
-def head_of(counts: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of all words from some count on, as many classes of counts as fit into ``most``."""
+def head_of(counts: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (sorted), counts and groups of all words from some count on, as many classes of counts as fit into ``most``."""
     cell = F.floor(F.log2("c") * 8).cast("int")
     cells = sorted(counts.groupBy(cell.alias("cell")).count().collect(), reverse=True)  # at most 8 * 64 rows
     total, lowest = 0, None
@@ -80,21 +93,36 @@ def head_of(counts: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray
             break
         total, lowest = total + r["count"], r["cell"]
     if lowest is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     table = counts.where(cell >= lowest).toPandas().sort_values("h")
-    return table["h"].to_numpy(np.int64), table["c"].to_numpy(np.int64)
+    return tuple(table[c].to_numpy(np.int64) for c in "hcg")
 
 
 class Vocabulary:
-    """What tasks know of words: the head's counts and model numbers (``rest`` for all others, then ``pad``)."""
+    """What tasks know of words: the head's counts, and model numbers.
 
-    def __init__(self, h: np.ndarray, c: np.ndarray, model: int = MODEL):
+    Numbers go by group: of each group its words with parameters of their own, then the common place of all others.
+    ``first`` has where each group begins. ``pad`` stands before a text's beginning, and is no output.
+    """
+
+    def __init__(self, h: np.ndarray, c: np.ndarray, g: np.ndarray, totals: np.ndarray, model: int = MODEL):
+        """``totals``: tokens of each group."""
         self.h, self.c = h, c
-        order = np.lexsort((h, -c, h != END))[:model]  # the end first, then by count
-        self.number = np.full(len(h), len(order), np.int32)
-        self.number[order] = np.arange(len(order))
-        self.rest, self.pad = len(order), len(order) + 1
-        self.model_counts = c[order]
+        chosen = np.lexsort((h, -c))[:model]
+        chosen = chosen[np.lexsort((h[chosen], -c[chosen], g[chosen]))]
+        sizes = np.bincount(g[chosen], minlength=GROUPS) + 1
+        self.first = np.append(0, np.cumsum(sizes))
+        self.rest = self.first[1:] - 1
+        self.pad = self.outputs = int(self.first[-1])
+        self.group = np.repeat(np.arange(GROUPS), sizes)
+        own = np.ones(self.outputs, bool)
+        own[self.rest] = False
+        self.number = np.full(len(h), -1, np.int64)  # -1: the common place of its group
+        self.number[chosen] = np.flatnonzero(own)
+        self.count = np.zeros(self.outputs)
+        self.count[own] = c[chosen]
+        modelled = np.bincount(self.group[own], self.count[own], GROUPS)
+        self.count[self.rest] = totals - modelled
 
 
 class Reader:
@@ -108,37 +136,35 @@ class Reader:
         self.known: dict[bytes, int] = {}
         self.hash = np.zeros(0, np.int64)
         self.at = np.zeros(0, np.int64)  # place in the head, -1: not there
+        self.number = np.zeros(0, np.int64)
+        self.learn([b"\n"])  # no word has the white space that stands for the end of a text: number 0
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: set[bytes] | list[bytes]) -> None:
         if len(self.known) > REMEMBERED:
             self.forget()
         new = [w for w in words if w not in self.known]
         if new:
-            n = len(self.known)
+            n, v = len(self.known), self.v
             self.known.update(zip(new, range(n, n + len(new)), strict=True))
             h = np.array([word_hash(w) for w in new], np.int64)
-            at = np.searchsorted(self.v.h, h)
-            found = (at < len(self.v.h)) & (self.v.h[np.minimum(at, len(self.v.h) - 1)] == h) if len(self.v.h) else np.zeros(len(h), bool)
-            self.hash, self.at = np.append(self.hash, h), np.append(self.at, np.where(found, at, -1))
+            at = np.searchsorted(v.h, h)
+            found = (at < len(v.h)) & (v.h[np.minimum(at, len(v.h) - 1)] == h) if len(v.h) else np.zeros(len(h), bool)
+            number = np.where(found, v.number[np.minimum(at, len(v.h) - 1)], -1) if len(v.h) else np.full(len(h), -1)
+            number = np.where(number < 0, v.rest[[group_of(w) for w in new]], number)
+            self.hash, self.at, self.number = np.append(self.hash, h), np.append(self.at, np.where(found, at, -1)), np.append(self.number, number)
 
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For all tokens, ends included: hash, place in the head, model number; and where each text begins."""
         split = [x.lower().split() for x in texts]
-        end_at = int(np.searchsorted(self.v.h, END)) if len(self.v.h) and END in self.v.h else -1
         self.learn(set().union(*split))
         n = np.array([len(x) + 1 for x in split])
         first = np.cumsum(n) - n
         own = np.zeros(int(n.sum()), np.int64)
-        is_end = np.zeros(len(own), bool)
-        is_end[first + n - 1] = True
+        word = np.ones(len(own), bool)
+        word[first + n - 1] = False
         known = self.known
-        own[~is_end] = np.fromiter((known[w] for x in split for w in x), np.int64, len(own) - len(split))
-        if not len(self.hash):
-            h, at = np.full(len(own), END), np.full(len(own), end_at)
-        else:
-            h, at = np.where(is_end, END, self.hash[own]), np.where(is_end, end_at, self.at[own])
-        number = np.where(at >= 0, self.v.number[np.maximum(at, 0)], self.v.rest) if len(self.v.h) else np.full(len(own), self.v.rest)
-        return h, at, number, first
+        own[word] = np.fromiter((known[w] for x in split for w in x), np.int64, len(own) - len(split))
+        return self.hash[own], self.at[own], self.number[own], first
 
     def contexts(self, number: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
         """The tokens before each token, nearest first; ``pad`` before a text's beginning."""
@@ -153,108 +179,143 @@ class Reader:
 
 
 class LogBilinear:
-    """Parameters as one matrix: output rows with bias, context rows, and the element-wise context maps."""
-
-    def __init__(self, counts: np.ndarray, rest: int, seed: int = 5):
-        """``counts`` of the model's tokens, ``rest`` of all others: the biases start at the unigram."""
-        self.share = np.append(counts, max(1, rest)).astype(np.float64)
-        self.share /= self.share.sum()
-        self.out, self.context = len(self.share), len(self.share) + 1
+    """Parameters as one matrix: rows of groups and of words with their biases, context rows, and the element-wise context maps."""
+
+    def __init__(self, v: Vocabulary, seed: int = 5):
+        self.v = v
+        count = v.count + 0.5
+        self.words = count / count.sum()
+        self.groups = np.add.reduceat(self.words, v.first[:-1])
+        self.inside = self.words / self.groups[v.group]
+        self.ladder = np.append(0, np.cumsum(self.words))
+        self.cuts = np.cumsum([GROUPS, v.outputs, v.outputs + 1])
         rng = np.random.default_rng(seed)
-        self.matrix = (rng.standard_normal((self.out + self.context + CONTEXT, DIMENSIONS + 1)) * 0.1).astype(np.float32)
-        self.matrix[: self.out, -1] = np.log(self.share)
-        self.matrix[self.out :, -1] = 0
-        self.matrix[-CONTEXT:, :-1] = 1 / CONTEXT
-        self.squares = np.full_like(self.matrix, 1e-2)
+        self.matrix = (rng.standard_normal((int(self.cuts[-1]) + CONTEXT, DIMENSIONS + 1)) * 0.1).astype(np.float32)
+        groups, words, rows, maps = self.views(self.matrix)
+        groups[:, -1], words[:, -1], rows[:, -1], maps[:, :-1] = np.log(self.groups), np.log(self.inside), 0, 1 / CONTEXT
+        self.squares = np.full_like(self.matrix, LEAST_SQUARE)
 
-    def views(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        return m[: self.out, :-1], m[: self.out, -1], m[self.out : self.out + self.context, :-1], m[-CONTEXT:, :-1]
+    def views(self, m: np.ndarray) -> list[np.ndarray]:
+        """Rows of groups, words and contexts (one more than words), and the maps; the last column is the bias."""
+        return np.split(m, self.cuts)
 
     def predict(self, contexts: list[np.ndarray]) -> np.ndarray:
         _, _, rows, maps = self.views(self.matrix)
-        return sum(rows[x] * maps[i] for i, x in enumerate(contexts))
-
-    def step(self, token: np.ndarray, contexts: list[np.ndarray], noise: np.ndarray) -> None:
-        """One Adagrad step on the noise-contrastive loss of a batch whose tokens share their noise."""
-        q, b, rows, maps = self.views(self.matrix)
-        grad = np.zeros_like(self.matrix)
-        gq, gb, g_rows, g_maps = self.views(grad)
-        k, n = len(noise), len(token)
-        log_noise = np.log(k * self.share).astype(np.float32)
-        r = [rows[x] for x in contexts]
-        h = sum(x * maps[i] for i, x in enumerate(r))
-        up = np.einsum("nd,nd->n", h, q[token]) + b[token] - log_noise[token]
-        down = h @ q[noise].T + (b[noise] - log_noise[noise])
+        return sum(rows[x, :-1] * maps[i, :-1] for i, x in enumerate(contexts))
+
+    def step(self, token: np.ndarray, contexts: list[np.ndarray], rng: np.random.Generator) -> None:
+        """One Adagrad step on the noise-contrastive losses of a batch, for its groups (noise shared by the batch) and for its words in their groups."""
+        groups, words, rows, maps = self.views(self.matrix)
+        n, g = len(token), self.v.group[token]
+        r = [rows[x, :-1] for x in contexts]
+        h = np.ones((n, DIMENSIONS + 1), np.float32)
+        h[:, :-1] = sum(x * maps[i, :-1] for i, x in enumerate(r))
         with np.errstate(over="ignore"):
-            d_up, d_down = -1 / (1 + np.exp(up)), 1 / (1 + np.exp(-down))
-        gh = d_up[:, None] * q[token] + d_down @ q[noise]
-        gb += np.bincount(token, d_up, self.out).astype(np.float32)
-        np.add.at(gb, noise, d_down.sum(axis=0))
-        np.add.at(gq, noise, d_down.T @ h)
-        for d in range(DIMENSIONS):
-            gq[:, d] += np.bincount(token, d_up * h[:, d], self.out).astype(np.float32)
+            back, used = np.zeros_like(h), []
+            noise = rng.choice(GROUPS, NOISE, p=self.groups)
+            log_noise = np.log(NOISE * self.groups).astype(np.float32)
+            d_up = -1 / (1 + np.exp(np.einsum("nd,nd->n", h, groups[g]) - log_noise[g]))
+            d_down = 1 / (1 + np.exp(-(h @ groups[noise].T - log_noise[noise])))
+            back += d_up[:, None] * groups[g] + d_down @ groups[noise]
+            used.append((np.append(g, noise), np.concatenate([d_up[:, None] * h, d_down.T @ h]), 0))
+            low = self.ladder[self.v.first[g]]
+            drawn = low + rng.random((NOISE_WORDS, n)) * (self.ladder[self.v.first[g + 1]] - low)
+            other = np.clip(np.searchsorted(self.ladder, drawn, side="right") - 1, self.v.first[g], self.v.first[g + 1] - 1)
+            for x, sign in [(token, 1), *((o, -1) for o in other)]:
+                chosen = words[x]
+                u = np.einsum("nd,nd->n", h, chosen) - np.log(NOISE_WORDS * self.inside[x]).astype(np.float32)
+                d = -sign / (1 + np.exp(sign * u))
+                back += d[:, None] * chosen
+                used.append((x, d[:, None] * h, int(self.cuts[0])))
         for i, x in enumerate(contexts):
-            g_maps[i] = (gh * r[i]).sum(axis=0)
-            back = gh * maps[i]
-            for d in range(DIMENSIONS):
-                g_rows[:, d] += np.bincount(x, back[:, d], self.context).astype(np.float32)
-        grad /= n
-        self.squares += grad * grad
-        self.matrix -= RATE * grad / np.sqrt(self.squares)
-
-    def log_sums(self, contexts: list[np.ndarray]) -> np.ndarray:
-        """Log of the sum of exponentials over all outputs, by batched matrix products."""
-        q, b, _, _ = self.views(self.matrix)
-        found = np.zeros(len(contexts[0]), np.float32)
-        for i in range(0, len(found), 4096):
-            s = self.predict([x[i : i + 4096] for x in contexts]) @ q.T + b
-            top = s.max(axis=1)
-            found[i : i + 4096] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-        return found
+            m = np.zeros((1, DIMENSIONS + 1), np.float32)
+            m[0, :-1] = (back[:, :-1] * r[i]).sum(axis=0)
+            used.append((np.array([i]), m, int(self.cuts[2])))
+            down = np.zeros_like(back)
+            down[:, :-1] = back[:, :-1] * maps[i, :-1]
+            used.append((x, down, int(self.cuts[1])))
+        at = np.concatenate([x + start for x, _, start in used])
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        begins = np.flatnonzero(np.append(True, np.diff(at) > 0))
+        grad = np.add.reduceat(np.concatenate([y for _, y, _ in used])[order], begins)
+        at = at[begins]
+        self.squares[at] += grad * grad
+        self.matrix[at] -= RATE * grad / np.sqrt(self.squares[at])
+
+    @staticmethod
+    def log_sum(s: np.ndarray) -> np.ndarray:
+        top = s.max(axis=1)
+        return top + np.log(np.exp(s - top[:, None]).sum(axis=1))
 
     def log_probabilities(self, token: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
-        """Normalised natural log probabilities; contexts that occur again are summed once."""
-        q, b, _, _ = self.views(self.matrix)
-        code = contexts[0].astype(np.int64)
-        for x in contexts[1:]:
-            code = code * self.context + x
-        distinct, back = np.unique(code, return_inverse=True)
-        parts = []
-        for _ in contexts:
-            distinct, part = np.divmod(distinct, self.context)
-            parts.append(part)
-        parts = parts[::-1]
-        h = self.predict(parts)
-        sums = self.log_sums(parts)
-        return np.einsum("nd,nd->n", h[back], q[token]) + b[token] - sums[back]
-
-
-def train(texts: DataFrame, shared, rest: int) -> LogBilinear:
-    """Each task passes over its text once from the same start; parameters are averaged by tokens."""
-    vocabulary = shared.value
-    width = DIMENSIONS + 1
+        """Normalised natural log probabilities: of a token's group among all groups, and of the token among all of its group."""
+        groups, words, _, _ = self.views(self.matrix)
+        g, found = self.v.group[token], np.zeros(len(token), np.float32)
+        h = np.ones((len(token), DIMENSIONS + 1), np.float32)
+        h[:, :-1] = self.predict(contexts)
+        for i in range(0, len(token), 4096):
+            s = h[i : i + 4096] @ groups.T
+            found[i : i + 4096] = s[np.arange(len(s)), g[i : i + 4096]] - self.log_sum(s)
+        order = np.argsort(g, kind="stable")
+        edge = np.searchsorted(g[order], np.arange(GROUPS + 1))
+        for k in range(GROUPS):
+            of = words[self.v.first[k] : self.v.first[k + 1]]
+            if len(of) > 1:
+                for i in range(edge[k], edge[k + 1], 4096):
+                    at = order[i : min(i + 4096, edge[k + 1])]
+                    s = h[at] @ of.T
+                    found[at] += s[np.arange(len(s)), token[at] - self.v.first[k]] - self.log_sum(s)
+        return found
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        v = shared.value
-        reader, model, seen = Reader(v), LogBilinear(v.model_counts, rest), 0
-        rng = np.random.default_rng([7, TaskContext.get().partitionId()])
-        ladder = np.cumsum(model.share)
-        for part in slices(batches, limit=READ_BYTES):
-            _, _, number, first = reader.read(as_bytes(part.column("text")))
-            contexts = reader.contexts(number, first)
-            for i in range(0, len(number), BATCH):
-                noise = np.minimum(np.searchsorted(ladder, rng.random(NOISE)), model.out - 1)
-                model.step(number[i : i + BATCH], [x[i : i + BATCH] for x in contexts], noise)
-            seen += len(number)
-        if seen:
-            scaled = model.matrix.astype(np.float64) * seen
-            yield {"row": list(range(len(scaled))), "tokens": [seen] * len(scaled)} | {f"p{i}": scaled[:, i].tolist() for i in range(width)}
 
+def train(docs: DataFrame, shared, tokens: int) -> LogBilinear:
+    """From (doc_id, text) of ``tokens`` tokens in all: ROUNDS rounds over different shards, each from the last average."""
+    v, width = shared.value, DIMENSIONS + 1
+    model = LogBilinear(v)
+    many = ROUNDS * max(1, round(tokens / ROUNDS / SHARD))
+    dealt = docs.withColumn("order", F.xxhash64("doc_id", "text")).withColumn("shard", F.pmod("order", F.lit(many)).cast("int"))
     ddl = "row int, tokens long, " + ", ".join(f"p{i} double" for i in range(width))
-    sums = map_rows(texts, ddl, task).groupBy("row").agg(*[(F.sum(f"p{i}") / F.sum("tokens")).alias(f"p{i}") for i in range(width)]).toPandas().sort_values("row")
-    model = LogBilinear(vocabulary.model_counts, rest)
-    if len(sums):
-        model.matrix = sums[[f"p{i}" for i in range(width)]].to_numpy(np.float32)
+    spark = docs.sparkSession
+    for number in range(ROUNDS):
+        start = spark.sparkContext.broadcast(model.matrix)  # as many rows as words with parameters of their own, twice
+
+        def task(batches: Iterator[pa.RecordBatch], start=start, number=number) -> Iterator[dict[str, list]]:
+            reader, lbl, now, seen, rng = Reader(shared.value), LogBilinear(shared.value), None, 0, None
+            held: list[np.ndarray] = []  # tokens of the shard, and what stands before them, that are no full batch yet
+
+            def steps(least: int) -> None:
+                nonlocal held
+                while len(held[0]) >= least:
+                    lbl.step(held[0][:BATCH], [x[:BATCH] for x in held[1:]], rng)
+                    held = [x[BATCH:] for x in held]
+
+            def done() -> Iterator[dict[str, list]]:
+                if seen:
+                    steps(1)
+                    scaled = lbl.matrix.astype(np.float64) * seen
+                    yield {"row": list(range(len(scaled))), "tokens": [seen] * len(scaled)} | {f"p{i}": scaled[:, i].tolist() for i in range(width)}
+
+            for part in slices(batches, limit=READ_BYTES):
+                shard = part.column("shard").to_numpy()
+                edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+                for a, b in zip(edges, edges[1:], strict=False):
+                    if shard[a] != now:
+                        yield from done()
+                        now, seen, rng = int(shard[a]), 0, np.random.default_rng([7, number, int(shard[a])])
+                        held = [np.zeros(0, np.int64)] * (1 + CONTEXT)
+                        lbl.matrix, lbl.squares = start.value.copy(), np.full_like(start.value, LEAST_SQUARE)
+                    _, _, token, first = reader.read(as_bytes(part.slice(a, b - a).column("text")))
+                    held = [np.append(x, y) for x, y in zip(held, [token, *reader.contexts(token, first)], strict=True)]
+                    seen += len(token)
+                    steps(BATCH)
+            yield from done()
+
+        rows = dealt.where(F.pmod("shard", F.lit(ROUNDS)) == number).repartition(many // ROUNDS, "shard").sortWithinPartitions("shard", "order", "doc_id", "text").select("shard", "text")
+        sums = map_rows(rows, ddl, task).groupBy("row").agg(*[F.sum(f"p{i}").alias(f"p{i}") for i in range(width)], F.sum("tokens").alias("tokens")).toPandas().sort_values("row")
+        if len(sums):
+            model.matrix = (sums[[f"p{i}" for i in range(width)]].to_numpy(np.float64) / sums["tokens"].to_numpy()[:, None]).astype(np.float32)
+        start.unpersist()
     return model
 
 
@@ -268,16 +329,19 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, doc_id: str = "doc_id"
     """
     spark = docs.sparkSession
     docs = columns(docs, doc_id=doc_id, text=text)
-    training = docs.where(fold(F.col("doc_id"), folds) != held).select("text")
-    counts = count_tokens(training)
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    vocabulary = Vocabulary(*head_of(counts))
-    modelled = int(vocabulary.model_counts.sum())
+    training = docs.where(fold(F.col("doc_id"), folds) != held)
+    counts = count_tokens(training.select("text"))
+    totals, types = np.zeros(GROUPS), np.zeros(GROUPS)
+    for r in counts.groupBy("g").agg(F.sum("c").alias("c"), F.count("*").alias("types")).collect():  # at most GROUPS rows
+        totals[r["g"]], types[r["g"]] = r["c"], r["types"]
+    n, v = int(totals.sum()), int(types.sum())
+    vocabulary = Vocabulary(*head_of(counts), totals)
     shared = spark.sparkContext.broadcast(vocabulary)  # at most HEAD words
-    model = train(training, shared, n - modelled)
+    model = train(training, shared, n)
     trained = spark.sparkContext.broadcast(model)  # about 2 * MODEL * DIMENSIONS numbers
-    # all types under the stand-in token, and one for the unseen
-    rest_mass = float(n - modelled + 0.5 * (v - len(vocabulary.model_counts) + 1))
+    # of each group: all types without parameters of their own, and one place for the unseen
+    sizes = np.diff(vocabulary.first) - 1
+    rest_mass = np.log10(vocabulary.count[vocabulary.rest] + 0.5 * (types - sizes + 1))
     whole_mass = float(n + 0.5 * (v + 1))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -287,10 +351,11 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, doc_id: str = "doc_id"
         for part in slices(batches, limit=READ_BYTES):
             h, at, number, first = reader.read(as_bytes(part.column("text")))
             log_p = lbl.log_probabilities(number, reader.contexts(number, first)).astype(np.float64) / np.log(10)
-            rest, known = number == voc.rest, at >= 0
+            group, known = voc.group[number], at >= 0
+            rest = number == voc.rest[group]
             logs = log_count[at]
             total = lambda x: np.add.reduceat(x, first)
-            out = {"n_tokens": np.diff(np.append(first, len(h))), "known": total(known.astype(np.int64)), "base": total(logs), "model": total(log_p + np.where(rest, logs - np.log10(rest_mass), 0.0))}
+            out = {"n_tokens": np.diff(np.append(first, len(h))), "known": total(known.astype(np.int64)), "base": total(logs), "model": total(log_p + np.where(rest, logs - rest_mass[group], 0.0))}
             tail = np.flatnonzero(~known)
             edge = np.searchsorted(tail, np.append(first, len(h)))
             hashes, times = [], []
