@@ -3,11 +3,14 @@
 Candidates of the battery are runs of letters, digits and ``+/_-`` of MIN_LENGTH characters or more. For each:
 
 * The encoding is inferred from the characters that occur (decimal, hex, base32, one-case letters and digits,
-  letters and digits, base64). Under the hypothesis "uniformly random in that alphabet" a chi-squared test over
-  character classes, a runs test (above and below the alphabet's middle) and a lag-1 serial correlation give three
-  p-values; Fisher's method combines them, and a candidate that is rejected at BATTERY is not random.
-* Under the opposite hypothesis, "text of this corpus", the likelihood ratio of the uniform alphabet to the corpus's
-  own character pairs is an e-value, so its inverse bounds a p-value (Markov); it shrinks by itself as the run grows.
+  letters and digits, base64). Under the hypothesis "uniformly random in that alphabet" a chi-squared test over its
+  characters, a runs test (above and below the alphabet's middle) and a lag-1 serial correlation give three p-values.
+  Fisher's method combines them, and a candidate that is rejected at BATTERY is not random: its p-value below is 1.
+* Under the opposite hypothesis, "text of this corpus", each of the three p-values has another distribution. Both
+  distributions are known from strings of the candidate's length class, drawn from the inferred alphabets and from the
+  corpus's own character pairs; the ratio of the two at the candidate's p-value is an e-value. So is the likelihood
+  ratio of the uniform alphabet to the corpus's character pairs. A weighted geometric mean of e-values is one too
+  (Hoelder), and its inverse bounds a p-value (Markov). It shrinks by itself as a run grows.
 * Benjamini-Hochberg over all candidates of the corpus, separately for each length class, turns these p-values into
   spans with a false-discovery rate of FDR in each class.
 
@@ -61,21 +64,27 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, k, e in sorted(found)]
 
 
-# Inferred encodings: name, characters, and the classes over which uniformity is tested.
+# Inferred encodings: name and characters, narrowest first.
 _UPPER, _LOWER, _DIGITS = _ALPHABET[:26], _ALPHABET[26:52], _ALPHABET[52:62]
 _ENCODINGS = [
-    ("decimal", _DIGITS, [_DIGITS[:5], _DIGITS[5:]]),
-    ("hex", _DIGITS + "abcdef", [_DIGITS[:5], _DIGITS[5:], "abcdef"]),
-    ("HEX", _DIGITS + "ABCDEF", [_DIGITS[:5], _DIGITS[5:], "ABCDEF"]),
-    ("base32", _UPPER + "234567", [_UPPER[:9], _UPPER[9:18], _UPPER[18:], "234567"]),
-    ("lower", _LOWER + _DIGITS, [_LOWER[:9], _LOWER[9:18], _LOWER[18:], _DIGITS]),
-    ("upper", _UPPER + _DIGITS, [_UPPER[:9], _UPPER[9:18], _UPPER[18:], _DIGITS]),
-    ("base62", _UPPER + _LOWER + _DIGITS, [_UPPER[:13], _UPPER[13:], _LOWER[:13], _LOWER[13:], _DIGITS]),
-    ("base64", _UPPER + _LOWER + _DIGITS + "+/", [_UPPER[:13], _UPPER[13:], _LOWER[:13], _LOWER[13:], _DIGITS + "+/"]),
-    ("base64url", _UPPER + _LOWER + _DIGITS + "_-", [_UPPER[:13], _UPPER[13:], _LOWER[:13], _LOWER[13:], _DIGITS + "_-"]),
-    ("mixed", _ALPHABET, [_UPPER[:13], _UPPER[13:], _LOWER[:13], _LOWER[13:], _DIGITS + "+/_-"]),
+    ("decimal", _DIGITS),
+    ("hex", _DIGITS + "abcdef"),
+    ("HEX", _DIGITS + "ABCDEF"),
+    ("base32", _UPPER + "234567"),
+    ("lower", _LOWER + _DIGITS),
+    ("upper", _UPPER + _DIGITS),
+    ("base62", _UPPER + _LOWER + _DIGITS),
+    ("base64", _UPPER + _LOWER + _DIGITS + "+/"),
+    ("base64url", _UPPER + _LOWER + _DIGITS + "_-"),
+    ("mixed", _ALPHABET),
 ]
-_SETS = [frozenset(x) for _, x, _ in _ENCODINGS]
+_SETS = [frozenset(x) for _, x in _ENCODINGS]
+_PLACES = [{c: i for i, c in enumerate(x)} for _, x in _ENCODINGS]
+#: Share of the character pairs in the combined evidence; the three tests of the battery have the rest.
+PAIRS = 0.7
+#: Cells of a test's p-value, by their lower ends, and strings that are drawn for each length class and hypothesis.
+P_CELLS = np.array([0.0, 1e-4, 1e-3, 0.01, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8])
+DRAWN = 2000
 
 
 def encoding_of(run: str) -> int:
@@ -107,17 +116,17 @@ def normal_p(z: float) -> float:
     return erfc(abs(z) / sqrt(2))
 
 
-def battery(run: str) -> float:
-    """Fisher's combination of the three tests' p-values under uniform randomness in the inferred encoding."""
-    from math import log, sqrt
-
-    _, alphabet, classes = _ENCODINGS[encoding_of(run)]
-    n = len(run)
-    place = {c: i for i, c in enumerate(alphabet)}
-    x = np.array([place[c] for c in run], float)
-    counts = [sum(map(run.count, c)) for c in classes]
-    p = [chi_squared_p(sum((k - n * len(c) / len(alphabet)) ** 2 / (n * len(c) / len(alphabet)) for k, c in zip(counts, classes, strict=True)), len(classes) - 1)]
-    above = x >= len(alphabet) / 2
+def tests(run: str) -> list[float]:
+    """p-values under uniform randomness in the inferred encoding: chi-squared over its characters, runs, serial correlation."""
+    from math import sqrt
+
+    e = encoding_of(run)
+    n, k = len(run), len(_PLACES[e])
+    x = np.array([_PLACES[e][c] for c in run], float)
+    counts = np.bincount(x.astype(np.int64), minlength=k)
+    # few characters for each cell: the factor gives the statistic the variance that it has under the hypothesis
+    p = [chi_squared_p(float(((counts - n / k) ** 2).sum() * k / n) * n / (n - 1), k - 1)]
+    above = x >= k / 2
     n1, n2 = int(above.sum()), int(n - above.sum())
     if n1 and n2:
         runs, mean = 1 + int((above[1:] != above[:-1]).sum()), 1 + 2 * n1 * n2 / n
@@ -127,9 +136,42 @@ def battery(run: str) -> float:
         p.append(2.0 ** (1 - n))
     d = x - x.mean()
     p.append(normal_p((float((d[1:] * d[:-1]).sum() / (d * d).sum()) + 1 / n) * sqrt(n)) if (d * d).sum() else 2.0 ** (1 - n))
+    return p
+
+
+def fisher(p: list[float]) -> float:
+    from math import log
+
     return chi_squared_p(-2 * sum(log(max(x, 1e-300)) for x in p), 2 * len(p))
 
 
+def battery(run: str) -> float:
+    """Fisher's combination of the three tests."""
+    return fisher(tests(run))
+
+
+def calibration(pairs: np.ndarray, seed: int = 11) -> np.ndarray:
+    """For each length class, test and cell: log10 of the cell's share among random strings over its share among strings of the corpus's character pairs."""
+    rng = np.random.default_rng(seed)
+    inner = pairs[:, :-1] + 0.5
+    ladder = np.cumsum(inner / inner.sum(axis=1, keepdims=True), axis=1)
+    found = np.zeros((len(LENGTHS), 3, len(P_CELLS)))
+    for k, n in enumerate(LENGTHS):
+        code, text = np.full(DRAWN, _N - 1), np.zeros((DRAWN, n), np.int64)
+        for i in range(n):
+            code = (ladder[code] < rng.random((DRAWN, 1))).sum(axis=1).clip(max=_N - 2)
+            text[:, i] = code
+        strings = ["".join(_ALPHABET[c] for c in x) for x in text.tolist()]
+        alphabets = [x for _, x in _ENCODINGS]
+        random = ["".join(alphabets[i % len(alphabets)][c] for c in rng.integers(0, len(alphabets[i % len(alphabets)]), n)) for i in range(DRAWN)]
+        for sign, of in ((1, random), (-1, strings)):
+            cells = np.array([np.searchsorted(P_CELLS, tests(x), side="right") - 1 for x in of])
+            for t in range(3):
+                share = np.bincount(cells[:, t], minlength=len(P_CELLS)) + 0.5
+                found[k, t] += sign * np.log10(share / share.sum())
+    return found
+
+
 def pair_counts(docs: DataFrame) -> np.ndarray:
     """How often each character of the alphabet follows each (or a border), over all texts: _N * _N numbers."""
 
@@ -153,11 +195,19 @@ def surprise(pairs: np.ndarray) -> np.ndarray:
     return np.log10(inner / inner.sum(axis=1, keepdims=True))
 
 
-def evidence(run: str, log_pairs: np.ndarray) -> float:
-    """log10 of the likelihood ratio of the uniform alphabet to the corpus's character pairs."""
+def evidence(run: str, log_pairs: np.ndarray, ratios: np.ndarray) -> float:
+    """log10 of the combined e-value of a run against "text of this corpus"; 0 if it is not random either."""
     code = _NUMBER[np.frombuffer(run.encode(), np.uint8)]
     before = np.concatenate([[_N - 1], code[:-1]])
-    return float(-len(run) * np.log10(len(_ENCODINGS[encoding_of(run)][1])) - log_pairs[before, code].sum())
+    by_pairs = float(-len(run) * np.log10(len(_ENCODINGS[encoding_of(run)][1])) - log_pairs[before, code].sum())
+    if by_pairs <= 0:  # the battery has no vote large enough to outweigh this
+        return 0.0
+    p = tests(run)
+    if fisher(p) < BATTERY:
+        return 0.0
+    cells = np.searchsorted(P_CELLS, p, side="right") - 1
+    by_tests = sum(ratios[length_class(len(run)), t, c] for t, c in enumerate(cells)) / 3
+    return PAIRS * by_pairs + (1 - PAIRS) * float(by_tests)
 
 
 def length_class(n: int) -> int:
@@ -186,7 +236,8 @@ def secrets(docs: DataFrame, rate: float = FDR, doc_id: str = "doc_id", text: st
     each, an empty table none; other columns are ignored.
     """
     docs = columns(docs, doc_id=doc_id, text=text)
-    log_pairs = surprise(pair_counts(docs))
+    pairs = pair_counts(docs)
+    log_pairs, ratios = surprise(pairs), calibration(pairs)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         for part in slices(batches):
@@ -198,11 +249,7 @@ def secrets(docs: DataFrame, rate: float = FDR, doc_id: str = "doc_id", text: st
                 out["base"].append([f"{s}:{e}:{k}" for s, e, k in base])
                 own: list[tuple[int, int, int]] = []
                 for m in RUN.finditer(text):
-                    run = m.group()
-                    e = evidence(run, log_pairs)
-                    # what the battery rejects stays a candidate, with a p-value of 1
-                    cell = min(CELLS - 1, int(e * 10)) if e > 0 and battery(run) >= BATTERY else 0
-                    own.append((m.start(), m.end(), cell))
+                    own.append((m.start(), m.end(), max(0, min(CELLS - 1, int(evidence(m.group(), log_pairs, ratios) * 10)))))
                 for i, k in enumerate(("start", "end", "cell")):
                     out[k].append([x[i] for x in own])
             yield out | {"doc_id": part.column("doc_id")}
