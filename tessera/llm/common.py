@@ -10,23 +10,27 @@ Two conventions hold throughout:
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one step inside a task handles at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. A session on one machine that names none gets a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -59,11 +63,12 @@ def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a slice has about ``limit`` bytes of text; one row is never cut."""
+    """Cut batches so that a slice has about ``limit`` bytes of text; one row is never cut. ``column`` has the texts, or their sizes."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = batch.column(column)
+        lengths = pc.fill_null(sizes if pa.types.is_integer(sizes.type) else pc.binary_length(sizes), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(lengths):
             if held and held + n > limit:
@@ -82,6 +87,31 @@ def as_text(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+#: What Python workers remember between tasks, by name; only the tasks of one stage share it.
+_memories: dict[str, object] = {}
+_stage: list[int] = []
+
+
+def remembered(name: str, make: Callable[[], object]) -> object:
+    """A memory that the tasks of one stage share in a worker; the first task of another stage starts without any."""
+    if name not in _memories:
+        _memories[name] = make()
+    return _memories[name]
+
+
+def forget_other_stages() -> None:
+    context = TaskContext.get()
+    now = [context.stageId()] if context else []
+    if now != _stage:
+        _memories.clear()
+        _stage[:] = now
+
+
+def give_back() -> None:
+    """Hand memory that Arrow holds but does not use back to the system: workers stay when their tasks have ended."""
+    pa.default_memory_pool().release_unused()
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "array<float>": pa.list_(pa.float32()), "array<double>": pa.list_(pa.float64())}
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
@@ -92,8 +122,10 @@ def map_rows(df: DataFrame, ddl: str, task: Callable[[Iterator[pa.RecordBatch]],
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_other_stages()
         for out in task(batches):
             yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in schema], schema=schema)
+        give_back()
 
     return df.mapInArrow(run, ddl)
 

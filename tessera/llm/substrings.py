@@ -4,11 +4,14 @@ A window is WINDOW consecutive words. Of the KEY-word hashes inside it the least
 equal anchors at equal places, and one anchor serves about a dozen neighbouring windows. The index holds, for each
 anchor hash, how often it occurs and whether all its occurrences have the same extent (all words of the windows that
 it serves). Each batch of documents becomes a sorted immutable run; runs are bucketed and sorted by hash, so a new
-one is merge-joined with the history without a shuffle, and compaction writes the merged run.
+one is merge-joined with the history without a shuffle, and compaction writes the merged run. An index lives in a
+folder, can be opened again, and judges a new batch against all that was added before (``remove_repeats`` with
+``index``); for that it also keeps the anchors and the texts of its documents.
 
-Verification is exact on windows: an anchor that occurs again with one extent throughout settles all its windows at
-once; where extents differ, the windows themselves are compared by hash. Hashes of words and of word sequences have
-64 bits; a window is only compared with others of its anchor's hash.
+Verification: an anchor that occurs again settles its windows at once only if all its occurrences have one extent,
+by a digest of the extent's words themselves, which has nothing to do with the hash that brought them together.
+Where extents differ, the windows are compared, again by the hash and by a digest of their words. Two different
+windows would have to agree in two independent 64-bit values to be taken for one.
 
 Removal: every word that a repeated window covers goes, in all documents, the first one included.
 """
@@ -22,10 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, columns, map_rows, materialise, slices
+from tessera.llm.common import as_bytes, columns, map_rows, materialise, new_path, remembered, slices
 
 WINDOW = 35
 #: Words of an anchor.
@@ -36,7 +40,6 @@ STRETCH = 1 << 20
 REMEMBERED = 400_000
 
 _BASE = 0x9E3779B97F4A7C15
-_words: dict[bytes, int] = {}
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -65,17 +68,26 @@ class Text:
         self.words = raw.split()  # of UTF-8, exactly the runs of other characters than the six ASCII white spaces
         self.n = len(self.words)
         if self.n >= WINDOW:
-            if len(_words) > REMEMBERED:
-                _words.clear()
-            for w in set(self.words).difference(_words):
-                _words[w] = xxhash.xxh64_intdigest(w, 7)
-            h = np.fromiter(map(_words.__getitem__, self.words), np.uint64, self.n)
+            known = remembered("words", dict)
+            if len(known) > REMEMBERED:
+                known.clear()
+            for w in set(self.words).difference(known):
+                known[w] = xxhash.xxh64_intdigest(w, 7)
+            h = np.fromiter(map(known.__getitem__, self.words), np.uint64, self.n)
+            self.line = memoryview(b" ".join(self.words))
+            self.ends = np.cumsum(np.fromiter(map(len, self.words), np.int64, self.n) + 1)  # one behind each word
             self.sums = np.zeros(self.n + 1, np.uint64)
             np.cumsum(h * powers(self.n + 1)[0][: self.n], dtype=np.uint64, out=self.sums[1:])
 
     def hashes(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return mixed((self.sums[start + length] - self.sums[start]) * powers(self.n + 1)[1][start])
 
+    def digests(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        """Digests of the words themselves, in their order and joined by single spaces."""
+        begins, ends = (self.ends[start - 1] * (start > 0)).tolist(), (self.ends[start + length - 1] - 1).tolist()
+        line = self.line
+        return np.array([xxhash.xxh3_64_intdigest(line[a:b], 9) for a, b in zip(begins, ends, strict=True)], np.uint64).view(np.int64)
+
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each anchor its hash, the hash of its extent, and the first and last window that it serves."""
         found = []
@@ -94,7 +106,7 @@ class Text:
             a = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
             b = np.append(a[1:], count) - 1
             p = at[a]
-            extent = self.hashes(first + a, b - a + WINDOW) + (p - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (b - a).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+            extent = self.digests(first + a, b - a + WINDOW).view(np.uint64) + (p - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (b - a).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
             found.append((keys[p].view(np.int64), mixed(extent).view(np.int64), first + a, first + b))
         if not found:
             return tuple(np.zeros(0, np.int64) for _ in range(4))
@@ -141,25 +153,53 @@ def anchors(docs: DataFrame) -> DataFrame:
     return materialise(map_rows(docs.select("k", "text"), "k long, fp array<long>, ext array<long>", task), "substring-anchors")
 
 
+_RUN = "fp BIGINT, n BIGINT, ext BIGINT, mixed BOOLEAN"
+
+
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, n, ext, mixed): an anchor's hash, its occurrences, an extent, and whether there are others."""
+    """Sorted immutable runs of (fp, n, ext, mixed): an anchor's hash, its occurrences, an extent, and whether there are others.
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark, self.runs = spark, []
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    The folder ``path`` has the runs, a manifest whose newest version names those that count and, unless ``documents``
+    is false, the anchors and texts of what was added. An index that exists is opened.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, documents: bool = True):
+        self.spark, self.path, self.documents = spark, path.rstrip("/"), documents
+        self.runs: list[str] = []
+        self.version, self.buckets = 0, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        try:
+            rows = spark.read.parquet(f"{self.path}/manifest")
+            last = rows.agg(F.max("version")).first()[0]
+            found = rows.where(F.col("version") == last).orderBy("place").collect()  # one or two runs
+        except AnalysisException:  # a new index
+            found = []
+        if found:
+            self.runs, self.version, self.buckets = [r["run"] for r in found], last, found[0]["buckets"]
+            for name in self.runs:
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({_RUN}) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
 
     def _write(self, rows: DataFrame) -> str:
         name = f"tessera_run_{uuid.uuid4().hex}"
-        rows.write.bucketBy(self.buckets, "fp").sortBy("fp").option("compression", "zstd").saveAsTable(name)
+        rows.write.bucketBy(self.buckets, "fp").sortBy("fp").option("compression", "zstd").option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
-    def add(self, batch: DataFrame) -> None:
-        """``batch`` (anchors) becomes a run; as soon as two runs exist they are merged, so a lookup reads one."""
+    def _note(self) -> None:
+        self.version += 1
+        rows = [(self.version, i, name, self.buckets) for i, name in enumerate(self.runs)]
+        self.spark.createDataFrame(rows, "version long, place int, run string, buckets int").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def add(self, batch: DataFrame, docs: DataFrame | None = None) -> None:
+        """``batch`` (anchors of ``docs``) becomes a run; as soon as two runs exist they are merged, so a lookup reads one."""
         each = batch.select(F.explode(F.arrays_zip("fp", "ext")).alias("x")).select("x.fp", "x.ext")
         run = each.groupBy("fp").agg(F.count("*").alias("n"), F.min("ext").alias("ext"), (F.min("ext") != F.max("ext")).alias("mixed"))
+        if self.documents and docs is not None:
+            batch.write.mode("append").parquet(f"{self.path}/anchors")
+            docs.select("k", "text").write.mode("append").parquet(f"{self.path}/texts")
         self.runs.append(self._write(run))
         if len(self.runs) > 1:
             self.compact()
+        else:
+            self._note()
 
     def compact(self) -> None:
         """Merge-join of the two oldest runs, both bucketed and sorted by hash; once the merged run is written they go."""
@@ -172,17 +212,32 @@ class FingerprintIndex:
             (F.coalesce("mixed", F.lit(False)) | F.coalesce("new_mixed", F.lit(False)) | F.coalesce(F.col("ext") != F.col("new_ext"), F.lit(False))).alias("mixed"),
         )
         done, self.runs[:2] = self.runs[:2], [self._write(merged)]
+        self._note()
         for name in done:
             self.spark.sql(f"DROP TABLE {name}")
+            self.spark.createDataFrame([], _RUN).write.mode("overwrite").parquet(f"{self.path}/{name}")  # frees its files
 
     def repeated(self) -> DataFrame:
         """fp and mixed of the anchors that occur more than once in all that was added."""
         while len(self.runs) > 1:
             self.compact()
         # read as plain files: with exchanges on both sides the later join can split a hot anchor
-        run = self.spark.table(self.runs[0])
-        files = run.inputFiles()
-        return (self.spark.read.schema(run.schema).parquet(*files) if files else run).where("n > 1").select("fp", "mixed")
+        return self.spark.read.schema(_RUN).parquet(f"{self.path}/{self.runs[0]}").where("n > 1").select("fp", "mixed")
+
+    def history(self) -> tuple[DataFrame, DataFrame] | None:
+        """Anchors (k, fp, ext) and texts (k, text) of what an opened index holds; None for a new one."""
+        if not self.version or not self.documents:
+            return None
+        return tuple(self.spark.read.schema(s).parquet(f"{self.path}/{x}") for x, s in (("anchors", "k long, fp array<long>, ext array<long>"), ("texts", "k long, text string")))
+
+    def close(self) -> None:
+        """No table stays in the session's catalogue; the folder does."""
+        for name in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _both(hashes: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    return np.rec.fromarrays([hashes, digests])
 
 
 def _isin(values: np.ndarray, of: list[int] | None) -> np.ndarray:
@@ -194,40 +249,44 @@ def first_verdict(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         for part in slices(batches):
-            out: dict[str, list] = {k: [] for k in ("n_words", "n_removed", "sha", "text", "one", "some", "window")}
+            out: dict[str, list] = {k: [] for k in ("n_words", "n_removed", "sha", "text", "one", "some", "window", "digest")}
             for raw, one, some in zip(as_bytes(part.column("text")), part.column("one").to_pylist(), part.column("some").to_pylist(), strict=True):
                 text = Text(raw)
                 out["n_words"].append(text.n)
                 if some:
                     fp, _, a, b = text.anchors()
                     open_ = _isin(fp, some)
-                    window = text.hashes(starts(a[open_], b[open_]), WINDOW).view(np.int64)
-                    row = (None, None, raw.decode(), one, some, window)
+                    at = starts(a[open_], b[open_])
+                    row = (None, None, raw.decode(), one, some, text.hashes(at, WINDOW).view(np.int64), text.digests(at, WINDOW))
                 else:
                     at = np.zeros(0, np.int64)
                     if one:
                         fp, _, a, b = text.anchors()
                         sure = _isin(fp, one)
                         at = starts(a[sure], b[sure])
-                    row = (*text.without(at), None, None, None, None)
-                for k, v in zip(("n_removed", "sha", "text", "one", "some", "window"), row, strict=True):
+                    row = (*text.without(at), None, None, None, None, None)
+                for k, v in zip(("n_removed", "sha", "text", "one", "some", "window", "digest"), row, strict=True):
                     out[k].append(v)
             yield out | {k: part.column(k) for k in ("k", "doc_id")}
 
     joined = docs.join(known, "k", "left").select("k", "doc_id", "text", "one", "some")
-    return materialise(map_rows(joined, "k long, doc_id long, n_words long, n_removed long, sha string, text string, one array<long>, some array<long>, window array<long>", task), "substring-verdict")
+    return materialise(map_rows(joined, "k long, doc_id long, n_words long, n_removed long, sha string, text string, one array<long>, some array<long>, window array<long>, digest array<long>", task), "substring-verdict")
 
 
 def last_verdict(rest: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         for part in slices(batches):
             out: dict[str, list] = {"n_removed": [], "sha": []}
-            for raw, one, some, again in zip(as_bytes(part.column("text")), *(part.column(k).to_pylist() for k in ("one", "some", "again")), strict=True):
+            for raw, one, some, again, digest in zip(as_bytes(part.column("text")), *(part.column(k).to_pylist() for k in ("one", "some", "again", "digest")), strict=True):
                 text = Text(raw)
                 fp, _, a, b = text.anchors()
                 sure, open_ = _isin(fp, one), _isin(fp, some)
                 maybe = starts(a[open_], b[open_])
-                maybe = maybe[_isin(text.hashes(maybe, WINDOW).view(np.int64), again)]
+                if again:
+                    wanted = np.unique(_both(np.array(again, np.int64), np.array(digest, np.int64)))
+                    maybe = maybe[np.isin(_both(text.hashes(maybe, WINDOW).view(np.int64), text.digests(maybe, WINDOW)), wanted)]
+                else:
+                    maybe = maybe[:0]
                 n, sha = text.without(np.concatenate([starts(a[sure], b[sure]), maybe]))
                 out["n_removed"].append(n)
                 out["sha"].append(sha)
@@ -236,35 +295,62 @@ def last_verdict(rest: DataFrame) -> DataFrame:
     return map_rows(rest, "doc_id long, n_words long, n_removed long, sha string", task)
 
 
-def remove_repeats(docs: DataFrame, batches: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def windows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """From (k, text) and (k, some): window and digest (arrays) of the windows that the anchors ``some`` of each text serve."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        for part in slices(batches):
+            out: dict[str, list] = {"window": [], "digest": []}
+            for raw, some in zip(as_bytes(part.column("text")), part.column("some").to_pylist(), strict=True):
+                text = Text(raw)
+                fp, _, a, b = text.anchors()
+                open_ = _isin(fp, some)
+                at = starts(a[open_], b[open_])
+                out["window"].append(text.hashes(at, WINDOW).view(np.int64))
+                out["digest"].append(text.digests(at, WINDOW))
+            yield out
+
+    return map_rows(docs.join(wanted, "k").select("text", "some"), "window array<long>, digest array<long>", task)
+
+
+def remove_repeats(docs: DataFrame, batches: int = 2, doc_id: str = "doc_id", text: str = "text", index: FingerprintIndex | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256.
 
     A null text has no words; a text of fewer than WINDOW words loses none; the digest is of the kept words joined by
     single spaces. Repeated rows are copies of each other, so all their windows repeat. Null doc_ids are carried, an
     empty table gives no rows, other columns are ignored. Documents reach the index in ``batches`` (by hash), and the
-    result does not depend on how many.
+    result does not depend on how many. With ``index``, a window also repeats if it starts anywhere in what that index
+    holds, and ``docs`` are added to it; what was judged before stays as it is.
     """
     spark = docs.sparkSession
-    docs = keyed(columns(docs, doc_id=doc_id, text=text))
-    index, parts = FingerprintIndex(spark), []
+    docs, parts = keyed(columns(docs, doc_id=doc_id, text=text)), []
+    own = index or FingerprintIndex(spark, new_path(spark, "substring-index"), documents=False)
+    past = own.history()
+    if past is not None:  # as it is now: what follows adds to it
+        past = tuple(materialise(x, "substring-history") for x in past)
     for i in range(batches):
-        parts.append(anchors(docs.where(F.pmod("k", F.lit(batches)) == i)))
-        index.add(parts[-1])
+        batch = docs.where(F.pmod("k", F.lit(batches)) == i)
+        parts.append(anchors(batch))
+        own.add(parts[-1], batch)
     seen = parts[0]
     for x in parts[1:]:
         seen = seen.unionByName(x)
     each = seen.select("k", F.explode(F.array_distinct("fp")).alias("fp"))
-    known = each.join(index.repeated(), "fp").groupBy("k").agg(F.collect_set(F.when(~F.col("mixed"), F.col("fp"))).alias("one"), F.collect_set(F.when(F.col("mixed"), F.col("fp"))).alias("some"))
+    known = each.join(own.repeated(), "fp").groupBy("k").agg(F.collect_set(F.when(~F.col("mixed"), F.col("fp"))).alias("one"), F.collect_set(F.when(F.col("mixed"), F.col("fp"))).alias("some"))
     verdict = first_verdict(docs, known)
+    if index is None:
+        own.close()
     rest = verdict.where("sha IS NULL")
-    # the array has an entry for each place, so a window that repeats inside one text counts twice
-    window = rest.select("k", F.explode(F.array_distinct("window")).alias("w"))
-    again = window.join(repeated_windows(rest), "w").groupBy("k").agg(F.collect_set("w").alias("again"))
-    open_ = rest.join(again, "k", "left").select("doc_id", "n_words", "text", "one", "some", "again")
+    # the arrays have an entry for each place, so a window that repeats inside one text counts twice
+    places = rest.select(F.explode(F.arrays_zip("window", "digest")).alias("x"))
+    if past is not None:
+        open_ = rest.select(F.explode("some").alias("fp")).distinct()
+        old = past[0].select("k", F.explode(F.array_distinct("fp")).alias("fp")).join(open_, "fp").groupBy("k").agg(F.collect_set("fp").alias("some"))
+        # one text for each key: rows that share a key are equal
+        places = places.unionByName(windows_of(past[1], old).select(F.explode(F.arrays_zip("window", "digest")).alias("x")))
+    repeated = places.select("x.window", "x.digest").groupBy("window", "digest").count().where("count > 1").drop("count")
+    window = rest.select("k", F.explode(F.arrays_zip("window", "digest")).alias("x")).select("k", "x.window", "x.digest").distinct()
+    again = window.join(repeated, ["window", "digest"]).groupBy("k").agg(F.collect_list(F.struct("window", "digest")).alias("again"))
+    open_ = rest.drop("digest").join(again, "k", "left").select("doc_id", "n_words", "text", "one", "some", F.col("again.window").alias("again"), F.col("again.digest").alias("digest"))
     done = verdict.where("sha IS NOT NULL").select("doc_id", "n_words", "n_removed", "sha")
     return done.unionByName(last_verdict(open_)).select("doc_id", "n_words", "n_removed", F.col("sha").alias("kept_sha256"))
-
-
-def repeated_windows(rest: DataFrame) -> DataFrame:
-    """Hashes of windows (arrays with one entry for each start) that start at more than one place."""
-    return rest.select(F.explode("window").alias("w")).groupBy("w").count().where("count > 1").select("w")
