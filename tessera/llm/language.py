@@ -5,7 +5,7 @@ each language, over all labelled rows of the training folds; the counts are summ
 driver has at most languages * (BUCKETS + scripts) numbers whatever the corpus.
 
 Prediction: a word's score for a language is the sum of its trigrams' log probabilities. Languages that are (almost)
-never written in the word's script are no candidates for it. The best path through all words, where each change of
+never written in the word's script are no candidates for it and are not scored. The best path through all words, where each change of
 language costs SWITCH, labels the spans; the language with the most bytes of words is the document's.
 """
 
@@ -26,7 +26,7 @@ BUCKETS = 1 << 15
 SWITCH = 14.0
 #: A language is a candidate for a script that has at least this share of its training words.
 SHARE = 0.002
-#: Cost of a word in a language that is no candidate for its script.
+#: What a word costs in a language that is no candidate for its script, beyond its best candidate.
 OUTSIDE = 60.0
 SMOOTHING = 0.5
 
@@ -85,11 +85,21 @@ class Words:
         point = np.where(a < 128, a, np.where(a < 0xE0, ((a & 31) << 6) | b, np.where(a < 0xF0, ((a & 15) << 12) | (b << 6) | c, ((a & 7) << 18) | (b << 12) | (c << 6) | e)))
         return _SCRIPT[np.searchsorted(_FIRST, point, side="right") - 1]
 
-    def sums(self, weights: np.ndarray) -> np.ndarray:
-        """For each word and language the sum of ``weights`` (languages x buckets) over its trigrams."""
-        if not len(self.start):
-            return np.zeros((0, len(weights)), np.float32)
-        return np.stack([np.add.reduceat(w[self.gram], self.first_gram) for w in weights], axis=1)
+    def sums(self, weights: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """For each word and language the sum of ``weights`` (languages x buckets) over its trigrams, where ``inside`` (words x languages) has the language as a candidate.
+
+        Other languages are not looked up; they cost OUTSIDE more than the best candidate.
+        """
+        found = np.full((len(self.start), len(weights)), -np.inf, np.float32)
+        for i, w in enumerate(weights):
+            words = inside[:, i]
+            if words.all() and len(words):
+                found[:, i] = np.add.reduceat(w[self.gram], self.first_gram)
+            elif words.any():
+                length = self.length[words]
+                found[words, i] = np.add.reduceat(w[self.gram[np.repeat(words, self.length)]], np.cumsum(length) - length)
+        outside = ~np.isfinite(found)
+        return np.where(outside, found.max(axis=1, initial=-np.inf, keepdims=True) - np.float32(OUTSIDE), found)
 
 
 def best_paths(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
@@ -173,8 +183,7 @@ class Model:
         words = Words(texts)
         labels = np.zeros(len(words.start), np.int16)
         if self.langs:
-            outside = ~self.candidates.T[words.scripts()]
-            labels = best_paths(words.sums(self.weights) - OUTSIDE * outside.astype(np.float32), words.first, self.switch)
+            labels = best_paths(words.sums(self.weights, self.candidates.T[words.scripts()]), words.first, self.switch)
         for i, text in enumerate(texts):
             a, b = words.first[i], words.first[i + 1]
             own = labels[a:b]
