@@ -1,10 +1,10 @@
 """Exact duplicates through compressed radix tries.
 
-Every task of the scan inserts its texts (A-Z lower-cased) into a trie whose keys are content hash and full bytes;
-a terminal node keeps the owner (the extreme doc_id) and how many rows it stands for, so a text that fills a third of
-the table leaves each task once. These records are dealt by length and content hash, sorted, and inserted again;
-since a task meets its keys in order, subtrees that are complete are given out and freed whenever the trie outgrows
-its budget. Finally each row joins its class by length and hash. Only classes with copies are joined, and the join
+Every task of the scan inserts its texts (A-Z lower-cased, full bytes) into a trie; a terminal node keeps the owner
+(the extreme doc_id) and how many rows it stands for, so a text that fills a third of the table leaves each task once.
+These records are dealt by length and content hash, sorted, and inserted again; since all records of a text come
+together, every subtree is complete between two hashes, and subtrees are given out and freed one by one whenever the
+trie outgrows its budget. Finally each row joins its class by hash. Only classes with copies are joined, and the join
 splits a hot class on the rows' side.
 """
 
@@ -13,14 +13,18 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, ascii_lower, carried, columns, map_rows, slices, unpacked
+from tessera.llm.common import as_bytes, ascii_lower, carried, columns, give_back, map_rows, slices, unpacked
 
 #: Key bytes that one task's trie may hold before subtrees leave it.
-TRIE_BYTES = 64 << 20
+TRIE_BYTES = 16 << 20
+#: Rows that a task holds beside it before it hands on those that own their texts.
+TRIE_ROWS = 1 << 14
 
 
 class Node:
@@ -80,24 +84,27 @@ class Trie:
                 yield key, node.owner, node.count
             todo += [(x, key) for x in node.children.values()]
 
-    def spill(self, keep: int | None = None) -> Iterator[tuple[bytes, int | None, int]]:
-        """Give out the subtrees below the root, but for the one that begins with byte ``keep``."""
-        for first in [x for x in self.root.children if x != keep]:
+    def spill(self) -> Iterator[tuple[bytes, int | None, int]]:
+        """Give out and free the root's key and then its subtrees, one after the other."""
+        if self.root.count:
+            yield b"", self.root.owner, self.root.count
+            self.root.count, self.root.owner = 0, None
+        for first in list(self.root.children):
             yield from self.terminals(self.root.children.pop(first))
-        self.bytes = sum(len(k) + 200 for k, _, _ in self.terminals())
+        self.bytes = 0
 
 
-HASH = 32
+def normal(raw: bytes) -> bytes:
+    """A-Z lower-cased; ``bytes.lower`` leaves other characters alone."""
+    return raw.lower()
 
 
-def key_of(raw: bytes) -> bytes:
-    """Content hash and text, A-Z lower-cased (``bytes.lower`` leaves other characters alone)."""
-    low = raw.lower()
-    return hashlib.sha256(low).digest() + low
+def digest(text: bytes) -> bytes:
+    return hashlib.sha256(text).digest()
 
 
 def _records(found: list[tuple[bytes, int | None, int]]) -> dict[str, list]:
-    return {"n_bytes": [len(k) - HASH for k, _, _ in found], "h": [k[:HASH] for k, _, _ in found], "text": [k[HASH:] for k, _, _ in found], "owner": [o for _, o, _ in found], "n": [n for _, _, n in found]}
+    return {"n_bytes": [len(k) for k, _, _ in found], "h": [digest(k) for k, _, _ in found], "text": [k for k, _, _ in found], "owner": [o for _, o, _ in found], "n": [n for _, _, n in found]}
 
 
 def _chunks(found: Iterator[tuple[bytes, int | None, int]], limit: int = 8 << 20) -> Iterator[list]:
@@ -119,24 +126,22 @@ def classes(docs: DataFrame, largest: bool = True) -> DataFrame:
         trie = Trie(largest)
         for part in slices(batches):
             for i, raw in zip(part.column("doc_id").to_pylist(), as_bytes(part.column("text")), strict=True):
-                trie.insert(key_of(raw), i)
+                trie.insert(normal(raw), i)
             if trie.bytes > TRIE_BYTES:
                 yield from map(_records, _chunks(trie.spill()))
-        yield from map(_records, _chunks(trie.terminals()))
+        yield from map(_records, _chunks(trie.spill()))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        trie, length = Trie(largest), -1
+        trie, at = Trie(largest), None
         narrow = lambda found: {k: v for k, v in _records(found).items() if k != "text"}
         for part in slices(batches):
             for n_bytes, h, raw, owner, n in zip(*(part.column(k).to_pylist() for k in ("n_bytes", "h", "text", "owner", "n")), strict=True):
-                if n_bytes != length:  # sorted by length, then hash: what came before is complete
-                    if trie.bytes > TRIE_BYTES // 8:
+                if (n_bytes, h) != at:  # sorted by length and hash: every subtree is complete
+                    if trie.bytes > TRIE_BYTES:
                         yield from map(narrow, _chunks(trie.spill()))
-                    length = n_bytes
-                elif trie.bytes > TRIE_BYTES:
-                    yield from map(narrow, _chunks(trie.spill(h[0])))
-                trie.insert(h + raw, owner, n)
-        yield from map(narrow, _chunks(trie.terminals()))
+                    at = n_bytes, h
+                trie.insert(raw, owner, n)
+        yield from map(narrow, _chunks(trie.spill()))
 
     partial = map_rows(docs, "n_bytes long, h binary, text binary, owner long, n long", first)
     dealt = partial.repartition("n_bytes", "h").sortWithinPartitions("n_bytes", "h")
@@ -146,7 +151,7 @@ def classes(docs: DataFrame, largest: bool = True) -> DataFrame:
 def digests(docs: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         for part in slices(batches):
-            yield {"doc_id": part.column("doc_id"), "h": [hashlib.sha256(x.lower()).digest() for x in as_bytes(part.column("text"))]}
+            yield {"doc_id": part.column("doc_id"), "h": [digest(normal(x)) for x in as_bytes(part.column("text"))]}
 
     return map_rows(docs, "doc_id long, h binary", task)
 
@@ -169,8 +174,52 @@ def exact_duplicates(docs: DataFrame, largest: bool = True, doc_id: str = "doc_i
 
 
 def keep_one(docs: DataFrame, largest: bool = True) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows tied in doc_id and text any one."""
-    verdict = exact_duplicates(docs, largest).where("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("h"))
-    body = carried(docs, id=docs["doc_id"], digest=F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256))
-    kept = body.join(verdict, F.col("id").eqNullSafe(F.col("keep")) & (F.col("digest") == F.col("h")), "left_semi")
-    return unpacked(kept.dropDuplicates(["id", "digest"]), docs)
+    """The rows of ``docs`` that stay, with all their columns; of rows tied in doc_id and text any one.
+
+    A row crosses the network once, whole, and only if no other row of its task owns its text. Nulls and empty tables
+    as in ``exact_duplicates``.
+    """
+
+    def owners(batches: Iterator[pa.RecordBatch], complete: bool) -> Iterator[pa.RecordBatch]:
+        """Of each text the row that owns it. ``complete``: rows come sorted by hash, and all rows of a text come here."""
+        trie, held, before = Trie(), [], 0
+
+        def put(part: pa.RecordBatch) -> None:
+            nonlocal before
+            ids, texts = (pc.struct_field(part.column("row"), i) for i in places)
+            for i, (doc, raw) in enumerate(zip(ids.to_pylist(), as_bytes(texts), strict=True)):
+                # a null owns a text only if there is no other
+                trie.insert(normal(raw), (doc is not None, (doc or 0) if largest else -(doc or 0), before + i))
+            held.append(part)
+            before += part.num_rows
+
+        def leave() -> list[pa.RecordBatch]:
+            """The owners; subtree by subtree, then in the order in which the rows came."""
+            nonlocal trie, held, before
+            stay, start, out = np.sort(np.array([owner[2] for _, owner, _ in trie.spill()], np.int64)), 0, []
+            for part in held:
+                mine = stay[(stay >= start) & (stay < start + part.num_rows)] - start
+                start += part.num_rows
+                if len(mine):
+                    out.append(part.take(pa.array(mine)))
+            trie, held, before = Trie(), [], 0
+            return out
+
+        for part in slices(batches, "n_bytes"):
+            if trie.bytes > TRIE_BYTES or before > TRIE_ROWS:
+                for found in leave():
+                    # the text that was being read may go on
+                    open_ = pc.equal(found.column("h"), part.column("h")[0]) if complete else pa.array([False] * found.num_rows)
+                    yield found.filter(pc.invert(open_))
+                    if pc.any(open_).as_py():
+                        put(found.filter(open_))
+            put(part)
+        yield from leave()
+        give_back()
+
+    text = F.coalesce(docs["text"], F.lit(""))
+    places = [[docs.columns.index("doc_id")], [docs.columns.index("text")]]
+    body = carried(docs, n_bytes=F.octet_length(text).cast("long"), h=F.unhex(F.sha2(ascii_lower(text), 256)))
+    partial = body.mapInArrow(lambda batches: owners(batches, False), body.schema)
+    dealt = partial.repartition("n_bytes", "h").sortWithinPartitions("n_bytes", "h")
+    return unpacked(dealt.mapInArrow(lambda batches: owners(batches, True), body.schema).select("row"), docs)
