@@ -35,16 +35,16 @@ from tessera.llm.language import fold
 #: Words whose counts travel to the tasks, at most. The result does not depend on it: other counts are joined.
 HEAD = 1 << 18
 #: Words with parameters of their own, and groups of words.
-MODEL, GROUPS = 1 << 14, 256
+MODEL, GROUPS = 1 << 12, 128
 #: Bytes of a word's end that decide its group.
 ENDING = 3
 DIMENSIONS = 16
 CONTEXT = 2
 BATCH = 4096
 #: Noise groups of a batch, and noise words of a token.
-NOISE, NOISE_WORDS = 32, 2
+NOISE, NOISE_WORDS = 32, 1
 RATE, LEAST_SQUARE = 0.05, 1.0
-ROUNDS, SHARD = 4, 4_000_000
+ROUNDS, SHARD = 4, 2_000_000
 REMEMBERED = 300_000
 #: Distinct words that a counting task holds before it hands partial counts on.
 HELD = 200_000
@@ -150,7 +150,8 @@ class Reader:
             at = np.searchsorted(v.h, h)
             found = (at < len(v.h)) & (v.h[np.minimum(at, len(v.h) - 1)] == h) if len(v.h) else np.zeros(len(h), bool)
             number = np.where(found, v.number[np.minimum(at, len(v.h) - 1)], -1) if len(v.h) else np.full(len(h), -1)
-            number = np.where(number < 0, v.rest[[group_of(w) for w in new]], number)
+            other = np.flatnonzero(number < 0)
+            number[other] = v.rest[[group_of(new[i]) for i in other.tolist()]]
             self.hash, self.at, self.number = np.append(self.hash, h), np.append(self.at, np.where(found, at, -1)), np.append(self.number, number)
 
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
