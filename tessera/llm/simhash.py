@@ -35,7 +35,11 @@ SEED = 42
 #: Members of a bucket that are compared in full.
 BUCKET = 128
 #: Frequent shingles are counted in each task over HELD shingles at a time, sent on if counted SOME times, and HEAD of them at most are used.
-HELD, SOME, HEAD = 1 << 21, 4, 1 << 16
+HELD, SOME, HEAD = 1 << 20, 3, 1 << 16
+#: Keys of a set in the near-duplicate stage, and the shingles that make a key.
+BANDS, ROWS = 40, 2
+_TIMES, _PLUS = (np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64))
+_TIMES |= np.uint64(1)
 
 
 def hashes(raw: bytes, shingle: int) -> np.ndarray:
@@ -287,77 +291,186 @@ def frequent(docs: DataFrame, k: int, most: int = HEAD) -> tuple[np.ndarray, np.
     return s[order], n[order]
 
 
-def prefix(s: np.ndarray, often: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
-    """The first shingles of a set, so many that two sets with a Jaccard similarity of ``least`` have one in common.
+def shared(x: float) -> int:
+    """The least whole number from ``x`` on; a little lower where ``x`` is whole but for rounding."""
+    return int(np.ceil(x - 1e-6))
+
 
-    The order is the same for all sets: frequent shingles last, the rarer first, otherwise by hash. A partner has
-    ``least`` of the set's shingles, so it cannot miss all of the first len - ceil(least * len) + 1.
+def rarest(s: np.ndarray, often: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first shingles of a set in an order that is the same for all sets: the rarer first, otherwise by hash.
+
+    Two sets with a Jaccard similarity of ``least`` differ in a share of 1 - least of the larger at most. So much of a
+    set may be missing in its partner, and as much again is taken: half of what is left is common at the worst.
     """
     at = np.minimum(np.searchsorted(often[0], s), max(0, len(often[0]) - 1))
     count = np.where(often[0][at] == s, often[1][at], 0) if len(often[0]) else np.zeros(len(s), np.int64)
-    return s[np.lexsort((s, count))][: len(s) - shared(least * len(s)) + 1]
+    return s[np.lexsort((s, count))][: 2 * (len(s) - shared(least * len(s))) + 1]
 
 
-def shared(x: float) -> int:
-    """The least whole number from ``x`` on; a little lower where ``x`` is whole but for rounding."""
-    return int(np.ceil(x - 1e-6))
+def bands(s: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set, each of the least shingles under ROWS permutations."""
+    least = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
+    for i in range(0, len(s), 1 << 12):
+        least = np.minimum(least, (s[None, i : i + (1 << 12)] * _TIMES + _PLUS).min(axis=1))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(ROWS, BANDS):
+        key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
 
 
-def shingle_sets(docs: DataFrame, k: int, least: float) -> DataFrame:
-    """doc_id, h (hash of the text), node (hash of the set of shingles), f (fingerprint), n (shingles of the set), prefix; only texts with words."""
+def summaries(docs: DataFrame, k: int, least: float) -> DataFrame:
+    """doc_id, h (hash of the text), node (hash of the set of shingles), f (fingerprint), n (shingles of the set), bands; only texts with words."""
     often = frequent(docs, k)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         for part in slices(batches):
-            out: dict[str, list] = {"doc_id": [], "h": [], "node": [], "f": [], "n": [], "prefix": []}
+            out: dict[str, list] = {"doc_id": [], "h": [], "node": [], "f": [], "n": [], "bands": []}
             for i, h, raw in zip(part.column("doc_id").to_pylist(), part.column("h").to_pylist(), as_bytes(part.column("text")), strict=True):
                 every = hashes(raw, k)
                 if len(every):
                     s = np.unique(every)
-                    for name, value in zip(out, (i, h, signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)), signed(majority(every)), len(s), prefix(s, often, least).view(np.int64)), strict=True):
+                    for name, value in zip(out, (i, h, signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)), signed(majority(every)), len(s), bands(rarest(s, often, least)).view(np.int64)), strict=True):
                         out[name].append(value)
             yield out
 
-    return materialise(map_rows(docs, "doc_id long, h long, node long, f long, n long, prefix array<long>", task), "simhash-sets")
+    return materialise(map_rows(docs, "doc_id long, h long, node long, f long, n long, bands array<long>", task), "simhash-rows")
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """How many shingles of a set begin with each value of some bits: one to two on average, 255 for more than 254."""
+    bits = max(3, (len(s) // 2).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
 
+def at_most(x: np.ndarray, y: np.ndarray) -> int:
+    """What two sets can have in common by their sketches; never too low."""
+    x, y = (np.where(v == 255, 1 << 40, v.astype(np.int64)) for v in (x, y))
+    small = min(len(x), len(y))
+    return int(np.minimum(x.reshape(small, -1).sum(axis=1), y.reshape(small, -1).sum(axis=1)).sum())
 
-def similar(docs: DataFrame, first: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b: nodes) whose sets of k-word shingles have a Jaccard similarity of ``least``; ``first`` has a text's doc_id and h for each node."""
+
+def shingle_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """node, n, sketch and items (the sorted 32-bit hashes of its shingles) for each of ``nodes``; written.
+
+    The one time that texts move: those of ``nodes`` are picked out by the hash of the text.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        last: dict[str, tuple[int, np.ndarray]] = {}
-
-        def set_of(side: str, node: int, raw: bytes) -> np.ndarray:
-            if side not in last or last[side][0] != node:  # rows come sorted by one of the sides
-                last[side] = node, np.unique(hashes(raw, k))
-            return last[side][1]
-
-        for part in slices(batches, "a_text"):
-            out: dict[str, list] = {"a": [], "b": []}
-            for a, b, x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), as_bytes(part.column("a_text")), as_bytes(part.column("b_text")), strict=True):
-                x, y = set_of("a", a, x), set_of("b", b, y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= shared(least * (len(x) + len(y) - both)):
-                    out["a"].append(a)
-                    out["b"].append(b)
-            yield out
+        for part in slices(batches):
+            found = [np.unique(hashes(raw, k)) for raw in as_bytes(part.column("text"))]
+            items = [np.unique(s.astype(np.uint32)) for s in found]
+            yield {"node": part.column("node"), "n": [len(s) for s in items], "sketch": [sketch(s).tobytes() for s in found], "items": [s.astype("<u4").tobytes() for s in items]}
+
+    wanted = rows.join(nodes, "node").groupBy("node").agg(F.min("h").alias("t")).groupBy("t").agg(F.min("node").alias("node"))
+    texts = docs.join(wanted, docs["h"] == wanted["t"]).select("node", "text")
+    return materialise(map_rows(texts, "node long, n long, sketch binary, items binary", task).dropDuplicates(["node"]), "simhash-sets")
+
+
+def alike(sketches: list[np.ndarray], sizes: np.ndarray, apart: np.ndarray, least: float) -> list[tuple[int, int, int]]:
+    """Pairs of places (x, y) that ``apart`` allows and whose sketches do not refuse ``least``, with what they can have in common at most."""
+    found = []
+    width = np.array([len(x) for x in sketches])
+    low = np.minimum(sizes[:, None], sizes[None, :]) >= least * np.maximum(sizes[:, None], sizes[None, :]) - 1
+    open_ = np.triu(apart & low, 1)
+    open_ = open_ | open_.T
+    for w in np.unique(width):
+        folded = np.array([np.where(x == 255, 1 << 40, x.astype(np.int64)).reshape(w, -1).sum(axis=1) if len(x) >= w else np.zeros(w, np.int64) for x in sketches])
+        for x in np.flatnonzero(width == w):
+            y = np.flatnonzero(open_[x] & ((width > w) | ((width == w) & (np.arange(len(width)) > x))))
+            if len(y):
+                both = np.minimum(np.minimum(folded[x], folded[y]).sum(axis=1), np.minimum(sizes[x], sizes[y]))
+                good = both >= np.ceil(least * (sizes[x] + sizes[y] - both) - 1e-6)
+                found += [(int(x), int(i), int(n)) for i, n in zip(y[good], both[good], strict=True)]
+    return found
+
+
+def spanning(pairs: list[tuple[int, int, int]], node: list[int]) -> list[tuple[int, int, int]]:
+    """A forest of the pairs, the likeliest first; ties by the nodes, so that groups with the same sets choose the same pairs."""
+    top, kept = list(range(len(node))), []
+
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for x, y, both in sorted(pairs, key=lambda p: (-p[2], *sorted((node[p[0]], node[p[1]])))):
+        if root(x) != root(y):
+            top[root(x)] = root(y)
+            kept.append((x, y, both))
+    return kept
 
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = first.join(wanted, "node").select("node", F.col("doc_id").alias("i"), F.col("h").alias("t"))
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["i"]) & (docs["h"] == wanted["t"])).select("node", "text").dropDuplicates(["node"])
-    texts = materialise(texts, "simhash-texts")
-    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
-    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-    return materialise(map_rows(two.select("a", "b", "a_text", "b_text"), "a long, b long", task), "simhash-verified")
 
+def candidates(now: DataFrame, sets: DataFrame, least: float, forest: bool, bucket: int = BUCKET) -> DataFrame:
+    """Pairs (a < b) of nodes of different components that share a band and that their sketches do not refuse.
 
-def by_fingerprint(rows: DataFrame, covered: int, radius: int, levels: int) -> DataFrame:
+    ``now`` has node, c and band. A band's sets are dealt into blocks of about ``bucket``, and each two blocks (and
+    each with itself) meet in one place; what leaves it are not its pairs but those that pass, or a ``forest`` of them.
+    """
+    sizes = now.groupBy("band").agg(F.ceil(F.count("*") / bucket).cast("int").alias("blocks"))
+    rows = now.join(sets.select("node", F.col("n").alias("size"), "sketch"), "node").join(sizes, "band")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c", "size", "sketch")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        held: list[dict] = []
+
+        def compared() -> dict[str, list]:
+            node, c, own = (np.array([r[k] for r in held]) for k in ("node", "c", "own"))
+            apart = c[:, None] != c[None, :]
+            if held[0]["i"] != held[0]["j"]:
+                apart &= own[:, None] != own[None, :]
+            pairs = alike([np.frombuffer(r["sketch"], np.uint8) for r in held], np.array([r["size"] for r in held]), apart, least)
+            pairs = spanning(pairs, node.tolist()) if forest else pairs
+            x, y = node[[p[0] for p in pairs]], node[[p[1] for p in pairs]]
+            return {"a": np.minimum(x, y).tolist(), "b": np.maximum(x, y).tolist()}
+
+        for batch in slices(batches, "sketch"):
+            for r in batch.to_pylist():
+                if held and any(r[k] != held[0][k] for k in ("band", "i", "j")):
+                    if len(held) > 1:
+                        yield compared()
+                    held = []
+                held.append(r)
+        if len(held) > 1:
+            yield compared()
+
+    dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return map_rows(dealt, "a long, b long", task).distinct()
+
+
+def similar(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: nodes) whose sets have a Jaccard similarity of ``least``: first by sketches, which refuse no such pair, then by the sets."""
+
+    def with_sets(pairs: DataFrame, column: str) -> DataFrame:
+        for side in "ab":
+            pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col(column).alias(f"of_{side}")), side)
+        return pairs.select("a", "b", "n_a", "n_b", "of_a", "of_b")
+
+    def task(kind: type, common):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+            for part in slices(batches, "of_a"):
+                out: dict[str, list] = {"a": [], "b": []}
+                for a, b, m, n, x, y in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    both = common(np.frombuffer(x, kind), np.frombuffer(y, kind))
+                    if both >= shared(least * (m + n - both)):
+                        out["a"].append(a)
+                        out["b"].append(b)
+                yield out
+
+        return run
+
+    pairs = map_rows(with_sets(pairs, "sketch"), "a long, b long", task(np.uint8, at_most))
+    in_common = lambda x, y: len(np.intersect1d(x, y, assume_unique=True))
+    return materialise(map_rows(with_sets(materialise(pairs, "simhash-passed"), "items"), "a long, b long", task("<u4", in_common)), "simhash-verified")
+
+
+def by_fingerprint(rows: DataFrame, covered: int, radius: int) -> DataFrame:
     """Candidates (a, b) by SimHash: nodes of one fingerprint, and those of fingerprints that a bucket's forest links."""
     distinct = materialise(rows.select("f").distinct(), "simhash-distinct")
-    probes = plan(distinct, covered + 1, covered)
-    for _ in range(levels - 1):
-        probes = [y for m in probes for y in finer(m, covered + 1, covered)]
-    edges = links(distinct, probes, covered + 1, radius)
+    edges = links(distinct, plan(distinct, covered + 1, covered), covered + 1, radius)
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     hubs = materialise(rows.groupBy("f").agg(F.min("node").alias("hub")), "simhash-hubs")
     equal = rows.join(hubs, "f").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     near = edges.join(hubs.select(F.col("f").alias("a"), F.col("hub").alias("x")), "a").join(hubs.select(F.col("f").alias("b"), F.col("hub").alias("y")), "b").select("x", "y")
@@ -374,58 +487,48 @@ def placed(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(linked, F.col("node") == F.col("linked"), "left").withColumn("c", F.coalesce("component", "node")).drop("linked", "component")
 
 
-def groups(docs: DataFrame, rows: DataFrame, k: int, least: float, covered: int, radius: int, levels: int) -> DataFrame:
-    """``rows`` with c, the component of their node in the graph of all pairs with a Jaccard similarity of ``least``.
+def groups(docs: DataFrame, rows: DataFrame, k: int, least: float, covered: int, radius: int) -> DataFrame:
+    """``rows`` with c, the component of their node in the graph of the pairs found with a Jaccard similarity of ``least``.
 
-    Three sources of candidates, each verified on the texts: SimHash; the sets that share a shingle of their prefixes with
-    the first or last of it in a class of like sizes; and then every pair that shares such a shingle and is still in two
-    components. The first two only keep the last one small: it leaves no link out.
+    Candidates come by SimHash, then from the bands of rare shingles that still join several components: first a forest
+    of each, then every pair that is still in two components. Each is verified on the sets of shingles, and no
+    candidate link is left out because of another one that was rejected.
     """
-    first = materialise(rows.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("x")).select("node", "x.doc_id", "x.h"), "simhash-first")
-    tried = materialise(by_fingerprint(rows, covered, radius, levels), "simhash-pairs")
-    edges = similar(docs, first, tried, k, least)
-
-    sets = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    entries = materialise(sets.select("node", "n", F.posexplode("prefix").alias("at", "s")), "simhash-entries")
-    several = entries.groupBy("s").agg(F.count("*").alias("m")).where("m > 1").select("s")
-    entries = materialise(entries.join(several, "s").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / least)))), "simhash-shared")
+    tried = materialise(by_fingerprint(rows, covered, radius), "simhash-pairs")
+    entries = rows.select("node", F.explode("bands").alias("band"))
+    several = entries.groupBy("band").count().where("count > 1").select("band")
+    entries = materialise(entries.join(several, "band").distinct(), "simhash-shared")
+    nodes = tried.select(F.col("a").alias("node")).union(tried.select("b")).union(entries.select("node")).distinct()
+    sets = shingle_sets(docs, rows, materialise(nodes, "simhash-nodes"), k)
+    edges = similar(sets, tried, least)
 
     def crossing(edges: DataFrame) -> DataFrame:
-        """Entries of shingles that stand in two components."""
+        """Entries of bands that stand in two components."""
         now = materialise(placed(entries, edges), "simhash-placed")
-        split = now.groupBy("s").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("s")
-        return materialise(now.join(split, "s"), "simhash-crossing")
-
-    now = crossing(edges)
-    ends = now.groupBy("s", "size").agg(F.min(F.struct("node", "c")).alias("x"), F.max(F.struct("node", "c")).alias("y"))
-    ends = ends.select("s", "size", F.explode(F.array("x", "y")).alias("hub"))
-    stars = now.join(ends, ["s", "size"]).where("c <> hub.c").select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
-    stars = materialise(ordered(stars).join(tried, ["a", "b"], "left_anti"), "simhash-pairs")
-    tried, edges = tried.unionByName(stars), edges.unionByName(similar(docs, first, stars, k, least))
-
-    now = crossing(edges)
-    x, y = (now.select("s", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "c", "n", "at")]) for side in "xy")
-    # what the sets can have in common from this shingle on, if it is the first one they share
-    most = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
-    enough = most >= F.ceil(least / (1 + least) * (F.col("x_n") + F.col("y_n")) - 1e-6)
-    rest = x.join(y, (x["s"] == y["s"]) & (F.col("x_node") < F.col("y_node")) & (F.col("x_c") != F.col("y_c")) & enough)
-    rest = rest.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    rest = materialise(rest, "simhash-pairs")
-    return placed(rows, edges.unionByName(similar(docs, first, rest, k, least)))
-
-
-def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, covered: int = 6, radius: int = 14, levels: int = 2) -> DataFrame:
+        split = now.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("band")
+        return materialise(now.join(split, "band"), "simhash-crossing")
+
+    for forest in (True, False):
+        met = candidates(crossing(edges), sets, least, forest)
+        new = materialise(met.join(tried, ["a", "b"], "left_anti"), "simhash-pairs")
+        tried, edges = tried.unionByName(new), edges.unionByName(similar(sets, new, least))
+    return placed(rows, edges)
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, covered: int = LINK, radius: int = 10) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group of near duplicates.
 
     Near duplicates are texts whose sets of five-word shingles have a Jaccard similarity of ``least``, and groups are the
-    components of all such pairs. SimHash (probes that cover ``covered`` differing bits, in keys of ``levels`` levels,
-    candidates within ``radius`` bits) finds most of them, a prefix filter on the shingles all others; each link is
-    verified on the texts. Of a group the row with the smallest doc_id stays (of rows tied in doc_id, or of rows
-    without a doc_id, any one); texts without words are no near duplicates and all stay.
+    components of such pairs. SimHash (probes that cover ``covered`` differing bits, candidates within ``radius`` bits)
+    finds the closest of them, bands of rare shingles the others; each link is verified on the sets. Of two texts that
+    have ``least`` in common, bands miss one pair in thousands at the worst (one text is the beginning of the other),
+    else one in millions, at every size of the table.
+    Of a group the row with the smallest doc_id stays (of rows tied in doc_id, or of rows without a doc_id, any one);
+    texts without words are no near duplicates and all stay.
     """
     named = columns(docs, doc_id="doc_id", text="text").withColumn("h", F.xxhash64("text"))
-    rows = shingle_sets(named, shingle, least)
-    ids = materialise(groups(named, rows, shingle, least, covered, radius, levels).select("doc_id", "h", "c"), "simhash-classes")
+    rows = summaries(named, shingle, least)
+    ids = materialise(groups(named, rows, shingle, least, covered, radius).select("doc_id", "h", "c"), "simhash-classes")
     best = ids.groupBy("c").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h")).alias("best"))
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))
     gone = ids.join(best, "c").where(~stays).select(F.col("doc_id").alias("i"), F.col("h").alias("t")).distinct()
