@@ -77,7 +77,26 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_packing, op3_exact_dedup, op4_secrets, op5_mixing, op6_simhash, op7_topk, op8_lm, op9_substrings, op10_language)}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import learn, toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_packing, op3_exact_dedup, op4_secrets, op5_mixing, op6_simhash, op7_topk, op8_lm, op9_substrings, op10_language, op11_toxicity, op12_spelling, op13_divergence)}
 
 SQL = {
     "op3_exact_dedup": """
@@ -91,4 +110,22 @@ SQL = {
               FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
         SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
         WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
+    "op13_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        t AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+        l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+        s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+        f AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+                     1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5)) // (coalesce(s.total, 0) + 5 * l.v) AS p,
+                     1 + (CAST(1000000000 AS HUGEINT) * (kept.n + 5)) // (l.total + 5 * l.v) AS q
+              FROM g JOIN kept ON g.lang = kept.lang JOIN l ON l.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term LEFT JOIN s ON s.lang = g.lang AND s.source = g.source),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                  LEFT JOIN (SELECT y.lang, y.source, z.source AS other, sum(abs(y.p - z.p)) AS value FROM f y JOIN f z ON y.lang = z.lang AND y.term = z.term AND y.source <> z.source GROUP BY ALL) x
+                  ON x.lang = a.lang AND x.source = a.source AND x.other = b.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM f WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM (FROM pairs UNION ALL FROM terms) QUALIFY part = 'pair' OR rank <= 50""",
 }

@@ -20,6 +20,7 @@ COLUMNS = {
     "op8_lm": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
     "op9_substrings": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
     "op10_language": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op11_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
 }
 
 
@@ -27,6 +28,7 @@ COLUMNS = {
 def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame(rows(), SCHEMA).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return path
 
 
