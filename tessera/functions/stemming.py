@@ -82,18 +82,26 @@ def porter(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else known.setdefault(w, "") or known.__setitem__(w, stem(w)) or known[w])
 
 
-#: Own groups of words that stand for each other; a word of two groups would be ambiguous and never expands.
+#: Own groups of words that stand for each other, the closest first; members of several words are searched as phrases, and
+#: those of two are also recognised in a question. A word of two groups would be ambiguous and never expands.
 SYNONYMS = (
     ("agreement", "contract", "deal"), ("lawyer", "attorney", "counsel"), ("buy", "purchase", "acquire"), ("begin", "start", "commence"), ("end", "finish", "terminate"),
     ("price", "cost", "fee"), ("large", "big", "huge"), ("small", "little", "tiny"), ("help", "assist", "support"), ("error", "mistake", "fault"),
-    ("staff", "employee", "personnel"), ("car", "vehicle", "automobile"), ("house", "home", "dwelling"), ("show", "display", "present"), ("delete", "remove", "erase"),
+    ("staff", "employee", "personnel", "workforce", "team member"), ("car", "vehicle", "automobile", "motor car"), ("house", "home", "dwelling", "place of residence"), ("show", "display", "present"), ("delete", "remove", "erase", "take out"),
+    ("lease", "tenancy", "rental agreement", "letting"), ("landlord", "lessor", "property owner"), ("tenant", "lessee", "occupier"), ("invoice", "bill", "payment request"), ("salary", "wage", "remuneration", "rate of pay"),
+    ("dismissal", "layoff", "redundancy", "end of employment"), ("court", "tribunal", "court of law"), ("judge", "magistrate", "presiding officer"), ("witness", "deponent", "eye witness"), ("appeal", "review", "second instance"),
+    ("damage", "harm", "injury", "loss"), ("compensation", "redress", "damages award"), ("insurance", "cover", "insurance policy"), ("tax", "levy", "public charge"), ("loan", "credit", "borrowed money"),
+    ("deadline", "due date", "time limit", "cutoff", "last day", "final date", "closing date", "end date"), ("meeting", "conference", "gathering"), ("report", "account", "written statement"), ("plan", "scheme", "course of action"), ("rule", "regulation", "standing order"),
+    ("supplier", "vendor", "provider"), ("customer", "client", "buyer"), ("delivery", "shipment", "consignment"), ("storm", "tempest", "force of nature"), ("proof", "evidence", "supporting document"),
 )
+#: Synonyms of one word, at most.
+MOST_SYNONYMS = 6
 
 
 def synonym_pairs() -> list[tuple[str, str]]:
-    groups = [g for g in SYNONYMS]
+    """(word, synonym): of each word, or pair of words, the first MOST_SYNONYMS others of its group."""
     counts: dict[str, int] = {}
-    for g in groups:
+    for g in SYNONYMS:
         for w in g:
             counts[w] = counts.get(w, 0) + 1
-    return [(a, b) for g in groups for a in g for b in g if a != b and counts[a] == 1]
+    return [(a, b) for g in SYNONYMS for a in g if counts[a] == 1 and len(a.split()) <= 2 for b in [x for x in g if x != a][:MOST_SYNONYMS]]

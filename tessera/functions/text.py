@@ -51,12 +51,17 @@ def query_tokens(text: Column, most: int = QUERY_WORDS) -> Column:
     If there are more, those that tell the subject stay: first the words of the question inside the text, then names
     and numbers (a capital first letter, a digit), then the others, each tier in order of place.
     """
-    words = _original(text, STOP_WORDS)
-    focus = F.transform(_original(question_focus(text), STOP_WORDS), lambda t: F.lower(t))
-    tier = lambda t: F.when(F.array_contains(focus, F.lower(t)), 0).when(t.rlike(r"[0-9]|^\p{Lu}"), 1).otherwise(2)
-    order = F.array_sort(F.transform(words, lambda t, i: F.struct(tier(t).alias("tier"), i.alias("i"), F.lower(t).alias("t"))))
-    tiered = F.array_distinct(F.transform(order, lambda x: x["t"]))
-    return F.when(F.size(words) <= most, F.array_distinct(F.transform(words, lambda t: F.lower(t)))).otherwise(F.slice(tiered, 1, most))
+    held = F.struct(_original(text, STOP_WORDS).alias("words"), F.transform(_original(question_focus(text), STOP_WORDS), F.lower).alias("focus"))
+
+    def chosen(x: Column) -> Column:
+        words, focus = x["words"], x["focus"]
+        tier = lambda t: F.when(F.array_contains(focus, F.lower(t)), 0).when(t.rlike(r"[0-9]|^\p{Lu}"), 1).otherwise(2)
+        order = F.array_sort(F.transform(words, lambda t, i: F.struct(tier(t).alias("tier"), i.alias("i"), F.lower(t).alias("t"))))
+        tiered = F.array_distinct(F.transform(order, lambda y: y["t"]))
+        return F.when(F.size(words) <= most, F.array_distinct(F.transform(words, F.lower))).otherwise(F.slice(tiered, 1, most))
+
+    # a lambda's variable is worked out once; an expression inside the inner lambdas would be so for every word
+    return F.get(F.transform(F.array(held), chosen), F.lit(0))
 
 
 #: Endings that a prefix search takes off, with the least stem that must stay.

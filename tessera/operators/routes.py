@@ -17,11 +17,16 @@ MARK = " […]"
 def hinted(asked: DataFrame, hint: str, files: DataFrame, name: str) -> DataFrame:
     """``asked`` with the files that its hint names: the whole name, or its stem inside the name. No hint: none.
 
-    A hint may stand anywhere in a name, so there is no key to join on: distinct hints, which are stated, travel.
+    A hint may stand anywhere in a name, so hints meet the names that hold the first three characters of their stem
+    (or the whole of a shorter one), and what is met is compared.
     """
     hints = asked.select(F.lower(hint).alias("hint")).where("hint <> ''").distinct().withColumn("stem", F.regexp_replace("hint", r"\.[^.]*$", ""))
-    found = files.crossJoin(F.broadcast(hints)).where((F.lower(name) == F.col("hint")) | F.contains(F.lower(name), F.col("stem")))
-    return asked.join(found.drop("stem"), F.lower(asked[hint]) == F.col("hint")).drop("hint") if hint != "hint" else asked.join(found.drop("stem"), "hint")
+    hints = hints.withColumn("gram", F.substring("stem", 1, 3))
+    n, low = F.length(name), F.lower(name)
+    grams = F.transform(F.sequence(F.lit(1), n), lambda i: F.array(*[F.substring(low, i, F.lit(k)) for k in (1, 2, 3)]))
+    each = files.withColumn("gram", F.explode(F.array_append(F.array_distinct(F.flatten(F.when(n > 0, grams).otherwise(F.array().cast("array<array<string>>")))), "")))
+    found = each.join(hints, "gram").where((low == F.col("hint")) | F.contains(low, F.col("stem"))).drop("gram", "stem")
+    return asked.join(found, F.lower(asked[hint]) == F.col("hint")).drop("hint") if hint != "hint" else asked.join(found, "hint")
 
 
 def within_bytes(rows: DataFrame, group: str, order: list[Column], text: str, budget: int) -> DataFrame:
@@ -76,24 +81,32 @@ def asked_row(question: Column) -> Column:
     return F.regexp_extract(F.lower(question), ROW, 1).try_cast("int")
 
 
-def sheet_route(asked: DataFrame, key: str, question: str, rows: DataFrame, doc: str) -> DataFrame:
+def named_sheets(asked: DataFrame, key: str, question: str, scope: DataFrame, rows: DataFrame, doc: str) -> DataFrame:
+    """key, doc, sheet: the sheets of each question's documents (``scope``: key, doc) that it names.
+
+    A name of two characters or more counts where no letter or digit stands beside it. Questions about a named sheet
+    that ask for no row are searched in these sheets only.
+    """
+    sheets = scope.select(key, doc).distinct().join(rows.select(doc, "sheet").distinct(), doc)
+    spoken = lambda c: F.concat(F.lit(" "), F.array_join(T.tokens(F.col(c)), " "), F.lit(" "))
+    met = sheets.where(F.length(F.trim("sheet")) >= 2).join(asked.select(key, spoken(question).alias("said")), key)
+    return met.where((F.trim(spoken("sheet")) != "") & F.contains("said", spoken("sheet"))).select(key, doc, "sheet")
+
+
+def sheet_route(asked: DataFrame, key: str, question: str, scope: DataFrame, rows: DataFrame, doc: str) -> DataFrame:
     """key, doc, sheet, row, text: the asked row of the sheets that a question names, under the sheet's header.
 
-    A name of two characters or more counts where no letter or digit stands beside it; a question that names none
-    means the only sheet, if there is one only.
+    Only documents in the question's ``scope`` (key, doc) count; a question that names no sheet means the only one that
+    they have, if there is one only.
     """
-    sheets = rows.select(doc, "sheet").distinct()
-    a = asked.select(key, F.concat(F.lit(" "), F.array_join(T.tokens(F.col(question)), " "), F.lit(" ")).alias("said"), asked_row(F.col(question)).alias("row")).where("row IS NOT NULL")
-    own = F.array_join(T.tokens(F.col("sheet")), " ")
-    names = sheets.select("sheet").distinct().where(F.length(F.trim("sheet")) >= 2).withColumn("name", F.concat(F.lit(" "), own, F.lit(" ")))
-    # names meet questions over their first word
-    first = names.withColumn("word", F.split_part(F.trim("name"), F.lit(" "), F.lit(1)))
-    met = a.withColumn("word", F.explode(F.array_distinct(F.split(F.trim("said"), " ")))).join(first, "word").where(F.contains("said", F.col("name"))).select(key, "row", "sheet").distinct()
-    single = sheets.agg(F.count("*").alias("many"), F.first("sheet").alias("sheet")).where("many = 1").select("sheet")
-    alone = a.join(met.select(key).distinct(), key, "left_anti").select(key, "row").crossJoin(F.broadcast(single))  # one row at most
-    wanted = met.unionByName(alone).join(rows, ["sheet", "row"]).withColumnRenamed("line", "own")
+    wanted = asked.select(key, asked_row(F.col(question)).alias("row")).where("row IS NOT NULL")
+    named = named_sheets(asked, key, question, scope, rows, doc)
+    sheets = scope.select(key, doc).distinct().join(rows.select(doc, "sheet").distinct(), doc)
+    single = sheets.groupBy(key).agg(F.count("*").alias("many"), F.first(doc).alias(doc), F.first("sheet").alias("sheet")).where("many = 1").drop("many")
+    alone = single.join(named.select(key).distinct(), key, "left_anti")
+    targets = named.unionByName(alone).join(wanted, key)
     head = rows.where("row = 1").select(doc, "sheet", F.col("line").alias("header"))
-    out = wanted.join(head, [doc, "sheet"])
+    out = targets.join(rows.withColumnRenamed("line", "own"), [doc, "sheet", "row"]).join(head, [doc, "sheet"])
     return out.select(key, doc, "sheet", "row", F.when(F.col("row") == 1, F.col("own")).otherwise(F.concat("header", F.lit("\n"), "own")).alias("text"))
 
 
@@ -116,7 +129,8 @@ def clauses(questions: DataFrame, key: str, question: str, synonyms: DataFrame)
     """key, n, kind (exact, prefix, synonym), term: what a question is searched for, in order.
 
     Each token in its exact form, then its family by a prefix (without its ending, or a long token as it is), then its
-    synonyms (word, syn; word may be two adjacent tokens), SYNONYMS at most for a question and each once.
+    synonyms (word, syn; word may be two adjacent tokens), SYNONYMS at most for a question, each once, and none that
+    is itself asked for before.
     """
     t = questions.select(key, F.posexplode(T.query_tokens(F.col(question))).alias("at", "token"))
     stem = F.coalesce(T.morphological_prefix(F.col("token")), F.when(F.length("token") >= BARE_PREFIX, F.col("token")))
@@ -126,6 +140,8 @@ def clauses(questions: DataFrame, key: str, question: str, synonyms: DataFrame)
     pairs = t.withColumn("token", F.concat_ws(" ", "token", F.lead("token").over(w))).withColumn("pair", F.lit(1))
     words = t.withColumn("pair", F.lit(0)).unionByName(pairs)
     same = words.join(synonyms, F.col("token") == F.col("word")).groupBy(key, F.col("syn").alias("term")).agg(F.min(F.struct("pair", "at", "syn")).alias("first"))
+    said = t.groupBy(key, F.col("token").alias("term")).agg(F.min("at").alias("said"))
+    same = same.join(said, [key, "term"], "left").where(F.col("said").isNull() | ((F.col("first.pair") == 0) & (F.col("said") > F.col("first.at")))).drop("said")
     same = same.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("first"))).where(F.col("n") <= SYNONYMS)
     same = same.select(key, F.when(F.col("first.pair") == 1, 1_000_000 + F.col("first.at")).otherwise(F.col("first.at")).alias("at"), (F.col("n") + 1).alias("step"), F.lit("synonym").alias("kind"), "term")
     every = own.unionByName(prefix).unionByName(same)

@@ -71,6 +71,7 @@ def bm25(docs: DataFrame, doc_key: str, doc_text: str | dict[str, float], terms:
     a document's length that of all of them. With ``within`` (a column of both sides) a query only meets the documents
     that share its value; statistics stay those of all documents.
     """
+    terms = written(terms, "terms")  # the matches, their join and the count read them
     found = matches(docs, doc_key, {doc_text: 1.0} if isinstance(doc_text, str) else doc_text, terms)
     total = found.where("pos = 0 OR pos IS NULL").agg(F.count("*").alias("n_docs"), F.avg("length").alias("average_length"))
     hits = found.where("hit").groupBy(doc_key, "term").agg(F.sum("weight").alias("tf"), F.first("length").alias("length"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import written
+
 
 def repaired(documents: DataFrame, chunks: DataFrame, fixed: DataFrame, new_chunks: DataFrame, key: str) -> dict[str, DataFrame]:
     """Documents with the text, status and size of ``fixed`` (key, text, status), and chunks with theirs made anew from ``new_chunks``."""
@@ -38,19 +40,27 @@ def touched_entries(entries: DataFrame, used: DataFrame, key: str, at: str) -> D
     return entries.join(u, key, "left").withColumn(at, F.greatest(at, "__at")).drop("__at")
 
 
-def enough(items: DataFrame, order: list[Column], size: str, needed: int, tier: str) -> DataFrame:
+def enough(items: DataFrame, order: list[Column], size: str, needed: float | DataFrame, tier: str) -> DataFrame:
     """The items that go until ``needed`` bytes are free: tier by tier, in order inside a tier, the last one wholly.
 
-    Totals of tiers come first; only the tier in which the need is met is ordered, in ranges whose totals come first as well.
+    Totals of tiers come first. Only the tier in which the need is met is ordered: in ranges, whose totals come first as
+    well, so that a task sums within its own range. ``needed`` may be one row with a column of that name.
     """
+    spark = items.sparkSession
+    want = needed.select(F.col("needed").cast("double").alias("__needed")) if isinstance(needed, DataFrame) else spark.range(1).select(F.lit(float(needed)).alias("__needed"))
     tiers = items.groupBy(tier).agg(F.sum(size).alias("__total"))
     before = F.coalesce(F.sum("__total").over(Window.orderBy(tier).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    tiers = tiers.withColumn("__before", before).where(F.col("__before") < needed)
+    tiers = tiers.withColumn("__before", before).crossJoin(F.broadcast(want)).where(F.col("__before") < F.col("__needed"))  # one row
     rows = items.join(F.broadcast(tiers), tier)  # one row for each kind of item
-    whole = rows.where(F.col("__before") + F.col("__total") <= needed)
-    used = F.sum(size).over(Window.partitionBy(tier).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    edge = rows.where(F.col("__before") + F.col("__total") > needed).withColumn("__used", F.coalesce(used, F.lit(0)) + F.col("__before")).where(F.col("__used") < needed).drop("__used")
-    return whole.unionByName(edge).drop("__total", "__before")
+    whole = rows.where(F.col("__before") + F.col("__total") <= F.col("__needed"))
+    edge = rows.where(F.col("__before") + F.col("__total") > F.col("__needed")).repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    edge = written(edge, "edge")  # the number of a range must not change between its two readers
+    parts = edge.groupBy("__part").agg(F.sum(size).alias("__sum"))
+    above = F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = edge.join(F.broadcast(parts.select("__part", above.alias("__above"))), "__part")  # one row for each range
+    inside = F.coalesce(F.sum(size).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = edge.withColumn("__used", inside + F.col("__above") + F.col("__before")).where(F.col("__used") < F.col("__needed"))
+    return whole.select(*items.columns).unionByName(edge.select(*items.columns))
 
 
 def current_versions(versions: DataFrame, key: str, number: str) -> DataFrame:

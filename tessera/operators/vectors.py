@@ -15,6 +15,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
+from pyspark.sql.types import DoubleType
 
 from tessera.functions import vectors as V
 from tessera.sources.shared import written
@@ -210,3 +212,20 @@ def trigram_embedded(rows: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame({key: f[key], "embedding": [trigram_vector(x).astype("float32").tolist() for x in f["text"]]})
 
     return rows.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).mapInPandas(task, f"{key} long, embedding array<float>")
+
+
+@arrow_udf(DoubleType())
+def _rowwise(a: pa.Array, b: pa.Array) -> pa.Array:
+    """The inner product of the two lists of each row, a batch at a time."""
+    x, y = _matrix(a, "<f8"), _matrix(b, "<f8")
+    return pa.array(np.einsum("ij,ij->i", x, y))
+
+
+def near_of_same(index: DataFrame, key: str, asked: DataFrame, label: str, least: float) -> DataFrame:
+    """query_id, key, score of the rows of ``index`` that share ``label`` with a query and are as near as ``least``.
+
+    ``asked`` has a query or a few for each label, so a row meets these only; products are made in batches.
+    """
+    met = index.join(asked.select("query_id", label, "qp"), label)
+    score = F.round(_rowwise(F.col("qp"), F.col("q").cast("array<double>")) * F.col("scale"), 6)
+    return met.select("query_id", key, score.alias("score")).where(F.col("score") >= least)

@@ -183,8 +183,8 @@ def str_incremental_index(spark: SparkSession, sf: str) -> DataFrame:
     work = working_folder(spark, "stream")
     docs = table(spark, sf, "documents").select("doc_id", "text")
     docs.repartition(4, "doc_id").write.parquet(f"{work}/in")
-    indexer.run(spark, f"{work}/in", f"{work}/index", f"{work}/state", f"{work}/checkpoint", "doc_id long, text string", per_trigger=2)
-    p = indexer.current(spark, f"{work}/index", f"{work}/state")
+    indexer.run(spark, f"{work}/in", f"{work}/index", f"{work}/checkpoint", "doc_id long, text string", per_trigger=2)
+    p = indexer.current(spark, f"{work}/index")
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.functions import vectors as V
 from tessera.operators import memory, recall, references, vectors
 from tessera.plans.search import _CONTENT, _TOKENS
 from tessera.registry import query
@@ -85,11 +84,10 @@ def near_turns(spark: SparkSession, sf: str, least: float = 0.45) -> DataFrame:
     asked = _asked_last(spark, sf)
     m = messages(spark, sf).where("role IN ('user', 'assistant')")
     own = vectors.trigram_embedded(m.withColumn("id", F.col("session_id") * 100000 + F.col("message_index")), "id", "content")
-    q = vectors.queries(vectors.trigram_embedded(asked, "ask_id", "question"), "ask_id", "embedding", 512)
-    index = vectors.indexed(own, "id", "embedding", 512)
-    pairs = index.withColumn("ask_id", F.floor(F.col("id") / 100000)).join(q.withColumnRenamed("query_id", "ask_id"), "ask_id")
-    score = F.round(V.dot(F.col("qp"), F.col("q")) * F.col("scale"), 6)
-    return pairs.select("ask_id", (F.col("id") % 100000).alias("message_index"), score.alias("score")).where(F.col("score") >= least)
+    q = vectors.queries(vectors.trigram_embedded(asked, "ask_id", "question"), "ask_id", "embedding", 512).withColumn("session", F.col("query_id"))
+    index = vectors.indexed(own, "id", "embedding", 512).withColumn("session", F.floor(F.col("id") / 100000).cast("long"))
+    near = vectors.near_of_same(index, "id", q, "session", least)
+    return near.select(F.col("query_id").alias("ask_id"), (F.col("id") % 100000).alias("message_index"), "score")
 
 
 @query("mem_recall_dropped")

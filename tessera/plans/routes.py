@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import stemming
-from tessera.operators import routes, structure
+from tessera.operators import positions, routes, structure
 from tessera.plans.search import _prefix_case, query_tokens_sql
 from tessera.plans.structure import _PAGE_ROWS, paged_documents
 from tessera.registry import query
+from tessera.sources.shared import written
 from tessera.sources.tables import table
 
 _FILES = "f AS (SELECT doc_id, source || '-' || lang || CASE WHEN doc_id % 3 = 0 THEN '_v2' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN '.pdf' ELSE '.DOCX' END AS name FROM documents)"
@@ -68,8 +69,11 @@ def route_sheet_row(spark: SparkSession, sf: str) -> DataFrame:
     book = sheet.select(F.col("n_name").alias("doc"), F.concat(F.lit("[[sheet:"), "n_name", F.lit("]]\n\nname\tsegment\n\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n\n")).alias("text"))
     rows = routes.sheet_rows(book, "doc", "text")
     asked = sheet.select(F.col("n_name").alias("ask"), F.concat(F.lit("Show row 3 of "), F.initcap("n_name"), F.lit(", please")).alias("question"))
-    found = routes.sheet_route(asked, "ask", "question", rows, "doc")
-    return found.where(F.col("ask") == F.col("doc")).select("ask", "sheet", "row", "text")
+    # every question is asked of its own book and of the one that has the next nation's name; only the first has the sheet
+    own = asked.select("ask", F.col("ask").alias("doc"))
+    after = asked.select("ask", F.lead("ask").over(Window.orderBy("ask")).alias("doc")).where("doc IS NOT NULL")  # one row for each nation
+    found = routes.sheet_route(asked, "ask", "question", own.unionByName(after), rows, "doc")
+    return found.select("ask", "sheet", "row", "text")
 
 
 @query("route_other_versions")
@@ -91,7 +95,8 @@ _ASKED = f"b AS (SELECT item_id, text FROM benchmark UNION ALL SELECT -row_numbe
     f"""WITH {_ASKED}, t AS (SELECT item_id, unnest(terms) AS token, unnest(range(len(terms))) AS pos FROM {query_tokens_sql('b', 'item_id')}),
     p AS (SELECT item_id, pos, coalesce({_prefix_case('token')}, CASE WHEN length(token) >= 6 THEN token END) AS term FROM t),
     w AS (SELECT item_id, pos, token, 0 AS pair FROM t UNION ALL SELECT item_id, pos, concat_ws(' ', token, lead(token) OVER (PARTITION BY item_id ORDER BY pos)), 1 FROM t),
-    s AS (SELECT item_id, syn, min(pair * 1000000 + pos) AS pos, row_number() OVER (PARTITION BY item_id ORDER BY min(pair * 1000000 + pos), syn) AS n FROM w JOIN (VALUES {_SYNONYMS}) v(word, syn) ON token = word GROUP BY item_id, syn),
+    s0 AS (SELECT item_id, syn, min(pair * 1000000 + pos) AS pos FROM w JOIN (VALUES {_SYNONYMS}) v(word, syn) ON token = word GROUP BY item_id, syn),
+    s AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos, syn) AS n FROM s0 WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.item_id = s0.item_id AND t.token = s0.syn AND t.pos <= s0.pos)),
     e AS (SELECT item_id, pos, 0 AS step, 'exact' AS kind, token AS term FROM t UNION ALL SELECT item_id, pos, 1, 'prefix', term FROM p WHERE term IS NOT NULL UNION ALL SELECT item_id, pos, n + 1, 'synonym', syn FROM s WHERE n <= 24)
     SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY pos, step) AS INTEGER) AS n, kind, term FROM e""",
 )
@@ -100,3 +105,35 @@ def fts_clauses(spark: SparkSession, sf: str) -> DataFrame:
     literal = spark.createDataFrame([(-1 - i, f"Terminate the {w} agreement by contract") for i, (w, _) in enumerate(pairs)], "item_id long, text string")
     asked = table(spark, sf, "benchmark").select("item_id", "text").unionByName(literal)
     return routes.clauses(asked, "item_id", "text", spark.createDataFrame(pairs, "word string, syn string"))
+
+
+_CORPUS_SYNONYMS = [("tion", "of the"), ("tion", "ing"), ("ing", "to the"), ("with", "and the")]
+_CORPUS_VALUES = ", ".join(f"('{a}', '{b}')" for a, b in _CORPUS_SYNONYMS)
+
+
+@query(
+    "fts_clause_search",
+    rf"""WITH t AS (SELECT item_id, unnest(terms) AS token, unnest(range(len(terms))) AS pos FROM {query_tokens_sql("(SELECT item_id, text || ' tion ing' AS text FROM benchmark)", "item_id")}),
+    p AS (SELECT item_id, pos, coalesce({_prefix_case('token')}, CASE WHEN length(token) >= 6 THEN token END) AS term FROM t),
+    s AS (SELECT DISTINCT item_id, syn AS term FROM t JOIN (VALUES {_CORPUS_VALUES}) v(word, syn) ON token = word WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.item_id = t.item_id AND x.token = syn AND x.pos <= t.pos)),
+    cl AS (SELECT item_id, 'exact' AS kind, token AS term FROM t UNION ALL SELECT item_id, 'prefix', term FROM p WHERE term IS NOT NULL UNION ALL SELECT item_id, 'synonym', term FROM s),
+    tok AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS t FROM documents)),
+    tf AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL), voc AS (SELECT DISTINCT term FROM tf),
+    size AS (SELECT doc_id, count(*) AS length FROM tok GROUP BY doc_id), total AS (SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT count(*) FROM tok) / (SELECT count(*) FROM documents) AS average_length),
+    u AS (SELECT DISTINCT kind, term FROM cl),
+    hits AS (SELECT kind, term, doc_id, tf FROM u JOIN tf USING (term) WHERE kind <> 'prefix' AND NOT contains(term, ' ')
+        UNION ALL SELECT kind, u.term, doc_id, CAST(sum(tf) AS BIGINT) FROM u JOIN voc ON starts_with(voc.term, u.term) JOIN tf ON tf.term = voc.term WHERE kind = 'prefix' GROUP BY ALL
+        UNION ALL SELECT kind, u.term, a.doc_id, count(*) FROM u JOIN tok a ON a.term = split_part(u.term, ' ', 1) JOIN tok b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 AND b.term = split_part(u.term, ' ', 2) WHERE kind = 'synonym' AND contains(u.term, ' ') GROUP BY ALL),
+    df AS (SELECT kind, term, count(*) AS df FROM hits GROUP BY ALL),
+    sc AS (SELECT item_id, doc_id, round(sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average_length))), 6) AS score
+        FROM cl JOIN hits USING (kind, term) JOIN df USING (kind, term) JOIN size USING (doc_id), total GROUP BY item_id, doc_id)
+    SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 10""",
+)
+def fts_clause_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents for the OR of each question's words, beginnings and synonyms (phrases among them), from postings with positions."""
+    asked = table(spark, sf, "benchmark").select("item_id", F.concat("text", F.lit(" tion ing")).alias("text"))
+    c = written(routes.clauses(asked, "item_id", "text", spark.createDataFrame(_CORPUS_SYNONYMS, "word string, syn string")), "clauses")
+    docs = table(spark, sf, "documents")
+    postings = written(positions.positional(docs, "doc_id", "text"), "positions")
+    scores = positions.clause_scores(docs, "doc_id", "text", postings, c, "item_id")
+    return positions.ranked(scores, "item_id", "doc_id", 10)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import search
+from tessera.operators import positions, search
 from tessera.registry import query
+from tessera.sources.shared import working_folder
 from tessera.sources.tables import table
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
@@ -116,8 +117,32 @@ def fts_prefix_match(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fts_phrase_match", rf"SELECT doc_id FROM documents WHERE regexp_matches(' ' || array_to_string({_TOKENS('text')}, ' ') || ' ', ' of the ')")
 def fts_phrase_match(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
-    return docs.where(search.phrase(F.col("t"), ["of", "the"])).select("doc_id")
+    """Two words one after the other, from the postings of these two."""
+    phrases = spark.createDataFrame([("of the", ["of", "the"])], "phrase string, words array<string>")
+    postings = positions.positional(table(spark, sf, "documents"), "doc_id", "text", F.broadcast(phrases.select(F.explode("words").alias("term"))))  # two words
+    return positions.phrase_matches(postings, "doc_id", phrases).select("doc_id")
+
+
+_PLACES = f"tok AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT doc_id, {_TOKENS('text')} AS t FROM documents))"
+
+
+@query("fts_positions", f"WITH {_PLACES} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf, CAST(sum(pos) AS BIGINT) AS total, CAST(max(pos) AS INTEGER) AS last FROM tok GROUP BY term")
+def fts_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """What the stored postings know of each term: documents, occurrences and places."""
+    path = working_folder(spark, "positions")
+    positions.save(positions.positional(table(spark, sf, "documents"), "doc_id", "text"), path)
+    p = positions.places(positions.stored(spark, path))
+    total = F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + x)
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"), F.sum(total).alias("total"), F.max(F.array_max("places")).alias("last"))
+
+
+@query("fts_prefix_terms", f"WITH {_PLACES} SELECT term, count(DISTINCT doc_id) AS df FROM tok WHERE starts_with(term, 'inte') OR starts_with(term, 'ß') GROUP BY term")
+def fts_prefix_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms that begin so: a range of the sorted dictionary, to which a scan of the stored postings skips."""
+    path = working_folder(spark, "positions")
+    positions.save(positions.positional(table(spark, sf, "documents"), "doc_id", "text"), path)
+    p = positions.stored(spark, path)
+    return positions.dictionary(positions.prefix_matches(p, "inte").unionByName(positions.prefix_matches(p, "ß")))
 
 
 @query("fts_and_prefix", f"SELECT doc_id FROM (SELECT doc_id, {_TOKENS('text')} AS t FROM documents) WHERE list_contains(t, 'the') AND list_contains(t, 'that') AND len(list_filter(t, lambda x: starts_with(x, 'rea'))) > 0")

@@ -69,7 +69,7 @@ _ITEMS = "i AS (SELECT event_id, CASE event_type WHEN 'view' THEN 1 WHEN 'click'
 def ret_tiers(spark: SparkSession, sf: str) -> DataFrame:
     """What goes, kind by kind and the longest unused first, until six tenths of all bytes are free."""
     e = table(spark, sf, "events").select("event_id", F.expr("CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END").alias("tier"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.floor(F.abs("value")).cast("long") + 1).alias("b"))
-    needed = e.agg(F.sum("b")).first()[0] * 0.6  # one number
+    needed = e.agg((F.sum("b") * 0.6).alias("needed"))
     return upkeep.enough(e, ["at", "event_id"], "b", needed, "tier").select("event_id", "tier")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import codecs
 import io
 import re
 import zipfile
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tessera.sources.encodings import decoded
+
 # Lanes of extraction by file extension.
 LANES = {"pdf": ("pdf",), "word": ("docx", "doc", "odt", "rtf"), "spreadsheet": ("xlsx", "xls", "ods", "csv"), "presentation": ("pptx", "ppt", "odp"), "image": ("png", "jpg", "jpeg", "gif", "bmp", "tiff", "webp")}
 ATTACHMENTS = ("pdf", "docx", "doc", "xlsx", "xls", "pptx", "odt", "rtf", "txt", "md", "csv")
@@ -55,18 +56,6 @@ def html_text(html: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip() or "[The page has no readable text]"
 
 
-def decoded(raw: bytes) -> str:
-    """UTF-8 with or without mark, UTF-16 with one, else Windows Latin."""
-    if raw.startswith(codecs.BOM_UTF8):
-        raw = raw[3:]
-    if raw.startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)):
-        return raw.decode("utf-16", errors="replace")
-    try:
-        return raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return raw.decode("cp1252", errors="replace")
-
-
 _RTF = re.compile(r"\\([a-zA-Z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\(.)|([{}])|[\r\n]+|([^\\{}\r\n]+)", re.DOTALL)
 # Groups that hold no text of the document, and control words that stand for characters.
 _RTF_SKIPPED = set("fonttbl colortbl stylesheet info pict object themedata colorschememapping datastore latentstyles listtable listoverridetable rsidtbl generator xmlnstbl".split())

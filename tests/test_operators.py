@@ -13,7 +13,6 @@ from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import memory, quality, ranking, routing, store, structure
 from tessera.sources import files
-from tessera.streaming import indexer
 
 
 def test_porter_examples():
@@ -175,20 +174,6 @@ def test_read_files(spark, tmp_path):
     assert rows["a.docx"] == ("One\ttwo", "ok") and rows["b.docx"][1] == "failed" and rows["c.md"] == ("text", "ok")
 
 
-def test_incremental_index_is_idempotent(spark, tmp_path):
-    schema = "doc_id long, text string"
-    spark.createDataFrame([(1, "a b a"), (2, None)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/1")
-    run = lambda: indexer.run(spark, f"{tmp_path}/in/*", f"{tmp_path}/index", f"{tmp_path}/state", f"{tmp_path}/checkpoint", schema)
-    run()
-    spark.createDataFrame([(1, "changed"), (3, "c")], schema).coalesce(1).write.parquet(f"{tmp_path}/in/2")
-    run()
-    run()
-    index = spark.read.schema("doc_id long, term string, tf double").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/index")
-    assert sorted((r.doc_id, r.term, r.tf) for r in index.collect()) == [(1, "a", 2.0), (1, "b", 1.0), (3, "c", 1.0)]
-    state = spark.read.parquet(f"{tmp_path}/state")
-    assert sorted((r.doc_id, r.status) for r in state.collect()) == [(1, "indexed"), (2, "failed"), (3, "indexed")]
-
-
 def test_text_helpers(spark):
     row = spark.range(1).select(T.ordinal(F.lit(12)), T.ordinal(F.lit(23)), T.human_bytes(F.lit(1536)), T.token_estimate(F.lit("12345678")), T.file_stem(F.lit("a.b.pdf"))).first()
     assert row[:] == ("12th", "23rd", "1.5 KB", 10, "a.b")

@@ -15,7 +15,6 @@ from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import memory, passages, ranking, recall, references, routes, search, structure, upkeep, vectors
 from tessera.sources import files
-from tessera.streaming import indexer
 
 
 def one(spark, column, **values):
@@ -123,17 +122,6 @@ def test_a_first_hit_is_cut_not_dropped(spark):
     assert [r.text for r in wide] == ["é" * 900, "short one"]  # the third is below the floor
 
 
-def test_index_after_a_new_version(spark, tmp_path):
-    target, state = f"file://{tmp_path}/index", f"file://{tmp_path}/state"
-    spark.createDataFrame([], indexer.STATE).write.mode("append").parquet(state)
-    batch = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
-    indexer.index_batch(batch((1, "a b a"), (2, "c"), (3, None)), 0, target, state, 1)
-    indexer.index_batch(batch((1, "x x x")), 1, target, state, 1)  # known: not again
-    indexer.index_batch(batch((1, "a c")), 2, target, state, 2)
-    got = {(r.doc_id, r.term): r.tf for r in indexer.current(spark, target, state).collect()}
-    assert got == {(1, "a"): 1.0, (1, "c"): 1.0, (2, "c"): 1.0}
-
-
 def test_rtf():
     raw = r"{\rtf1{\fonttbl{\f0 Arial;}}{\header Head\par}Body \'e9BACKSLASHu8364?x\~y\line z\par{\*\hidden no}{\footnote Foot}{\rsidtbl 1}\emdash{\b bold}}"
     raw = raw.replace("BACKSLASH", chr(92))
@@ -274,9 +262,27 @@ def test_sheet_rows(spark):
     book = spark.createDataFrame([(1, "[[sheet:Fees 2]]\nname\tfee\n\nA\t1\n\nB\t2\n[[sheet:Staff]]\nwho\n\nEve")], "doc long, text string")
     rows = routes.sheet_rows(book, "doc", "text")
     asked = spark.createDataFrame([(1, "what is in row 3 of fees 2?"), (2, "row no. 2 of Staff"), (3, "row 2"), (4, "fees 2 please")], "ask int, q string")
-    assert {(r.ask, r.sheet, r.text) for r in routes.sheet_route(asked, "ask", "q", rows, "doc").collect()} == {(1, "Fees 2", "name\tfee\nB\t2"), (2, "Staff", "who\nEve")}
-    only = routes.sheet_route(asked, "ask", "q", rows.where("sheet = 'Staff'"), "doc").collect()
+    scope = asked.select("ask", F.lit(1).cast("long").alias("doc"))
+    assert {(r.ask, r.sheet, r.text) for r in routes.sheet_route(asked, "ask", "q", scope, rows, "doc").collect()} == {(1, "Fees 2", "name\tfee\nB\t2"), (2, "Staff", "who\nEve")}
+    only = routes.sheet_route(asked, "ask", "q", scope, rows.where("sheet = 'Staff'"), "doc").collect()
     assert {(r.ask, r.text) for r in only} == {(2, "who\nEve"), (3, "who\nEve")}
+    assert {(r.ask, r.sheet) for r in routes.named_sheets(asked, "ask", "q", scope, rows, "doc").collect()} == {(1, "Fees 2"), (2, "Staff"), (4, "Fees 2")}
+
+
+def test_sheets_of_other_documents_do_not_answer(spark):
+    books = spark.createDataFrame([(1, "[[sheet:Sheet1]]\nh\n\none"), (2, "[[sheet:Sheet1]]\nh\n\ntwo"), (3, "[[sheet:Other]]\nh\n\nthree")], "doc long, text string")
+    rows = routes.sheet_rows(books, "doc", "text")
+    asked = spark.createDataFrame([(1, "row 2 of Sheet1"), (2, "row 2"), (3, "row 2 of Sheet1"), (4, "row 2")], "ask int, q string")
+    scope = spark.createDataFrame([(1, 1), (2, 3), (3, 1), (3, 2), (4, 1), (4, 3)], "ask int, doc long")
+    got = {(r.ask, r.doc, r.text) for r in routes.sheet_route(asked, "ask", "q", scope, rows, "doc").collect()}
+    assert got == {(1, 1, "h\none"), (2, 3, "h\nthree"), (3, 1, "h\none"), (3, 2, "h\ntwo")}
+
+
+def test_hints_meet_names_by_any_part(spark):
+    files = spark.createDataFrame([(1, "Lease_v2.pdf"), (2, "x.pdf"), (3, ""), (4, "other lease.docx")], "d int, name string")
+    asked = spark.createDataFrame([("LEASE.docx",), ("x",), ("none.txt",), ("",), ("x.pdf",)], "hint string")
+    got = {(r.hint, r.d) for r in routes.hinted(asked.select(F.lower("hint").alias("hint")), "hint", files, "name").collect()}
+    assert got == {("lease.docx", 1), ("lease.docx", 4), ("x", 2), ("x", 4), ("x.pdf", 2), ("x.pdf", 4)}
 
 
 def test_given_value_is_the_same(spark):
