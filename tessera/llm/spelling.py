@@ -26,7 +26,7 @@ from tessera.llm.common import arrow_schema, columns, forget_other_stages, give_
 DAMAGED = 199
 LEAST_LENGTH, LEAST_COUNT, TIMES = 6, 5, 5
 #: Segments of one automaton shard, about; words that share a segment up to which it is dealt whole.
-SHARD, HOT = 50_000, 20_000
+SHARD, HOT = 10_000, 20_000
 #: Different words that a task counts before it hands them on.
 KEYS = 300_000
 
