@@ -23,8 +23,8 @@ from tessera.llm.common import as_bytes, ascii_lower, carried, columns, give_bac
 
 #: Key bytes that one task's trie may hold before subtrees leave it.
 TRIE_BYTES = 16 << 20
-#: Rows that a task holds beside it before it hands on those that own their texts.
-TRIE_ROWS = 1 << 14
+#: Rows, and bytes of them, that a task holds beside it before it hands on those that own their texts.
+TRIE_ROWS, HELD_BYTES = 1 << 14, 32 << 20
 
 
 class Node:
@@ -182,31 +182,32 @@ def keep_one(docs: DataFrame, largest: bool = True) -> DataFrame:
 
     def owners(batches: Iterator[pa.RecordBatch], complete: bool) -> Iterator[pa.RecordBatch]:
         """Of each text the row that owns it. ``complete``: rows come sorted by hash, and all rows of a text come here."""
-        trie, held, before = Trie(), [], 0
+        trie, held, before, size = Trie(), [], 0, 0
 
         def put(part: pa.RecordBatch) -> None:
-            nonlocal before
+            nonlocal before, size
             ids, texts = (pc.struct_field(part.column("row"), i) for i in places)
             for i, (doc, raw) in enumerate(zip(ids.to_pylist(), as_bytes(texts), strict=True)):
                 # a null owns a text only if there is no other
                 trie.insert(normal(raw), (doc is not None, (doc or 0) if largest else -(doc or 0), before + i))
             held.append(part)
             before += part.num_rows
+            size += part.nbytes
 
         def leave() -> list[pa.RecordBatch]:
             """The owners; subtree by subtree, then in the order in which the rows came."""
-            nonlocal trie, held, before
+            nonlocal trie, held, before, size
             stay, start, out = np.sort(np.array([owner[2] for _, owner, _ in trie.spill()], np.int64)), 0, []
             for part in held:
                 mine = stay[(stay >= start) & (stay < start + part.num_rows)] - start
                 start += part.num_rows
                 if len(mine):
                     out.append(part.take(pa.array(mine)))
-            trie, held, before = Trie(), [], 0
+            trie, held, before, size = Trie(), [], 0, 0
             return out
 
         for part in slices(batches, "n_bytes"):
-            if trie.bytes > TRIE_BYTES or before > TRIE_ROWS:
+            if trie.bytes > TRIE_BYTES or before > TRIE_ROWS or size > HELD_BYTES:
                 for found in leave():
                     # the text that was being read may go on
                     open_ = pc.equal(found.column("h"), part.column("h")[0]) if complete else pa.array([False] * found.num_rows)
