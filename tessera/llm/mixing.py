@@ -143,10 +143,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = EPO
 def sample_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = EPOCHS) -> DataFrame:
     """The rows that the mix takes, with all their columns, as often as it takes them.
 
-    Rows tied in doc_id and text share one place in the shuffle and the copies taken of them, rounded up, so none is
-    taken more than ``epochs`` times. Documents without words are left out.
+    Rows tied in doc_id and text share one place in the shuffle; the copies taken of them are dealt among them one by
+    one, so their number is exact. Documents without words are left out.
     """
-    taken = mixed(docs, weights, epochs).where("copies > 0").groupBy("h").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    taken = mixed(docs, weights, epochs).groupBy("h").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
     body = carried(docs, key=F.xxhash64(F.lit("mix"), docs["doc_id"], docs["text"])).join(taken, F.col("key") == F.col("h"))
-    times = F.sequence(F.lit(1), F.ceil(F.col("copies") / F.col("rows")).cast("int"))
-    return unpacked(body.withColumn("time", F.explode(times)), docs)
+    single = body.where("rows = 1").withColumn("mine", F.col("copies"))
+    tied = body.where("rows > 1")
+    if not tied.isEmpty():
+        # number the rows of a key in two steps, so that a key with most of the table is no single task
+        tied = materialise(tied.withColumn("n", F.monotonically_increasing_id()).withColumn("part", F.shiftright("n", 33)), "mixing-tied")
+        before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = tied.groupBy("key", "part").agg(F.count("*").alias("c")).select("key", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("first"))
+        at = F.col("first") + F.row_number().over(Window.partitionBy("key", "part").orderBy("n")) - 1
+        tied = tied.join(parts, ["key", "part"]).withColumn("at", at)
+        mine = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("at") < F.col("copies") % F.col("rows"), 1).otherwise(0)
+        single = single.unionByName(tied.withColumn("mine", mine).select(*single.columns))
+    out = single.where("mine > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("mine").cast("int"))))
+    return unpacked(out, docs)
