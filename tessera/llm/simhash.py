@@ -38,6 +38,8 @@ BUCKET = 128
 HELD, SOME, HEAD = 1 << 20, 3, 1 << 16
 #: Keys of a set in the near-duplicate stage, and the shingles that make a key.
 BANDS, ROWS = 40, 2
+#: Rounds in which sets meet the hubs of their bands before bands are compared in full.
+STARS = 2
 _TIMES, _PLUS = (np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64))
 _TIMES |= np.uint64(1)
 
@@ -319,10 +321,17 @@ def bands(s: np.ndarray) -> np.ndarray:
     return key
 
 
-def summaries(docs: DataFrame, k: int, least: float) -> DataFrame:
-    """doc_id, h (hash of the text), node (hash of the set of shingles), f (fingerprint), n (shingles of the set), bands; only texts with words."""
+def summaries(docs: DataFrame, k: int, least: float, exact: bool = False) -> DataFrame:
+    """doc_id, h (hash of the text), node (hash of the set of shingles), f (fingerprint), n (shingles of the set), bands; only texts with words.
+
+    With ``exact`` the bands are single shingles: so many of the rarest that two sets with ``least`` in common must share one.
+    """
     often = frequent(docs, k)
 
+    def keys(s: np.ndarray) -> np.ndarray:
+        first = rarest(s, often, least)
+        return first[: len(s) - shared(least * len(s)) + 1] if exact else bands(first)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         for part in slices(batches):
             out: dict[str, list] = {"doc_id": [], "h": [], "node": [], "f": [], "n": [], "bands": []}
@@ -330,7 +339,7 @@ def summaries(docs: DataFrame, k: int, least: float) -> DataFrame:
                 every = hashes(raw, k)
                 if len(every):
                     s = np.unique(every)
-                    for name, value in zip(out, (i, h, signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)), signed(majority(every)), len(s), bands(rarest(s, often, least)).view(np.int64)), strict=True):
+                    for name, value in zip(out, (i, h, signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)), signed(majority(every)), len(s), keys(s).view(np.int64)), strict=True):
                         out[name].append(value)
             yield out
 
@@ -402,6 +411,20 @@ def spanning(pairs: list[tuple[int, int, int]], node: list[int]) -> list[tuple[i
     return kept
 
 
+def stars(now: DataFrame, round_: int, pairs: int = 2) -> DataFrame:
+    """Pairs (a < b) of nodes of different components: each node with the hubs of its most crowded bands, ``pairs`` at most.
+
+    ``now`` has node, c and band; a band's hub is the node that comes first by a hash of this round. So there are no
+    more pairs than nodes times ``pairs``, however large a group of copies is, and most of it is linked before anything else
+    is compared.
+    """
+    order = F.struct(F.xxhash64("node", F.lit(round_)).alias("o"), "node", "c")
+    hubs = now.groupBy("band").agg(F.count("*").alias("m"), F.min(order).alias("hub"))
+    met = now.join(hubs, "band").where(F.col("c") != F.col("hub.c")).select("node", F.col("hub.node").alias("hub"), "m")
+    best = met.groupBy("node", "hub").agg(F.max("m").alias("m")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("m", "hub")), False).alias("l"))  # a list of the bands of one set
+    return ordered(best.select("node", F.explode(F.slice("l", 1, pairs)).alias("x")).select(F.col("node").alias("a"), F.col("x.hub").alias("b")))
+
+
 def candidates(now: DataFrame, sets: DataFrame, least: float, forest: bool, bucket: int = BUCKET) -> DataFrame:
     """Pairs (a < b) of nodes of different components that share a band and that their sketches do not refuse.
 
@@ -490,9 +513,10 @@ def placed(rows: DataFrame, edges: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, rows: DataFrame, k: int, least: float, covered: int, radius: int) -> DataFrame:
     """``rows`` with c, the component of their node in the graph of the pairs found with a Jaccard similarity of ``least``.
 
-    Candidates come by SimHash, then from the bands of rare shingles that still join several components: first a forest
-    of each, then every pair that is still in two components. Each is verified on the sets of shingles, and no
-    candidate link is left out because of another one that was rejected.
+    Candidates come by SimHash, then from the bands of rare shingles that still join several components: first each set
+    with the hubs of its most crowded bands, so that large groups become one component by as many pairs as they have
+    members, then a forest of each band, then every pair that is still in two components. Each is verified on the sets of
+    shingles, and no candidate link is left out because of another one that was rejected.
     """
     tried = materialise(by_fingerprint(rows, covered, radius), "simhash-pairs")
     entries = rows.select("node", F.explode("bands").alias("band"))
@@ -508,6 +532,11 @@ def groups(docs: DataFrame, rows: DataFrame, k: int, least: float, covered: int,
         split = now.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("band")
         return materialise(now.join(split, "band"), "simhash-crossing")
 
+    for round_ in range(STARS):
+        new = materialise(stars(crossing(edges), round_).join(tried, ["a", "b"], "left_anti"), "simhash-stars")
+        if new.isEmpty():
+            break
+        tried, edges = tried.unionByName(new), edges.unionByName(similar(sets, new, least))
     for forest in (True, False):
         met = candidates(crossing(edges), sets, least, forest)
         new = materialise(met.join(tried, ["a", "b"], "left_anti"), "simhash-pairs")
@@ -515,19 +544,20 @@ def groups(docs: DataFrame, rows: DataFrame, k: int, least: float, covered: int,
     return placed(rows, edges)
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, covered: int = LINK, radius: int = 10) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, covered: int = LINK, radius: int = 10, exact: bool = False) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group of near duplicates.
 
     Near duplicates are texts whose sets of five-word shingles have a Jaccard similarity of ``least``, and groups are the
     components of such pairs. SimHash (probes that cover ``covered`` differing bits, candidates within ``radius`` bits)
     finds the closest of them, bands of rare shingles the others; each link is verified on the sets. Of two texts that
-    have ``least`` in common, bands miss one pair in thousands at the worst (one text is the beginning of the other),
-    else one in millions, at every size of the table.
+    have exactly ``least`` in common, bands miss one pair in 600 at the worst (one text is a part of the other and all
+    that differs is rare), one in millions elsewhere, at every size of the table. With ``exact`` none is missed: a prefix filter takes the
+    place of the bands, at more candidates where single rare shingles coincide.
     Of a group the row with the smallest doc_id stays (of rows tied in doc_id, or of rows without a doc_id, any one);
     texts without words are no near duplicates and all stay.
     """
     named = columns(docs, doc_id="doc_id", text="text").withColumn("h", F.xxhash64("text"))
-    rows = summaries(named, shingle, least)
+    rows = summaries(named, shingle, least, exact)
     ids = materialise(groups(named, rows, shingle, least, covered, radius).select("doc_id", "h", "c"), "simhash-classes")
     best = ids.groupBy("c").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h")).alias("best"))
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))
