@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -63,10 +64,12 @@ def page_text(rows: DataFrame, key: str, first: int, last: int) -> DataFrame:
     return wanted.select(key, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
 
 
-def citation(page_from: Column, page_to: Column, section: Column) -> Column:
-    """p. 3, pp. 3-5, with the section's label where there is one."""
-    page = F.when(page_from.isNull(), F.lit(None)).when((page_to.isNull()) | (page_to == page_from), F.concat(F.lit("p. "), page_from)).otherwise(F.concat(F.lit("pp. "), page_from, F.lit("-"), page_to))
-    return F.concat_ws(", ", page, section)
+def citation(page_from: Column, page_to: Column, section: Column, location: Column | None = None, row_from: Column | None = None, row_to: Column | None = None) -> Column:
+    """p. 3, pp. 3-5, or Sheet: Fees, rows 2-9; with the section's label where there is one."""
+    span = lambda one, many, a, b: F.when(a.isNull(), F.lit(None)).when(b.isNull() | (b == a), F.concat(F.lit(one), a)).otherwise(F.concat(F.lit(many), a, F.lit("-"), b))
+    none = F.lit(None).cast("string")
+    rows = none if row_from is None else span("row ", "rows ", row_from, row_to)
+    return F.concat_ws(", ", none if location is None else location, rows, span("p. ", "pp. ", page_from, page_to), section)
 
 
 def neighbours(chunks: DataFrame, key: str, reach: int = 1) -> DataFrame:
@@ -82,27 +85,65 @@ def section_openings(chunks: DataFrame, key: str, label: str, most: int = 2) ->
     return c.withColumn("n", F.row_number().over(Window.partitionBy(key, label, "island").orderBy("ord"))).where(F.col("n") <= most).drop("island", "n")
 
 
-_LABELLED = re.compile(r"^(article|section|chapter|part|clause|schedule|annex|appendix|exhibit|artikel|abschnitt|kapitel|anlage|teil|artículo|sección|capítulo|anexo|chapitre|annexe|titre|第\s*[0-9一二三四五六七八九十百千零〇]+\s*[章节條条款編编])\s*([0-9IVXLC]+(\.[0-9]+)*)?", re.IGNORECASE)
-_NUMBERED = re.compile(r"^(\d+(\.\d+)*)[.)]?\s+\S")
+# Words that make a heading with the number after them; those of the first list stand at the top level.
+TOP_WORDS = (
+    "article artículo articulo artigo artikel articolo art. chapter capítulo capitulo kapitel chapitre part parte teil titre título titulo schedule annex anexo anlage annexe allegato exhibit appendix apéndice apendice статья глава раздел"
+).split()
+WORDS = "section sección seccion secção seção abschnitt paragraph párrafo paragraphe clause cláusula clausula klausel clausola пункт खंड धारा अनुच्छेद §".split()
+RECITALS = ("WHEREAS", "NOW, THEREFORE", "NOW THEREFORE", "RECITALS", "CONSIDERANDO", "ATTENDU QUE", "PRÄAMBEL")
+
+_KIND = "|".join(sorted(map(re.escape, TOP_WORDS + WORDS), key=len, reverse=True))
+_LABELLED = re.compile(rf"(?i)^({_KIND})(\s*)((?:[ivxlcdm]+|\d+)(?:\.(?:[ivxlcdm]+|\d+))*(?:\s*\([a-z0-9]+\))*)(?![a-z0-9])\s*[:.)\-–—]?\s*(.*)$")
+_CJK = re.compile(r"^(第\s*[一二三四五六七八九十百千零〇0-9]+\s*([条條章节節款编編部]))\s*(.{0,40})")
+_NUMBERED = re.compile(r"^((?:\d{1,3}\.)+\d{0,3}|\d{1,3}\)|\([a-z]{1,3}\)|\([ivxlcdm]{1,6}\))\s+(\S.*)$")
 _CONTENTS = re.compile(r"\.{3,}\s*\d+\s*$")
-_LIST = re.compile(r"^([-*•]|\(?[a-z0-9]{1,3}[.)])\s+")
+_LIST = re.compile(r"^(?:[•●▪■◦‣∙·–—*-]|o\s|\([a-z0-9]{1,4}\)|[a-z0-9]{1,3}\))")
+_MARKER = re.compile(r"^\[\[(page|slide|sheet|image|clear):([^\]]*)\]\](?:\s*\(OCR\))?$")
 
 
-def heading_level(line: str) -> int | None:
-    """1 for labelled headings and lines in capitals, 2 and deeper for numbered ones, None for text."""
+def _in_capitals(s: str) -> bool:
+    letters = [c for c in s if c.isalpha() and c.lower() != c.upper()]
+    return 4 <= len(s) <= 80 and len(letters) >= 3 and all(c.isupper() for c in letters) and not re.search(r"[.;:?!]$", s)
+
+
+def heading(line: str) -> tuple[int, str] | None:
+    """(level, label) of a line that is a heading, else None.
+
+    Questions are deeper than all numbered levels (9), so that a row of them stands under the section before it; words
+    of TOP_WORDS, recitals and lines in capitals are at level 1, other words and numbers as deep as their number has parts.
+    """
     s = line.strip()
-    if not s or len(s) > 120 or _CONTENTS.search(s) or s[-1] in ".;,":
+    if not s or len(s) > 160 or _CONTENTS.search(s):
         return None
+    words = s.split()
+    if s[-1] == "?" and 2 <= len(words) <= 20 and not _LIST.match(s) and next((c for c in s if c.isalpha()), "a").isupper():
+        return 9, s
     if m := _LABELLED.match(s):
-        return 1 + (m.group(2) or "").count(".") if len(s.split()) <= 14 else None
-    if m := _NUMBERED.match(s):
-        return 1 + m.group(1).count(".") if len(s.split()) <= 14 and s.split()[1][:1].isupper() else None
-    letters = [c for c in s if c.isalpha()]
-    if len(letters) >= 4 and all(c.isupper() for c in letters if c.lower() != c.upper()) and any(c.lower() != c.upper() for c in letters):
-        return 1
+        kind, gap, number, title = m.group(1), m.group(2), m.group(3).strip(), m.group(4).strip()
+        # "Section 5 of the Act applies" is prose
+        prose = len(title) > 60 or title[:1].islower() or (title.endswith(".") and len(title.split()) > 6)
+        if (gap or kind == "§" or kind.endswith(".")) and not prose:
+            level = 1 if kind.lower() in TOP_WORDS else len([x for x in re.split(r"[.(]", number) if x.strip(" )")])
+            name = f"{kind[:1].upper()}{kind[1:]} {number}"
+            return level, f"{name}: {title}" if title else name
+    if m := _CJK.match(s):
+        return (1 if m.group(2) in "章编編部" else 2), f"{m.group(1)} {m.group(3).strip()}".strip()
+    if any(re.match(rf"{re.escape(x)}\b", s) for x in RECITALS):
+        return 1, s[:60]
+    if _in_capitals(s):
+        return 1, s
+    if len(s) <= 90 and (m := _NUMBERED.match(s)):
+        mark, title = m.groups()
+        if title[0].isupper() and len(title) <= 70 and title[-1] not in ".;":
+            return (3 if mark[0] == "(" else len([x for x in re.split(r"[.)]", mark) if x])), s
     return None
 
 
+def heading_level(line: str) -> int | None:
+    found = heading(line)
+    return found[0] if found else None
+
+
 def split_point(text: str, most: int) -> int:
     """Where to cut a text whose UTF-8 form is longer than ``most`` bytes: a sentence end in the second half, else white space, else a character border."""
     raw = text.encode()
@@ -112,82 +153,192 @@ def split_point(text: str, most: int) -> int:
     if ends:
         return ends[-1]
     spaces = [m.end() for m in re.finditer(r"\s", head) if m.end() > half]
-    return spaces[-1] if spaces else len(head)
+    return spaces[-1] if spaces else max(1, len(head))
+
+
+class Line(NamedTuple):
+    start: int
+    end: int
+    text: str
+
+
+def _lines(text: str) -> list[Line]:
+    """The lines with their bytes, without white space at the ends."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        size, bare = len(line.encode()), line.strip()
+        start = at + len(line[: len(line) - len(line.lstrip())].encode())
+        out.append(Line(start, start + len(bare.encode()), bare))
+        at += size + 1
+    return out
+
+
+def running_lines(rows: list[Line], edge: int = 3, least_pages: int = 3, most: int = 80) -> set[int]:
+    """Places of lines that are no text of their page: numbers alone, and lines that recur at the edges of half of the pages."""
+    pages: list[list[int]] = []
+    for i, row in enumerate(rows):
+        if (m := _MARKER.match(row.text)) and m.group(1) == "page":
+            pages.append([])
+        elif pages and row.text and not m:
+            pages[-1].append(i)
+    keys: dict[str, set[int]] = {}
+    edges = [(n, i) for n, page in enumerate(pages) for i in dict.fromkeys(page[:edge] + page[-edge:])]
+    for n, i in edges:
+        keys.setdefault(_line_key(rows[i].text), set()).add(n)
+    enough = max(least_pages, -(-len(pages) // 2))
+    alone = re.compile(r"[#\s/|-]{0,11}#[#\s/|-]{0,11}")
+    return {i for _, i in edges if alone.fullmatch(k := _line_key(rows[i].text)) or (len(keys[k]) >= enough and len(k) <= most)}
+
+
+def _line_key(line: str) -> str:
+    return " ".join(re.sub(r"[0-9]+", "#", line.lower()).split())
+
+
+class Unit(NamedTuple):
+    kind: str
+    start: int
+    end: int
+    label: str
+
+
+def units(text: str) -> list[Unit]:
+    """What chunks are put together from: markers, headings, rows of sheets, and runs of text lines.
+
+    A blank line, a heading, a list item and a running line each end a run. A title in capitals over two lines is one heading.
+    In a sheet every paragraph is a row, whatever it looks like.
+    """
+    rows, out, sheet = _lines(text), [], False
+    skipped = running_lines(rows)
+    open_ = False
+    for i, (start, end, line) in enumerate(rows):
+        if not line:
+            open_ = False
+        elif m := _MARKER.match(line):
+            sheet, open_ = m.group(1) == "sheet", False
+            out.append(Unit(f"[{m.group(1)}", start, end, m.group(2).strip()))
+        elif sheet:
+            if open_:
+                out[-1] = out[-1]._replace(end=end)
+            else:
+                out.append(Unit("row", start, end, ""))
+            open_ = True
+        elif i in skipped:
+            open_ = False
+        elif found := heading(line):
+            last = out[-1] if out else None
+            if open_ and last.kind == "heading" and _in_capitals(line) and not line[0].isdigit() and _in_capitals(last.label.split("\t")[1]):
+                level, label = last.label.split("\t")
+                if len(label) + len(line) <= 160:
+                    out[-1] = Unit("heading", last.start, end, f"{level}\t{label} {line}")
+                    continue
+            out.append(Unit("heading", start, end, f"{found[0]}\t{found[1]}"))
+            open_ = True
+        elif open_ and out[-1].kind == "text" and not _LIST.match(line):
+            out[-1] = out[-1]._replace(end=end)
+        else:
+            out.append(Unit("text", start, end, ""))
+            open_ = True
+    return out
 
 
 def chunk(text: str) -> list[dict]:
-    """Chunks of one marker-tagged text: byte range, page range, heading path, location, whether it is a contents list.
+    """Chunks of one marker-tagged text: byte range, pages, heading path, location, rows, header, whether it is a contents list.
 
-    A heading or a change of location closes a chunk, so does a size over TARGET_BYTES; a paragraph over MOST_BYTES
-    is cut with an overlap. Every byte of text that is no marker or heading is in some chunk.
+    A heading begins a chunk, as does a change of page or location, and what would make a chunk longer than TARGET_BYTES; a
+    unit over MOST_BYTES is cut with an overlap. Rows of a sheet are numbered from 1 (its header), some to a chunk, and each chunk after the first one
+    has the header's bytes as its prefix. All text but markers and running lines is in some chunk.
     """
+    raw = text.encode()
     out: list[dict] = []
     stack: list[tuple[int, str]] = []
-    page = place = None
-    held: list[tuple[int, int, str]] = []
+    page = place = header = None
+    row = 0
+    held: dict | None = None
+
+    def give(start: int, end: int, **more) -> dict:
+        return {"byte_start": start, "byte_end": end, "page": page, "page_to": page, "section": " › ".join(s for _, s in stack), "location": place, "row_from": None, "row_to": None, "prefix_start": None, "prefix_end": None, **more}
 
     def close() -> None:
-        if not held:
-            return
-        body = "\n".join(x[2] for x in held)
-        if body.strip():
-            contents = sum(bool(_CONTENTS.search(x)) for x in body.split("\n")) >= 2
-            out.append({"ord": len(out), "byte_start": held[0][0], "byte_end": held[-1][1], "page": page, "section": " › ".join(s for _, s in stack), "location": place, "is_toc": contents, "text": body})
-        held.clear()
-
-    at = 0
-    for line in text.split("\n"):
-        size = len(line.encode())
-        start, end = at, at + size
-        at = end + 1
-        bare = line.rstrip("\r")
-        if m := re.match(MARKER, bare):
-            close()
-            if m.group(1) == "page" and m.group(2).isdigit():
-                page = int(m.group(2))
-            elif m.group(1) == "clear":
-                place = None
+        nonlocal held
+        if held:
+            out.append(held)
+        held = None
+
+    for kind, start, end, label in units(text):
+        if kind[0] == "[":
+            now = (int(label), None) if kind == "[page" and label.isdigit() else (None, None) if kind == "[clear" else (page, place) if kind == "[page" else (None, f"{kind[1:].capitalize()}: {label}")
+            if now != (page, place):
+                close()
+                (page, place), header, row = now, None, 0
+            continue
+        if kind == "row":
+            row += 1
+            if held and end - held["byte_start"] > SHEET_BYTES:
+                close()
+            if held:
+                held.update(byte_end=end, row_to=row)
             else:
-                place = f"{m.group(1).capitalize()}: {m.group(2)}"
+                held = give(start, end, section="", row_from=row, row_to=row, **({"prefix_start": header[0], "prefix_end": header[1]} if header else {}))
+            header = header or (start, end)
             continue
-        if (level := heading_level(bare)) is not None:
+        if kind == "heading":
             close()
-            while stack and stack[-1][0] >= level:
+            level, name = label.split("\t")
+            while stack and stack[-1][0] >= int(level):
                 stack.pop()
-            stack.append((level, bare.strip()))
-            continue
-        limit = SHEET_BYTES if place and place.startswith("Sheet") else TARGET_BYTES
-        if held and end - held[0][0] > limit:
-            close()
-        if size > MOST_BYTES:
+            stack.append((int(level), name))
+        if end - start > MOST_BYTES:
             close()
-            offset = start
-            rest = bare
-            while len(rest.encode()) > MOST_BYTES:
-                n = split_point(rest, TARGET_BYTES)
-                piece = rest[:n]
-                held.append((offset, offset + len(piece.encode()), piece))
-                close()
-                back = len(piece.encode()[-OVERLAP_BYTES:].decode(errors="ignore")) if n > 2 * OVERLAP_BYTES else 0
-                offset += len(rest[: n - back].encode())
-                rest = rest[n - back :]
-            held.append((offset, end, rest))
+            at = start
+            while at < end:
+                rest = raw[at:end].decode()
+                size = len(rest.encode()) if end - at <= TARGET_BYTES else len(rest[: split_point(rest, TARGET_BYTES)].encode())
+                piece = raw[at : at + size].decode()
+                lead = len(piece[: len(piece) - len(piece.lstrip())].encode())
+                if piece.strip():
+                    out.append(give(at + lead, at + lead + len(piece.strip().encode())))
+                if at + size >= end:
+                    break
+                # the next piece begins some words earlier, if that is still ahead of this one
+                back = raw[at + size - OVERLAP_BYTES : at + size].decode(errors="ignore") if size > 2 * OVERLAP_BYTES else ""
+                word = re.search(r"\s", back)
+                at += size - (len(back[word.end() :].encode()) if word else len(back.encode()))
             continue
-        held.append((start, end, bare))
+        if held and end - held["byte_start"] > TARGET_BYTES:
+            close()
+        if held:
+            held["byte_end"] = end
+        else:
+            held = give(start, end)
     close()
-    return out
+    for n, c in enumerate(out):
+        body = _cleaned(raw[c["byte_start"] : c["byte_end"]].decode())
+        c["ord"], c["is_toc"] = n, sum(bool(_CONTENTS.search(x)) for x in body.split("\n")) >= 2
+        c["text"] = with_prefix(raw, c["prefix_start"], c["prefix_end"], body)
+    return [c for c in out if c["text"].strip()]
 
 
-CHUNK = "ord int, byte_start long, byte_end long, page int, section string, location string, is_toc boolean, text string"
+def _cleaned(text: str) -> str:
+    return "\n".join(x for x in text.split("\n") if not _MARKER.match(x.strip()))
+
+
+def with_prefix(raw: bytes, start: int | None, end: int | None, body: str) -> str:
+    """A chunk as it is searched and shown: the header's line before the body, where there is one."""
+    return body if start is None or end is None or start >= end else f"{_cleaned(raw[start:end].decode())}\n{body}"
+
+
+CHUNK = "ord int, byte_start long, byte_end long, page int, page_to int, section string, location string, row_from int, row_to int, prefix_start long, prefix_end long, is_toc boolean, text string"
 
 
 def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row per chunk of each document. A null or empty text has none."""
+    names = [x.split()[0] for x in CHUNK.split(", ")]
+    whole = {x.split()[0]: {"int": "Int32", "long": "Int64"}[x.split()[1]] for x in CHUNK.split(", ") if x.split()[1] in ("int", "long")}
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [{key: k, **c} for k, t in zip(frame[key], frame[text], strict=True) if t for c in chunk(t)]
-            yield pd.DataFrame(rows, columns=[key, *(x.split()[0] for x in CHUNK.split(", "))]).astype({"page": "Int32"})
+            yield pd.DataFrame(rows, columns=[key, *names]).astype(whole)
 
     return docs.select(key, text).mapInPandas(task, f"{key} {docs.schema[key].dataType.simpleString()}, {CHUNK}")
 
@@ -205,11 +356,39 @@ def defined_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
     return t.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
+#: A number in Roman digits, in small letters.
+ROMAN = r"(?=[ivxlcdm])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
+# Chinese digits and the powers of ten that follow them.
+CJK_DIGITS, CJK_TENS = "零〇一二三四五六七八九", {"十": 10, "百": 100, "千": 1000}
+
+
+def cjk_number(written: Column) -> Column:
+    """The value of a number in Chinese or Arabic digits; null for anything else."""
+    plain = F.translate(written, CJK_DIGITS, "00123456789")
+    zero = F.lit(0).cast("long")
+
+    def step(state: Column, c: Column) -> Column:
+        power = F.lit(0)
+        for sign, value in CJK_TENS.items():
+            power = F.when(c == sign, value).otherwise(power)
+        total = state["total"] + F.greatest(state["now"], F.lit(1)) * power
+        return F.when(power > 0, F.struct(total.alias("total"), zero.alias("now"))).otherwise(F.struct(state["total"].alias("total"), c.try_cast("long").alias("now")))
+
+    value = F.aggregate(F.filter(F.split(plain, ""), lambda c: c != ""), F.struct(zero.alias("total"), zero.alias("now")), step, lambda s: s["total"] + s["now"])
+    return F.when(plain.rlike("^[0-9]+$"), plain.try_cast("long")).when(plain.rlike("^[0-9十百千]+$"), value)
+
+
 def section_key(label: Column) -> Column:
-    """12.3(b) and Section 12.3 (b) are 12.3.(b); empty without a number."""
-    number = F.regexp_extract(label, r"(\d+(?:\.\d+)*)\s*((?:\([a-z0-9]+\))*)", 1)
-    letters = F.regexp_extract(label, r"(\d+(?:\.\d+)*)\s*((?:\([a-z0-9]+\))*)", 2)
-    return F.when(letters == "", number).otherwise(F.concat(number, F.lit("."), letters))
+    """12.3(b) and Section 12.3 (b) are 12.3.(b), Article IV is iv, 第十二条 is 12; empty without a number.
+
+    Roman numerals count right after the first word only.
+    """
+    cjk = cjk_number(F.regexp_extract(label, r"第\s*([一二三四五六七八九十百千零〇0-9]+)\s*[条條章节節款编編部]", 1))
+    pattern = r"(\d+(?:\.\d+)*)\s*((?:\([a-z0-9]+\))*)"
+    number, letters = F.regexp_extract(label, pattern, 1), F.regexp_extract(label, pattern, 2)
+    roman = F.regexp_extract(F.lower(label), rf"^\s*\S+\s+({ROMAN})(?![\p{{L}}\p{{N}}])", 1)
+    latin = F.when(number == "", roman).when(letters == "", number).otherwise(F.concat(number, F.lit("."), letters))
+    return F.coalesce(cjk.cast("string"), latin)
 
 
 def in_section(key: Column, wanted: str) -> Column:
