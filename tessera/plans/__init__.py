@@ -1,3 +1,3 @@
 """Registered queries, one module for each group of operators."""
 
-from tessera.plans import catalogue, changes, memory, quality, recall, relational, routes, search, structure, upkeep, vectors  # noqa: F401
+from tessera.plans import catalogue, changes, context, memory, quality, recall, relational, routes, search, structure, upkeep, vectors  # noqa: F401
