@@ -35,14 +35,16 @@ from tessera.llm.language import fold
 #: Words whose counts travel to the tasks, at most. The result does not depend on it: other counts are joined.
 HEAD = 1 << 18
 #: Words with parameters of their own, and groups of words.
-MODEL, GROUPS = 1 << 12, 128
+MODEL, GROUPS = 1 << 14, 256
 #: Bytes of a word's end that decide its group.
 ENDING = 3
 DIMENSIONS = 16
 CONTEXT = 2
 BATCH = 4096
+#: Rows of scores that are normalised at a time; they stay in a processor's cache.
+ROWS = 512
 #: Noise groups of a batch, and noise words of a token.
-NOISE, NOISE_WORDS = 32, 1
+NOISE, NOISE_WORDS = 32, 2
 RATE, LEAST_SQUARE = 0.05, 1.0
 ROUNDS, SHARD = 4, 2_000_000
 REMEMBERED = 300_000
@@ -189,6 +191,8 @@ class LogBilinear:
         self.groups = np.add.reduceat(self.words, v.first[:-1])
         self.inside = self.words / self.groups[v.group]
         self.ladder = np.append(0, np.cumsum(self.words))
+        self.log_inside = np.log(NOISE_WORDS * self.inside).astype(np.float32)
+        self.log_noise = np.log(NOISE * self.groups).astype(np.float32)
         self.cuts = np.cumsum([GROUPS, v.outputs, v.outputs + 1])
         rng = np.random.default_rng(seed)
         self.matrix = (rng.standard_normal((int(self.cuts[-1]) + CONTEXT, DIMENSIONS + 1)) * 0.1).astype(np.float32)
@@ -214,7 +218,7 @@ class LogBilinear:
         with np.errstate(over="ignore"):
             back, used = np.zeros_like(h), []
             noise = rng.choice(GROUPS, NOISE, p=self.groups)
-            log_noise = np.log(NOISE * self.groups).astype(np.float32)
+            log_noise = self.log_noise
             d_up = -1 / (1 + np.exp(np.einsum("nd,nd->n", h, groups[g]) - log_noise[g]))
             d_down = 1 / (1 + np.exp(-(h @ groups[noise].T - log_noise[noise])))
             back += d_up[:, None] * groups[g] + d_down @ groups[noise]
@@ -224,7 +228,7 @@ class LogBilinear:
             other = np.clip(np.searchsorted(self.ladder, drawn, side="right") - 1, self.v.first[g], self.v.first[g + 1] - 1)
             for x, sign in [(token, 1), *((o, -1) for o in other)]:
                 chosen = words[x]
-                u = np.einsum("nd,nd->n", h, chosen) - np.log(NOISE_WORDS * self.inside[x]).astype(np.float32)
+                u = np.einsum("nd,nd->n", h, chosen) - self.log_inside[x]
                 d = -sign / (1 + np.exp(sign * u))
                 back += d[:, None] * chosen
                 used.append((x, d[:, None] * h, int(self.cuts[0])))
@@ -236,7 +240,7 @@ class LogBilinear:
             down[:, :-1] = back[:, :-1] * maps[i, :-1]
             used.append((x, down, int(self.cuts[1])))
         at = np.concatenate([x + start for x, _, start in used])
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at.astype(np.uint16) if self.cuts[-1] + CONTEXT <= 1 << 16 else at, kind="stable")  # short keys are sorted by their digits
         at = at[order]
         begins = np.flatnonzero(np.append(True, np.diff(at) > 0))
         grad = np.add.reduceat(np.concatenate([y for _, y, _ in used])[order], begins)
@@ -246,8 +250,12 @@ class LogBilinear:
 
     @staticmethod
     def log_sum(s: np.ndarray) -> np.ndarray:
-        top = s.max(axis=1)
-        return top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+        """The logarithm of the sum of exp of each row; ``s`` is used up."""
+        top = s.max(axis=1) if s.size and max(s.max(), -s.min()) > 60 else np.zeros(len(s), np.float32)
+        if top.any():
+            s -= top[:, None]
+        np.exp(s, out=s)
+        return top + np.log(s @ np.ones(s.shape[1], np.float32))
 
     def log_probabilities(self, token: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
         """Normalised natural log probabilities: of a token's group among all groups, and of the token among all of its group."""
@@ -255,18 +263,20 @@ class LogBilinear:
         g, found = self.v.group[token], np.zeros(len(token), np.float32)
         h = np.ones((len(token), DIMENSIONS + 1), np.float32)
         h[:, :-1] = self.predict(contexts)
-        for i in range(0, len(token), 4096):
-            s = h[i : i + 4096] @ groups.T
-            found[i : i + 4096] = s[np.arange(len(s)), g[i : i + 4096]] - self.log_sum(s)
+        for i in range(0, len(token), ROWS):
+            s = h[i : i + ROWS] @ groups.T
+            own = s[np.arange(len(s)), g[i : i + ROWS]]
+            found[i : i + ROWS] = own - self.log_sum(s)
         order = np.argsort(g, kind="stable")
         edge = np.searchsorted(g[order], np.arange(GROUPS + 1))
         for k in range(GROUPS):
             of = words[self.v.first[k] : self.v.first[k + 1]]
             if len(of) > 1:
-                for i in range(edge[k], edge[k + 1], 4096):
-                    at = order[i : min(i + 4096, edge[k + 1])]
+                for i in range(edge[k], edge[k + 1], ROWS):
+                    at = order[i : min(i + ROWS, edge[k + 1])]
                     s = h[at] @ of.T
-                    found[at] += s[np.arange(len(s)), token[at] - self.v.first[k]] - self.log_sum(s)
+                    own = s[np.arange(len(s)), token[at] - self.v.first[k]]
+                    found[at] += own - self.log_sum(s)
         return found
 
 
