@@ -10,6 +10,7 @@ Two conventions hold throughout:
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -44,7 +45,24 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and every later read sees the same rows."""
     path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove what ``materialise`` wrote of frames that nothing reads any more, and let Spark's cleaner drop the shuffles behind them.
+
+    Only call it when all that was made of them has been written.
+    """
+    for df in frames:
+        spark, path = df.sparkSession, getattr(df, "written_to", None)
+        if path:
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    if frames:
+        gc.collect()
+        frames[0].sparkSession._jvm.System.gc()
 
 
 def columns(df: DataFrame, **wanted: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import discard, materialise
 
 
 def _to_smallest(edges: DataFrame, larger_only: bool) -> DataFrame:
@@ -35,9 +35,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_smallest(both, larger_only=True)
-        edges = materialise(_to_smallest(large, larger_only=False), "components")
+        last, edges = edges, materialise(_to_smallest(large, larger_only=False), "components")
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
         before = now
     raise RuntimeError(f"no fixed point after {rounds} rounds")
+
+
+def widened(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after more edges (a, b): only the components that the new edges touch are looked at.
+
+    Ends that no label has are components of their own so far. Which node names a component is left open. Written.
+    """
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    every = labels.select("node", "component").unionByName(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("component")))
+    every = materialise(every, "labels")
+    of = lambda side, name: every.select(F.col("node").alias(side), F.col("component").alias(name))
+    between = edges.join(of("a", "x"), "a").join(of("b", "y"), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found = components(between).select(F.col("node").alias("component"), F.col("component").alias("now"))
+    out = materialise(every.join(found, "component", "left").select("node", F.coalesce("now", "component").alias("component")), "labels")
+    discard(every)
+    return out

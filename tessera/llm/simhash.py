@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, carried, columns, map_rows, materialise, slices, unpacked
-from tessera.llm.components import components
+from tessera.llm.common import as_bytes, carried, columns, discard, map_rows, materialise, slices, unpacked
+from tessera.llm.components import components, widened
 
 BITS = 64
 PARTS = 3
@@ -428,12 +428,18 @@ def stars(now: DataFrame, round_: int, pairs: int = 2) -> DataFrame:
 def candidates(now: DataFrame, sets: DataFrame, least: float, forest: bool, bucket: int = BUCKET) -> DataFrame:
     """Pairs (a < b) of nodes of different components that share a band and that their sketches do not refuse.
 
-    ``now`` has node, c and band. A band's sets are dealt into blocks of about ``bucket``, and each two blocks (and
-    each with itself) meet in one place; what leaves it are not its pairs but those that pass, or a ``forest`` of them.
+    ``now`` has node, c and band. Sets of a band's largest component never meet each other. They and the others are dealt
+    into blocks of about ``bucket``; each block of others meets each block of the band, itself included, in one place. So a band of
+    one large component and a few others makes rows in proportion to its sets. What leaves a place are not its pairs
+    but those that pass, or a ``forest`` of them.
     """
-    sizes = now.groupBy("band").agg(F.ceil(F.count("*") / bucket).cast("int").alias("blocks"))
-    rows = now.join(sets.select("node", F.col("n").alias("size"), "sketch"), "node").join(sizes, "band")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = now.groupBy("band", "c").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("band").agg(F.sum("n").alias("m"), F.max(F.struct("n", "c")).alias("top"))
+    sizes = sizes.select("band", F.col("top.c").alias("largest"), F.ceil(F.col("top.n") / bucket).cast("int").alias("t"), F.ceil((F.col("m") - F.col("top.n")) / bucket).cast("int").alias("u")).where("u > 0")
+    rows = now.join(sets.select("node", F.col("n").alias("size"), "sketch"), "node").join(sizes, "band").withColumn("in_largest", F.col("c") == F.col("largest"))
+    own = F.when(F.col("in_largest"), F.pmod(F.xxhash64("node"), F.col("t"))).otherwise(F.col("t") + F.pmod(F.xxhash64("node"), F.col("u"))).cast("int")
+    met = F.sequence(F.when(F.col("in_largest"), F.col("t")).otherwise(0), F.col("t") + F.col("u") - 1)
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(met))
     rows = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c", "size", "sketch")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -504,9 +510,9 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
-def placed(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """``rows`` with c, the component of their node by ``edges``."""
-    linked = components(edges).select(F.col("node").alias("linked"), "component")
+def placed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with c, the component of their node by ``labels`` (node, component)."""
+    linked = labels.select(F.col("node").alias("linked"), "component")
     return rows.join(linked, F.col("node") == F.col("linked"), "left").withColumn("c", F.coalesce("component", "node")).drop("linked", "component")
 
 
@@ -523,25 +529,37 @@ def groups(docs: DataFrame, rows: DataFrame, k: int, least: float, covered: int,
     several = entries.groupBy("band").count().where("count > 1").select("band")
     entries = materialise(entries.join(several, "band").distinct(), "simhash-shared")
     nodes = tried.select(F.col("a").alias("node")).union(tried.select("b")).union(entries.select("node")).distinct()
-    sets = shingle_sets(docs, rows, materialise(nodes, "simhash-nodes"), k)
-    edges = similar(sets, tried, least)
-
-    def crossing(edges: DataFrame) -> DataFrame:
-        """Entries of bands that stand in two components."""
-        now = materialise(placed(entries, edges), "simhash-placed")
+    nodes = materialise(nodes, "simhash-nodes")
+    sets = shingle_sets(docs, rows, nodes, k)
+    first = similar(sets, tried, least)
+    labels = materialise(components(first), "labels")
+    discard(nodes, first)
+
+    def crossing() -> DataFrame:
+        """Entries of bands that stand in two components; the others are done with."""
+        nonlocal entries
+        now = materialise(placed(entries, labels), "simhash-placed")
         split = now.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("band")
-        return materialise(now.join(split, "band"), "simhash-crossing")
+        out = materialise(now.join(split, "band"), "simhash-crossing")
+        discard(now, entries)
+        entries = out
+        return out
 
-    for round_ in range(STARS):
-        new = materialise(stars(crossing(edges), round_).join(tried, ["a", "b"], "left_anti"), "simhash-stars")
+    rounds = [lambda now, i=i: stars(now, i) for i in range(STARS)] + [lambda now, f=f: candidates(now, sets, least, f) for f in (True, False)]
+    for met in rounds:
+        now = crossing()
+        entries = now.select("node", "band")
+        entries.written_to = now.written_to
+        new = materialise(met(now).join(tried, ["a", "b"], "left_anti"), "simhash-pairs")
         if new.isEmpty():
-            break
-        tried, edges = tried.unionByName(new), edges.unionByName(similar(sets, new, least))
-    for forest in (True, False):
-        met = candidates(crossing(edges), sets, least, forest)
-        new = materialise(met.join(tried, ["a", "b"], "left_anti"), "simhash-pairs")
-        tried, edges = tried.unionByName(new), edges.unionByName(similar(sets, new, least))
-    return placed(rows, edges)
+            continue
+        links = similar(sets, new, least)
+        before, labels = labels, widened(labels, links)
+        last, tried = tried, materialise(tried.unionByName(new), "simhash-pairs")
+        discard(before, links, last, new)
+    out = placed(rows, labels)
+    discard(sets, tried, entries)
+    return out
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, covered: int = LINK, radius: int = 10, exact: bool = False) -> DataFrame:
@@ -559,6 +577,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, covered: int
     named = columns(docs, doc_id="doc_id", text="text").withColumn("h", F.xxhash64("text"))
     rows = summaries(named, shingle, least, exact)
     ids = materialise(groups(named, rows, shingle, least, covered, radius).select("doc_id", "h", "c"), "simhash-classes")
+    discard(rows)
     best = ids.groupBy("c").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h")).alias("best"))
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))
     gone = ids.join(best, "c").where(~stays).select(F.col("doc_id").alias("i"), F.col("h").alias("t")).distinct()
