@@ -232,3 +232,9 @@ def ewma(rows: DataFrame, group: str, order: str, value: str, keep: float = 0.7)
     r = r.join(total, group)
     weight = F.pow(F.lit(keep), (F.col("__total") - F.col("__n")).cast("double")) * F.when(F.col("__n") == 1, 1.0).otherwise(1 - keep)
     return r.groupBy(group).agg(F.round(F.sum(F.col(value) * weight), 6).alias("rate"))
+
+
+def restore_pays(tokens: Column, token_bytes: Column | float, disk_rate: float, compute_rate: float, least: int = 64) -> Column:
+    """Reading back what ``tokens`` have left on disk (``token_bytes`` each, ``disk_rate`` bytes in a millisecond) takes less time
+    than computing them again (``compute_rate`` tokens in a second), from ``least`` tokens on."""
+    return (tokens >= least) & (tokens * token_bytes / disk_rate < tokens / compute_rate * 1000)

@@ -129,11 +129,11 @@ def ret_cleanup_age(spark: SparkSession, sf: str) -> DataFrame:
     return e.crossJoin(F.broadcast(newest)).where(F.col("ts") < F.col("newest") - F.expr("INTERVAL 7 DAY")).groupBy("user_id").agg(F.count("*").alias("gone"))
 
 
-@query("ret_restore_pays", "SELECT event_id, CAST(floor(abs(value) * 10) AS BIGINT) >= 64 AND (floor(abs(value) * 10) * 56605) / 400000.0 < floor(abs(value) * 10) / 400.0 * 1000 AS pays FROM events")
+@query("ret_restore_pays", "SELECT event_id, CAST(floor(abs(value) * 10) AS BIGINT) >= 64 AND (floor(abs(value) * 10) * (40000 + event_id % 2000 * 1000)) / 400000.0 < floor(abs(value) * 10) / 400.0 * 1000 AS pays FROM events")
 def ret_restore_pays(spark: SparkSession, sf: str) -> DataFrame:
-    """Restoring pays when reading the bytes takes less time than computing the tokens, from 64 tokens on."""
-    n = F.floor(F.abs("value") * 10)
-    return table(spark, sf, "events").select("event_id", ((n >= 64) & ((n * 56605) / 400000.0 < n / 400.0 * 1000)).alias("pays"))
+    """Restoring pays when reading the bytes takes less time than computing the tokens, from 64 tokens on; bytes a token differ."""
+    pays = quality.restore_pays(F.floor(F.abs("value") * 10), 40_000 + F.col("event_id") % 2000 * 1000, 400_000.0, 400.0)
+    return table(spark, sf, "events").select("event_id", pays.alias("pays"))
 
 
 @query("ewma_rate", "WITH RECURSIVE e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events), r AS (SELECT event_type, n, value AS rate FROM e WHERE n = 1 UNION ALL SELECT e.event_type, e.n, 0.7 * r.rate + 0.3 * e.value FROM e JOIN r ON e.event_type = r.event_type AND e.n = r.n + 1) SELECT event_type, round(max_by(rate, n), 6) AS rate FROM r GROUP BY event_type")

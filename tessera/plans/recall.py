@@ -26,8 +26,8 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
     return literal.unionByName(m)
 
 
-_STRONG = references.phrase_pattern(references.phrases(references.STRONG)).replace("'", "''")
-_WEAK = " + ".join(f"CAST(regexp_matches(low, '{references.phrase_pattern([p])}') AS INTEGER)" for p in references.phrases(references.WEAK))
+_STRONG = references.phrase_pattern(references.STRONG).replace("'", "''")
+_WEAK = " + ".join(f"CAST(regexp_matches(low, '{references.phrase_pattern([p])}') AS INTEGER)" for p in references.WEAK)
 
 
 @query("ref_signals", rf"WITH {_ASKED}, l AS (SELECT id, lower(question) AS low FROM q) SELECT id, list_aggregate(list_distinct(regexp_extract_all(low, '{references.FILE_NAME}', 1)), 'count') AS n_files, regexp_matches(low, '{references.CERTAIN}') OR regexp_matches(low, '{_STRONG}') AS strong, CASE WHEN regexp_matches(low, '{references.CERTAIN}') THEN 0 ELSE {_WEAK} END AS weak FROM l")
