@@ -238,3 +238,49 @@ def restore_pays(tokens: Column, token_bytes: Column | float, disk_rate: float,
     """Reading back what ``tokens`` have left on disk (``token_bytes`` each, ``disk_rate`` bytes in a millisecond) takes less time
     than computing them again (``compute_rate`` tokens in a second), from ``least`` tokens on."""
     return (tokens >= least) & (tokens * token_bytes / disk_rate < tokens / compute_rate * 1000)
+
+
+def hits_on_pages(ranked: DataFrame, relevant: DataFrame, query: str, doc: str) -> DataFrame:
+    """The rank of each query's first relevant passage, null without one; queries without passages count as well.
+
+    ``ranked``: query, doc, rank, page_from, page_to (null where a passage has no pages); ``relevant``: query, doc, page. A
+    passage of the right document is relevant if it holds the page, or if no page is asked for.
+    """
+    r = relevant.select(query, doc, "page").distinct()
+    on = F.col("page").isNull() | F.col("page").between(F.col("page_from"), F.coalesce("page_to", "page_from"))
+    good = ranked.join(r, [query, doc]).where(on).groupBy(query).agg(F.min("rank").alias("first"))
+    return r.select(query).distinct().join(good, query, "left")
+
+
+def resolved_citations(cited: DataFrame, key: str, known: DataFrame, shown: DataFrame) -> DataFrame:
+    """key, n, doc, verdict of citations (key, n, file, page_from, page_to; file null or empty, pages null where none is named).
+
+    ``known``: key, doc, place (order of the documents of an answer), name, pages (how many, null if unknown), full (shown as a
+    whole); ``shown``: key, doc, page_from, page_to of passages. A file is the one of that name, else the first whose name holds
+    its stem; without a file it is the only known document, or the only one that showed the pages. Verdicts: ok, not provided,
+    ambiguous, no such page, page not shown.
+    """
+    c = cited.select(key, "n", F.lower(F.nullif("file", F.lit(""))).alias("file"), "page_from", "page_to")
+    k = known.select(key, "doc", "place", F.lower("name").alias("name"), "pages", "full")
+    covering = c.where("page_from IS NOT NULL").select(key, "n", "page_from", "page_to").join(shown.select(key, "doc", F.col("page_from").alias("s_from"), F.coalesce("page_to", "page_from").alias("s_to")), key)
+    covering = covering.where((F.col("s_from") <= F.col("page_from")) & (F.col("s_to") >= F.col("page_to"))).select(key, "n", "doc").distinct().withColumn("covers", F.lit(True))
+    met = c.join(k, key, "left").join(covering, [key, "n", "doc"], "left").withColumn("has", F.coalesce("covers", F.lit(False)) | (F.coalesce("full", F.lit(False)) & F.col("page_from").isNotNull()))
+    stem = F.regexp_replace("file", r"\.[^.]*$", "")
+    fit = F.when(F.col("file") == F.col("name"), 1).when(F.contains(F.col("name"), stem), 2)
+    best = met.groupBy(key, "n", "file", "page_from", "page_to").agg(
+        F.count("doc").alias("known"),
+        F.count_if("has").alias("with_pages"),
+        F.min_by(F.struct("doc", "pages", "has"), F.when(fit.isNotNull(), F.struct(fit, "place"))).alias("named"),
+        F.first(F.when(F.col("doc").isNotNull(), F.struct("doc", "pages", "has")), ignorenulls=True).alias("any"),
+        F.max(F.when(F.col("has"), F.struct("doc", "pages", "has"))).alias("paged"),
+    )
+    x = F.when(F.col("file").isNotNull(), F.col("named")).when(F.col("known") == 1, F.col("any")).when(F.col("with_pages") == 1, F.col("paged"))
+    best = best.withColumn("x", x)
+    verdict = (
+        F.when(F.col("x").isNull() & F.col("file").isNull() & (F.col("known") > 1), "ambiguous")
+        .when(F.col("x").isNull(), "not provided")
+        .when(F.col("page_to") > F.col("x.pages"), "no such page")
+        .when(F.col("page_from").isNotNull() & ~F.col("x.has"), "page not shown")
+        .otherwise("ok")
+    )
+    return best.select(key, "n", F.col("x.doc").alias("doc"), verdict.alias("verdict"))

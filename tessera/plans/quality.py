@@ -54,6 +54,26 @@ def verify_pages(spark: SparkSession, sf: str) -> DataFrame:
     return quality.verified_pages(quality.citations(answers, "doc_id", "answer"), shown).select("doc_id", "n")
 
 
+_KNOWN = "k AS (SELECT doc_id, doc_id * 10 + i AS doc, i AS place, CASE i WHEN 0 THEN source || '.pdf' WHEN 1 THEN 'old ' || source || '.docx.pdf' ELSE 'x.txt' END AS name, CASE WHEN i = 0 THEN 5 END AS pages, doc_id % 4 = 0 AND i = 1 AS whole FROM documents, (VALUES (0), (1), (2)) v(i) WHERE (doc_id + i) % 5 > 0)"
+
+
+@query(
+    "verify_resolved",
+    f"""WITH {_CITED}, {_KNOWN}, m AS (SELECT c.*, k.*, lower(c.file) = lower(name) AS exact, contains(lower(name), regexp_replace(lower(c.file), '\\.[^.]*$', '')) AS part, coalesce(whole, false) OR coalesce(place = 0 AND page_from >= 2 AND page_to <= 3, false) AS has FROM c LEFT JOIN k USING (doc_id)),
+    b AS (SELECT doc_id, n, page_from, page_to, arg_min({{'doc': doc, 'pages': pages, 'has': has}}, CASE WHEN exact THEN 0 WHEN part THEN 100 END + place) FILTER (WHERE exact OR part) AS x FROM m GROUP BY ALL)
+    SELECT doc_id, CAST(n AS INTEGER) AS n, x.doc AS doc, CASE WHEN x IS NULL THEN 'not provided' WHEN page_to > x.pages THEN 'no such page' WHEN NOT x.has THEN 'page not shown' ELSE 'ok' END AS verdict FROM b""",
+)
+def verify_resolved(spark: SparkSession, sf: str) -> DataFrame:
+    """Each answer knows up to three documents, by whole names and by parts of names; the first showed its pages 2 to 3."""
+    d = table(spark, sf, "documents")
+    answers = d.select("doc_id", F.expr(_SPARK_ANSWER).alias("answer"))
+    k = d.select("doc_id", "source", F.explode(F.array(*map(F.lit, range(3)))).alias("place")).where((F.col("doc_id") + F.col("place")) % 5 > 0)
+    name = F.when(F.col("place") == 0, F.concat("source", F.lit(".pdf"))).when(F.col("place") == 1, F.concat(F.lit("old "), "source", F.lit(".docx.pdf"))).otherwise("x.txt")
+    known = k.select("doc_id", (F.col("doc_id") * 10 + F.col("place")).alias("doc"), "place", name.alias("name"), F.when(F.col("place") == 0, 5).alias("pages"), ((F.col("doc_id") % 4 == 0) & (F.col("place") == 1)).alias("full"))
+    shown = known.where("place = 0").select("doc_id", "doc", F.lit(2).alias("page_from"), F.lit(3).alias("page_to"))
+    return quality.resolved_citations(quality.citations(answers, "doc_id", "answer"), "doc_id", known, shown)
+
+
 _QUOTE = r"trim(regexp_replace(lower(q), '[^\p{L}\p{N}]+', ' ', 'g'))"
 
 
