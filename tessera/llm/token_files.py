@@ -73,7 +73,7 @@ class EliasFano:
 
 
 _PART = "n long, base long, low_bits int, low binary, high binary, samples binary"
-_SCHEMA = "shard int, block int, first_in_shard long, n_ids long, nulls boolean, ids binary, " + ", ".join(f"{p}_{x}" for p in ("start", "doc") for x in _PART.split(", "))
+_SCHEMA = "shard int, block int, first_in_shard long, n_ids long, nulls boolean, doc_from long, doc_to long, ids binary, " + ", ".join(f"{p}_{x}" for p in ("start", "doc") for x in _PART.split(", "))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, kind: str | None = None, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -93,7 +93,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str | None = None, e
             lengths = np.array([len(x) // enc.dtype.itemsize for _, x in held], np.int64)
             nulls = held[0][0] is None
             parts = {"start": EliasFano.encode(np.cumsum(lengths) - lengths), "doc": EliasFano.encode(np.zeros(len(held)) if nulls else np.array([i for i, _ in held], np.int64))}
-            out = {"shard": [shard], "block": [block], "first_in_shard": [before], "n_ids": [int(lengths.sum())], "nulls": [nulls], "ids": [b"".join(x for _, x in held)]}
+            out = {"shard": [shard], "block": [block], "first_in_shard": [before], "n_ids": [int(lengths.sum())], "nulls": [nulls], "doc_from": [held[0][0]], "doc_to": [held[-1][0]], "ids": [b"".join(x for _, x in held)]}
             out |= {f"{p}_{k}": [v] for p, e in parts.items() for k, v in e.row().items()}
             block, before, held, size = block + 1, before + int(lengths.sum()), [], 0
             return out
@@ -108,7 +108,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str | None = None, e
         if held:
             yield close()
 
-    ordered = columns(docs, doc_id=doc_id, text=text).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # ranges go by the beginning of the text as well, so that rows without an id, or of one repeated id, are no single range
+    ordered = columns(docs, doc_id=doc_id, text=text).repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     map_rows(ordered, _SCHEMA, task).write.option("compression", "zstd").parquet(path)
 
 
@@ -148,7 +149,8 @@ def read(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
 def lookup(spark: SparkSession, path: str, tokenizer: str, doc_ids: list[int]) -> DataFrame:
     """The documents of the files with the given ids, as ``read`` gives them, out of the blocks that can hold them.
 
-    A block is searched by bisection over ``select``; rows that repeat an id all come.
+    Blocks whose least and greatest id leave no room for a wanted one are not read; a block is searched by bisection over
+    ``select``. Rows that repeat an id all come.
     """
     width, wanted = id_width(tokenizer), sorted(set(doc_ids))
 
@@ -166,7 +168,10 @@ def lookup(spark: SparkSession, path: str, tokenizer: str, doc_ids: list[int]) -
                         i += 1
                 yield out
 
-    return map_rows(blocks(spark, path).where("not nulls"), "doc_id long, start long, n_tokens long, ids binary", task)
+    if not wanted:
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
+    room = F.exists(F.array(*map(F.lit, wanted)), lambda x: x.between(F.col("doc_from"), F.col("doc_to")))
+    return map_rows(blocks(spark, path).where((F.col("doc_to") >= wanted[0]) & (F.col("doc_from") <= wanted[-1]) & room), "doc_id long, start long, n_tokens long, ids binary", task)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, kind: str | None = None, end_id: int = 1) -> DataFrame:
