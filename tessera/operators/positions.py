@@ -15,9 +15,7 @@ from pyspark.sql.pandas.functions import arrow_udf
 from pyspark.sql.types import ArrayType, IntegerType
 
 from tessera.functions import text as T
-from tessera.operators.search import LEAST_IDF, corpus_statistics, idf, lengths, term_weight
-
-__all__ = ["LEAST_IDF", "clause_matches", "clause_scores", "dictionary", "phrase_matches", "places", "positional", "prefix_matches", "save", "stored"]
+from tessera.operators.search import corpus_statistics, idf, lengths, term_weight
 
 
 def positional(docs: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
