@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact_dedup, language, mixing, packing, simhash
-from tessera.llm.common import materialise
+from tessera.llm.common import discard, materialise
 from tessera.llm.queries import table, tokenizer
 
 
@@ -46,5 +46,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)  # what a stage has written goes when the next one has written its own
     return STAGES[-1][1](spark, docs, sf_dir)
