@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import store, structure
+from tessera.sources.shared import written
 
 #: Documents that a route looks at, chunks of a definition, and the bytes below which nothing more is begun.
 DOCUMENTS, DEFINITIONS, LEAST_LEFT = 12, 6, 200
+#: Versions of a family whose sizes are summed together.
+POSITIONS = 1024
 ROW = r"\brows?\s+(?:no\.?\s*|number\s+|#)?([0-9]{1,6})\b"
 MARK = " […]"
 
@@ -111,14 +114,31 @@ def sheet_route(asked: DataFrame, key: str, question: str, scope: DataFrame, row
 
 
 def other_versions(shown: DataFrame, key: str, files: DataFrame, doc: str, name: str, created: str, lines: DataFrame, budget: int) -> DataFrame:
-    """The pages that were shown (key, doc, first, last) in the other versions of their documents, within a quarter of the budget; each with its place among the versions."""
-    f = store.families(files, doc, name, created).select(doc, "family", "position", "total")
+    """The pages that were shown (key, doc, first, last) in the other versions of their documents, within a quarter of the budget; each with its place among the versions.
+
+    Questions that want the same pages of one family share its texts, which are read once. Of these only the first ones can be
+    shown: those up to where the budget ends, whichever ones a question has seen already, so a question meets some versions
+    of a family and never all of them.
+    """
+    room = budget // 4
+    f = written(store.families(files, doc, name, created).select(doc, "family", "position", "total"), "versions")
     own = shown.join(f.select(doc, "family"), doc)
-    others = own.select(key, F.col(doc).alias("of"), "first", "last", "family").join(f, "family").where(F.col(doc) != F.col("of"))
-    others = others.join(shown.select(key, doc), [key, doc], "left_anti")
-    asked = others.groupBy(key, doc, "position", "total").agg(F.min(F.struct("of", "first", "last")).alias("x")).select(key, doc, "position", "total", "x.first", "x.last")
-    found = pages(asked, key, lines, doc).join(asked.select(key, doc, "position", "total"), [key, doc])
-    return within_bytes(found, key, ["position", doc], "text", budget // 4)
+    # of several documents that a question has of a family the first one says which pages
+    wanted = own.groupBy(key, "family").agg(F.min(F.struct(F.col(doc).alias("of"), "first", "last")).alias("x"), F.count_distinct(doc).alias("own")).select(key, "family", "x.first", "x.last", "own")
+    pages_of = ["family", "first", "last"]
+    asked = wanted.groupBy(*pages_of).agg(F.max("own").alias("own"))
+    texts = pages(asked.join(f, "family").select(*pages_of, doc), "family", lines, doc).join(f.select(doc, "position", "total"), doc)
+    # a text counts with what ends a budget at most; one for each seen document may have to be passed over
+    most = room - LEAST_LEFT + 1
+    texts = written(texts.withColumn("block", F.floor(F.col("position") / POSITIONS)).withColumn("size", F.least(F.octet_length("text"), F.lit(most))), "version-pages")
+    blocks = texts.groupBy(*pages_of, "block").agg(F.sum("size").alias("size"))
+    ahead = lambda *order: F.coalesce(F.sum("size").over(Window.partitionBy(*pages_of).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    limit = (F.lit(most) * (F.col("own") + 1)).cast("long")
+    blocks = blocks.withColumn("ahead", ahead("block")).join(asked, pages_of).where(F.col("ahead") < limit).select(*pages_of, "block", "own")
+    some = texts.join(blocks, [*pages_of, "block"]).withColumn("ahead", ahead("position", doc)).where(F.col("ahead") < limit)
+    found = wanted.select(key, *pages_of).join(some.select(*pages_of, doc, "position", "total", "text"), pages_of).drop("family")
+    found = found.join(shown.select(key, doc), [key, doc], "left_anti").select(key, doc, "first", "last", "text", "position", "total")
+    return within_bytes(found, key, ["position", doc], "text", room)
 
 
 #: Tokens of this many characters are searched by their beginning even without a known ending; synonyms of one query.
