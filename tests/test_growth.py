@@ -1,10 +1,9 @@
 """Work that must not grow with the square of the input, and memory that must not grow with a batch."""
 
 
-
 from pyspark.sql import functions as F
 
-from tessera.operators import routes
+from tessera.operators import references, routes
 
 
 def shuffled(spark, make) -> int:
@@ -39,3 +38,12 @@ def test_other_versions_pass_over_what_was_seen(spark):
     shown = spark.createDataFrame([(1, 0, 2, 2), (1, 1, 1, 1), (1, 2, 1, 2), (1, 9, 1, 1), (2, 7, 1, 2)], "ask long, doc long, first int, last int")
     got = [(r["ask"], r["doc"], r["text"][:3], r["truncated"]) for r in routes.other_versions(shown, "ask", files, "doc", "name", "created", lines, 8000).orderBy("ask", "position", "doc").collect()]
     assert got == [(1, 8, "8/1", False), (1, 10, "10/", False), (1, 3, "3/2", False), (1, 4, "4/2", False), (1, 5, "5/2", True)] + [(2, 0, "0/1", False), (2, 1, "1/1", False), (2, 2, "2/1", True)]
+
+
+def test_described_names_meet_questions_over_their_rarest_word(spark):
+    n = 400
+    asked = spark.range(n).select(F.col("id").alias("q"), F.concat(F.lit("please show the contract of firm"), "id").alias("text"))
+    files = spark.range(n).select(F.concat(F.lit("contract_firm"), "id", F.lit(".pdf")).alias("name"), F.col("id").alias("latest"))
+    work = lambda: references.described(asked, "q", "text", files, "name", "latest").where("how = 'words'")
+    assert sorted((r["q"], r["name"]) for r in work().collect()) == sorted((i, f"contract_firm{i}.pdf") for i in range(n))
+    assert shuffled(spark, work) < 40 * n  # pairs over "contract" would be 160,000
