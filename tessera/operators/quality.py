@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -82,38 +84,65 @@ def strip_scaffold(answers: pd.Series) -> pd.Series:
     return answers.map(lambda x: None if x is None else stripped(x))
 
 
+#: Rounds of ``myers`` between two states that it keeps.
+ROUNDS = 64
+
+
+def _round(v: list[int], a: list, b: list, d: int, middle: int) -> bool:
+    """Furthest points with ``d`` edits from those with one less, in place; whether the end is reached."""
+    n, m = len(a), len(b)
+    for k in range(-d, d + 1, 2):
+        x = v[middle + k + 1] if k == -d or (k != d and v[middle + k - 1] < v[middle + k + 1]) else v[middle + k - 1] + 1
+        while x < n and x - k < m and a[x] == b[x - k]:
+            x += 1
+        v[middle + k] = x
+        if x >= n and x - k >= m:
+            return True
+    return False
+
+
 def myers(a: list, b: list) -> list[tuple[str, int, int]]:
-    """Shortest edit script (Myers 1986): (op, index in a, index in b), op one of equal, delete, insert."""
+    """Shortest edit script (Myers 1986): (op, index in a, index in b), op one of equal, delete, insert.
+
+    Of the D rounds every ROUNDS-th state is kept, and those between are made again on the way back, so D edits need
+    memory for D * (D / ROUNDS + ROUNDS) small numbers and not for the square of D.
+    """
     n, m = len(a), len(b)
-    v, trace = {1: 0}, []
-    for d in range(n + m + 1):
-        trace.append(dict(v))
-        for k in range(-d, d + 1, 2):
-            x = v.get(k + 1, 0) if k == -d or (k != d and v.get(k - 1, -1) < v.get(k + 1, -1)) else v.get(k - 1, 0) + 1
-            while x < n and x - k < m and a[x] == b[x - k]:
-                x += 1
-            v[k] = x
-            if x >= n and x - k >= m:
-                break
-        else:
-            continue
-        break
-    out, x, y = [], n, m
-    for d in range(len(trace) - 1, -1, -1):
-        v, k = trace[d], x - y
-        before = k + 1 if k == -d or (k != d and v.get(k - 1, -1) < v.get(k + 1, -1)) else k - 1
-        px = v.get(before, 0)
-        py = px - before
-        while x > px and y > py and x > 0 and y > 0:
-            x, y = x - 1, y - 1
-            out.append(("equal", x, y))
-        if d:
-            if x == px:
-                y -= 1
-                out.append(("insert", x, y))
-            else:
-                x -= 1
-                out.append(("delete", x, y))
+    middle = n + m + 1
+    v = [-1] * (2 * middle + 1)
+    v[middle + 1] = 0
+    state = lambda d: array("q", v[middle - d - 1 : middle + d + 2])
+    kept, d = [], 0
+    while True:
+        if d % ROUNDS == 0:
+            kept.append(state(d))
+        if _round(v, a, b, d, middle):
+            break
+        d += 1
+    out, x, y, last = [], n, m, d
+    for first in range(last - last % ROUNDS, -1, -ROUNDS):
+        v[middle - first - 1 : middle + first + 2] = kept.pop()
+        trace = []
+        for d in range(first, min(first + ROUNDS - 1, last) + 1):
+            trace.append(state(d))
+            if d < last:
+                _round(v, a, b, d, middle)
+        for d in range(first + len(trace) - 1, first - 1, -1):
+            t, k = trace.pop(), x - y
+            at = d + 1 + k
+            before = k + 1 if k == -d or (k != d and t[at - 1] < t[at + 1]) else k - 1
+            px = t[d + 1 + before]
+            py = px - before
+            while x > px and y > py and x > 0 and y > 0:
+                x, y = x - 1, y - 1
+                out.append(("equal", x, y))
+            if d:
+                if x == px:
+                    y -= 1
+                    out.append(("insert", x, y))
+                else:
+                    x -= 1
+                    out.append(("delete", x, y))
     return out[::-1]
 
 
@@ -148,18 +177,30 @@ def differences(left: list[str], right: list[str], fold=lambda s: " ".join(s.low
     return out
 
 
-def compared(pairs: DataFrame, key: str) -> DataFrame:
-    """(key, left_text, right_text) to one row per paragraph operation: key, n, op, left, right."""
+#: Pairs that are compared before their rows are handed on, and rows that are handed on at once.
+PAIRS, OPERATIONS = 64, 4096
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for k, a, b in zip(f[key], f["left_text"], f["right_text"], strict=True):
-                cut = lambda t: [x for x in re.split(r"\n+", t or "") if x.strip()]
-                rows += [(k, n, *op) for n, op in enumerate(differences(cut(a), cut(b)))]
-            yield pd.DataFrame(rows, columns=[key, "n", "op", "left", "right"])
 
-    return pairs.select(key, "left_text", "right_text").mapInPandas(task, f"{key} {pairs.schema[key].dataType.simpleString()}, n int, op string, left string, right string")
+def compared(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, left_text, right_text) to one row per paragraph operation: key, n, op, left, right.
+
+    Texts leave Arrow a few pairs at a time, and so do the rows, so a task holds little besides the batch that it reads.
+    """
+    cut = lambda t: [x for x in re.split(r"\n+", t or "") if x.strip()]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([batch.schema.field(key), ("n", pa.int32()), ("op", pa.string()), ("left", pa.string()), ("right", pa.string())])
+            for at in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(at, PAIRS)
+                rows = []
+                for k, a, b in zip(part.column(key).to_pylist(), part.column("left_text").to_pylist(), part.column("right_text").to_pylist(), strict=True):
+                    rows += [(k, n, *op) for n, op in enumerate(differences(cut(a), cut(b)))]
+                for i in range(0, len(rows), OPERATIONS):
+                    columns = zip(*rows[i : i + OPERATIONS], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return pairs.select(key, "left_text", "right_text").mapInArrow(task, f"{key} {pairs.schema[key].dataType.simpleString()}, n int, op string, left string, right string")
 
 
 def summary(ops: DataFrame, key: str) -> DataFrame:

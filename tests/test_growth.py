@@ -1,9 +1,10 @@
 """Work that must not grow with the square of the input, and memory that must not grow with a batch."""
 
+import tracemalloc
 
 from pyspark.sql import functions as F
 
-from tessera.operators import references, routes
+from tessera.operators import quality, references, routes
 
 
 def shuffled(spark, make) -> int:
@@ -47,3 +48,13 @@ def test_described_names_meet_questions_over_their_rarest_word(spark):
     work = lambda: references.described(asked, "q", "text", files, "name", "latest").where("how = 'words'")
     assert sorted((r["q"], r["name"]) for r in work().collect()) == sorted((i, f"contract_firm{i}.pdf") for i in range(n))
     assert shuffled(spark, work) < 40 * n  # pairs over "contract" would be 160,000
+
+
+def test_an_edit_script_needs_no_square_of_its_length():
+    left, right = list(range(500)), list(range(-500, 0))
+    tracemalloc.start()
+    ops = quality.myers(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [op for op, _, _ in ops].count("delete") == [op for op, _, _ in ops].count("insert") == 500
+    assert peak < 8 << 20  # all states of 1,000 rounds took more than 30 MB
