@@ -204,14 +204,25 @@ def trigram_vector(text: str | None) -> np.ndarray:
     return np.bincount((h % np.uint64(TRIGRAM_COMPONENTS)).astype(np.int64), sign, TRIGRAM_COMPONENTS)
 
 
+#: Texts whose vectors are handed on at once.
+EMBEDDED = 256
+
+
 def trigram_embedded(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, embedding (512 components, not normalised): a deterministic embedding without a model."""
+    """key, embedding (512 components, not normalised): a deterministic embedding without a model.
+
+    The vectors of EMBEDDED texts are one array of numbers; no vector is a list of Python's.
+    """
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({key: f[key], "embedding": [trigram_vector(x).astype("float32").tolist() for x in f["text"]]})
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, EMBEDDED):
+                part = batch.slice(at, EMBEDDED)
+                flat = np.concatenate([trigram_vector(x.as_py()) for x in part.column("text")]).astype("float32")
+                ends = pa.array(np.arange(part.num_rows + 1, dtype="int32") * TRIGRAM_COMPONENTS)
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.ListArray.from_arrays(ends, pa.array(flat))], names=[key, "embedding"])
 
-    return rows.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).mapInPandas(task, f"{key} long, embedding array<float>")
+    return rows.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).mapInArrow(task, f"{key} long, embedding array<float>")
 
 
 @arrow_udf(DoubleType())
