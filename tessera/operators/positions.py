@@ -15,11 +15,19 @@ from pyspark.sql.pandas.functions import arrow_udf
 from pyspark.sql.types import ArrayType, IntegerType
 
 from tessera.functions import text as T
+from tessera.operators import terms
 from tessera.operators.search import corpus_statistics, idf, lengths, term_weight
+from tessera.sources.shared import written
 
 
 def positional(docs: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
-    """term, key, n, gaps. ``only`` (term, each once) keeps the postings of these terms; a null text has none."""
+    """term, key, n, gaps. ``only`` (term, each once) keeps the postings of these terms; a null text has none.
+
+    Where each key has one row, as a key should, terms are grouped inside the rows. A few terms, and rows that share a
+    key, are grouped by a shuffle.
+    """
+    if only is None and docs.groupBy(key).count().where("count > 1").isEmpty():
+        return terms.by_text(docs, [key], text)
     each = docs.select(key, F.posexplode(T.tokens(F.col(text))).alias("pos", "term"))
     if only is not None:
         each = each.join(only.select("term"), "term", "left_semi")
@@ -44,8 +52,20 @@ def places(postings: DataFrame) -> DataFrame:
     return postings.withColumn("places", _summed("gaps")).drop("gaps")
 
 
+def place_sum(gaps: Column) -> Column:
+    """The sum of a posting's places."""
+    zero = F.lit(0).cast("long")
+    step = lambda s, x: F.struct((s["at"] + x).alias("at"), (s["sum"] + s["at"] + x).alias("sum"))
+    return F.aggregate(gaps, F.struct(zero.alias("at"), zero.alias("sum")), step, lambda s: s["sum"])
+
+
+def last_place(gaps: Column) -> Column:
+    return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
+
+
 def save(postings: DataFrame, path: str, parts: int | None = None) -> None:
     """Ranged and sorted by term; ``parts`` files (the session's shuffle partitions if not said)."""
+    postings = written(postings, "unsorted")  # the ranges are sampled from them before they are sorted
     ranged = postings.repartitionByRange(parts, "term") if parts else postings.repartitionByRange("term")
     ranged.sortWithinPartitions("term").write.parquet(path)
 
@@ -83,7 +103,8 @@ def phrase_matches(postings: DataFrame, key: str, phrases: DataFrame) -> DataFra
     are intersected, so what is gathered is as long as the phrase, and each list as the document.
     """
     words = phrases.select("phrase", F.size("words").alias("size"), F.posexplode("words").alias("at", "term"))
-    met = words.join(places(postings), "term").select("phrase", "size", "at", key, F.transform("places", lambda p: p - F.col("at")).alias("starts"))
+    # the places are worked out for what was met, not for all postings
+    met = places(words.join(postings.select("term", key, "gaps"), "term")).select("phrase", "size", "at", key, F.transform("places", lambda p: p - F.col("at")).alias("starts"))
     lists = met.groupBy("phrase", key, "size").agg(F.collect_list("starts").alias("l")).where(F.size("l") == F.col("size"))
     common = F.aggregate(F.slice("l", 2, 1 << 20), F.get("l", F.lit(0)), lambda a, b: F.array_intersect(a, b))
     return lists.select("phrase", key, F.size(common).cast("long").alias("tf")).where("tf > 0")
@@ -103,7 +124,7 @@ def clause_matches(postings: DataFrame, key: str, clauses: DataFrame) -> DataFra
     sizes = F.array_distinct(F.col("s"))
     known = dictionary(postings).select("term").crossJoin(F.broadcast(asked.agg(F.collect_set(F.length("prefix")).alias("s"))))  # one row, of lengths
     known = known.select("term", F.explode(F.filter(sizes, lambda n: n <= F.length("term"))).alias("size")).select("term", F.substring("term", F.lit(1), F.col("size")).alias("prefix"))
-    family = known.join(asked, "prefix")
+    family = written(known.join(asked, "prefix"), "family")  # as many terms as the beginnings have: small beside the postings
     begun = family.join(postings.select("term", key, "n"), "term").groupBy(F.lit("prefix").alias("kind"), F.col("prefix").alias("term"), key).agg(F.sum("n").alias("tf"))
     several = c.where((~F.col("kind").isin("exact", "prefix")) & (F.size("words") > 1))
     phrases = phrase_matches(postings, key, several.select(F.col("term").alias("phrase"), "words").distinct())
@@ -117,10 +138,11 @@ def clause_scores(docs: DataFrame, key: str, text: str, postings: DataFrame, cla
     A document that has the asked word itself matches the word and its beginning, so it stands above one with a
     relative of the word only.
     """
-    total = corpus_statistics(lengths(docs, key, text))
-    found = clause_matches(postings, key, clauses)
+    sizes = written(lengths(docs, key, text), "lengths")
+    total = corpus_statistics(sizes)
+    found = written(clause_matches(postings, key, clauses), "clause-matches")  # counted and weighed
     df = found.groupBy("kind", "term").agg(F.count("*").alias("df"))
-    weighted = found.join(df, ["kind", "term"]).join(lengths(docs, key, text), key).crossJoin(F.broadcast(total))  # total is one row
+    weighted = found.join(df, ["kind", "term"]).join(sizes, key).crossJoin(F.broadcast(total))  # total is one row
     weight: Column = idf(F.col("n_docs"), F.col("df")) * term_weight(F.col("tf"), F.col("length"), F.col("average_length"))
     weighted = weighted.select("kind", "term", key, weight.alias("w"))
     return clauses.select(question, "kind", "term").join(weighted, ["kind", "term"]).groupBy(question, key).agg(F.round(F.sum("w"), 6).alias("score"))

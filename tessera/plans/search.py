@@ -131,9 +131,9 @@ def fts_positions(spark: SparkSession, sf: str) -> DataFrame:
     """What the stored postings know of each term: documents, occurrences and places."""
     path = working_folder(spark, "positions")
     positions.save(positions.positional(table(spark, sf, "documents"), "doc_id", "text"), path)
-    p = positions.places(positions.stored(spark, path))
-    total = F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + x)
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"), F.sum(total).alias("total"), F.max(F.array_max("places")).alias("last"))
+    p = positions.stored(spark, path)
+    total, last = positions.place_sum(F.col("gaps")), positions.last_place(F.col("gaps"))
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"), F.sum(total).alias("total"), F.max(last).alias("last"))
 
 
 @query("fts_prefix_terms", f"WITH {_PLACES} SELECT term, count(DISTINCT doc_id) AS df FROM tok WHERE starts_with(term, 'inte') OR starts_with(term, 'ß') GROUP BY term")

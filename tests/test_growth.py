@@ -4,7 +4,7 @@ import tracemalloc
 
 from pyspark.sql import functions as F
 
-from tessera.operators import quality, references, routes
+from tessera.operators import positions, quality, references, routes
 
 
 def shuffled(spark, make) -> int:
@@ -58,3 +58,13 @@ def test_an_edit_script_needs_no_square_of_its_length():
     tracemalloc.stop()
     assert [op for op, _, _ in ops].count("delete") == [op for op, _, _ in ops].count("insert") == 500
     assert peak < 8 << 20  # all states of 1,000 rounds took more than 30 MB
+
+
+def test_postings_are_grouped_without_a_shuffle_of_tokens(spark):
+    docs = spark.range(100).select("id", F.when(F.col("id") % 10 > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("w"), i % (F.col("id") % 7 + 20))), " ")).alias("text"))
+    plain = lambda df: sorted((r["term"], r["id"], r["n"], tuple(r["gaps"])) for r in df.collect())
+    every = docs.select(F.explode(F.split("text", " ")).alias("term")).distinct()
+    assert plain(positions.positional(docs, "id", "text")) == plain(positions.positional(docs, "id", "text", every))
+    assert shuffled(spark, lambda: positions.positional(docs, "id", "text")) < 200  # 5,400 tokens
+    twice = docs.unionByName(docs)
+    assert plain(positions.positional(twice, "id", "text")) == plain(positions.positional(twice, "id", "text", every))
