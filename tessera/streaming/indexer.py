@@ -14,8 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import text as T
-from tessera.operators import search, structure
+from tessera.operators import structure
+from tessera.operators import terms as terms_of
 from tessera.sources.shared import written
 
 VERSION = 1
@@ -53,8 +53,13 @@ def _committed(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def current(spark: SparkSession, folder: str, name: str = "postings") -> DataFrame:
     """A table as it stands: of each document the rows of the epoch that dealt with it last."""
-    newest = _committed(spark, folder, "state").groupBy("doc_id").agg(F.max("epoch").alias("epoch"))
-    return _committed(spark, folder, name).join(newest, ["doc_id", "epoch"]).drop("epoch")
+    states = _committed(spark, folder, "state")
+    newest = states.groupBy("doc_id").agg(F.max("epoch").alias("epoch"))
+    if name == "state":
+        return states.join(newest, ["doc_id", "epoch"]).drop("epoch")
+    # what is no longer true is known by its state as well, and is little beside what stands
+    stale = written(states.select("doc_id", "epoch").join(newest, ["doc_id", "epoch"], "left_anti"), "stale")
+    return _committed(spark, folder, name).join(stale, ["doc_id", "epoch"], "left_anti").drop("epoch")
 
 
 def pending(docs: DataFrame, state: DataFrame, version: int = VERSION, attempts: int = ATTEMPTS) -> DataFrame:
@@ -74,13 +79,15 @@ def frames(docs: DataFrame) -> dict[str, DataFrame]:
     """Every table's rows of readable documents (doc_id, text). Contents lists are chunks, but nobody finds them."""
     chunks = written(structure.chunks(docs, "doc_id", "text"), "chunks")
     body = chunks.where("NOT is_toc").select("doc_id", "ord", F.concat_ws("\n", "section", "text").alias("body"))
-    found = body.select("doc_id", "ord", F.explode(T.tokens(F.col("body"))).alias("term")).groupBy("doc_id", "ord", "term").agg(F.count("*").cast("double").alias("tf"))
-    named = structure.defined_terms(docs, "doc_id", "text").join(docs.select("doc_id", "text"), "doc_id")
+    # a document and a chunk are one row each, so their terms are counted where they are
+    tf = F.col("n").cast("double").alias("tf")
+    found = terms_of.by_text(body, ["doc_id", "ord"], "body").select("doc_id", "ord", "term", tf)
+    named = written(structure.defined_terms(docs, "doc_id", "text"), "defined").join(docs.select("doc_id", "text"), "doc_id")
     # a definition stands where its term is first quoted
     quoted = F.least(*[F.nullif(F.position(F.concat(F.lit(q), F.col("term")), F.col("text")), F.lit(0)) for q in ('"', "“")])
     at = F.octet_length(F.substring(F.col("text"), F.lit(1), quoted - 1)).cast("long")
     terms = containing_chunk(named.select("doc_id", "term", at.alias("byte_start")), chunks)
-    return {"chunks": chunks, "chunk_postings": found, "postings": search.postings(docs, "doc_id", "text").withColumn("tf", F.col("tf").cast("double")), "terms": terms}
+    return {"chunks": chunks, "chunk_postings": found, "postings": terms_of.by_text(docs, ["doc_id"], "text").select("doc_id", "term", tf), "terms": terms}
 
 
 def index_batch(batch: DataFrame, batch_id: int, folder: str, run: str, version: int = VERSION) -> None:
