@@ -80,7 +80,8 @@ def morphological_prefix(token: Column) -> Column:
 
 def covers_enough(text: Column, terms: Column, stem: int = 5) -> Column:
     """At least half of the terms (rounded up) occur by their first characters; no terms: true."""
-    hits = F.size(F.filter(terms, lambda t: F.contains(F.lower(text), F.substring(t, 1, stem))))
+    # the text is folded once for each row, not for each term
+    hits = F.get(F.transform(F.array(F.lower(text)), lambda low: F.size(F.filter(terms, lambda t: F.contains(low, F.substring(t, 1, stem))))), F.lit(0))
     return hits >= F.ceil(F.size(terms) / 2)
 
 

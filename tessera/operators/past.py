@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import ranking
+from tessera.sources.shared import written
 
 # Documents and exchanges of a block, matching chunks of a document, the documents' part of the budget in hundredths,
 # the least budget that is of use, what a heading leaves at least, and what the mark of an excerpt takes.
@@ -37,6 +38,7 @@ def found_documents(asked: DataFrame, key: str, question: str, named: DataFrame,
     wanted = named.select(key, F.lower("file").alias("file")).where("file <> ''").distinct().withColumn("gram", F.substring("file", 1, 3))
     low = F.lower("name")
     grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda i: F.substring(low, i, F.least(F.lit(3), F.length("name") - i + 1)))))
+    wanted = written(wanted, "named-files")  # so small tables are known to be small
     met = readable.select("doc", "name", "day", grams.alias("gram")).join(wanted, "gram")
     by_name = met.where(F.contains(low, F.col("file"))).select(key, "doc", "day").distinct().join(scope.select(key, "doc"), [key, "doc"])
     by_name = by_name.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("day"), "doc"))).where(F.col("place") <= DOCUMENTS)
