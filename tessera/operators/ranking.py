@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import written
+
 #: The constant of reciprocal-rank fusion.
 DAMPING = 60
 
@@ -47,6 +49,8 @@ def hybrid(keyword: DataFrame, group: str, key: str, near: DataFrame | None, gat
         enough = words.where(F.col("words") >= 2).select(group)
         top = ranked(out, group, key, k=4).select(group, key)
         return out.join(enough, group, "left_semi").join(top, [group, key], "left_semi")
+    if gate is not None:
+        near = written(near, "near")  # the fusion and the gate read it
     out = fused([keyword, ranked(near, group, key)], group, key)
     return out if gate is None else gated(out, near.where(F.col("score") >= gate), [group, key])
 
