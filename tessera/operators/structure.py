@@ -1,7 +1,7 @@
 """Document structure: lines, pages, running lines, headings, chunks, defined terms, citations.
 
 Line-level work (positions, pages, running headers) is windows and aggregates over one row per line. Only the
-chunker itself, whose state runs through a document, is a small Python state machine inside ``mapInPandas``; it sees
+chunker itself, whose state runs through a document, is a small Python state machine inside ``mapInArrow``; it sees
 one document at a time and gives one row per chunk.
 """
 
@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -330,17 +330,28 @@ def with_prefix(raw: bytes, start: int | None, end: int | None, body: str) -> st
 CHUNK = "ord int, byte_start long, byte_end long, page int, page_to int, section string, location string, row_from int, row_to int, prefix_start long, prefix_end long, is_toc boolean, text string"
 
 
-def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per chunk of each document. A null or empty text has none."""
-    names = [x.split()[0] for x in CHUNK.split(", ")]
-    whole = {x.split()[0]: {"int": "Int32", "long": "Int64"}[x.split()[1]] for x in CHUNK.split(", ") if x.split()[1] in ("int", "long")}
+#: Documents that are cut before their chunks are handed on, and chunks that are handed on at once.
+CUT, HANDED = 64, 1024
+
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [{key: k, **c} for k, t in zip(frame[key], frame[text], strict=True) if t for c in chunk(t)]
-            yield pd.DataFrame(rows, columns=[key, *names]).astype(whole)
+def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per chunk of each document. A null or empty text has none.
 
-    return docs.select(key, text).mapInPandas(task, f"{key} {docs.schema[key].dataType.simpleString()}, {CHUNK}")
+    Documents leave Arrow a few at a time, and so do their chunks.
+    """
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    fields = [pa.field(x.split()[0], kinds[x.split()[1]]) for x in CHUNK.split(", ")]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([batch.schema.field(0).with_name(key), *fields])
+            for at in range(0, batch.num_rows, CUT):
+                part = batch.slice(at, CUT)
+                rows = [{key: k, **c} for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if t for c in chunk(t)]
+                for i in range(0, len(rows), HANDED):
+                    yield pa.RecordBatch.from_pylist(rows[i : i + HANDED], schema=schema)
+
+    return docs.select(key, text).mapInArrow(task, f"{key} {docs.schema[key].dataType.simpleString()}, {CHUNK}")
 
 
 #: A quoted term with a verb of definition, or a quoted term in brackets.
