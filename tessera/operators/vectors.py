@@ -73,7 +73,7 @@ def _packed(rows: DataFrame, ddl: str, size: int, pack: Callable[[pa.RecordBatch
 
 def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(n, -1) if n else np.zeros((0, 0), kind)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(n, -1) if n else np.zeros((0, 0), kind)
 
 
 def index_blocks(index: DataFrame, key: str, label: str | None = None) -> DataFrame:
@@ -122,8 +122,8 @@ def met(index: DataFrame, asked: DataFrame, key: str, ddl: str, work: Callable[[
 
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         for batch in frames:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pandas(work(Met(row)), preserve_index=False)
+            for at in range(batch.num_rows):  # one pair at a time leaves Arrow
+                yield pa.RecordBatch.from_pandas(work(Met(batch.slice(at, 1).to_pylist()[0])), preserve_index=False)
 
     return pairs.mapInArrow(task, ddl)
 
@@ -225,11 +225,15 @@ def trigram_embedded(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).mapInArrow(task, f"{key} long, embedding array<float>")
 
 
+#: Rows whose products are made at once.
+PRODUCTS = 512
+
+
 @arrow_udf(DoubleType())
 def _rowwise(a: pa.Array, b: pa.Array) -> pa.Array:
-    """The inner product of the two lists of each row, a batch at a time."""
-    x, y = _matrix(a, "<f8"), _matrix(b, "<f8")
-    return pa.array(np.einsum("ij,ij->i", x, y))
+    """The inner product of the two lists of each row, PRODUCTS rows at a time."""
+    parts = [np.einsum("ij,ij->i", _matrix(a.slice(i, PRODUCTS), "<f8"), _matrix(b.slice(i, PRODUCTS), "<f8")) for i in range(0, len(a), PRODUCTS)]
+    return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
 
 def near_of_same(index: DataFrame, key: str, asked: DataFrame, label: str, least: float) -> DataFrame:
@@ -238,5 +242,5 @@ def near_of_same(index: DataFrame, key: str, asked: DataFrame, label: str, least
     ``asked`` has a query or a few for each label, so a row meets these only; products are made in batches.
     """
     met = index.join(asked.select("query_id", label, "qp"), label)
-    score = F.round(_rowwise(F.col("qp"), F.col("q").cast("array<double>")) * F.col("scale"), 6)
+    score = F.round(_rowwise(F.col("qp"), F.col("q")) * F.col("scale"), 6)
     return met.select("query_id", key, score.alias("score")).where(F.col("score") >= least)

@@ -11,6 +11,7 @@ from tessera.operators import ranking, vectors
 from tessera.operators.search import best
 from tessera.plans.search import _BEST, _bm25_sql, _scores
 from tessera.registry import query
+from tessera.sources.shared import written
 from tessera.sources.tables import table
 
 _NORM = "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
@@ -155,7 +156,7 @@ def rank_relative_floor(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("rank_similarity_gate", f"WITH {_SQL} SELECT query_id, vec_id, CAST(distance AS INTEGER) AS distance FROM short WHERE score >= 0.3")
 def rank_similarity_gate(spark: SparkSession, sf: str) -> DataFrame:
-    short = _short(spark, sf)
+    short = written(_short(spark, sf), "shortlist")  # two parts of the plan read it
     similar = short.where("score >= 0.3")
     return ranking.gated(short, similar, ["query_id", "vec_id"]).select("query_id", "vec_id", "distance")
 
