@@ -9,6 +9,7 @@ from tessera.functions import text as T
 from tessera.operators import intervals, passages, search, store, structure
 from tessera.plans.search import _TOKENS
 from tessera.registry import query
+from tessera.sources.shared import written
 from tessera.sources.tables import messages, table
 
 
@@ -154,6 +155,7 @@ def ret_about_documents(spark: SparkSession, sf: str) -> DataFrame:
 def ret_passages(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 over chunks, then passages of 6,000 bytes for each question."""
     chunks = structure.chunks(table(spark, sf, "documents"), "doc_id", "text").where("NOT is_toc").withColumn("chunk_id", F.col("doc_id") * 1_000_000 + F.col("ord"))
+    chunks = written(chunks, "chunks")  # the search and the assembly read them
     terms = search.query_terms(table(spark, sf, "benchmark"), "item_id", "text")
     hits = search.best(search.bm25(chunks, "chunk_id", "text", terms, "item_id"), "item_id", "chunk_id", 50)
     hits = hits.select(F.col("item_id").alias("query_id"), F.floor(F.col("chunk_id") / 1_000_000).alias("doc_id"), (F.col("chunk_id") % 1_000_000).cast("int").alias("ord"), "score")
