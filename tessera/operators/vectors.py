@@ -3,7 +3,8 @@
 A query set is stated; it is packed into blocks, and so is the index. Each block of the index meets each block of
 queries once, in a task that works on whole matrices and hands on the best of its block for each query, so what is
 sorted afterwards is some hundred rows for a query and block, never a row for each pair. Query blocks travel to the
-tasks while they are small enough (SENT_BYTES); beyond that, Spark pairs the blocks by itself.
+tasks while they are small enough (SENT_BYTES), and the tasks block the rows of the index as these arrive; beyond that,
+both sides are packed and Spark pairs the blocks by itself.
 """
 
 from __future__ import annotations
@@ -44,27 +45,29 @@ def queries(vectors: DataFrame, key: str, vector: str, dimensions: int = 64) ->
     return p.withColumn("qsig", V.signature(F.col("qp")))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of ``size`` rows; the last one may be shorter."""
+    held, n = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, size - n)
+            batch = batch.slice(part.num_rows)
+            held, n = [*held, part], n + part.num_rows
+            if n == size:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _packed(rows: DataFrame, ddl: str, size: int, pack: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """Rows of up to ``size`` rows of ``rows`` each."""
     names = [x.split()[0] for x in ddl.split(", ")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            while batch.num_rows:
-                part = batch.slice(0, size - n)
-                batch = batch.slice(part.num_rows)
-                held, n = [*held, part], n + part.num_rows
-                if n == size:
-                    yield one(held)
-                    held, n = [], 0
-        if held:
-            yield one(held)
-
-    def one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        out = pack(whole)
-        return pa.RecordBatch.from_pylist([{k: out[k] for k in names}], schema=schema)
+        for whole in _gathered(batches, size):
+            out = pack(whole)
+            yield pa.RecordBatch.from_pylist([{k: out[k] for k in names}], schema=schema)
 
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in ddl.split(", ")])
@@ -76,14 +79,13 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(n, -1) if n else np.zeros((0, 0), kind)
 
 
-def index_blocks(index: DataFrame, key: str, label: str | None = None) -> DataFrame:
-    rows = index.select(F.col(key).cast("long").alias("key"), (F.col(label) if label else F.lit(0)).cast("long").alias("label"), "q", "scale", "sig")
+def _index_rows(index: DataFrame, key: str, label: str | None) -> DataFrame:
+    return index.select(F.col(key).cast("long").alias("key"), (F.col(label) if label else F.lit(0)).cast("long").alias("label"), "q", "scale", "sig")
 
-    def pack(x: pa.RecordBatch) -> dict:
-        q = _matrix(x.column("q"), "i1")
-        return {"n": len(q), "width": q.shape[1], "keys": x.column("key").to_numpy().tobytes(), "labels": x.column("label").to_numpy(zero_copy_only=False).astype("<i8").tobytes(), "q": q.tobytes(), "scales": x.column("scale").to_numpy().tobytes(), "sigs": x.column("sig").to_numpy().tobytes()}
 
-    return _packed(rows, _INDEX, INDEX_BLOCK, pack)
+def _index_block(x: pa.RecordBatch) -> dict:
+    q = _matrix(x.column("q"), "i1")
+    return {"n": len(q), "width": q.shape[1], "keys": x.column("key").to_numpy().tobytes(), "labels": x.column("label").to_numpy(zero_copy_only=False).astype("<i8").tobytes(), "q": q.tobytes(), "scales": x.column("scale").to_numpy().tobytes(), "sigs": x.column("sig").to_numpy().tobytes()}
 
 
 def query_blocks(asked: DataFrame) -> DataFrame:
@@ -108,7 +110,9 @@ class Met:
         self.other = self.asked[:, None] != self.keys[None, :]
 
     def scores(self) -> np.ndarray:
-        return np.round(self.vectors @ self.q.T.astype(np.float64) * self.scales, 6)
+        s = self.vectors @ self.q.T.astype(np.float64)
+        s *= self.scales
+        return np.round(s, 6, out=s)
 
     def distances(self) -> np.ndarray:
         return np.bitwise_count(self.asked_sigs[:, None] ^ self.sigs[None, :]).astype(np.int64)
@@ -118,7 +122,18 @@ def met(index: DataFrame, asked: DataFrame, key: str, ddl: str, work: Callable[[
     """What ``work`` makes of each block of the index with each block of queries."""
     blocks = query_blocks(asked)
     size = blocks.agg(F.coalesce(F.sum("a_bytes"), F.lit(0))).first()[0]  # one number
-    pairs = index_blocks(index, key, label).crossJoin(F.broadcast(blocks) if size <= SENT_BYTES else blocks)
+    rows, many = _index_rows(index, key, label), INDEX_BLOCK
+    if size <= SENT_BYTES:
+        sent = index.sparkSession.sparkContext.broadcast([r.asDict() for r in blocks.collect()])  # SENT_BYTES at most
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in _gathered(batches, many):
+                block = _index_block(whole)
+                for other in sent.value:
+                    yield pa.RecordBatch.from_pandas(work(Met(block | other)), preserve_index=False)
+
+        return rows.mapInArrow(meet, ddl)
+    pairs = _packed(rows, _INDEX, many, _index_block).crossJoin(blocks)
 
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         for batch in frames:

@@ -4,7 +4,7 @@ import tracemalloc
 
 from pyspark.sql import functions as F
 
-from tessera.operators import memory, positions, quality, references, routes
+from tessera.operators import memory, positions, quality, references, routes, vectors
 
 
 def shuffled(spark, make) -> int:
@@ -79,3 +79,17 @@ def test_contained_sets_meet_over_few_words(spark):
     work = lambda: memory.near_duplicates(left, "q", right, "d")
     assert sorted((r["q"], r["d"], r["common"]) for r in work().collect()) == [(i, i, 10 - i % 3) for i in range(20) if i % 3 < 2]
     assert shuffled(spark, work) < 39_000  # 82,692 before
+
+
+def steps_in_python(df) -> int:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("MapInArrow") + plan.count("ArrowEvalPython")
+
+
+def test_a_task_of_the_vector_search_has_one_python_process(spark):
+    """Each step in Python is a process for each task at the same time; packing and meeting were two."""
+    index = vectors.indexed(spark.range(40).select("id", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (i * F.col("id") % 7).cast("float")).alias("v")), "id", "v")
+    asked = vectors.queries(index.select("id", F.col("q").alias("v")).where("id % 20 = 0"), "id", "v")
+    near = vectors.nearest(index, "id", asked, 3)
+    assert steps_in_python(near) == 1
+    assert near.count() == 6
