@@ -16,8 +16,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import arrow_udf
-from pyspark.sql.types import DoubleType
 
 from tessera.functions import vectors as V
 from tessera.sources.shared import written
@@ -240,22 +238,11 @@ def trigram_embedded(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).mapInArrow(task, f"{key} long, embedding array<float>")
 
 
-#: Rows whose products are made at once.
-PRODUCTS = 512
-
-
-@arrow_udf(DoubleType())
-def _rowwise(a: pa.Array, b: pa.Array) -> pa.Array:
-    """The inner product of the two lists of each row, PRODUCTS rows at a time."""
-    parts = [np.einsum("ij,ij->i", _matrix(a.slice(i, PRODUCTS), "<f8"), _matrix(b.slice(i, PRODUCTS), "<f8")) for i in range(0, len(a), PRODUCTS)]
-    return pa.array(np.concatenate(parts) if parts else np.zeros(0))
-
-
 def near_of_same(index: DataFrame, key: str, asked: DataFrame, label: str, least: float) -> DataFrame:
     """query_id, key, score of the rows of ``index`` that share ``label`` with a query and are as near as ``least``.
 
-    ``asked`` has a query or a few for each label, so a row meets these only; products are made in batches.
+    ``asked`` has a query or a few for each label, so a row meets these only; no vector leaves the JVM for its product.
     """
     met = index.join(asked.select("query_id", label, "qp"), label)
-    score = F.round(_rowwise(F.col("qp"), F.col("q")) * F.col("scale"), 6)
+    score = F.round(V.dot(F.col("qp"), F.col("q")) * F.col("scale"), 6)
     return met.select("query_id", key, score.alias("score")).where(F.col("score") >= least)

@@ -86,6 +86,10 @@ def steps_in_python(df) -> int:
     return plan.count("MapInArrow") + plan.count("ArrowEvalPython")
 
 
+def _texts(spark, many):
+    return spark.range(many).select("id", F.concat(F.lit("text of number "), "id").alias("text"))
+
+
 def test_a_task_of_the_vector_search_has_one_python_process(spark):
     """Each step in Python is a process for each task at the same time; packing and meeting were two."""
     index = vectors.indexed(spark.range(40).select("id", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (i * F.col("id") % 7).cast("float")).alias("v")), "id", "v")
@@ -93,3 +97,13 @@ def test_a_task_of_the_vector_search_has_one_python_process(spark):
     near = vectors.nearest(index, "id", asked, 3)
     assert steps_in_python(near) == 1
     assert near.count() == 6
+
+
+def test_products_within_a_label_need_no_python(spark):
+    """Only the two embeddings are steps in Python."""
+    own = vectors.trigram_embedded(_texts(spark, 20), "id", "text")
+    asked = vectors.queries(vectors.trigram_embedded(_texts(spark, 2), "id", "text"), "id", "embedding", 512).withColumn("label", F.col("query_id"))
+    near = vectors.near_of_same(vectors.indexed(own, "id", "embedding", 512).withColumn("label", F.col("id") % 2), "id", asked, "label", 0.2)
+    assert steps_in_python(near) == 2
+    got = {(r["query_id"], r["id"]): r["score"] for r in near.collect()}
+    assert got[0, 0] > 0.99 and got[1, 1] > 0.99 and all(q == i % 2 for q, i in got)
