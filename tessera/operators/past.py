@@ -25,26 +25,32 @@ COMPLETE = "The documents below are complete.\n"
 EXCERPTED = "Some documents below are excerpts; attach the file to see all of it.\n"
 
 
-def found_documents(asked: DataFrame, key: str, question: str, named: DataFrame, files: DataFrame, scope: DataFrame, hits: DataFrame, first: str = "first_day", last: str = "last_day") -> DataFrame:
+def found_documents(asked: DataFrame, key: str, question: str, named: DataFrame, files: DataFrame, scope: DataFrame | str, hits: DataFrame, first: str = "first_day", last: str = "last_day") -> DataFrame:
     """key, doc, rank (1 to DOCUMENTS), named: named files before ranked ones, each document once.
 
     ``named``: key, file (names in the question); ``files``: doc, name, text, ok, day; ``scope``: key, doc that the question
-    may see beyond its own attachments; ``hits``: key, doc, score of chunks. A named file is taken by its whole name or the name
+    may see beyond its own attachments, or a column of both ``asked`` and ``files``: a question sees the files that share its value
+    (no pair of a question and a file is made for that); ``hits``: key, doc, score of chunks. A named file is taken by its whole name or the name
     inside another, newest first. Of the others the best chunk of each document counts; it must lie in the question's time range
     (``first`` to ``last``, each may be null) and its document must have half of the question's words.
     """
     readable = files.where("ok AND trim(text) <> ''")
+    same = [scope] if isinstance(scope, str) else []
+
+    def seen(rows: DataFrame) -> DataFrame:
+        return rows.join(asked.select(key, *same), [key, *same]) if same else rows.join(scope.select(key, "doc"), [key, "doc"])
+
     # a name may stand anywhere in another: names meet the files that hold their first three characters somewhere
     wanted = named.select(key, F.lower("file").alias("file")).where("file <> ''").distinct().withColumn("gram", F.substring("file", 1, 3))
     low = F.lower("name")
     grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda i: F.substring(low, i, F.least(F.lit(3), F.length("name") - i + 1)))))
     wanted = written(wanted, "named-files")  # so small tables are known to be small
-    met = readable.select("doc", "name", "day", grams.alias("gram")).join(wanted, "gram")
-    by_name = met.where(F.contains(low, F.col("file"))).select(key, "doc", "day").distinct().join(scope.select(key, "doc"), [key, "doc"])
+    met = readable.select("doc", "name", "day", *same, grams.alias("gram")).join(wanted, "gram")
+    by_name = seen(met.where(F.contains(low, F.col("file"))).select(key, "doc", "day", *same).distinct())
     by_name = by_name.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("day"), "doc"))).where(F.col("place") <= DOCUMENTS)
-    best = hits.groupBy(key, "doc").agg(F.max("score").alias("score")).join(scope.select(key, "doc"), [key, "doc"]).join(by_name.select(key, "doc"), [key, "doc"], "left_anti")
+    best = hits.groupBy(key, "doc").agg(F.max("score").alias("score")).join(by_name.select(key, "doc"), [key, "doc"], "left_anti")
     terms = asked.select(key, T.query_tokens(F.col(question)).alias("terms"), F.col(first).alias("first"), F.col(last).alias("last"))
-    best = best.join(terms, key).join(readable.select("doc", "text", "day"), "doc")
+    best = seen(best.join(terms, key).join(readable.select("doc", "text", "day", *same), "doc"))
     in_time = (F.col("first").isNull() | (F.col("day") >= F.col("first"))) & (F.col("last").isNull() | (F.col("day") <= F.col("last")))
     best = best.where(in_time & T.covers_enough(F.col("text"), F.col("terms"))).select(key, "doc", "score")
     best = best.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "doc"))).where(F.col("place") <= DOCUMENTS)

@@ -69,18 +69,22 @@ def bm25(docs: DataFrame, doc_key: str, doc_text: str | dict[str, float], terms:
 
     ``doc_text`` is a column, or columns with weights: a term's frequency is then the weighted sum over the columns,
     a document's length that of all of them. With ``within`` (a column of both sides) a query only meets the documents
-    that share its value; statistics stay those of all documents.
+    that share its value; statistics stay those of all documents. Terms of up to SENT_TERMS rows travel to the matches,
+    which are dealt by document: a score is summed where its document is, and no pair of a query and a document is shuffled.
     """
     terms = written(terms, "terms")  # the matches, their join and the count read them
+    few = terms.limit(SENT_TERMS + 1).count() <= SENT_TERMS
+    sent = F.broadcast if few else lambda rows: rows
     found = matches(docs, doc_key, {doc_text: 1.0} if isinstance(doc_text, str) else doc_text, terms)
     total = found.where("pos = 0 OR pos IS NULL").agg(F.count("*").alias("n_docs"), F.avg("length").alias("average_length"))
-    hits = found.where("hit").groupBy(doc_key, "term").agg(F.sum("weight").alias("tf"), F.first("length").alias("length"))
+    hits = found.where("hit")
+    hits = (hits.repartition(doc_key) if few else hits).groupBy(doc_key, "term").agg(F.sum("weight").alias("tf"), F.first("length").alias("length"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = hits.join(df, "term").crossJoin(F.broadcast(total))  # total is one row
+    weighted = hits.join(sent(df), "term").crossJoin(F.broadcast(total))  # total is one row
     weighted = weighted.select(doc_key, "term", (idf(F.col("n_docs"), F.col("df")) * term_weight(F.col("tf"), F.col("length"), F.col("average_length"))).alias("w"))
     if within:
         weighted = weighted.join(docs.select(doc_key, within), doc_key)
-    return terms.join(weighted, ["term", within] if within else "term").groupBy(query_key, doc_key).agg(F.round(F.sum("w"), 6).alias("score"))
+    return weighted.join(sent(terms), ["term", within] if within else "term").groupBy(query_key, doc_key).agg(F.round(F.sum("w"), 6).alias("score"))
 
 
 def best(scored: DataFrame, query_key: str, doc_key: str, k: int, score: str = "score") -> DataFrame:

@@ -4,7 +4,7 @@ import tracemalloc
 
 from pyspark.sql import functions as F
 
-from tessera.operators import memory, positions, quality, references, routes, vectors
+from tessera.operators import memory, past, positions, quality, references, routes, search, vectors
 
 
 def shuffled(spark, make) -> int:
@@ -107,3 +107,24 @@ def test_products_within_a_label_need_no_python(spark):
     assert steps_in_python(near) == 2
     got = {(r["query_id"], r["id"]): r["score"] for r in near.collect()}
     assert got[0, 0] > 0.99 and got[1, 1] > 0.99 and all(q == i % 2 for q, i in got)
+
+
+def test_scores_are_summed_where_their_document_is(spark):
+    """60 questions that share a word with 300 documents: 18,000 scores, of which the three best of each question leave a task."""
+    docs = spark.range(300).select("id", F.concat(F.lit("lease of house "), "id").alias("text"))
+    terms = spark.range(60).select(F.col("id").alias("q"), F.lit("lease").alias("term"))
+    work = lambda: search.best(search.bm25(docs, "id", "text", terms, "q"), "q", "id", 3)
+    assert [(r["q"], r["id"]) for r in work().orderBy("q", "rank").collect()] == [(q, d) for q in range(60) for d in range(3)]
+    assert shuffled(spark, work) < 5_000  # 18,000 pairs and more
+
+
+def test_what_a_question_sees_is_no_list_of_pairs(spark):
+    n = 300
+    asked = spark.range(n).select(F.col("id").alias("q"), F.lit("rent of the house").alias("question"), F.lit(None).cast("long").alias("first_day"), F.lit(None).cast("long").alias("last_day"), (F.col("id") % 2).alias("user"))
+    files = spark.range(n).select(F.col("id").alias("doc"), F.concat("id", F.lit(".pdf")).alias("name"), F.lit("the rent of a house").alias("text"), F.lit(True).alias("ok"), F.col("id").alias("day"), (F.col("id") % 2).alias("user"))
+    named = asked.where("q < 10").select("q", F.concat("q", F.lit(".pdf")).alias("file"))
+    hits = asked.select("q", F.explode(F.array(F.col("q"), (F.col("q") + 1) % n, (F.col("q") + 2) % n)).alias("doc"), F.lit(1.0).alias("score"))
+    pairs = asked.select("q", "user").join(files.select("doc", "user"), "user").select("q", "doc")
+    plain = lambda scope: sorted((r["q"], r["doc"], r["rank"], r["named"]) for r in past.found_documents(asked, "q", "question", named, files, scope, hits).collect())
+    assert plain("user") == plain(pairs)
+    assert shuffled(spark, lambda: past.found_documents(asked, "q", "question", named, files, "user", hits)) < 20_000  # 45,000 pairs, twice
