@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -136,37 +137,47 @@ class Reader:
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.groups: dict[bytes, int] = {}  # of endings
         self.hash = np.zeros(0, np.int64)
         self.at = np.zeros(0, np.int64)  # place in the head, -1: not there
         self.number = np.zeros(0, np.int64)
         self.learn([b"\n"])  # no word has the white space that stands for the end of a text: number 0
 
-    def learn(self, words: set[bytes] | list[bytes]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        new = [w for w in words if w not in self.known]
+    def learn(self, new: list[bytes]) -> None:
+        """Distinct words that are not known yet."""
         if new:
             n, v = len(self.known), self.v
             self.known.update(zip(new, range(n, n + len(new)), strict=True))
-            h = np.array([word_hash(w) for w in new], np.int64)
+            digest = xxhash.xxh64_intdigest
+            h = (np.array([digest(w, 11) for w in new], np.uint64) ^ np.uint64(1 << 63)).view(np.int64)  # word_hash
             at = np.searchsorted(v.h, h)
             found = (at < len(v.h)) & (v.h[np.minimum(at, len(v.h) - 1)] == h) if len(v.h) else np.zeros(len(h), bool)
             number = np.where(found, v.number[np.minimum(at, len(v.h) - 1)], -1) if len(v.h) else np.full(len(h), -1)
             other = np.flatnonzero(number < 0)
-            number[other] = v.rest[[group_of(new[i]) for i in other.tolist()]]
+            endings = [new[i][-ENDING:] for i in other.tolist()]
+            for x in set(endings).difference(self.groups):
+                self.groups[x] = group_of(x)
+            number[other] = v.rest[[self.groups[x] for x in endings]]
             self.hash, self.at, self.number = np.append(self.hash, h), np.append(self.at, np.where(found, at, -1)), np.append(self.number, number)
 
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For all tokens, ends included: hash, place in the head, model number; and where each text begins."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
         split = [x.lower().split() for x in texts]
-        self.learn(set().union(*split))
         n = np.array([len(x) + 1 for x in split])
         first = np.cumsum(n) - n
         own = np.zeros(int(n.sum()), np.int64)
         word = np.ones(len(own), bool)
         word[first + n - 1] = False
-        known = self.known
-        own[word] = np.fromiter((known[w] for x in split for w in x), np.int64, len(own) - len(split))
+        words = list(chain.from_iterable(split))
+        found = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(found < 0)
+        if len(unknown):
+            new = [words[i] for i in unknown.tolist()]
+            self.learn(list(dict.fromkeys(new)))
+            found[unknown] = [self.known[w] for w in new]
+        own[word] = found
         return self.hash[own], self.at[own], self.number[own], first
 
     def contexts(self, number: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
@@ -191,6 +202,8 @@ class LogBilinear:
         self.groups = np.add.reduceat(self.words, v.first[:-1])
         self.inside = self.words / self.groups[v.group]
         self.ladder = np.append(0, np.cumsum(self.words))
+        self.strides = [1 << i for i in reversed(range(int(np.diff(v.first).max()).bit_length()))]  # their sum reaches across any group
+        self.rungs = np.append(self.ladder, np.full(2 * self.strides[0], np.inf))
         self.log_inside = np.log(NOISE_WORDS * self.inside).astype(np.float32)
         self.log_noise = np.log(NOISE * self.groups).astype(np.float32)
         self.cuts = np.cumsum([GROUPS, v.outputs, v.outputs + 1])
@@ -199,6 +212,17 @@ class LogBilinear:
         groups, words, rows, maps = self.views(self.matrix)
         groups[:, -1], words[:, -1], rows[:, -1], maps[:, :-1] = np.log(self.groups), np.log(self.inside), 0, 1 / CONTEXT
         self.squares = np.full_like(self.matrix, LEAST_SQUARE)
+        self.held: dict[str, np.ndarray] = {}
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array that is written anew each time: memory from the system would have to be cleared each time."""
+        size = int(np.prod(shape))
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size, np.float32)
+        return self.held[name][:size].reshape(shape)
+
+    def rows_of(self, name: str, matrix: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.take(matrix, at, axis=0, out=self.room(name, len(at), matrix.shape[1]), mode="clip")
 
     def views(self, m: np.ndarray) -> list[np.ndarray]:
         """Rows of groups, words and contexts (one more than words), and the maps; the last column is the bias."""
@@ -208,45 +232,76 @@ class LogBilinear:
         _, _, rows, maps = self.views(self.matrix)
         return sum(rows[x, :-1] * maps[i, :-1] for i, x in enumerate(contexts))
 
+    def drawn_words(self, g: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """NOISE_WORDS words for each token, each from the token's group by its share there."""
+        first, after = self.v.first.take(g), self.v.first.take(g + 1)
+        low = self.ladder.take(first)
+        drawn = low + rng.random((NOISE_WORDS, len(g))) * (self.ladder.take(after) - low)
+        at = np.broadcast_to(first, drawn.shape).copy()
+        for stride in self.strides:  # the last rung that is not above what was drawn
+            at += stride * (self.rungs.take(at + stride) <= drawn)
+        return np.minimum(at, after - 1)
+
     def step(self, token: np.ndarray, contexts: list[np.ndarray], rng: np.random.Generator) -> None:
         """One Adagrad step on the noise-contrastive losses of a batch, for its groups (noise shared by the batch) and for its words in their groups."""
         groups, words, rows, maps = self.views(self.matrix)
-        n, g = len(token), self.v.group[token]
-        r = [rows[x, :-1] for x in contexts]
-        h = np.ones((n, DIMENSIONS + 1), np.float32)
-        h[:, :-1] = sum(x * maps[i, :-1] for i, x in enumerate(r))
+        n, g = len(token), self.v.group.take(token)
+        r = [self.rows_of(f"context {i}", rows, x) for i, x in enumerate(contexts)]
+        h, back, part = (self.room(x, n, DIMENSIONS + 1) for x in ("h", "back", "part"))
+        np.multiply(r[0], maps[0], out=h)
+        for i in range(1, CONTEXT):
+            np.multiply(r[i], maps[i], out=part)
+            h += part
+        h[:, -1] = 1
+        # the rows of the matrix that change, and their gradients: groups and noise, the token and noise words, contexts, maps
+        many = (2 + NOISE_WORDS + CONTEXT) * n + NOISE + CONTEXT
+        at, grads, done = np.empty(many, np.int64), self.room("gradients", many, DIMENSIONS + 1), 0
+
+        def more(x: np.ndarray, start: int) -> np.ndarray:
+            nonlocal done
+            a, done = done, done + len(x)
+            np.add(x, start, out=at[a:done])
+            return grads[a:done]
+
         with np.errstate(over="ignore"):
-            back, used = np.zeros_like(h), []
             noise = rng.choice(GROUPS, NOISE, p=self.groups)
-            log_noise = self.log_noise
-            d_up = -1 / (1 + np.exp(np.einsum("nd,nd->n", h, groups[g]) - log_noise[g]))
-            d_down = 1 / (1 + np.exp(-(h @ groups[noise].T - log_noise[noise])))
-            back += d_up[:, None] * groups[g] + d_down @ groups[noise]
-            used.append((np.append(g, noise), np.concatenate([d_up[:, None] * h, d_down.T @ h]), 0))
-            low = self.ladder[self.v.first[g]]
-            drawn = low + rng.random((NOISE_WORDS, n)) * (self.ladder[self.v.first[g + 1]] - low)
-            other = np.clip(np.searchsorted(self.ladder, drawn, side="right") - 1, self.v.first[g], self.v.first[g + 1] - 1)
-            for x, sign in [(token, 1), *((o, -1) for o in other)]:
-                chosen = words[x]
-                u = np.einsum("nd,nd->n", h, chosen) - self.log_inside[x]
+            chosen, unlike = self.rows_of("part", groups, g), groups[noise]
+            d_up = -1 / (1 + np.exp(np.einsum("nd,nd->n", h, chosen) - self.log_noise.take(g)))
+            d_down = np.matmul(h, unlike.T, out=self.room("noise", n, NOISE))
+            np.subtract(self.log_noise[noise], d_down, out=d_down)
+            np.exp(d_down, out=d_down)
+            d_down += 1
+            np.reciprocal(d_down, out=d_down)
+            np.matmul(d_down, unlike, out=back)
+            chosen *= d_up[:, None]
+            back += chosen
+            np.multiply(d_up[:, None], h, out=more(g, 0))
+            np.matmul(d_down.T, h, out=more(noise, 0))
+            for x, sign in [(token, 1), *((o, -1) for o in self.drawn_words(g, rng))]:
+                chosen = self.rows_of("part", words, x)
+                u = np.einsum("nd,nd->n", h, chosen) - self.log_inside.take(x)
                 d = -sign / (1 + np.exp(sign * u))
-                back += d[:, None] * chosen
-                used.append((x, d[:, None] * h, int(self.cuts[0])))
+                chosen *= d[:, None]
+                back += chosen
+                np.multiply(d[:, None], h, out=more(x, int(self.cuts[0])))
         for i, x in enumerate(contexts):
-            m = np.zeros((1, DIMENSIONS + 1), np.float32)
-            m[0, :-1] = (back[:, :-1] * r[i]).sum(axis=0)
-            used.append((np.array([i]), m, int(self.cuts[2])))
-            down = np.zeros_like(back)
-            down[:, :-1] = back[:, :-1] * maps[i, :-1]
-            used.append((x, down, int(self.cuts[1])))
-        at = np.concatenate([x + start for x, _, start in used])
+            m = more(np.array([i]), int(self.cuts[2]))
+            np.einsum("nd,nd->d", back, r[i], out=m[0])
+            down = more(x, int(self.cuts[1]))
+            np.multiply(back, maps[i], out=down)
+            m[0, -1], down[:, -1] = 0, 0
         order = np.argsort(at.astype(np.uint16) if self.cuts[-1] + CONTEXT <= 1 << 16 else at, kind="stable")  # short keys are sorted by their digits
-        at = at[order]
+        at = at.take(order)
         begins = np.flatnonzero(np.append(True, np.diff(at) > 0))
-        grad = np.add.reduceat(np.concatenate([y for _, y, _ in used])[order], begins)
-        at = at[begins]
-        self.squares[at] += grad * grad
-        self.matrix[at] -= RATE * grad / np.sqrt(self.squares[at])
+        grad = np.add.reduceat(self.rows_of("ordered", grads, order), begins)
+        at = at.take(begins)
+        squares = self.squares.take(at, axis=0)
+        squares += grad * grad
+        self.squares[at] = squares
+        np.sqrt(squares, out=squares)
+        grad *= RATE
+        grad /= squares
+        self.matrix[at] = self.matrix.take(at, axis=0) - grad
 
     @staticmethod
     def log_sum(s: np.ndarray) -> np.ndarray:
@@ -258,23 +313,36 @@ class LogBilinear:
         return top + np.log(s @ np.ones(s.shape[1], np.float32))
 
     def log_probabilities(self, token: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
-        """Normalised natural log probabilities: of a token's group among all groups, and of the token among all of its group."""
+        """Normalised natural log probabilities: of a token's group among all groups, and of the token among all of its group.
+
+        What stands before a token often stands before others as well: the sum over all groups is made once for each such context.
+        """
         groups, words, _, _ = self.views(self.matrix)
-        g, found = self.v.group[token], np.zeros(len(token), np.float32)
-        h = np.ones((len(token), DIMENSIONS + 1), np.float32)
-        h[:, :-1] = self.predict(contexts)
-        for i in range(0, len(token), ROWS):
-            s = h[i : i + ROWS] @ groups.T
-            own = s[np.arange(len(s)), g[i : i + ROWS]]
-            found[i : i + ROWS] = own - self.log_sum(s)
-        order = np.argsort(g, kind="stable")
-        edge = np.searchsorted(g[order], np.arange(GROUPS + 1))
+        g = self.v.group.take(token)
+        key = contexts[0].astype(np.int64)
+        for x in contexts[1:]:
+            key = key * (self.v.pad + 1) + x
+        order = np.argsort(key)
+        begins = np.append(True, np.diff(key.take(order)) > 0)[: len(key)]
+        which = np.empty(len(key), np.int64)
+        which[order] = np.cumsum(begins) - 1
+        one = order[begins]
+        each = np.ones((len(one), DIMENSIONS + 1), np.float32)
+        each[:, :-1] = self.predict([x.take(one) for x in contexts])
+        total, across = np.empty(len(one), np.float32), np.ascontiguousarray(groups.T)
+        for i in range(0, len(one), ROWS):
+            part = each[i : i + ROWS]
+            total[i : i + ROWS] = self.log_sum(np.matmul(part, across, out=self.room("scores", len(part), GROUPS)))
+        h = each.take(which, axis=0)
+        found = np.einsum("nd,nd->n", h, groups.take(g, axis=0)) - total.take(which)
+        order = np.argsort(g.astype(np.uint16), kind="stable")
+        edge = np.searchsorted(g.take(order), np.arange(GROUPS + 1))
         for k in range(GROUPS):
             of = words[self.v.first[k] : self.v.first[k + 1]]
             if len(of) > 1:
                 for i in range(edge[k], edge[k + 1], ROWS):
                     at = order[i : min(i + ROWS, edge[k + 1])]
-                    s = h[at] @ of.T
+                    s = np.matmul(h.take(at, axis=0), of.T, out=self.room("scores", len(at), len(of)))
                     own = s[np.arange(len(s)), token[at] - self.v.first[k]]
                     found[at] += own - self.log_sum(s)
         return found

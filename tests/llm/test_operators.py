@@ -715,3 +715,17 @@ def test_pipeline(spark, docs, nothing):
     assert cp.STAGES[-1][1](spark, current, "").count() > 0
     for _, stage in cp.STAGES:
         assert stage(spark, nothing, "").count() == 0
+
+
+def test_the_sum_over_all_groups_is_made_once_for_a_context(monkeypatch):
+    """Forty tokens after the same two words: one row of scores for the groups, and one for each token in its group."""
+    h = np.arange(60)
+    v = lm.Vocabulary(h, 100 - h, h % 4, np.bincount(h % 4, 100 - h, lm.GROUPS) + 3.0, 40)
+    model, rows = lm.LogBilinear(v), []
+    monkeypatch.setattr(lm.LogBilinear, "log_sum", staticmethod(lambda s, f=lm.LogBilinear.log_sum: rows.append(len(s)) or f(s)))
+    a = np.arange(40) % v.first[4]
+    both = model.log_probabilities(a, [np.full(40, 3), np.full(40, 5)])
+    assert sum(rows) == 1 + 40  # 80 before
+    apart = [model.log_probabilities(a[i : i + 1], [np.array([3]), np.array([5])])[0] for i in range(40)]
+    assert both == pytest.approx(np.array(apart), abs=1e-5)
+    assert len(model.log_probabilities(a[:0], [a[:0], a[:0]])) == 0
