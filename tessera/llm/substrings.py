@@ -21,25 +21,34 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, columns, map_rows, materialise, new_path, remembered, slices
+from tessera.llm.common import as_bytes, columns, map_rows, materialise, new_path, slices
 
 WINDOW = 35
 #: Words of an anchor.
 KEY = 10
 #: Windows that are worked on at a time; of a longer text each such stretch has its own anchors.
 STRETCH = 1 << 20
-#: Words remembered by one Python worker.
-REMEMBERED = 400_000
+#: Text bytes whose texts are worked on together.
+TOGETHER = 1 << 20
+#: Bytes whose words are hashed at a time.
+BLOCK = 1 << 18
+#: Version of the hashes that an index keeps.
+HASHES = 2
 
 _BASE = 0x9E3779B97F4A7C15
+#: What each byte counts in the hash of a word.
+_BYTES = np.random.default_rng(7).integers(1, 1 << 64, 256, np.uint64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -62,22 +71,45 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Text:
-    """Words of one text and the hashes of its word sequences by prefix sums."""
-
-    def __init__(self, raw: bytes):
-        self.words = raw.split()  # of UTF-8, exactly the runs of other characters than the six ASCII white spaces
-        self.n = len(self.words)
-        if self.n >= WINDOW:
-            known = remembered("words", dict)
-            if len(known) > REMEMBERED:
-                known.clear()
-            for w in set(self.words).difference(known):
-                known[w] = xxhash.xxh64_intdigest(w, 7)
-            h = np.fromiter(map(known.__getitem__, self.words), np.uint64, self.n)
-            self.line = memoryview(b" ".join(self.words))
-            self.ends = np.cumsum(np.fromiter(map(len, self.words), np.int64, self.n) + 1)  # one behind each word
-            self.sums = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(h * powers(self.n + 1)[0][: self.n], dtype=np.uint64, out=self.sums[1:])
+    """Words of one text, or of several one behind the other, and the hashes of its word sequences by prefix sums.
+
+    No window spans two texts. Places count the words of all texts; ``first`` has where each text begins, and the end.
+    """
+
+    def __init__(self, *raw: bytes):
+        each = [b" ".join(x.split()) for x in raw]  # of UTF-8, exactly the runs of other characters than the six ASCII white spaces
+        self.first = np.cumsum([0, *(x.count(b" ") + 1 if x else 0 for x in each)])
+        self.n = int(self.first[-1])
+        line = b" ".join(filter(None, each))
+        self.line = memoryview(line)
+        spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+        self.ends = np.append(spaces, len(line))[: self.n] + 1  # one behind each word
+
+    @cached_property
+    def sums(self) -> np.ndarray:
+        sums = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(self.word_hashes() * powers(self.n + 1)[0][: self.n], dtype=np.uint64, out=sums[1:])
+        return sums
+
+    def word_hashes(self) -> np.ndarray:
+        """Of each word, by prefix sums of its bytes; words of more than BLOCK bytes one by one."""
+        data, h, at = np.frombuffer(self.line, np.uint8), np.zeros(self.n, np.uint64), 0
+        begins = np.concatenate([[0], self.ends[:-1]])
+        while at < self.n:
+            begin = int(begins[at])
+            upto = int(np.searchsorted(self.ends, begin + BLOCK + 1, side="right"))  # words within BLOCK bytes
+            if upto == at:
+                h[at] = xxhash.xxh64_intdigest(self.line[begin : int(self.ends[at]) - 1], 7)
+                at += 1
+                continue
+            part = data[begin : int(self.ends[upto - 1]) - 1]
+            power, inverse = powers(BLOCK + 1)
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_BYTES[part] * power[: len(part)], dtype=np.uint64, out=sums[1:])
+            a, b = begins[at:upto] - begin, self.ends[at:upto] - 1 - begin
+            h[at:upto] = mixed((sums[b] - sums[a]) * inverse[a])
+            at = upto
+        return h
 
     def hashes(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return mixed((self.sums[start + length] - self.sums[start]) * powers(self.n + 1)[1][start])
@@ -88,12 +120,18 @@ class Text:
         line = self.line
         return np.array([xxhash.xxh3_64_intdigest(line[a:b], 9) for a, b in zip(begins, ends, strict=True)], np.uint64).view(np.int64)
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each anchor its hash, the hash of its extent, and the first and last window that it serves."""
+    def anchors(self, extents: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each anchor its hash, the hash of its extent (zeros without ``extents``), and the first and last window that it serves."""
         found = []
         reach = WINDOW - KEY + 1
+        many = np.maximum(np.diff(self.first) - WINDOW + 1, 0)
+        windows = np.zeros(self.n, bool)
+        windows[starts(self.first[:-1][many > 0], (self.first[:-1] + many - 1)[many > 0])] = True
         for first in range(0, max(0, self.n - WINDOW + 1), STRETCH):
-            count = min(STRETCH, self.n - WINDOW + 1 - first)  # windows of this stretch
+            count = min(STRETCH, self.n - WINDOW + 1 - first)  # places of this stretch
+            own = np.flatnonzero(windows[first : first + count])
+            if not len(own):
+                continue
             keys = self.hashes(first + np.arange(count + reach - 1), KEY)
             low = np.uint64((1 << 24) - 1)
             least = (keys & ~low) | np.arange(len(keys), dtype=np.uint64)  # ties: the leftmost
@@ -102,25 +140,38 @@ class Text:
                 least = np.minimum(least[:-size], least[size:])
                 size *= 2
             least = np.minimum(least[:count], least[reach - size : reach - size + count])
-            at = (least & low).astype(np.int64)
-            a = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-            b = np.append(a[1:], count) - 1
-            p = at[a]
-            extent = self.digests(first + a, b - a + WINDOW).view(np.uint64) + (p - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (b - a).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+            at = (least[own] & low).astype(np.int64)  # inside the window, so texts do not share any
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+            a, b, p = own[edge], own[np.append(edge[1:], len(own)) - 1], at[edge]
+            extent = np.zeros(len(a), np.uint64)
+            if extents:
+                extent = self.digests(first + a, b - a + WINDOW).view(np.uint64) + (p - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (b - a).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
             found.append((keys[p].view(np.int64), mixed(extent).view(np.int64), first + a, first + b))
         if not found:
             return tuple(np.zeros(0, np.int64) for _ in range(4))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def without(self, repeated: np.ndarray) -> tuple[int, str]:
-        """Words removed, and the digest of the others, when the windows that start at ``repeated`` go."""
-        if not len(repeated):
-            return 0, hashlib.sha256(b" ".join(self.words)).hexdigest()
-        edge = np.zeros(self.n + 1, np.int64)
-        np.add.at(edge, repeated, 1)
-        np.add.at(edge, repeated + WINDOW, -1)
-        gone = np.cumsum(edge[: self.n]) > 0
-        return int(gone.sum()), hashlib.sha256(b" ".join([self.words[i] for i in np.flatnonzero(~gone)])).hexdigest()
+    def without(self, repeated: np.ndarray) -> tuple[list[int], list[str]]:
+        """For each text the words removed, and the digest of the others, when the windows that start at ``repeated`` go."""
+        size = self.n + 1
+        gone = np.cumsum(np.bincount(repeated, minlength=size) - np.bincount(repeated + WINDOW, minlength=size))[: self.n] > 0
+        removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[self.first])
+        # stretches of words that stay, each in one text
+        border = np.ones(size, bool)
+        border[1:-1] = gone[1:] != gone[:-1]
+        border[self.first] = True
+        edge = np.flatnonzero(border)
+        a, b = edge[:-1], edge[1:]
+        a, b = a[~gone[a]], b[~gone[a]]
+        of = np.searchsorted(a, self.first).tolist()
+        line, begins, ends = self.line, (self.ends[a - 1] * (a > 0)).tolist() if len(a) else [], (self.ends[b - 1] - 1).tolist()
+        parts = [line[x:y] for x, y in zip(begins, ends, strict=True)]
+        return removed.tolist(), [hashlib.sha256(b" ".join(parts[i:j])).hexdigest() for i, j in pairwise(of)]
+
+    def by_text(self, a: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+        """For values that belong to the places ``a``, in order: a list for each text."""
+        at = pa.array(np.searchsorted(a, self.first), pa.int32())
+        return [pa.ListArray.from_arrays(at, pa.array(x)) for x in values]
 
 
 def starts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -142,13 +193,11 @@ def anchors(docs: DataFrame) -> DataFrame:
     """From keyed rows: k, fp and ext (arrays), written."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        for part in slices(batches):
-            out: dict[str, list] = {"fp": [], "ext": []}
-            for raw in as_bytes(part.column("text")):
-                fp, ext, _, _ = Text(raw).anchors()
-                out["fp"].append(fp)
-                out["ext"].append(ext)
-            yield out | {"k": part.column("k")}
+        for part in slices(batches, limit=TOGETHER):
+            text = Text(*as_bytes(part.column("text")))
+            fp, ext, a, _ = text.anchors()
+            fp, ext = text.by_text(a, fp, ext)
+            yield {"fp": fp, "ext": ext, "k": part.column("k")}
 
     return materialise(map_rows(docs.select("k", "text"), "k long, fp array<long>, ext array<long>", task), "substring-anchors")
 
@@ -174,6 +223,8 @@ class FingerprintIndex:
         except AnalysisException:  # a new index
             found = []
         if found:
+            if found[0].asDict().get("hashes") != HASHES:
+                raise ValueError(f"the index {self.path} was written with other hashes of words; build it again")
             self.runs, self.version, self.buckets = [r["run"] for r in found], last, found[0]["buckets"]
             for name in self.runs:
                 spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({_RUN}) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
@@ -185,8 +236,8 @@ class FingerprintIndex:
 
     def _note(self) -> None:
         self.version += 1
-        rows = [(self.version, i, name, self.buckets) for i, name in enumerate(self.runs)]
-        self.spark.createDataFrame(rows, "version long, place int, run string, buckets int").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        rows = [(self.version, i, name, self.buckets, HASHES) for i, name in enumerate(self.runs)]
+        self.spark.createDataFrame(rows, "version long, place int, run string, buckets int, hashes int").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     def add(self, batch: DataFrame, docs: DataFrame | None = None) -> None:
         """``batch`` (anchors of ``docs``) becomes a run; as soon as two runs exist they are merged, so a lookup reads one."""
@@ -236,61 +287,80 @@ class FingerprintIndex:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _both(hashes: np.ndarray, digests: np.ndarray) -> np.ndarray:
-    return np.rec.fromarrays([hashes, digests])
+def _both(hashes: np.ndarray, digests: np.ndarray, of: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Where the pair of a hash and a digest is one of the pairs ``of``. Pairs are compared by the ranks of what they consist of."""
+    n, code = len(hashes), np.zeros(len(hashes) + len(of[0]), np.int64)
+    for mine, theirs in zip((hashes, digests), of, strict=True):
+        values, rank = np.unique(np.concatenate([mine, theirs]), return_inverse=True)
+        code = code * len(values) + rank
+    return np.isin(code[:n], code[n:])
 
 
-def _isin(values: np.ndarray, of: list[int] | None) -> np.ndarray:
-    return np.isin(values, np.array(of, np.int64)) if of is not None and len(of) else np.zeros(len(values), bool)
+def _isin(values: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Which values the lists of a column have. What repeats holds for the whole table, so the lists of a slice count as one."""
+    return np.isin(values, column.flatten().to_numpy(zero_copy_only=False))
 
 
 def first_verdict(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows that need no comparison of windows get their result; the others keep what the comparison needs."""
+    """Rows that need no comparison of windows get their result; the others keep what the comparison needs.
+
+    ``sure`` and ``open`` are ranges of windows (first, last, first, last, ...): those that repeat, and those that may.
+    """
+
+    def settled(part: pa.RecordBatch) -> dict[str, list]:
+        text = Text(*as_bytes(part.column("text")))
+        at = np.zeros(0, np.int64)
+        if len(part.column("one").flatten()):
+            fp, _, a, b = text.anchors(extents=False)
+            sure = _isin(fp, part.column("one"))
+            at = starts(a[sure], b[sure])
+        removed, sha = text.without(at)
+        return {"n_words": np.diff(text.first), "n_removed": removed, "sha": sha} | {k: [None] * len(sha) for k in ("text", "sure", "open", "some", "window", "digest")}
+
+    def unsettled(part: pa.RecordBatch) -> dict[str, list]:
+        text = Text(*as_bytes(part.column("text")))
+        fp, _, a, b = text.anchors(extents=False)
+        sure, open_ = _isin(fp, part.column("one")), _isin(fp, part.column("some"))
+        out: dict[str, list] = {}
+        for k, of in (("sure", sure), ("open", open_)):
+            x, y = a[of], b[of]
+            base = text.first[np.searchsorted(text.first, x, side="right") - 1]
+            (out[k],) = text.by_text(np.repeat(x, 2), np.stack([x - base, y - base], axis=1).ravel().astype(np.int32))
+        at = starts(a[open_], b[open_])
+        out["window"], out["digest"] = text.by_text(at, text.hashes(at, WINDOW).view(np.int64), text.digests(at, WINDOW))
+        return out | {"n_words": np.diff(text.first), "text": part.column("text"), "some": part.column("some")} | {k: [None] * part.num_rows for k in ("n_removed", "sha")}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        for part in slices(batches):
-            out: dict[str, list] = {k: [] for k in ("n_words", "n_removed", "sha", "text", "one", "some", "window", "digest")}
-            for raw, one, some in zip(as_bytes(part.column("text")), part.column("one").to_pylist(), part.column("some").to_pylist(), strict=True):
-                text = Text(raw)
-                out["n_words"].append(text.n)
-                if some:
-                    fp, _, a, b = text.anchors()
-                    open_ = _isin(fp, some)
-                    at = starts(a[open_], b[open_])
-                    row = (None, None, raw.decode(), one, some, text.hashes(at, WINDOW).view(np.int64), text.digests(at, WINDOW))
-                else:
-                    at = np.zeros(0, np.int64)
-                    if one:
-                        fp, _, a, b = text.anchors()
-                        sure = _isin(fp, one)
-                        at = starts(a[sure], b[sure])
-                    row = (*text.without(at), None, None, None, None, None)
-                for k, v in zip(("n_removed", "sha", "text", "one", "some", "window", "digest"), row, strict=True):
-                    out[k].append(v)
-            yield out | {k: part.column(k) for k in ("k", "doc_id")}
+        for part in slices(batches, limit=TOGETHER):
+            some = pc.fill_null(pc.greater(pc.list_value_length(part.column("some")), 0), False)
+            for rows, verdict in ((part.filter(pc.invert(some)), settled), (part.filter(some), unsettled)):
+                if rows.num_rows:
+                    yield verdict(rows) | {k: rows.column(k) for k in ("k", "doc_id")}
 
     joined = docs.join(known, "k", "left").select("k", "doc_id", "text", "one", "some")
-    return materialise(map_rows(joined, "k long, doc_id long, n_words long, n_removed long, sha string, text string, one array<long>, some array<long>, window array<long>, digest array<long>", task), "substring-verdict")
+    return materialise(map_rows(joined, "k long, doc_id long, n_words long, n_removed long, sha string, text string, sure array<int>, open array<int>, some array<long>, window array<long>, digest array<long>", task), "substring-verdict")
 
 
 def last_verdict(rest: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        for part in slices(batches):
-            out: dict[str, list] = {"n_removed": [], "sha": []}
-            for raw, one, some, again, digest in zip(as_bytes(part.column("text")), *(part.column(k).to_pylist() for k in ("one", "some", "again", "digest")), strict=True):
-                text = Text(raw)
-                fp, _, a, b = text.anchors()
-                sure, open_ = _isin(fp, one), _isin(fp, some)
-                maybe = starts(a[open_], b[open_])
-                if again:
-                    wanted = np.unique(_both(np.array(again, np.int64), np.array(digest, np.int64)))
-                    maybe = maybe[np.isin(_both(text.hashes(maybe, WINDOW).view(np.int64), text.digests(maybe, WINDOW)), wanted)]
-                else:
-                    maybe = maybe[:0]
-                n, sha = text.without(np.concatenate([starts(a[sure], b[sure]), maybe]))
-                out["n_removed"].append(n)
-                out["sha"].append(sha)
-            yield out | {k: part.column(k) for k in ("doc_id", "n_words")}
+        for part in slices(batches, limit=TOGETHER):
+            text = Text(*as_bytes(part.column("text")))
+            at = []
+            for k in ("sure", "open"):
+                column = part.column(k)
+                places = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                places += np.repeat(text.first[:-1], pc.list_value_length(column).to_numpy(zero_copy_only=False))
+                at.append(starts(places[::2], places[1::2]))
+            sure, maybe = at
+            again = tuple(part.column(k).flatten().to_numpy(zero_copy_only=False) for k in ("again", "digest"))
+            if len(again[0]):
+                hashes = text.hashes(maybe, WINDOW).view(np.int64)
+                maybe = maybe[np.isin(hashes, again[0])]
+                maybe = maybe[_both(text.hashes(maybe, WINDOW).view(np.int64), text.digests(maybe, WINDOW), again)]
+            else:
+                maybe = maybe[:0]
+            removed, sha = text.without(np.concatenate([sure, maybe]))
+            yield {"n_removed": removed, "sha": sha} | {k: part.column(k) for k in ("doc_id", "n_words")}
 
     return map_rows(rest, "doc_id long, n_words long, n_removed long, sha string", task)
 
@@ -299,16 +369,13 @@ def windows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """From (k, text) and (k, some): window and digest (arrays) of the windows that the anchors ``some`` of each text serve."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        for part in slices(batches):
-            out: dict[str, list] = {"window": [], "digest": []}
-            for raw, some in zip(as_bytes(part.column("text")), part.column("some").to_pylist(), strict=True):
-                text = Text(raw)
-                fp, _, a, b = text.anchors()
-                open_ = _isin(fp, some)
-                at = starts(a[open_], b[open_])
-                out["window"].append(text.hashes(at, WINDOW).view(np.int64))
-                out["digest"].append(text.digests(at, WINDOW))
-            yield out
+        for part in slices(batches, limit=TOGETHER):
+            text = Text(*as_bytes(part.column("text")))
+            fp, _, a, b = text.anchors(extents=False)
+            open_ = _isin(fp, part.column("some"))
+            at = starts(a[open_], b[open_])
+            window, digest = text.by_text(at, text.hashes(at, WINDOW).view(np.int64), text.digests(at, WINDOW))
+            yield {"window": window, "digest": digest}
 
     return map_rows(docs.join(wanted, "k").select("text", "some"), "window array<long>, digest array<long>", task)
 
@@ -351,6 +418,6 @@ def remove_repeats(docs: DataFrame, batches: int = 2, doc_id: str = "doc_id", te
     repeated = places.select("x.window", "x.digest").groupBy("window", "digest").count().where("count > 1").drop("count")
     window = rest.select("k", F.explode(F.arrays_zip("window", "digest")).alias("x")).select("k", "x.window", "x.digest").distinct()
     again = window.join(repeated, ["window", "digest"]).groupBy("k").agg(F.collect_list(F.struct("window", "digest")).alias("again"))
-    open_ = rest.drop("digest").join(again, "k", "left").select("doc_id", "n_words", "text", "one", "some", F.col("again.window").alias("again"), F.col("again.digest").alias("digest"))
+    open_ = rest.drop("digest").join(again, "k", "left").select("doc_id", "n_words", "text", "sure", "open", F.col("again.window").alias("again"), F.col("again.digest").alias("digest"))
     done = verdict.where("sha IS NOT NULL").select("doc_id", "n_words", "n_removed", "sha")
     return done.unionByName(last_verdict(open_)).select("doc_id", "n_words", "n_removed", F.col("sha").alias("kept_sha256"))

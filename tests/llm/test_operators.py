@@ -655,6 +655,43 @@ def test_substring_stretches_are_exact(monkeypatch):
         assert substrings.starts(a, b).tolist() == list(range(900 - 34))
 
 
+def test_texts_that_are_worked_on_together_keep_their_own_windows(monkeypatch):
+    rng = random.Random(9)
+    raw = [" ".join(rng.choice("abcd") * rng.randint(1, 2) for _ in range(n)).encode() for n in (0, 50, 34, 35, 0, 300, 1, 36, 900, 0)]
+    both = substrings.Text(*raw)
+    found, at = [[] for _ in range(4)], 0
+    for i, x in enumerate(raw):
+        alone = substrings.Text(x)
+        for k, values in enumerate(alone.anchors()):
+            found[k] += (values + at * (k > 1)).tolist()
+        gone = substrings.starts(*alone.anchors()[2:])[::60]
+        assert [alone.without(gone)[j][0] for j in (0, 1)] == [both.without(gone + at)[j][i] for j in (0, 1)]
+        at += alone.n
+    assert [x.tolist() for x in both.anchors()] == found
+    calls = []
+    monkeypatch.setattr(substrings.Text, "hashes", lambda self, *x, f=substrings.Text.hashes: calls.append(1) or f(self, *x))
+    both.anchors()
+    assert len(calls) == 1  # not one for each text
+
+
+def test_hashes_of_words_do_not_depend_on_blocks(monkeypatch):
+    raw = b"a bb  ccc dddddddddddd a bb " + "\u00e9 x\x0by".encode() + b" dddd" * 50
+    want = substrings.Text(raw).word_hashes()
+    assert len(want) == 59 and len(set(want.tolist())) == 8
+    for block in (12, 17, 100):
+        monkeypatch.setattr(substrings, "BLOCK", block)
+        assert (substrings.Text(raw).word_hashes() == want).all()
+    monkeypatch.setattr(substrings, "BLOCK", 4)
+    assert len(set(substrings.Text(raw).word_hashes().tolist())) == 8
+
+
+def test_an_index_with_other_hashes_is_refused(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    spark.createDataFrame([(1, 0, "tessera_run_old", 4)], "version long, place int, run string, buckets int").write.parquet(f"{path}/manifest")
+    with pytest.raises(ValueError, match="other hashes"):
+        substrings.FingerprintIndex(spark, path)
+
+
 def test_language(spark, docs, nothing):
     got = {(r.doc_id, r.lang_pred) for r in language.identify(docs).collect()}
     assert {(100, "und"), (101, "und"), (102, "und"), (106, "und")} <= got
