@@ -10,6 +10,8 @@ Two conventions hold throughout:
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import re
 import tempfile
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one step inside a task handles at a time.
 SLICE_BYTES = 4 << 20
+#: Bytes of a batch that Spark hands to Python.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -122,12 +126,23 @@ def forget_other_stages() -> None:
     now = [context.stageId()] if context else []
     if now != _stage:
         _memories.clear()
+        give_back()
         _stage[:] = now
 
 
 def give_back() -> None:
-    """Hand memory that Arrow holds but does not use back to the system: workers stay when their tasks have ended."""
+    """Hand memory that Arrow and the C library hold but do not use back to the system: workers stay when their tasks have ended."""
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Of what goes to Python, JVM and worker each hold a batch of BATCH_BYTES at a time, not one of Spark's 64 MB; a session that has less keeps it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
@@ -138,6 +153,7 @@ def arrow_schema(ddl: str) -> pa.Schema:
 def map_rows(df: DataFrame, ddl: str, task: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, list]]]) -> DataFrame:
     """``mapInArrow`` for a task that yields columns as lists."""
     schema = arrow_schema(ddl)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_other_stages()

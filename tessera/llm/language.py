@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_text, columns, map_rows, slices
+from tessera.llm.common import as_text, columns, give_back, map_rows, slices, small_batches
 
 BUCKETS = 1 << 15
 #: Cost in nats of one change of language inside a text.
@@ -236,5 +236,7 @@ def identified(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
         for part in slices(batches, limit=READ_BYTES):
             found = model.label(as_text(part.column("text")))["lang_pred"]
             yield part.filter(pa.array([x != "und" for x in found]))
+        give_back()
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(task, docs.schema)

@@ -766,3 +766,18 @@ def test_the_sum_over_all_groups_is_made_once_for_a_context(monkeypatch):
     apart = [model.log_probabilities(a[i : i + 1], [np.array([3]), np.array([5])])[0] for i in range(40)]
     assert both == pytest.approx(np.array(apart), abs=1e-5)
     assert len(model.log_probabilities(a[:0], [a[:0], a[:0]])) == 0
+
+
+def test_python_gets_small_batches(spark):
+    """What a task holds at a time does not grow to Spark's 64 MB."""
+    import pyarrow as pa
+
+    from tessera.llm import common
+
+    def task(batches):
+        for b in batches:
+            yield {"mb": pa.array([b.nbytes >> 20], pa.int64())}
+
+    texts = spark.range(0, 4000, numPartitions=1).selectExpr("repeat(cast(id as string), 2500) text")
+    found = [r.mb for r in common.map_rows(texts, "mb long", task).collect()]
+    assert len(found) > 1 and max(found) <= 9
