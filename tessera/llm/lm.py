@@ -19,18 +19,19 @@ Scores are normalised in full, by batched matrix products over all groups and ov
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, columns, map_rows, materialise, slices
+from tessera.llm.common import columns, map_rows, materialise, slices
 from tessera.llm.language import fold
 
 #: Words whose counts travel to the tasks, at most. The result does not depend on it: other counts are joined.
@@ -43,11 +44,14 @@ DIMENSIONS = 16
 CONTEXT = 2
 BATCH = 4096
 #: Rows of scores that are normalised at a time; they stay in a processor's cache.
-ROWS = 512
+ROWS = 1024
+#: Marks between 0 and 1 (a power of two) from which the noise words that were drawn are looked for.
+GUIDE = 1 << 16
 #: Noise groups of a batch, and noise words of a token.
 NOISE, NOISE_WORDS = 32, 2
 RATE, LEAST_SQUARE = 0.05, 1.0
 ROUNDS, SHARD = 4, 2_000_000
+#: Endings of words that are remembered with their groups.
 REMEMBERED = 300_000
 #: Distinct words that a counting task holds before it hands partial counts on.
 HELD = 200_000
@@ -65,6 +69,18 @@ def group_of(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word[-ENDING:], 12) % GROUPS
 
 
+def words_of(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Lower-cased words of texts (null: none): of each its place among the distinct ones, these, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, n = split.flatten(), pc.list_value_length(split).to_numpy().astype(np.int64)
+    there = pc.binary_length(words).to_numpy() > 0  # nothing stands before white space that begins a text, and after white space that ends it
+    if not there.all():
+        kept, ends = np.append(0, np.cumsum(there)), np.cumsum(n)
+        words, n = words.filter(pa.array(there)), kept[ends] - kept[ends - n]
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), n
+
+
 def count_tokens(texts: DataFrame) -> DataFrame:
     """From (text) to h, c, g: how often each token occurs, ends included, and its group; written."""
 
@@ -74,8 +90,9 @@ def count_tokens(texts: DataFrame) -> DataFrame:
         out = lambda: {"h": [word_hash(w) for w in counts], "c": list(counts.values()), "g": [group_of(w) for w in counts]}
         for part in slices(batches):
             ends += part.num_rows
-            for raw in as_bytes(part.column("text")):
-                counts.update(raw.lower().split())
+            own, words, _ = words_of(part.column("text"))
+            for w, c in zip(words, np.bincount(own, minlength=len(words)).tolist(), strict=True):
+                counts[w] += c
             if len(counts) > HELD:
                 yield out()
                 counts.clear()
@@ -129,56 +146,40 @@ class Vocabulary:
 
 
 class Reader:
-    """Texts to numbers, with a memory of words that is emptied when full."""
+    """Texts to numbers. Each distinct word of some texts is looked up once."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
         self.groups: dict[bytes, int] = {}  # of endings
-        self.hash = np.zeros(0, np.int64)
-        self.at = np.zeros(0, np.int64)  # place in the head, -1: not there
-        self.number = np.zeros(0, np.int64)
-        self.learn([b"\n"])  # no word has the white space that stands for the end of a text: number 0
-
-    def learn(self, new: list[bytes]) -> None:
-        """Distinct words that are not known yet."""
-        if new:
-            n, v = len(self.known), self.v
-            self.known.update(zip(new, range(n, n + len(new)), strict=True))
-            digest = xxhash.xxh64_intdigest
-            h = (np.array([digest(w, 11) for w in new], np.uint64) ^ np.uint64(1 << 63)).view(np.int64)  # word_hash
-            at = np.searchsorted(v.h, h)
-            found = (at < len(v.h)) & (v.h[np.minimum(at, len(v.h) - 1)] == h) if len(v.h) else np.zeros(len(h), bool)
-            number = np.where(found, v.number[np.minimum(at, len(v.h) - 1)], -1) if len(v.h) else np.full(len(h), -1)
-            other = np.flatnonzero(number < 0)
-            endings = [new[i][-ENDING:] for i in other.tolist()]
-            for x in set(endings).difference(self.groups):
-                self.groups[x] = group_of(x)
-            number[other] = v.rest[[self.groups[x] for x in endings]]
-            self.hash, self.at, self.number = np.append(self.hash, h), np.append(self.at, np.where(found, at, -1)), np.append(self.number, number)
-
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For all tokens, ends included: hash, place in the head, model number; and where each text begins."""
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        split = [x.lower().split() for x in texts]
-        n = np.array([len(x) + 1 for x in split])
+
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, place in the head (-1: not there) and model number of each word."""
+        v, digest = self.v, xxhash.xxh64_intdigest
+        h = (np.array([digest(w, 11) for w in words], np.uint64) ^ np.uint64(1 << 63)).view(np.int64)  # word_hash
+        at, number = np.full(len(h), -1), np.full(len(h), -1)
+        if len(v.h):
+            near = np.minimum(np.searchsorted(v.h, h), len(v.h) - 1)
+            found = v.h[near] == h
+            at[found], number[found] = near[found], v.number[near[found]]
+        other = np.flatnonzero(number < 0)
+        endings = [words[i][-ENDING:] for i in other.tolist()]
+        if len(self.groups) > REMEMBERED:
+            self.groups.clear()
+        for x in set(endings).difference(self.groups):
+            self.groups[x] = group_of(x)
+        number[other] = v.rest[[self.groups[x] for x in endings]]
+        return h, at, number
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all tokens, ends included, which distinct one each is; the distinct ones' hashes, places in the head and model numbers; where each text begins."""
+        place, words, n = words_of(texts)
+        n += 1
         first = np.cumsum(n) - n
-        own = np.zeros(int(n.sum()), np.int64)
+        own = np.full(int(n.sum()), len(words))
         word = np.ones(len(own), bool)
         word[first + n - 1] = False
-        words = list(chain.from_iterable(split))
-        found = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        unknown = np.flatnonzero(found < 0)
-        if len(unknown):
-            new = [words[i] for i in unknown.tolist()]
-            self.learn(list(dict.fromkeys(new)))
-            found[unknown] = [self.known[w] for w in new]
-        own[word] = found
-        return self.hash[own], self.at[own], self.number[own], first
+        own[word] = place
+        return own, *self.look_up([*words, b"\n"]), first  # no word has the white space that stands for the end of a text
 
     def contexts(self, number: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
         """The tokens before each token, nearest first; ``pad`` before a text's beginning."""
@@ -202,8 +203,9 @@ class LogBilinear:
         self.groups = np.add.reduceat(self.words, v.first[:-1])
         self.inside = self.words / self.groups[v.group]
         self.ladder = np.append(0, np.cumsum(self.words))
-        self.strides = [1 << i for i in reversed(range(int(np.diff(v.first).max()).bit_length()))]  # their sum reaches across any group
-        self.rungs = np.append(self.ladder, np.full(2 * self.strides[0], np.inf))
+        self.guide = np.searchsorted(self.ladder, np.arange(GUIDE + 2) / GUIDE, "right") - 1  # the last rung that is not above each mark
+        self.strides = [1 << i for i in reversed(range(int(np.diff(self.guide).max()).bit_length()))]  # their sum reaches from any mark to the next
+        self.rungs = np.append(self.ladder, np.full(2 * max([1, *self.strides]), np.inf))
         self.log_inside = np.log(NOISE_WORDS * self.inside).astype(np.float32)
         self.log_noise = np.log(NOISE * self.groups).astype(np.float32)
         self.cuts = np.cumsum([GROUPS, v.outputs, v.outputs + 1])
@@ -212,11 +214,12 @@ class LogBilinear:
         groups, words, rows, maps = self.views(self.matrix)
         groups[:, -1], words[:, -1], rows[:, -1], maps[:, :-1] = np.log(self.groups), np.log(self.inside), 0, 1 / CONTEXT
         self.squares = np.full_like(self.matrix, LEAST_SQUARE)
+        self.changed, self.place = np.zeros(len(self.matrix), bool), np.empty(len(self.matrix), np.int64)
         self.held: dict[str, np.ndarray] = {}
 
     def room(self, name: str, *shape: int) -> np.ndarray:
         """An array that is written anew each time: memory from the system would have to be cleared each time."""
-        size = int(np.prod(shape))
+        size = math.prod(shape)
         if name not in self.held or self.held[name].size < size:
             self.held[name] = np.empty(size, np.float32)
         return self.held[name][:size].reshape(shape)
@@ -228,19 +231,15 @@ class LogBilinear:
         """Rows of groups, words and contexts (one more than words), and the maps; the last column is the bias."""
         return np.split(m, self.cuts)
 
-    def predict(self, contexts: list[np.ndarray]) -> np.ndarray:
-        _, _, rows, maps = self.views(self.matrix)
-        return sum(rows[x, :-1] * maps[i, :-1] for i, x in enumerate(contexts))
-
     def drawn_words(self, g: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """NOISE_WORDS words for each token, each from the token's group by its share there."""
         first, after = self.v.first.take(g), self.v.first.take(g + 1)
         low = self.ladder.take(first)
         drawn = low + rng.random((NOISE_WORDS, len(g))) * (self.ladder.take(after) - low)
-        at = np.broadcast_to(first, drawn.shape).copy()
+        at = self.guide.take((drawn * GUIDE).astype(np.int64), mode="clip")
         for stride in self.strides:  # the last rung that is not above what was drawn
             at += stride * (self.rungs.take(at + stride) <= drawn)
-        return np.minimum(at, after - 1)
+        return np.clip(at, first, after - 1)
 
     def step(self, token: np.ndarray, contexts: list[np.ndarray], rng: np.random.Generator) -> None:
         """One Adagrad step on the noise-contrastive losses of a batch, for its groups (noise shared by the batch) and for its words in their groups."""
@@ -253,15 +252,17 @@ class LogBilinear:
             np.multiply(r[i], maps[i], out=part)
             h += part
         h[:, -1] = 1
-        # the rows of the matrix that change, and their gradients: groups and noise, the token and noise words, contexts, maps
+        # the rows of the matrix that change, and their gradients by column: groups and noise, the token and noise words, contexts, maps
         many = (2 + NOISE_WORDS + CONTEXT) * n + NOISE + CONTEXT
-        at, grads, done = np.empty(many, np.int64), self.room("gradients", many, DIMENSIONS + 1), 0
+        at, grads, done = np.empty(many, np.int64), self.room("gradients", DIMENSIONS + 1, many), 0
+        across = self.room("across", DIMENSIONS + 1, n)
+        across[:] = h.T
 
         def more(x: np.ndarray, start: int) -> np.ndarray:
             nonlocal done
             a, done = done, done + len(x)
             np.add(x, start, out=at[a:done])
-            return grads[a:done]
+            return grads[:, a:done]
 
         with np.errstate(over="ignore"):
             noise = rng.choice(GROUPS, NOISE, p=self.groups)
@@ -275,26 +276,30 @@ class LogBilinear:
             np.matmul(d_down, unlike, out=back)
             chosen *= d_up[:, None]
             back += chosen
-            np.multiply(d_up[:, None], h, out=more(g, 0))
-            np.matmul(d_down.T, h, out=more(noise, 0))
+            np.multiply(d_up, across, out=more(g, 0))
+            more(noise, 0)[:] = np.matmul(d_down.T, h).T
             for x, sign in [(token, 1), *((o, -1) for o in self.drawn_words(g, rng))]:
                 chosen = self.rows_of("part", words, x)
                 u = np.einsum("nd,nd->n", h, chosen) - self.log_inside.take(x)
                 d = -sign / (1 + np.exp(sign * u))
                 chosen *= d[:, None]
                 back += chosen
-                np.multiply(d[:, None], h, out=more(x, int(self.cuts[0])))
+                np.multiply(d, across, out=more(x, int(self.cuts[0])))
+        across[:] = back.T
         for i, x in enumerate(contexts):
             m = more(np.array([i]), int(self.cuts[2]))
-            np.einsum("nd,nd->d", back, r[i], out=m[0])
+            np.einsum("nd,nd->d", back, r[i], out=m[:, 0])
             down = more(x, int(self.cuts[1]))
-            np.multiply(back, maps[i], out=down)
-            m[0, -1], down[:, -1] = 0, 0
-        order = np.argsort(at.astype(np.uint16) if self.cuts[-1] + CONTEXT <= 1 << 16 else at, kind="stable")  # short keys are sorted by their digits
-        at = at.take(order)
-        begins = np.flatnonzero(np.append(True, np.diff(at) > 0))
-        grad = np.add.reduceat(self.rows_of("ordered", grads, order), begins)
-        at = at.take(begins)
+            np.multiply(maps[i][:, None], across, out=down)
+            m[-1], down[-1] = 0, 0
+        self.changed[:] = False
+        self.changed[at] = True
+        rows_changed = np.flatnonzero(self.changed)
+        self.place[rows_changed] = np.arange(len(rows_changed))
+        place, at = self.place.take(at), rows_changed
+        grad = np.empty((len(at), DIMENSIONS + 1), np.float32)
+        for i, x in enumerate(grads):
+            grad[:, i] = np.bincount(place, x, len(at))
         squares = self.squares.take(at, axis=0)
         squares += grad * grad
         self.squares[at] = squares
@@ -306,18 +311,23 @@ class LogBilinear:
     @staticmethod
     def log_sum(s: np.ndarray) -> np.ndarray:
         """The logarithm of the sum of exp of each row; ``s`` is used up."""
-        top = s.max(axis=1) if s.size and max(s.max(), -s.min()) > 60 else np.zeros(len(s), np.float32)
-        if top.any():
-            s -= top[:, None]
         np.exp(s, out=s)
-        return top + np.log(s @ np.ones(s.shape[1], np.float32))
+        return np.log(s @ np.ones(s.shape[1], np.float32))
+
+    def log_sums(self, s: np.ndarray, reach: float) -> np.ndarray:
+        """``log_sum`` where no score is beyond ``reach`` on either side: if that is too far for exp, each row is brought below its highest score."""
+        if reach <= 60 or not s.size or max(s.max(), -s.min()) <= 60:
+            return self.log_sum(s)
+        top = s.max(axis=1)
+        s -= top[:, None]
+        return top + self.log_sum(s)
 
     def log_probabilities(self, token: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
         """Normalised natural log probabilities: of a token's group among all groups, and of the token among all of its group.
 
         What stands before a token often stands before others as well: the sum over all groups is made once for each such context.
         """
-        groups, words, _, _ = self.views(self.matrix)
+        groups, words, rows, maps = self.views(self.matrix)
         g = self.v.group.take(token)
         key = contexts[0].astype(np.int64)
         for x in contexts[1:]:
@@ -327,24 +337,37 @@ class LogBilinear:
         which = np.empty(len(key), np.int64)
         which[order] = np.cumsum(begins) - 1
         one = order[begins]
-        each = np.ones((len(one), DIMENSIONS + 1), np.float32)
-        each[:, :-1] = self.predict([x.take(one) for x in contexts])
-        total, across = np.empty(len(one), np.float32), np.ascontiguousarray(groups.T)
+        each, part = (self.room(x, len(one), DIMENSIONS + 1) for x in ("each", "part"))
+        for i, x in enumerate(contexts):
+            np.take(rows, x.take(one), axis=0, out=part if i else each, mode="clip")
+            np.multiply(part if i else each, maps[i], out=part if i else each)
+            if i:
+                each += part
+        each[:, -1] = 1
+        # no score is beyond the product of the greatest lengths and the greatest bias
+        length = lambda m: float(np.sqrt(np.einsum("nd,nd->n", m[:, :-1], m[:, :-1]).max(initial=0)))
+        longest = length(each)
+        reach = lambda m: longest * length(m) + float(np.abs(m[:, -1]).max())
+        total, across, far = np.empty(len(one), np.float32), np.ascontiguousarray(groups.T), reach(groups)
         for i in range(0, len(one), ROWS):
             part = each[i : i + ROWS]
-            total[i : i + ROWS] = self.log_sum(np.matmul(part, across, out=self.room("scores", len(part), GROUPS)))
-        h = each.take(which, axis=0)
-        found = np.einsum("nd,nd->n", h, groups.take(g, axis=0)) - total.take(which)
+            total[i : i + ROWS] = self.log_sums(np.matmul(part, across, out=self.room("scores", len(part), GROUPS)), far)
+        found = -total.take(which)
         order = np.argsort(g.astype(np.uint16), kind="stable")
         edge = np.searchsorted(g.take(order), np.arange(GROUPS + 1))
-        for k in range(GROUPS):
+        which, inside = which.take(order), (token - self.v.first.take(g)).take(order)
+        for k in np.flatnonzero(np.diff(edge)).tolist():
             of = words[self.v.first[k] : self.v.first[k + 1]]
-            if len(of) > 1:
-                for i in range(edge[k], edge[k + 1], ROWS):
-                    at = order[i : min(i + ROWS, edge[k + 1])]
-                    s = np.matmul(h.take(at, axis=0), of.T, out=self.room("scores", len(at), len(of)))
-                    own = s[np.arange(len(s)), token[at] - self.v.first[k]]
-                    found[at] += own - self.log_sum(s)
+            far = reach(of)
+            for i in range(edge[k], edge[k + 1], ROWS):
+                to = min(i + ROWS, edge[k + 1])
+                h = self.rows_of("h", each, which[i:to])
+                more = h @ groups[k]
+                if len(of) > 1:
+                    s = np.matmul(h, of.T, out=self.room("scores", len(h), len(of)))
+                    more += s[np.arange(len(s)), inside[i:to]]
+                    more -= self.log_sums(s, far)
+                found[order[i:to]] += more
         return found
 
 
@@ -384,7 +407,8 @@ def train(docs: DataFrame, shared, tokens: int) -> LogBilinear:
                         now, seen, rng = int(shard[a]), 0, np.random.default_rng([7, number, int(shard[a])])
                         held = [np.zeros(0, np.int64)] * (1 + CONTEXT)
                         lbl.matrix, lbl.squares = start.value.copy(), np.full_like(start.value, LEAST_SQUARE)
-                    _, _, token, first = reader.read(as_bytes(part.slice(a, b - a).column("text")))
+                    own, _, _, number_of, first = reader.read(part.slice(a, b - a).column("text"))
+                    token = number_of.take(own)
                     held = [np.append(x, y) for x, y in zip(held, [token, *reader.contexts(token, first)], strict=True)]
                     seen += len(token)
                     steps(BATCH)
@@ -428,23 +452,21 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, doc_id: str = "doc_id"
         reader, number_of_task, row = Reader(voc), TaskContext.get().partitionId(), 0
         log_count = np.append(np.log10(voc.c + 0.5), 0.0)
         for part in slices(batches, limit=READ_BYTES):
-            h, at, number, first = reader.read(as_bytes(part.column("text")))
-            log_p = lbl.log_probabilities(number, reader.contexts(number, first)).astype(np.float64) / np.log(10)
-            group, known = voc.group[number], at >= 0
-            rest = number == voc.rest[group]
-            logs = log_count[at]
+            own, h, at, number, first = reader.read(part.column("text"))
+            token = number.take(own)
+            log_p = lbl.log_probabilities(token, reader.contexts(token, first)).astype(np.float64) / np.log(10)
+            group, known, logs = voc.group[number], at >= 0, log_count[at]
+            share = np.where(number == voc.rest[group], logs - rest_mass[group], 0.0)  # of a group's common place
             total = lambda x: np.add.reduceat(x, first)
-            out = {"n_tokens": np.diff(np.append(first, len(h))), "known": total(known.astype(np.int64)), "base": total(logs), "model": total(log_p + np.where(rest, logs - rest_mass[group], 0.0))}
-            tail = np.flatnonzero(~known)
-            edge = np.searchsorted(tail, np.append(first, len(h)))
-            hashes, times = [], []
-            for a, b in zip(edge, edge[1:], strict=False):
-                w, k = np.unique(h[tail[a:b]], return_counts=True)
-                hashes.append(w)
-                times.append(k)
+            n_tokens, known_tokens = np.diff(np.append(first, len(own))), known.take(own)
+            out = {"n_tokens": n_tokens, "known": total(known_tokens.astype(np.int64)), "base": total(logs.take(own)), "model": total(log_p + share.take(own))}
+            tail = np.flatnonzero(~known_tokens)
+            pairs, times = np.unique(np.repeat(np.arange(len(first)), n_tokens)[tail] * len(h) + own[tail], return_counts=True)  # of a text and a word
+            edge = pa.array(np.searchsorted(pairs, np.arange(len(first) + 1) * len(h)), pa.int32())
+            lists = {k: pa.ListArray.from_arrays(edge, pa.array(x, pa.int64())) for k, x in (("tail", h[pairs % len(h)]), ("times", times))}
             ids = (number_of_task << 40) + row + np.arange(len(first))
             row += len(first)
-            yield {k: x.tolist() for k, x in out.items()} | {"doc_id": part.column("doc_id"), "row": ids.tolist(), "tail": hashes, "times": times}
+            yield {"doc_id": part.column("doc_id"), "row": ids} | out | lists
 
     scored = materialise(map_rows(docs, "row long, doc_id long, n_tokens long, known long, base double, model double, tail array<long>, times array<long>", task), "lm-scores")
     tail = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("h"), F.col("x.times").alias("times"))

@@ -781,3 +781,63 @@ def test_python_gets_small_batches(spark):
     texts = spark.range(0, 4000, numPartitions=1).selectExpr("repeat(cast(id as string), 2500) text")
     found = [r.mb for r in common.map_rows(texts, "mb long", task).collect()]
     assert len(found) > 1 and max(found) <= 9
+
+
+def test_lm_words_are_cut_in_arrays():
+    import pyarrow as pa
+
+    texts = [None, "", " \t\n", "  The the\x0bTHE  end ", "x\x00y \x1cz a\u0085b c d", "ÄB äb\r\n", "one"]
+    for column in (pa.array(texts), pa.array(["other", *texts, "more"]).slice(1, len(texts)), pa.array(texts, pa.large_string()), pa.array([], pa.string())):
+        own, words, n = lm.words_of(column)
+        want = [(x or "").encode().lower().split() for x in column.to_pylist()]
+        assert [words[i] for i in own] == [w for x in want for w in x] and n.tolist() == [len(x) for x in want]
+        assert len(set(words)) == len(words)
+
+
+def test_lm_noise_words_are_found_from_marks_and_gradients_are_sums():
+    """The noise words are those of a plain search, with fewer looks than the largest group needs; rows that occur often in a batch get the sums of their gradients."""
+    rng = np.random.default_rng(3)
+    h = np.arange(6000)
+    g = np.minimum(h % 100, 3)
+    c = 1 + 900_000 // (1 + h)
+    v = lm.Vocabulary(h, c, g, np.bincount(g, c, lm.GROUPS) + 3.0, 6000)
+    model, of = lm.LogBilinear(v), np.repeat(np.arange(4), 500)
+    assert len(model.strides) < int(np.diff(v.first).max()).bit_length()
+    drawn = model.drawn_words(of, np.random.default_rng(8))
+    low, high = model.ladder[v.first[of]], model.ladder[v.first[of + 1]]
+    at = low + np.random.default_rng(8).random(drawn.shape) * (high - low)
+    assert (drawn == np.clip(np.searchsorted(model.ladder, at, "right") - 1, v.first[of], v.first[of + 1] - 1)).all()
+
+    token, contexts = rng.integers(0, 9, 300), [rng.integers(0, 9, 300), rng.integers(0, 9, 300)]
+    before, held = model.matrix.astype(float), [x.astype(float) for x in model.views(model.matrix)]
+    model.step(token, contexts, np.random.default_rng(4))
+    again = np.random.default_rng(4)
+    noise, words = again.choice(lm.GROUPS, lm.NOISE, p=model.groups), model.drawn_words(v.group[token], again)
+    groups, out, rows, maps = held
+    grad, edge = np.zeros(before.shape), [0, *model.cuts]
+    for i in range(300):
+        r = [rows[x[i]] for x in contexts]
+        y = sum(a * m for a, m in zip(r, maps, strict=True))
+        y[-1] = 1
+        back = np.zeros(len(y))
+        terms = [(0, groups, v.group[token[i]], model.log_noise[v.group[token[i]]], 1), *((0, groups, k, model.log_noise[k], -1) for k in noise)]
+        terms += [(1, out, token[i], model.log_inside[token[i]], 1), *((1, out, k, model.log_inside[k], -1) for k in words[:, i])]
+        for part, table, k, log, sign in terms:
+            d = -sign / (1 + np.exp(sign * (y @ table[k] - log)))
+            grad[edge[part] + k] += d * y
+            back += d * table[k]
+        for j, x in enumerate(contexts):
+            grad[edge[2] + x[i], :-1] += (back * maps[j])[:-1]
+            grad[edge[3] + j, :-1] += (back * r[j])[:-1]
+    want = before - lm.RATE * grad / np.sqrt(lm.LEAST_SQUARE + grad**2)
+    assert model.matrix == pytest.approx(want, abs=2e-4)
+
+
+def test_lm_far_scores_are_normalised():
+    h = np.arange(60)
+    v = lm.Vocabulary(h, 100 - h, h % 4, np.bincount(h % 4, 100 - h, lm.GROUPS) + 3.0, 40)
+    model = lm.LogBilinear(v)
+    model.matrix *= np.float32(30)
+    contexts = [np.array([1, 2, v.pad]), np.array([3, v.pad, v.pad])]
+    got = np.array([model.log_probabilities(np.full(3, w), contexts) for w in range(v.outputs)], float)
+    assert np.isfinite(got).all() and np.exp(got).sum(axis=0) == pytest.approx(np.ones(3), abs=1e-3)
